@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, minhash
+from tallyloom.llm import bpe, decontam, minhash, sharding
 from tallyloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,9 +21,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_karmarkar_karp": op3_karmarkar_karp,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: None of the rest can be said in SQL: they are tested against brute force, round trips or held-out accuracy.
