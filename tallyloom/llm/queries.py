@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontam, minhash, sharding
+from tallyloom.llm import bpe, decontam, embeddings, minhash, sharding
 from tallyloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,11 +29,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_karmarkar_karp": op3_karmarkar_karp,
     "op9_decontamination": op9_decontamination,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 #: None of the rest can be said in SQL: they are tested against brute force, round trips or held-out accuracy.
