@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontam, embeddings, minhash, sharding
+from tallyloom.llm import bpe, decontam, embeddings, langid, minhash, sharding, toxicity
 from tallyloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,19 @@ def op3_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.fit(docs.where(remainder != 2).select("text", "lang"))
+    held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), model)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -37,6 +50,8 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_karmarkar_karp": op3_karmarkar_karp,
+    "op4_toxic_severity": op4_toxic_severity,
+    "op6_language_bitmask": op6_language_bitmask,
     "op9_decontamination": op9_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
