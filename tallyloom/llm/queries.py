@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontam, embeddings, langid, minhash, sharding, toxicity
+from tallyloom.llm import bpe, decontam, embeddings, langid, minhash, sharding, toxicity, urls
 from tallyloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,6 +38,26 @@ def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out, "text"), model)
 
 
+#: host, path prefix, verdict
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+#: Hosts with such a word in their name are known for spam; the URLs of their pages make the list.
+SPAM_HOST = "(^|[.-])(spam|pills|casino|warez)([.-]|$)"
+
+
+def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = urls.host_path(F.col("url"))
+    listed = pages.where(host.rlike(SPAM_HOST)).select("url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(pages, rules, listed).drop("url")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -52,9 +72,30 @@ QUERIES = {
     "op3_karmarkar_karp": op3_karmarkar_karp,
     "op4_toxic_severity": op4_toxic_severity,
     "op6_language_bitmask": op6_language_bitmask,
+    "op7_url_bloom": op7_url_bloom,
     "op9_decontamination": op9_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 #: None of the rest can be said in SQL: they are tested against brute force, round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_bloom": r"""
+with parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages)
+), canonical as (
+  select *, case when host <> '' then regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '(index)?\.html?$', ''), '/+$', '') end as canon from parts
+), rules(rule_host, rule_path, rule_verdict) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), listed as (
+  select distinct canon from canonical where regexp_matches(host, '(^|[.-])(spam|pills|casino|warez)([.-]|$)')
+), best as (
+  select host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(rule_verdict, length(rule_host || rule_path)) as verdict
+  from (select distinct host, path from canonical) join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by host, path
+)
+select c.page_id, c.host, c.path, b.rule, coalesce(b.verdict, case when l.canon is not null then 'block' else 'allow' end) as verdict
+from canonical c left join best b on c.host = b.host and c.path = b.path left join listed l on c.canon = l.canon
+""",
+}
