@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontam, embeddings, langid, minhash, sharding, toxicity, urls
+from tallyloom.llm import bpe, decontam, embeddings, langid, minhash, pii, sharding, toxicity, urls
 from tallyloom.llm.common import table
 
+#: Stands for a secret that a deployment would pass in.
+PII_KEY = "surrogate key of the test tables"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -30,6 +32,10 @@ def op4_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_replaced")
+
+
 def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_karmarkar_karp": op3_karmarkar_karp,
     "op4_toxic_severity": op4_toxic_severity,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_language_bitmask": op6_language_bitmask,
     "op7_url_bloom": op7_url_bloom,
     "op9_decontamination": op9_decontamination,
