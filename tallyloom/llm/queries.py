@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontam, embeddings, langid, minhash, pii, sharding, toxicity, urls
+from tallyloom.llm import bpe, decontam, embeddings, html, langid, minhash, pii, sharding, toxicity, urls
 from tallyloom.llm.common import table
 
 #: Stands for a secret that a deployment would pass in.
@@ -64,6 +64,11 @@ def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, rules, listed).drop("url")
 
 
+def op8_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(pages))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_language_bitmask": op6_language_bitmask,
     "op7_url_bloom": op7_url_bloom,
+    "op8_html_labeller": op8_html_labeller,
     "op9_decontamination": op9_decontamination,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
