@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import engagement
+from tallyloom.plans import catalog, engagement, scoring
 
-_MODULES = [engagement]
+_MODULES = [engagement, catalog, scoring]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
