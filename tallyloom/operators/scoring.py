@@ -68,6 +68,23 @@ def _hint() -> Column:
     return out
 
 
+FACTS = ["_hint", "_bogo", "_trial", "_vague", "_buy", "_get", "_share", "_amount"]
+
+
+def with_facts(offers: DataFrame) -> DataFrame:
+    """offers with what the scores read from titles and values, so that each text is searched once."""
+    if "_hint" in offers.columns:
+        return offers
+    title = _title()
+    group = lambda k: F.nullif(F.regexp_extract(title, BUY_GET, k), F.lit("")).cast("double")
+    facts = [_hint(), title.rlike(BOGO), title.rlike(TRIAL), title.rlike(VAGUE), group(1), group(2), percent(C("discount_value")), dollars(C("discount_value"))]
+    return offers.withColumns(dict(zip(FACTS, facts, strict=True)))
+
+
+def _as_given(result: DataFrame, offers: DataFrame) -> DataFrame:
+    return result if "_hint" in offers.columns else result.drop(*FACTS)
+
+
 def brand_lookup(offers: DataFrame, values: DataFrame, name: str) -> DataFrame:
     """offers with the value of their brand (slug, value, ord): of an equal slug, else of the first with the same first
     seven characters when both have five or more."""
@@ -82,20 +99,19 @@ def brand_lookup(offers: DataFrame, values: DataFrame, name: str) -> DataFrame:
 
 def estimate_savings(offers: DataFrame, brand_values: DataFrame, cautious_values: DataFrame) -> DataFrame:
     """estimated_item_value and estimated_savings from brand, category, title and discount; brand tables as in brand_lookup."""
-    d = brand_lookup(brand_lookup(offers, brand_values, "_brand_value"), cautious_values, "_brand_cautious")
+    d = brand_lookup(brand_lookup(with_facts(offers), brand_values, "_brand_value"), cautious_values, "_brand_cautious")
     category = F.lower(F.trim(F.coalesce("category", F.lit(""))))
-    item = F.coalesce("_brand_value", _of(ITEM_VALUE, category, 30.0))
-    cautious = F.coalesce("_brand_cautious", _of(CAUTIOUS_VALUE, category, item * 0.5))
-    hint, title, kind = _hint(), _title(), F.trim(F.coalesce("discount_type", F.lit("")))
+    d = d.withColumn("_item", F.coalesce("_brand_value", _of(ITEM_VALUE, category, 30.0)))
+    d = d.withColumn("_cautious", F.coalesce("_brand_cautious", _of(CAUTIOUS_VALUE, category, C("_item") * 0.5)))
+    item, cautious, hint, vague, share, amount = (C(c) for c in ("_item", "_cautious", "_hint", "_vague", "_share", "_amount"))
+    kind = F.trim(F.coalesce("discount_type", F.lit("")))
     free = F.coalesce(hint, F.least(item, F.lit(15.0)))
-    share, amount = percent(C("discount_value")), dollars(C("discount_value"))
-    vague = title.rlike(VAGUE)
     birthday = (C("promotion_type") == "birthday_reward") | (F.coalesce(C("birthday_related"), F.lit(False)) if "birthday_related" in offers.columns else F.lit(False))
     shipping = F.when(category.isin("tech", "electronics", "furniture", "home", "home_goods"), 10.0).when(category.isin("fashion", "clothing", "shoes", "footwear", "apparel", "retail"), 8.0).otherwise(5.0)
     savings = (
         F.when(birthday, free)
-        .when(title.rlike(BOGO) | title.rlike(BUY_GET), item)
-        .when(kind == "free_item", F.when(title.rlike(TRIAL), 5.0).otherwise(free))
+        .when(C("_bogo") | C("_buy").isNotNull(), item)
+        .when(kind == "free_item", F.when(C("_trial"), 5.0).otherwise(free))
         .when((kind == "percentage_off") & (share > 0), F.round(F.coalesce(hint, F.when(vague, cautious).otherwise(item)) * share / 100.0, 2))
         .when((kind == "percentage_off") & vague, F.round(cautious * 0.20, 2))
         .when(kind == "percentage_off", F.round(item * 0.15, 2))
@@ -105,17 +121,17 @@ def estimate_savings(offers: DataFrame, brand_values: DataFrame, cautious_values
         .when(kind == "points", 2.0)
         .otherwise(5.0)
     )
-    return d.withColumn("estimated_item_value", F.round(item, 2)).withColumn("estimated_savings", F.round(savings, 2)).drop("_brand_value", "_brand_cautious")
+    d = d.withColumns({"estimated_item_value": F.round(item, 2), "estimated_savings": F.round(savings, 2)})
+    return _as_given(d.drop("_brand_value", "_brand_cautious", "_item", "_cautious"), offers)
 
 
 def effective_discount(offers: DataFrame) -> DataFrame:
     """effective_discount_pct: what share of the received value is saved."""
-    title, kind = _title(), F.trim(F.coalesce("discount_type", F.lit("")))
-    buy, get = (F.nullif(F.regexp_extract(title, BUY_GET, k), F.lit("")).cast("double") for k in (1, 2))
-    share = percent(C("discount_value"))
+    kind = F.trim(F.coalesce("discount_type", F.lit("")))
+    buy, get, share = C("_buy"), C("_get"), C("_share")
     pct = (
-        F.when((kind == "free_item") & ~title.rlike(TRIAL), 100.0)
-        .when(title.rlike(BOGO), 50.0)
+        F.when((kind == "free_item") & ~C("_trial"), 100.0)
+        .when(C("_bogo"), 50.0)
         .when(buy.isNotNull(), F.round(F.try_divide(get, buy + get) * 100.0, 1))
         .when(kind == "percentage_off", F.when(share > 0, share).otherwise(15.0))
         .when((kind == "amount_off") & (C("estimated_item_value") > 0), F.least(C("estimated_savings") / C("estimated_item_value") * 100.0, F.lit(100.0)))
@@ -124,32 +140,33 @@ def effective_discount(offers: DataFrame) -> DataFrame:
         .when(kind == "points", 1.5)
         .otherwise(10.0)
     )
-    return offers.withColumn("effective_discount_pct", pct)
+    return _as_given(with_facts(offers).withColumn("effective_discount_pct", pct), offers)
 
 
 def economic_value(offers: DataFrame) -> DataFrame:
     """economic_value_score: relative and absolute savings on log curves, less required spending and quantity; 0 at least."""
-    title, category = _title(), F.lower(F.coalesce("category", F.lit("")))
+    category = F.lower(F.coalesce("category", F.lit("")))
     pct, saved, item = C("effective_discount_pct"), C("estimated_savings"), C("estimated_item_value")
     relative = F.when(pct <= 0, 0.0).otherwise(F.round(F.least(27.0 * F.log(1 + F.least(pct, F.lit(100.0)) / 100.0 * 3.5) / F.log(F.lit(4.5)), F.lit(27.0)), 2))
     absolute = F.when(saved <= 0, 0.0).otherwise(F.round(F.least(50.0 * F.log(1 + saved) / F.log(1 + _of(SAVINGS_CAP, category, 50.0)), F.lit(50.0)), 2))
-    buy = F.nullif(F.regexp_extract(title, BUY_GET, 1), F.lit("")).cast("double")
+    bogo, buy = C("_bogo"), C("_buy")
     stated = dollars(C("minimum_spend").cast("string")) if "minimum_spend" in offers.columns else F.lit(None).cast("double")
-    spend = F.when(title.rlike(BOGO), item).when(buy.isNotNull(), item * buy).otherwise(stated)
+    spend = F.when(bogo, item).when(buy.isNotNull(), item * buy).otherwise(stated)
     spend_penalty = F.when(spend > 0, F.round(F.pow(1.0 - F.least(saved / spend, F.lit(1.0)), 2) * 12.0, 2)).otherwise(0.0)
     weight = F.when(category.isin(REPEATED), 0.1).when(category.isin(SINGLE), 0.85).otherwise(0.4)
-    quantity = F.when(title.rlike(BOGO), F.round(10.0 * weight, 2)).when(buy.isNotNull(), F.round(10.0 * weight * F.least(buy / 2.0, F.lit(1.0)), 2)).otherwise(0.0)
-    d = offers.withColumns({"relative_score": relative, "absolute_score": absolute, "spend_penalty": spend_penalty, "quantity_penalty": quantity})
-    return d.withColumn("economic_value_score", F.greatest(C("relative_score") + C("absolute_score") - C("spend_penalty") - C("quantity_penalty"), F.lit(0.0)))
+    quantity = F.when(bogo, F.round(10.0 * weight, 2)).when(buy.isNotNull(), F.round(10.0 * weight * F.least(buy / 2.0, F.lit(1.0)), 2)).otherwise(0.0)
+    d = with_facts(offers).withColumns({"relative_score": relative, "absolute_score": absolute, "spend_penalty": spend_penalty, "quantity_penalty": quantity})
+    score = F.greatest(C("relative_score") + C("absolute_score") - C("spend_penalty") - C("quantity_penalty"), F.lit(0.0))
+    return _as_given(d.withColumn("economic_value_score", score), offers)
 
 
 def quality_subscores(offers: DataFrame, as_of: Column) -> DataFrame:
     """Presentation, clarity, reliability, redemption, freshness, urgency and friction."""
-    title, kind = _title(), F.coalesce("discount_type", F.lit(""))
-    exact = F.coalesce((percent(C("discount_value")) > 0) | (dollars(C("discount_value")) > 0), F.lit(False))
-    trial, bogo, vague = title.rlike(TRIAL), title.rlike(BOGO), title.rlike(VAGUE)
+    kind = F.coalesce("discount_type", F.lit(""))
+    exact = F.coalesce((C("_share") > 0) | (C("_amount") > 0), F.lit(False))
+    trial, bogo, vague = C("_trial"), C("_bogo"), C("_vague")
     presentation = F.least(F.when((kind == "free_item") & ~trial, 4.0).when(bogo, 3.0).otherwise(0.0) + F.when(F.coalesce("promo_code", F.lit("")) != "", 2.0).otherwise(0.0) + F.when(exact, 2.0).otherwise(0.0), F.lit(8.0))
-    clarity = F.when(bogo | title.rlike(BUY_GET), 5.0).when(kind == "free_shipping", 4.0).when((kind == "free_item") & ~trial, F.when(_hint().isNotNull(), 4.0).otherwise(2.0)).when(exact, F.when(vague, 1.0).otherwise(5.0)).otherwise(F.when(vague, 0.0).otherwise(2.0))
+    clarity = F.when(bogo | C("_buy").isNotNull(), 5.0).when(kind == "free_shipping", 4.0).when((kind == "free_item") & ~trial, F.when(C("_hint").isNotNull(), 4.0).otherwise(2.0)).when(exact, F.when(vague, 1.0).otherwise(5.0)).otherwise(F.when(vague, 0.0).otherwise(2.0))
     c = F.coalesce("confidence_score", F.lit(0.0))
     reliability = F.when(c <= 0, 0.75).when(c < 0.60, 0.65).when(c < 0.70, 0.80).when(c < 0.75, 0.87).when(c < 0.80, 0.92).when(c < 0.90, 0.96).otherwise(1.0)
     has = "fast_redemption" in offers.columns
@@ -163,8 +180,9 @@ def quality_subscores(offers: DataFrame, as_of: Column) -> DataFrame:
     friction = F.when(F.coalesce("requires_membership", F.lit(False)), F.when(cost.contains("paid"), 15.0).when(cost.contains("free"), 2.0).otherwise(8.0)).otherwise(0.0) + F.when(F.coalesce("requires_app", F.lit(False)), 5.0).otherwise(0.0) + effort
     if "terms_text" in offers.columns:
         friction = friction + F.when(F.lower(F.coalesce("terms_text", F.lit(""))).contains("participating"), 4.0).otherwise(0.0)
-    d = offers.withColumns({"presentation_score": presentation, "clarity_score": clarity, "reliability": reliability, "fast_redeem_score": redeem, "source_freshness_score": fresh, "expiration_urgency_score": urgency, "friction_penalty": friction})
-    return d.withColumn("urgency_effect", F.round(C("expiration_urgency_score") * F.least(C("economic_value_score") / 35.0, F.lit(1.0)), 2))
+    d = with_facts(offers).withColumns({"presentation_score": presentation, "clarity_score": clarity, "reliability": reliability, "fast_redeem_score": redeem, "source_freshness_score": fresh, "expiration_urgency_score": urgency, "friction_penalty": friction})
+    d = d.withColumn("urgency_effect", F.round(C("expiration_urgency_score") * F.least(C("economic_value_score") / 35.0, F.lit(1.0)), 2))
+    return _as_given(d, offers)
 
 
 def global_quality_score(offers: DataFrame) -> DataFrame:
@@ -186,8 +204,8 @@ def global_quality_score(offers: DataFrame) -> DataFrame:
 
 
 def score_offers(offers: DataFrame, brand_values: DataFrame, cautious_values: DataFrame, as_of: Column) -> DataFrame:
-    d = effective_discount(estimate_savings(offers, brand_values, cautious_values))
-    return global_quality_score(quality_subscores(economic_value(d), as_of))
+    d = effective_discount(estimate_savings(with_facts(offers), brand_values, cautious_values))
+    return global_quality_score(quality_subscores(economic_value(d), as_of)).drop(*FACTS)
 
 
 def score_summary(scored: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import catalog, engagement, scoring
+from tallyloom.plans import catalog, engagement, messages, ranking, scoring
 
-_MODULES = [engagement, catalog, scoring]
+_MODULES = [engagement, catalog, scoring, ranking, messages]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
