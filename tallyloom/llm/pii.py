@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import checkpoint, fresh
 
-MALE = ["Mr", "Herr", "Señor", "Monsieur", "г-н", "господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа", "госпожа"]
+MALE = ["Mr", "Herr", "Señor", "Monsieur", "г-н", "господин", "Господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа", "госпожа", "Госпожа"]
 NEUTRAL = ["Dr", "Prof"]
 MAX_ATTEMPTS = 30
 
@@ -199,12 +199,11 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select(family(F.col("kind")).alias("sort"), F.col("name").alias("new")).distinct()
     for attempt in range(MAX_ATTEMPTS):
         tries = left.select("kind", "name", family(F.col("kind")).alias("sort"), F.lower(surrogate(F.col("kind"), F.col("name"), F.lit(attempt), key)).alias("new"), surrogate(F.col("kind"), F.col("name"), F.lit(attempt), key).alias("made"))
-        first = tries.groupBy("sort", "new").agg(F.min(F.struct("kind", "name")).alias("first"))
+        first = tries.groupBy("sort", "new").agg(F.min("name").alias("name"))  # a family name of either gender is one entity
         free = first.join(real, ["sort", "new"], "left_anti")
         if taken is not None:
             free = free.join(taken.select(family(F.col("kind")).alias("sort"), F.lower("new").alias("new")), ["sort", "new"], "left_anti")
-        won = free.select("first.kind", "first.name")
-        won = checkpoint(won.join(tries, ["kind", "name"]).select("kind", "name", F.col("made").alias("new")))
+        won = checkpoint(free.join(tries, ["sort", "new", "name"]).select("kind", "name", F.col("made").alias("new")))
         taken = won if taken is None else taken.unionByName(won)
         left = checkpoint(left.join(won, ["kind", "name"], "left_anti"))
         if left.limit(1).count() == 0:
