@@ -8,10 +8,14 @@ from tallyloom.functions import text as tx
 from tallyloom.operators import catalog as op
 from tallyloom.plans.domain import AS_OF, ctes, domain
 
-NOW = F.expr(AS_OF)
 C = F.col
 
 
+def now():
+    """The time of every job, as a column."""
+    return F.expr(AS_OF)
+
+
 def _offers(spark, sf_dir):
     return domain(spark, sf_dir, "offers")
 
@@ -59,7 +63,7 @@ def normalized(offers):
     d = op.drop_placeholder_and_junk(offers)
     d = op.fix_membership(op.fix_discounts(d))
     d = op.fix_redemption_and_scope(op.fix_titles(d))
-    return op.compute_status(op.fix_confidence(d), NOW)
+    return op.compute_status(op.fix_confidence(d), now())
 
 
 def _dates(spark, sf_dir):
@@ -106,11 +110,11 @@ def _links(spark):
 
 
 def _with_status(offers):
-    return op.compute_status(offers, NOW).withColumn("website_domain", F.when(C("pos") % 7 > 0, F.concat(F.lower(F.replace("brand", F.lit("#"), F.lit(""))), F.lit(".example.com"))))
+    return op.compute_status(offers, now()).withColumn("website_domain", F.when(C("pos") % 7 > 0, F.concat(F.lower(F.replace("brand", F.lit("#"), F.lit(""))), F.lit(".example.com"))))
 
 
 def _redemption(spark, sf_dir):
-    d = op.fast_redemption(_with_status(_offers(spark, sf_dir)), NOW, _links(spark))
+    d = op.fast_redemption(_with_status(_offers(spark, sf_dir)), now(), _links(spark))
     return d.select("pos", "fast_redemption.*", "app_deep_link")
 
 
@@ -130,14 +134,14 @@ QUERIES = {
     "fix_redemption_and_scope": lambda s, d: op.fix_redemption_and_scope(_offers(s, d), C("brand") == "Brand#13").select("pos", "redemption_method", "deal_scope"),
     "fix_confidence": lambda s, d: op.fix_confidence(_titled(s, d)).select("pos", "confidence_score", "category"),
     "normalize_dates": _dates,
-    "compute_status": lambda s, d: op.compute_status(_offers(s, d), NOW).select("pos", "status"),
+    "compute_status": lambda s, d: op.compute_status(_offers(s, d), now()).select("pos", "status"),
     "dedup_offers": _dedup,
     "public_and_matching_urls": _url_cases,
     "merge_sources": _merge_sources,
-    "publish_filter": lambda s, d: op.publish_filter(_offers(s, d).withColumn("promotion_title", F.when(C("pos") % 12 == 0, F.concat(F.lit("Año "), C("promotion_title"))).otherwise(C("promotion_title"))), NOW).select("pos", "drop_reason"),
-    "publish_drop_counts": lambda s, d: op.drop_counts(op.publish_filter(_offers(s, d), NOW)),
-    "review_table": lambda s, d: op.review_table(op.compute_status(_offers(s, d), NOW)),
-    "status_counts": lambda s, d: op.status_counts(op.compute_status(_offers(s, d), NOW)),
+    "publish_filter": lambda s, d: op.publish_filter(_offers(s, d).withColumn("promotion_title", F.when(C("pos") % 12 == 0, F.concat(F.lit("Año "), C("promotion_title"))).otherwise(C("promotion_title"))), now()).select("pos", "drop_reason"),
+    "publish_drop_counts": lambda s, d: op.drop_counts(op.publish_filter(_offers(s, d), now())),
+    "review_table": lambda s, d: op.review_table(op.compute_status(_offers(s, d), now())),
+    "status_counts": lambda s, d: op.status_counts(op.compute_status(_offers(s, d), now())),
     "load_catalog": lambda s, d: op.load_catalog(_scored(s, d).withColumn("promotion_title", F.substring("promotion_title", 1, 12))).select("pos", "brand", "promotion_title", "global_quality_score"),
     "missing_keyword_queue": lambda s, d: op.missing_keyword_queue(_keywords(s, d)),
     "apply_keyword_store": _apply_keywords,

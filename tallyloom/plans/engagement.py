@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tallyloom.operators import engagement as op
 from tallyloom.plans.domain import AS_OF, ctes, domain
 
-NOW = F.expr(AS_OF)
+
+def now():
+    """The time of every job, as a column."""
+    return F.expr(AS_OF)
 
 
 def _events(spark, sf_dir):
@@ -15,18 +18,18 @@ def _events(spark, sf_dir):
 
 
 def _exposures(spark, sf_dir):
-    return op.exposures(_events(spark, sf_dir), NOW)
+    return op.exposures(_events(spark, sf_dir), now())
 
 
 def _actions(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return op.attribute_actions(events, op.exposures(events, NOW), NOW)
+    return op.attribute_actions(events, op.exposures(events, now()), now())
 
 
 def _metrics(spark, sf_dir):
     events = _events(spark, sf_dir)
-    shown = op.exposures(events, NOW)
-    return op.deal_source_metrics(shown, op.attribute_actions(events, shown, NOW))
+    shown = op.exposures(events, now())
+    return op.deal_source_metrics(shown, op.attribute_actions(events, shown, now()))
 
 
 def _yield(spark, sf_dir):
@@ -34,7 +37,7 @@ def _yield(spark, sf_dir):
     connections = users.select("user_id", F.when(F.col("user_id") % 3 == 0, "revoked").otherwise("connected").alias("status"))
     jobs = domain(spark, sf_dir, "interactions").select("user_id", F.when(F.col("id") % 4 == 0, "failed").otherwise("completed").alias("status"), F.col("created_at").alias("finished_at"), (F.col("id") % 50).alias("messages_seen"), (F.col("id") % 7).alias("deals_extracted"))
     deals = domain(spark, sf_dir, "interactions").select("user_id", F.when(F.col("id") % 5 == 0, "suppressed").otherwise("active").alias("status"), (F.col("id") % 100).alias("personal_rank_score"), F.col("created_at").alias("received_at"), F.when(F.col("id") % 2 == 0, F.col("created_at") + F.expr("interval 9 days")).alias("expires_at"))
-    return op.ingestion_yield(connections, jobs, deals, NOW)
+    return op.ingestion_yield(connections, jobs, deals, now())
 
 
 QUERIES = {
@@ -42,11 +45,11 @@ QUERIES = {
     "attribute_actions": _actions,
     "deal_source_metrics": _metrics,
     "ingestion_yield": _yield,
-    "dashboard_totals": lambda s, d: op.dashboard_totals(_events(s, d), NOW),
-    "sessions_per_day": lambda s, d: op.sessions_per_day(_events(s, d), NOW),
-    "top_opened_brands": lambda s, d: op.top_opened(_events(s, d), ["brand"], NOW, 10),
-    "top_opened_categories": lambda s, d: op.top_opened(_events(s, d), ["category"], NOW, 8),
-    "top_opened_offers": lambda s, d: op.top_opened(_events(s, d), ["promotion_id", "brand"], NOW, 10),
+    "dashboard_totals": lambda s, d: op.dashboard_totals(_events(s, d), now()),
+    "sessions_per_day": lambda s, d: op.sessions_per_day(_events(s, d), now()),
+    "top_opened_brands": lambda s, d: op.top_opened(_events(s, d), ["brand"], now(), 10),
+    "top_opened_categories": lambda s, d: op.top_opened(_events(s, d), ["category"], now(), 8),
+    "top_opened_offers": lambda s, d: op.top_opened(_events(s, d), ["promotion_id", "brand"], now(), 10),
     "brand_affinity": lambda s, d: op.affinity(_events(s, d), "brand"),
     "brand_affinity_strict": lambda s, d: op.affinity(_events(s, d), "brand", strict_upsert=True),
     "category_affinity": lambda s, d: op.affinity(_events(s, d), "category"),
@@ -55,7 +58,7 @@ QUERIES = {
     "failed_queries": lambda s, d: op.failed_queries(domain(s, d, "searches")),
     "interaction_state": lambda s, d: op.interaction_state(_events(s, d)),
     "last_active": lambda s, d: op.last_active(_events(s, d)),
-    "feedback_export": lambda s, d: op.feedback_export(_events(s, d), NOW).select("id", "user_id", "promotion_id", "event_type", "created_at", "metadata"),
+    "feedback_export": lambda s, d: op.feedback_export(_events(s, d), now()).select("id", "user_id", "promotion_id", "event_type", "created_at", "metadata"),
 }
 
 _TAGGED = f"""

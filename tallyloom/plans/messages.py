@@ -9,10 +9,14 @@ from tallyloom.operators import messages as op
 from tallyloom.plans.domain import AS_OF, ctes, domain
 from tallyloom.plans.ranking import _CAT, catalog
 
-NOW = F.expr(AS_OF)
 C = F.col
 
 
+def now():
+    """The time of every job, as a column."""
+    return F.expr(AS_OF)
+
+
 def _captures(spark, sf_dir):
     return domain(spark, sf_dir, "captures")
 
@@ -34,14 +38,14 @@ def _signals(spark, sf_dir):
 def _candidates(spark, sf_dir):
     c = catalog(spark, sf_dir)
     users = domain(spark, sf_dir, "users")
-    return op.notification_candidates(c, users.where("user_id % 7 = 0").select(C("favorite_brand").alias("brand")), users.where("user_id % 11 = 0").select(C("favorite_brand").alias("brand")), NOW)
+    return op.notification_candidates(c, users.where("user_id % 7 = 0").select(C("favorite_brand").alias("brand")), users.where("user_id % 11 = 0").select(C("favorite_brand").alias("brand")), now())
 
 
 def _push(spark, sf_dir):
     c = catalog(spark, sf_dir).where("global_quality_score >= 50").select(C("promotion_id").alias("promo_id"), "brand", "category", C("global_quality_score").alias("notify_score"))
     events = domain(spark, sf_dir, "interactions")
     sent = events.where("id % 3 = 0").select("user_id", F.concat(F.lit("p"), C("id") % 2000).alias("promo_id"), C("created_at").alias("sent_at"))
-    return op.push_selection(domain(spark, sf_dir, "users"), c, sent, events, domain(spark, sf_dir, "searches"), NOW)
+    return op.push_selection(domain(spark, sf_dir, "users"), c, sent, events, domain(spark, sf_dir, "searches"), now())
 
 
 def _deals(spark, sf_dir):
@@ -75,7 +79,7 @@ QUERIES = {
     "inbox_brand_affinity": lambda s, d: op.inbox_brand_affinity(_emails(s, d).select("brand", C("conv_id").alias("seen_at")), _emails(s, d).where("turn = 0").select("brand", F.lit(2).cast("long").alias("email_count"), C("conv_id").alias("last_seen"))),
     "personal_email_rank": lambda s, d: _ranked(s, d).select("message_id", F.round("personal_rank_score", 3).alias("score"), F.array_join("rank_reasons", ",").alias("reasons")),
     "deal_fingerprint": lambda s, d: op.deal_fingerprint(_deals(s, d)).select("message_id", "fingerprint"),
-    "upsert_user_deals": lambda s, d: op.upsert_user_deals(*(op.deal_fingerprint(_ranked(s, d)).where(w).select("user_id", "fingerprint", (C("personal_rank_score") + x).alias("personal_rank_score"), F.lit("2024-02-01").cast("date").alias("end_date"), (NOW - F.expr("interval 1 day") * (F.length("message_id") * 2)).alias("received_at")) for w, x in (("length(message_id) > 0", 0), ("category = 'food'", 5))), NOW).select("user_id", "fingerprint", F.round("personal_rank_score", 3).alias("score"), "status", "expires_at"),
+    "upsert_user_deals": lambda s, d: op.upsert_user_deals(*(op.deal_fingerprint(_ranked(s, d)).where(w).select("user_id", "fingerprint", (C("personal_rank_score") + x).alias("personal_rank_score"), F.lit("2024-02-01").cast("date").alias("end_date"), (now() - F.expr("interval 1 day") * (F.length("message_id") * 2)).alias("received_at")) for w, x in (("length(message_id) > 0", 0), ("category = 'food'", 5))), now()).select("user_id", "fingerprint", F.round("personal_rank_score", 3).alias("score"), "status", "expires_at"),
     "notification_candidates": lambda s, d: _candidates(s, d).select("pos", "promo_id", F.array_join("signal_groups", ",").alias("groups"), "skip_reason"),
     "notification_skip_counts": lambda s, d: op.skip_counts(_candidates(s, d)),
     "push_selection": _push,

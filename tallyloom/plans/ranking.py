@@ -11,10 +11,14 @@ from tallyloom.operators import ranking as op
 from tallyloom.plans.domain import AS_OF, ctes, domain
 from tallyloom.plans.scoring import SCORED, scored
 
-NOW = F.expr(AS_OF)
 C = F.col
 
 
+def now():
+    """The time of every job, as a column."""
+    return F.expr(AS_OF)
+
+
 def catalog(spark, sf_dir):
     """The scored offers, as a nightly run would have stored them."""
     return stored(scored(spark, sf_dir)).withColumn("promotion_id", F.concat(F.lit("p"), C("pos"))).withColumns({c: F.round(c, 1) for c in ("global_quality_score", "economic_value_score")})
@@ -54,13 +58,13 @@ def _evidence(spark, sf_dir):
         "evidence_status": F.when(k == 0, "unverified").otherwise("supported"),
         "evidence_excerpt": F.when(k == 1, " ").otherwise("text"),
         "evidence_matches": k != 2,
-        "evidence_checked_at": F.when(k == 3, F.lit(None)).when(k == 4, NOW + F.expr("interval 1 hour")).when(k == 5, NOW - F.expr("interval 20 days")).otherwise(NOW - F.expr("interval 2 days")),
+        "evidence_checked_at": F.when(k == 3, F.lit(None)).when(k == 4, now() + F.expr("interval 1 hour")).when(k == 5, now() - F.expr("interval 20 days")).otherwise(now() - F.expr("interval 2 days")),
         "start_date": F.when(k == 6, "2024-02-10"),
     })
 
 
 def _reliability(spark, sf_dir):
-    return op.assess_reliability(_evidence(spark, sf_dir), NOW)
+    return op.assess_reliability(_evidence(spark, sf_dir), now())
 
 
 def _memberships(spark, sf_dir):
@@ -90,7 +94,7 @@ def _features(spark, sf_dir):
     users = labels.select("user_id").distinct()
     offers = _offer_columns(spark, sf_dir).where("promotion_id in ('p0', 'p1', 'p2', 'p3', 'p4', 'p7', 'p8', 'p12')")
     pairs = users.join(F.broadcast(offers.select("promotion_id")))
-    return learn.preference_features(pairs, labels, _offer_columns(spark, sf_dir), NOW)
+    return learn.preference_features(pairs, labels, _offer_columns(spark, sf_dir), now())
 
 
 def _probabilities(spark, sf_dir):
@@ -122,7 +126,7 @@ QUERIES = {
     "has_membership": _memberships,
     "expiring_soon": lambda s, d: op.expiring_soon(catalog(s, d), 20).select("pos", "expiration_urgency_score", "global_quality_score"),
     "best_value": lambda s, d: op.best_value(catalog(s, d), 20).select("pos", "economic_value_score"),
-    "feedback_metadata": lambda s, d: op.feedback_metadata(catalog(s, d), NOW),
+    "feedback_metadata": lambda s, d: op.feedback_metadata(catalog(s, d), now()),
     "preference_labels": lambda s, d: _labels(s, d).select("user_id", "promotion_id", "label", "sequence"),
     "training_readiness": lambda s, d: learn.training_readiness(_labels(s, d)),
     "temporal_split": lambda s, d: learn.temporal_split(_labels(s, d)).select("user_id", "promotion_id", "part"),

@@ -9,10 +9,14 @@ from tallyloom.operators.catalog import fast_redemption
 from tallyloom.plans.catalog import _STATUS, _with_status
 from tallyloom.plans.domain import AS_OF, ctes, domain
 
-NOW = F.expr(AS_OF)
 C = F.col
 
 
+def now():
+    """The time of every job, as a column."""
+    return F.expr(AS_OF)
+
+
 def brand_values(spark):
     return spark.createDataFrame([("brand13", 8.0, 0), ("brand1x", 105.0, 1), ("brand12x", 40.0, 2), ("brand2", 12.5, 3)], "slug string, value double, ord int")
 
@@ -23,11 +27,11 @@ def cautious_values(spark):
 
 def offers(spark, sf_dir):
     d = _with_status(domain(spark, sf_dir, "offers"))
-    return fast_redemption(d, NOW).withColumn("checked_at", F.when(C("pos") % 5 > 0, C("last_confirmed").cast("timestamp") + F.expr("interval 7 hours")))
+    return fast_redemption(d, now()).withColumn("checked_at", F.when(C("pos") % 5 > 0, C("last_confirmed").cast("timestamp") + F.expr("interval 7 hours")))
 
 
 def scored(spark, sf_dir):
-    return op.score_offers(offers(spark, sf_dir), brand_values(spark), cautious_values(spark), NOW)
+    return op.score_offers(offers(spark, sf_dir), brand_values(spark), cautious_values(spark), now())
 
 
 QUERIES = {
