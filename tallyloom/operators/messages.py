@@ -162,11 +162,17 @@ def push_selection(users: DataFrame, candidates: DataFrame, sent: DataFrame, eve
         words = queries.join(small(found.select(c).distinct()), either(c)).select("q", c)
         hits[f"searched_{c}"] = asked.join(words, "q").select("user_id", c).distinct().withColumn(f"searched_{c}", F.lit(True))
         hits[f"clicked_{c}"] = acts.where(C(c).isNotNull()).select("user_id", F.lower(c).alias(c)).distinct().withColumn(f"clicked_{c}", F.lit(True))
-    d = users.select("user_id", F.lower("favorite_brand").alias("fb"), F.lower("favorite_category").alias("fc"))
-    d = d.join(small(candidates.select("promo_id", F.lower("brand").alias("brand"), F.lower("category").alias("category"), "notify_score")))
-    d = d.join(sent.where(week("sent_at")).select("user_id", "promo_id").distinct(), ["user_id", "promo_id"], "left_anti")
+    # Users meet pairs of brand and category, not candidates: of each pair only as many of its best candidates as the user
+    # has been sent of it, and one more, can matter.
+    place = F.row_number().over(Window.partitionBy("brand", "category").orderBy(F.desc("notify_score"), F.desc("promo_id")))
+    ranked = candidates.select("promo_id", F.lower("brand").alias("brand"), F.lower("category").alias("category"), "notify_score").withColumn("_place", place)
+    lately = sent.where(week("sent_at")).select("user_id", "promo_id").distinct()
+    had = lately.join(ranked, "promo_id").groupBy("user_id", "brand", "category").agg(F.count("*").alias("_had"))
+    d = users.select("user_id", F.lower("favorite_brand").alias("fb"), F.lower("favorite_category").alias("fc")).join(small(found))
     for name, h in hits.items():
         d = d.join(h, ["user_id", name.split("_")[1]], "left")
+    d = d.join(had, ["user_id", "brand", "category"], "left").join(small(ranked), ["brand", "category"]).where(C("_place") <= F.coalesce("_had", F.lit(0)) + 1)
+    d = d.join(lately, ["user_id", "promo_id"], "left_anti")
     flag = {"searched_brand": "searched_brand", "clicked_brand": "clicked_brand", "fav_brand": C("brand") == C("fb"), "searched_cat": "searched_category", "clicked_cat": "clicked_category", "fav_cat": C("category") == C("fc")}
     flags = {k: F.coalesce(C(v) if isinstance(v, str) else v, F.lit(False)) for k, v in flag.items()}
     score = sum((F.when(flags[k], BONUS[k]).otherwise(0.0) for k in flags), C("notify_score"))
