@@ -10,9 +10,11 @@ place inside its region, so weights need not be whole numbers. Only darts of low
 t (ln t + 3) in all for a document of any length. Each dart falls on one of t coordinates; the earliest there is kept.
 
 Join: equal bags are merged first. Band values name buckets. In large buckets members are compared to one centre a
-round, while that joins anything; then all members of a bucket that are still in different components are compared, with
-bounds on their weights and a sketch of the signature inside the join. Candidates are verified on their whole texts.
-So a bucket of n near copies costs about n comparisons, and no link between different components of its members is lost.
+round. Then all pairs of a bucket whose members are still in different components are compared: those in small buckets
+one by one, with bounds on their weights and a sketch of the signature inside the join; members of a large component and
+those who share a bucket with it, and the rest of large buckets, in tiles of bounded size that pass on connecting links
+and not pairs. All comparisons are exact, on whole texts or on all their features. So no link between different
+components of a bucket is lost, and no step makes a row for each pair of a large group.
 
 Defined cases: null, empty and wordless texts link with nothing; rows with a null doc_id link with nothing and have a
 null class; rows that share a doc_id are one document if their texts are equal, and else are put in one class.
@@ -24,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,13 @@ BANDS, ROWS = 30, 5
 SHINGLE, THRESHOLD = 5, 0.8
 #: Buckets of more members than this are first compared to centres.
 SMALL_BUCKET = 6
-CENTRE_ROUNDS = 2
+CENTRE_ROUNDS = 3
+#: A component of so many members is compared with others as a whole.
+LARGE_COMPONENT = 64
+#: A tile's documents, and the weight they have together.
+TILE_ROWS, TILE_WEIGHT = 1024, 1 << 20
+#: Buckets that hang together are compared as one group of up to so many tiles.
+WHOLE_GROUP_TILES = 12
 #: A semi-join's keys are broadcast up to this many longs (8 MB), and shuffled beyond.
 BROADCAST_KEYS = 1 << 20
 _ID_BITS = np.uint64(48)
@@ -210,16 +219,159 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         centres = large.groupBy("key").agg(F.min(turn).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         pairs = large.join(centres, "key").where((F.col("component") != F.col("c.component")) & (F.col("weight") >= w * F.col("c.weight")) & (F.col("c.weight") >= w * F.col("weight")))
         compared(pairs.groupBy("id").agg(F.min("c.id").alias("b")).select(F.col("id").alias("a"), "b"))
-    mixed = labelled(members.drop("n", "centre"))
-    span = mixed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mixed = checkpoint(mixed.join(span, "key"))
-    x, y = mixed.alias("x"), mixed.alias("y")
+
+    # Members of large components meet, in tiles, all others that share a bucket with their component.
+    mixed = checkpoint(labelled(members.drop("n", "centre")))
+    sizes = mixed.select("id", "component", "weight").distinct().groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("sum")).where(F.col("n") >= LARGE_COMPONENT)
+    sizes = checkpoint(sizes)
+    features = checkpoint(features_of(semi(texts, members.where(F.col("n") > SMALL_BUCKET), "id"), size))
+    if sizes.limit(1).count():
+        homes = sizes.select(F.col("component").alias("home"))
+        in_bucket = mixed.join(homes, mixed["component"] == homes["home"]).select("key", "home").distinct()
+        visits = mixed.join(in_bucket, "key").where(F.col("component") != F.col("home")).select("id", "component", "weight", "home").distinct()
+        visits = visits.join(homes.select(F.col("home").alias("component"), F.lit(True).alias("also")), "component", "left").where(F.col("also").isNull() | (F.col("component") > F.col("home")))
+        residents = mixed.select("id", "component", "weight").distinct().join(homes, F.col("component") == F.col("home")).select("id", "weight", "home")
+        found = checkpoint(_met(residents, visits.select("id", "weight", "home"), features, threshold))
+        edges = edges.union(found)
+        labels = checkpoint(components(edges))
+
+    # The other pairs of a bucket: one by one where they are few, in tiles where they are not.
+    rest = mixed.join(sizes.select("component"), "component", "left_anti").drop("component")
+    rest = labelled(rest)
+    span = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("weight").alias("sum")).where("lo <> hi").select("key", "n", "sum")
+    rest = checkpoint(rest.join(span, "key"))
+    gathered, whole = _gathered(rest.where(F.col("n") > SMALL_BUCKET).select("key", "id", "component", "weight", "n", "sum"))
+    found = checkpoint(_crowded(gathered, features, threshold))
+    edges = edges.union(found)
+    few = checkpoint(rest.where(F.col("n") <= SMALL_BUCKET).join(whole, "id", "left"))
+    x, y = few.alias("x"), few.alias("y")
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(3)), F.lit(0))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (F.col("x.weight") >= w * F.col("y.weight")) & (F.col("y.weight") >= w * F.col("x.weight")) & (differ <= most_different(BANDS * ROWS, threshold))
+    near = near & ~F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))  # those of one group have been compared
     compared(x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     return of_rep, labels
 
 
+# Tiles: many documents against many, without a row for each pair ------------------------------------------------------
+
+
+def features_of(texts: DataFrame, size: int) -> DataFrame:
+    """(id, features): a shingle that occurs n times gives n features, so that what sets share is the weight that bags share."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES // 2):
+                of, item, count, _ = bags(batch.column("text"), size)
+                of, item = np.repeat(of, count), np.repeat(item, count)
+                turn = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                value = mix(item ^ (turn.astype(np.uint64) << _ID_BITS))
+                ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64)))], ["id", "features"])
+
+    return texts.mapInArrow(run, "id long, features array<long>")
+
+
+def shared_weight(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """How many features each pair of sets has in common, by products of 0/1 matrices over a few thousand features a time."""
+    sides = []
+    for lists in (left, right):
+        values = np.array(lists.flatten()).view(np.uint64)
+        sides.append((np.repeat(np.arange(len(lists)), np.array(pa.compute.list_value_length(lists))), values))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(common):
+        return out
+    places = []
+    for row, value in sides:
+        col = np.searchsorted(common, value)
+        col[col == len(common)] = 0
+        hit = common[col] == value
+        row, col = row[hit], col[hit]
+        order = np.argsort(col, kind="stable")
+        places.append((row[order], col[order]))
+    for at in range(0, len(common), 4096):
+        parts = []
+        for (row, col), n in zip(places, out.shape, strict=True):
+            i, j = np.searchsorted(col, (at, at + 4096))
+            part = np.zeros((n, min(4096, len(common) - at)), np.float32)
+            part[row[i:j], col[i:j] - at] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _alike(left: pa.Table, right: pa.Table, threshold: float) -> np.ndarray:
+    sizes = [np.array(pa.compute.list_value_length(t.column("features").combine_chunks())) for t in (left, right)]
+    both = shared_weight(left.column("features").combine_chunks(), right.column("features").combine_chunks())
+    return both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6
+
+
+def _tiles(n, weight):
+    """How many tiles hold rows of that many documents and that weight, so that none is large."""
+    return F.greatest(F.ceil(n / F.lit(TILE_ROWS)), F.ceil(weight / F.lit(TILE_WEIGHT)), F.lit(1)).cast("int")
+
+
+def _met(residents: DataFrame, visits: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): for each visit to a home, a linked resident from each tile that has one."""
+    tiles = lambda df, name: df.groupBy("home").agg(_tiles(F.count("*"), F.sum("weight")).alias(name))
+    counts = tiles(residents, "i_n").join(tiles(visits, "j_n"), "home")
+    tile = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = residents.join(counts, "home").select("home", "id", F.lit(0).alias("side"), tile("i_n").alias("i"), each("j_n").alias("j"))
+    rows = rows.unionByName(visits.join(counts, "home").select("home", "id", F.lit(1).alias("side"), each("i_n").alias("i"), tile("j_n").alias("j")))
+
+    def cell(t: pa.Table) -> pa.Table:
+        here, there = (t.filter(pa.compute.equal(t.column("side"), s)) for s in (0, 1))
+        alike = _alike(here, there, threshold)
+        some = np.flatnonzero(alike.any(axis=0)) if len(alike) else np.zeros(0, np.int64)
+        first = alike[:, some].argmax(axis=0) if len(some) else some
+        return pa.table({"a": there.column("id").take(pa.array(some)), "b": here.column("id").take(pa.array(first))})
+
+    return rows.join(features, "id").groupBy("home", "i", "j").applyInArrow(cell, "a long, b long")
+
+
+def _gathered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of crowded buckets under the group of buckets that hang together, instead of under each bucket, where that
+    group is small enough to be compared as a whole in a few tiles; a document then goes there once and not once a bucket.
+    Also (id, hub) of the members of such groups."""
+    hub = rows.groupBy("key").agg(F.min("id").alias("b"))
+    groups = components(rows.join(hub, "key").select(F.col("id").alias("a"), "b"))
+    placed = checkpoint(rows.join(groups.select("node", F.col("component").alias("hub")), F.col("id") == F.col("node")).drop("node"))
+    once = placed.select("hub", "id", "component", "weight").distinct()
+    sizes = once.groupBy("hub").agg(F.count("*").alias("n"), F.sum("weight").alias("sum")).where(_tiles(F.col("n"), F.col("sum")) <= WHOLE_GROUP_TILES)
+    whole = once.join(sizes, "hub").select(F.col("hub").alias("key"), "id", "component", "weight", "n", "sum", F.lit(0).alias("sort"))
+    apart = placed.join(sizes.select("hub"), "hub", "left_anti").select("key", "id", "component", "weight", "n", "sum", F.lit(1).alias("sort"))
+    return whole.unionByName(apart), once.join(sizes.select("hub"), "hub").select("id", "hub").distinct()
+
+
+def _crowded(rows: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect what each bucket's members connect, at most one for each member of a pair of tiles."""
+    rows = rows.withColumn("tiles", _tiles(F.col("n"), F.col("sum"))).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("sort", "key", "id", "component", "tile", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
+
+    def cell(t: pa.Table) -> pa.Table:
+        tile, i, j = np.array(t.column("tile")), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = t.filter(pa.array(tile == i)), t.filter(pa.array(tile == j))
+        a, b = np.array(left.column("id")), np.array(right.column("id"))
+        out_a, out_b = [], []
+        if len(a) and len(b):
+            _, label = np.unique(np.concatenate([np.array(left.column("component")), np.array(right.column("component"))]), return_inverse=True)
+            la, lb = label[: len(a)], label[len(a) :]
+            if len(np.unique(label)) > 1:
+                u, v = np.nonzero(_alike(left, right, threshold) & (la[:, None] != lb[None, :]))
+                group = np.arange(label.max() + 1)
+                for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                    p, q = group[la[x]], group[lb[y]]
+                    if p != q:
+                        group[group == q] = p
+                        out_a.append(a[x])
+                        out_b.append(b[y])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return rows.join(features, "id").groupBy("sort", "key", "i", "j").applyInArrow(cell, "a long, b long")
+
+
 def most_different(t: int, threshold: float) -> int:
     """Bits of t one-bit coordinates in which a pair at the threshold differs at most, but for one pair in a million."""
     p = (1 - threshold) / 2
