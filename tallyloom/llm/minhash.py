@@ -12,8 +12,8 @@ t (ln t + 3) in all for a document of any length. Each dart falls on one of t co
 Join: equal bags are merged first. Band values name buckets. In large buckets members are compared to one centre a
 round. Then all pairs of a bucket whose members are still in different components are compared: those in small buckets
 one by one, with bounds on their weights and a sketch of the signature inside the join; members of a large component and
-those who share a bucket with it, and the rest of large buckets, in tiles of bounded size that pass on connecting links
-and not pairs. All comparisons are exact, on whole texts or on all their features. So no link between different
+those who share a large bucket with it, and the rest of large buckets, in tiles of bounded size that pass on connecting
+links and not pairs. All comparisons are exact, on whole texts or on all their features. So no link between different
 components of a bucket is lost, and no step makes a row for each pair of a large group.
 
 Defined cases: null, empty and wordless texts link with nothing; rows with a null doc_id link with nothing and have a
@@ -221,7 +221,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         compared(pairs.groupBy("id").agg(F.min("c.id").alias("b")).select(F.col("id").alias("a"), "b"))
 
     # Members of large components meet, in tiles, all others that share a bucket with their component.
-    mixed = checkpoint(labelled(members.drop("n", "centre")))
+    mixed = checkpoint(labelled(members.withColumn("crowded", F.col("n") > SMALL_BUCKET).drop("n", "centre")))
     sizes = mixed.select("id", "component", "weight").distinct().groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("sum")).where(F.col("n") >= LARGE_COMPONENT)
     sizes = checkpoint(sizes)
     features = checkpoint(features_of(semi(texts, members.where(F.col("n") > SMALL_BUCKET), "id"), size))
@@ -235,8 +235,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         edges = edges.union(found)
         labels = checkpoint(components(edges))
 
-    # The other pairs of a bucket: one by one where they are few, in tiles where they are not.
-    rest = mixed.join(sizes.select("component"), "component", "left_anti").drop("component")
+    # The other pairs of a bucket: one by one where they are few, in tiles where they are not. Small buckets keep their
+    # members of large components, as who shares no other bucket with those has no features and has not met them.
+    rest = mixed.join(sizes.select("component", F.lit(True).alias("met")), "component", "left")
+    rest = rest.where(F.col("met").isNull() | ~F.col("crowded")).drop("component", "met", "crowded")
     rest = labelled(rest)
     span = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("weight").alias("sum")).where("lo <> hi").select("key", "n", "sum")
     rest = checkpoint(rest.join(span, "key"))

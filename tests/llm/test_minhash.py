@@ -83,6 +83,16 @@ def test_tiles_alone_match_brute_force(spark, monkeypatch, whole):
     check(spark, corpus())
 
 
+@pytest.mark.parametrize("seed", [15, 49])
+def test_small_bucket_with_one_member_of_a_large_component(spark, seed):
+    """The last document shares buckets with no other but the edge of a group of 71, and those buckets are small."""
+    base = [f"w{k}" for k in range(300)]
+    edge = [*base, *(f"t{seed}x{k}" for k in range(70))]
+    rows = list(enumerate([*(" ".join([*base, f"v{k}"]) for k in range(70)), " ".join(edge), " ".join(edge[69:])]))
+    assert set(brute(rows).values()) == {0}
+    check(spark, rows)
+
+
 def test_long_text_repeats_and_shared_ids(spark):
     long = " ".join(f"t{k % 5000}" for k in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "alpha beta gamma delta epsilon zeta"), (3, "alpha beta gamma delta epsilon zeta"), (4, "same words here again and again"), (5, "one text of five words"), (5, "quite another text of six words")]
