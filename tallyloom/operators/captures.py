@@ -11,6 +11,8 @@ BAD_TITLES = [("access denied", "access_denied"), ("just a moment", "bot_check")
 BAD_TEXTS = [("verify you are human", "bot_check"), ("enable javascript", "needs_javascript"), ("access denied", "access_denied"), ("unusual traffic", "bot_check")]
 BAD_URLS = [("/404", "not_found"), ("captcha", "bot_check"), ("/error", "error_page")]
 COUNTED = ["sale", "deal", "offer", "discount", "promo", "coupon", "reward", "free", "save", "clearance", "member", "off"]
+CANDIDATE_WORDS = ["reward", "offer", "deal", "promo", "discount", "valid", "expires", "birthday", "membership", "app", "sale", "off", "clearance", "savings", "coupon", "free", "redeem", "code"]
+BLOCK_SIGNALS = ["access denied", "forbidden", "cloudflare", "captcha", "are you human", "just a moment", "checking your browser", "enable javascript", "pardon our interruption", "security check", "robot or human", "ddos-guard", "ray id"]
 
 
 def detect_bad_page(pages: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def raw_text_summary(captures: DataFrame) -> DataFrame:
 def text_candidates(captures: DataFrame) -> DataFrame:
     """The latest text of each brand with its whole-word hits; usable from 300 characters."""
     latest = keep_latest_captures(captures, 1)
-    hits = sum((F.regexp_count(F.lower("text"), F.lit(rf"\b{w}\b")) for w in COUNTED), F.lit(0))
+    hits = sum((F.regexp_count(F.lower("text"), F.lit(rf"\b{w}\b")) for w in CANDIDATE_WORDS), F.lit(0))
     return latest.select("doc_id", "brand", F.length("text").cast("long").alias("length"), hits.cast("long").alias("hits"), F.when(C("text").isNull(), "file_error").when(F.length("text") >= 300, "usable").otherwise("too_short").alias("status"))
 
 
@@ -91,13 +93,30 @@ def pipeline_log_summary(lines: DataFrame) -> DataFrame:
 
 
 def brand_health(sources: DataFrame, captures: DataFrame, offers: DataFrame) -> DataFrame:
-    """Each source's status: never captured, blocked, too short, no offers, weak or healthy."""
+    """Each source's status: never captured, too short, no offers, weak or healthy; brand_status has the whole list."""
     text = captures.groupBy("brand").agg(F.max(F.struct("scraped_at", "doc_id", F.length("text").alias("length"))).alias("c"))
     n = offers.groupBy("brand").agg(F.count("*").alias("offers"), F.count_if(C("confidence_score") >= 0.65).alias("confident"))
     d = sources.join(text, "brand", "left").join(n, "brand", "left").select("brand", C("c.length").alias("length"), F.coalesce("offers", F.lit(0)).alias("offers"), F.coalesce("confident", F.lit(0)).alias("confident"))
     return d.withColumn("health", F.when(C("length").isNull(), "never_captured").when(C("length") < 400, "too_short").when(C("offers") == 0, "no_offers").when(C("confident") == 0, "weak").otherwise("healthy"))
 
 
+def brand_status(sources: DataFrame, captures: DataFrame, offers: DataFrame, failures: DataFrame) -> DataFrame:
+    """Each source's status of eight, by its latest text: parse_failed (brands in failures), homepage_only, never_scraped,
+    too_short, blocked_or_challenge, success_synthetic, success_llm, zero_deals_real. sources: brand and its urls."""
+    text = F.coalesce("text", F.lit(""))
+    blocked = F.lower(text).rlike("|".join(BLOCK_SIGNALS))
+    latest = captures.groupBy("brand").agg(F.max(F.struct("scraped_at", "doc_id", F.length(text).cast("long").alias("n"), blocked.alias("blocked"))).alias("c"))
+    made = F.coalesce("synthesized", F.lit(False))
+    n = offers.groupBy("brand").agg(F.count_if(~made).alias("llm"), F.count_if(made).alias("synthetic"))
+    failed = failures.select("brand", F.lit(True).alias("failed")).distinct()
+    d = sources.join(latest, "brand", "left").join(n, "brand", "left").join(failed, "brand", "left")
+    home = F.forall("urls", lambda u: u.rlike(r"^[^?#]*://[^/?#]*/*(\?)?(#.*)?$"))
+    status = F.when(C("failed"), "parse_failed").when(C("c").isNull() & home, "homepage_only").when(C("c").isNull(), "never_scraped").when(C("c.n") < 400, "too_short").when(C("c.blocked"), "blocked_or_challenge").when(C("llm") > 0, "success_llm").when(C("synthetic") > 0, "success_synthetic").otherwise("zero_deals_real")
+    deals = lambda c: F.when(C("failed") | C("c").isNull(), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    d = d.withColumn("failed", F.coalesce("failed", F.lit(False)))
+    return d.select("brand", status.alias("status"), F.coalesce("c.n", F.lit(0)).alias("raw_chars"), deals("llm").alias("llm_deals"), deals("synthetic").alias("synth_deals"))
+
+
 def health_shares(health: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return health.groupBy("health").agg(F.count("*").alias("n")).withColumn("share_pct", F.round(100.0 * C("n") / total, 1))

@@ -31,6 +31,12 @@ def _pages(spark, sf_dir):
     return d.select("doc_id", F.when(k == 0, "Access Denied").when(k == 1, "404 - oops").otherwise(C("brand")).alias("title"), F.when(k == 2, F.concat(F.lit("Please verify you are HUMAN. "), C("text"))).otherwise(C("text")).alias("text"), F.when(k == 3, "https://x.example.com/captcha?a=1").otherwise("https://x.example.com/").alias("final_url"))
 
 
+def _sources(spark, sf_dir):
+    """The brands that have captures, and four that have none, of which two name a home page only."""
+    new = spark.range(4).select(F.concat(F.lit("new"), "id").alias("brand"), F.array(F.concat(F.lit("https://n.example.com"), F.when(C("id") % 2 == 0, "/").otherwise("/deals"))).alias("urls"))
+    return _captures(spark, sf_dir).select("brand").distinct().withColumn("urls", F.array(F.lit("https://x.example.com/"))).unionByName(new)
+
+
 def _signals(spark, sf_dir):
     return op.classify_visibility(op.email_signals(_emails(spark, sf_dir)))
 
@@ -72,6 +78,7 @@ QUERIES = {
     "text_candidates": lambda s, d: cap.text_candidates(_captures(s, d)),
     "select_parse_candidates": lambda s, d: cap.select_parse_candidates(cap.text_candidates(_captures(s, d)), _captures(s, d).where("doc_id % 2 = 0").select("brand", "doc_id"), _captures(s, d).where("doc_id % 100 = 0").select("brand").distinct(), 10).select("doc_id", "brand", "hits", "length"),
     "brand_health": lambda s, d: cap.brand_health(_captures(s, d).select("brand").distinct(), _captures(s, d).where("n_chars < 600"), domain(s, d, "offers").select(F.concat(F.lit("src"), C("pos") % 15).alias("brand"), "confidence_score")),
+    "brand_status": lambda s, d: cap.brand_status(_sources(s, d), _captures(s, d), domain(s, d, "offers").select(F.concat(F.lit("src"), C("pos") % 15).alias("brand"), (C("pos") % 2 == 0).alias("synthesized")), _sources(s, d).where("brand in ('src3', 'new3')")),
     "email_signals": lambda s, d: op.email_signals(_emails(s, d)).select("message_id", C("keyword_hits")["save"].alias("n_save"), C("keyword_hits")["offer"].alias("n_offer"), F.array_join("promo_codes", ",").alias("codes"), F.array_join("discount_phrases", ",").alias("discounts"), F.array_join("expiry_phrases", ",").alias("expiries"), "has_signal"),
     "classify_visibility": lambda s, d: op.classify_visibility(_emails(s, d).withColumn("body", F.when(C("conv_id") % 5 == 0, F.concat(F.lit("Your reward is here. "), C("body"))).when(C("conv_id") % 5 == 1, F.concat(F.lit("A plus member price. "), C("body"))).otherwise(C("body")))).select("message_id", "visibility"),
     "email_ingest_status": lambda s, d: op.email_ingest_status(_emails(s, d).withColumn("sender", C("brand")), _emails(s, d).where("conv_id % 3 = 0").select(F.sha2(F.concat_ws("\n", "brand", "subject", "body"), 256).alias("content_hash"))).select("message_id", "status"),
@@ -122,6 +129,12 @@ ORACLE_SQL = {
     "brand_health": f"""{ctes('captures', 'offers')}, t as (select brand, arg_max(length(text), (scraped_at, doc_id)) as length from captures where n_chars < 600 group by 1), n as (select concat('src', pos % 15) as brand, count(*) as offers, count(*) filter (where confidence_score >= 0.65) as confident from offers group by 1)
 select brand, length, coalesce(offers, 0) as offers, coalesce(confident, 0) as confident, case when length is null then 'never_captured' when length < 400 then 'too_short' when coalesce(offers, 0) = 0 then 'no_offers' when confident = 0 then 'weak' else 'healthy' end as health
 from (select distinct brand from captures) left join t using (brand) left join n using (brand)""",
+    "brand_status": f"""{ctes('captures', 'offers')}, t as (select brand, arg_max({{'n': length(text), 'blocked': {" or ".join(f"contains(lower(text), '{w}')" for w in cap.BLOCK_SIGNALS)}}}, (scraped_at, doc_id)) as c from captures group by 1),
+n as (select concat('src', pos % 15) as brand, count(*) filter (where pos % 2 <> 0) as llm, count(*) filter (where pos % 2 = 0) as synthetic from offers group by 1), f as (select unnest(['src3', 'new3']) as brand),
+src as (select distinct brand, false as home from captures union all select concat('new', range), range % 2 = 0 from range(4)),
+a as (select *, exists (select 1 from f where f.brand = src.brand) as failed from src left join t using (brand) left join n using (brand))
+select brand, case when failed then 'parse_failed' when c is null then if(home, 'homepage_only', 'never_scraped') when c.n < 400 then 'too_short' when c.blocked then 'blocked_or_challenge' when llm > 0 then 'success_llm' when synthetic > 0 then 'success_synthetic' else 'zero_deals_real' end as status,
+  coalesce(c.n, 0) as raw_chars, case when failed or c is null then 0 else coalesce(llm, 0) end as llm_deals, case when failed or c is null then 0 else coalesce(synthetic, 0) end as synth_deals from a""",
     "email_signals": f"""{ctes('emails')}, s as (select *, concat(subject, chr(10), body) as txt from emails),
 x as (select message_id, txt, list_transform(regexp_extract_all(txt, '{op.CODE}', 1), lambda v: upper(v)) as c, list_concat(regexp_extract_all(txt, '{op.PERCENT}'), regexp_extract_all(txt, '{op.MONEY}')) as d, regexp_extract_all(txt, '{op.EXPIRY}', 1) as e from s)
 select message_id, {_COUNT.format(c='txt', w='save', n=4)} as n_save, {_COUNT.format(c='txt', w='offer', n=5)} as n_offer, array_to_string({_ordered('c')}, ',') as codes, array_to_string({_ordered('d')}, ',') as discounts, array_to_string({_ordered('e')}, ',') as expiries,
