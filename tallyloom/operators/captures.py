@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.joins import small, stored
+
 C = F.col
 # What tells a page that is no content, and the words that are counted.
 BAD_TITLES = [("access denied", "access_denied"), ("just a moment", "bot_check"), ("page not found", "not_found"), ("404", "not_found"), ("attention required", "bot_check")]
@@ -39,12 +44,45 @@ def keep_latest_captures(captures: DataFrame, keep: int) -> DataFrame:
 
 
 def combine_sections(pages: DataFrame) -> DataFrame:
-    """One text per brand: each page under its URL, in the order of pos; the first title that is not null."""
-    row = F.struct("pos", F.concat(F.lit("=== "), C("url"), F.lit(" ===\n"), C("text")).alias("section"), "title")
-    rows = F.array_sort(F.collect_list(row))
-    d = pages.groupBy("brand").agg(rows.alias("rows"))
-    titles = F.filter(F.transform("rows", lambda r: r["title"]), lambda t: t.isNotNull())
-    return d.select("brand", F.array_join(F.transform("rows", lambda r: r["section"]), "\n\n").alias("text"), F.get(titles, F.lit(0)).alias("title"))
+    """(brand, place, section): each page under its URL, numbered from 1 in the order of pos within its brand. Places are
+    counted in ranges of (brand, pos), so that no task or value holds all texts of a brand."""
+    section = F.concat(F.lit("=== "), C("url"), F.lit(" ===\n"), C("text")).alias("section")
+    rows = pages.select("brand", "pos", section).where("section is not null")
+    rows = rows.repartitionByRange("brand", "pos").sortWithinPartitions("brand", "pos", "section")
+    rows = stored(rows.select("brand", "section", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    counts = rows.groupBy("brand", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("brand").orderBy("part")) - C("n")
+    counts = counts.select(C("brand").alias("of"), C("part").alias("in"), (before - C("first") + 1).alias("shift"))
+    ranked = rows.join(small(counts), C("brand").eqNullSafe(C("of")) & (C("part") == C("in")))
+    return ranked.select("brand", (C("at") + C("shift")).alias("place"), "section")
+
+
+def first_titles(pages: DataFrame) -> DataFrame:
+    """(brand, title): the first title of each brand that is not null."""
+    return pages.groupBy("brand").agg(F.expr("min_by(title, struct(pos, url, text)) filter (where title is not null)").alias("title"))
+
+
+def section_hashes(sections: DataFrame) -> DataFrame:
+    """(brand, text_sha): SHA-256 of each brand's sections with blank lines between, read one after the other."""
+
+    def run(batches):
+        brand, digest = None, None
+        for batch in batches:
+            shas, brands = [], []
+            for at, section in zip(batch.column("brand").to_pylist(), batch.column("section"), strict=True):
+                if digest is None or at != brand:
+                    if digest is not None:
+                        brands.append(brand)
+                        shas.append(digest.hexdigest())
+                    brand, digest = at, hashlib.sha256()
+                else:
+                    digest.update(b"\n\n")
+                digest.update(section.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(brands, pa.string()), pa.array(shas, pa.string())], ["brand", "text_sha"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([brand], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["brand", "text_sha"])
+
+    return sections.repartition("brand").sortWithinPartitions("brand", "place").select("brand", "section").mapInArrow(run, "brand string, text_sha string")
 
 
 def raw_text_summary(captures: DataFrame) -> DataFrame:

@@ -37,6 +37,12 @@ def _sources(spark, sf_dir):
     return _captures(spark, sf_dir).select("brand").distinct().withColumn("urls", F.array(F.lit("https://x.example.com/"))).unionByName(new)
 
 
+def _combined(spark, sf_dir):
+    pages = _captures(spark, sf_dir).select("brand", C("doc_id").alias("pos"), F.concat(F.lit("u"), C("doc_id")).alias("url"), "text", F.when(C("doc_id") % 3 == 0, C("lang")).alias("title"))
+    hashes = cap.section_hashes(cap.combine_sections(pages)).select(C("brand").alias("of"), "text_sha")
+    return cap.first_titles(pages).join(hashes, C("brand").eqNullSafe(C("of")), "left").select("brand", F.coalesce("text_sha", F.sha2(F.lit(""), 256)).alias("text_sha"), "title")
+
+
 def _signals(spark, sf_dir):
     return op.classify_visibility(op.email_signals(_emails(spark, sf_dir)))
 
@@ -73,7 +79,7 @@ QUERIES = {
     "detect_bad_page": lambda s, d: cap.detect_bad_page(_pages(s, d)).select("doc_id", "bad_reason"),
     "capture_status": lambda s, d: cap.capture_status(_captures(s, d), _captures(s, d).where("doc_id % 4 = 0").select("brand", F.sha2("text", 256).alias("content_hash"))).select("doc_id", "content_hash", "status"),
     "keep_latest_captures": lambda s, d: cap.keep_latest_captures(_captures(s, d), 3).select("doc_id", "brand", "place"),
-    "combine_sections": lambda s, d: cap.combine_sections(_captures(s, d).select("brand", C("doc_id").alias("pos"), F.concat(F.lit("u"), C("doc_id")).alias("url"), "text", F.when(C("doc_id") % 3 == 0, C("lang")).alias("title"))).select("brand", F.sha2("text", 256).alias("text_sha"), "title"),
+    "combine_sections": _combined,
     "raw_text_summary": lambda s, d: cap.raw_text_summary(_captures(s, d)),
     "text_candidates": lambda s, d: cap.text_candidates(_captures(s, d)),
     "select_parse_candidates": lambda s, d: cap.select_parse_candidates(cap.text_candidates(_captures(s, d)), _captures(s, d).where("doc_id % 2 = 0").select("brand", "doc_id"), _captures(s, d).where("doc_id % 100 = 0").select("brand").distinct(), 10).select("doc_id", "brand", "hits", "length"),

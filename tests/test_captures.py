@@ -1,5 +1,7 @@
 """Examples of captures that the test tables do not hold."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import captures as cap
@@ -24,3 +26,21 @@ def test_brand_status_has_eight(spark):
         "short": ("too_short", 0, 0), "blocked": ("blocked_or_challenge", 1, 0), "llm": ("success_llm", 1, 1), "made": ("success_synthetic", 0, 1), "none": ("zero_deals_real", 0, 0),
         "failed": ("parse_failed", 0, 0), "home": ("homepage_only", 0, 0), "never": ("never_scraped", 0, 0),
     }
+
+
+def test_sections_stay_rows(spark):
+    """A brand's sections are rows with running places and are hashed as one text, whatever range or batch holds them."""
+    pages = spark.range(500).select(F.when(F.col("id") % 5 > 0, "A").alias("brand"), (1000 - F.col("id")).alias("pos"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") != 7, F.concat(F.lit("t\u00e9"), "id")).alias("text"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("T"), "id")).alias("title"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        sections = cap.combine_sections(pages)
+        got = {r["brand"]: r["text_sha"] for r in cap.section_hashes(sections).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = sections.collect()
+    for brand in ("A", None):
+        ids = [i for i in reversed(range(500)) if (i % 5 > 0) == (brand == "A") and i != 7]
+        want = [f"=== u{i} ===\nt\u00e9{i}" for i in ids]
+        assert [(r["place"], r["section"]) for r in sorted((r for r in rows if r["brand"] == brand), key=lambda r: r["place"])] == list(enumerate(want, 1))
+        assert got[brand] == hashlib.sha256("\n\n".join(want).encode()).hexdigest()
+    assert {r["brand"]: r["title"] for r in cap.first_titles(pages).collect()} == {"A": "T498", None: "T490"}
