@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,33 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set a folder of our own only where none is named."""
+    """Use the shared folder that the cluster names; set a folder of our own only where none is named, on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spark-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "spark-checkpoints"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, so that later steps survive the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a Parquet table in the shared checkpoint folder and read again, so that later steps survive the loss
+    of executors, read only the columns they need, and know the table's size."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete what checkpoint() wrote for tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "written_to"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

@@ -1,18 +1,20 @@
 """Surrogates for personal data and secrets, with DataFrame operations only.
 
-Found: e-mail addresses, secrets (values after password, token, ...; access keys), IBANs, IPv4 addresses, social security
-numbers, payment cards, phone numbers, and names after a title (Mr, Mrs, Herr, Frau, Señor, г-н, ...). Each different
-entity gets a surrogate made from a secret key, so that it is the same wherever it is mentioned, however it is
-formatted there (coreference), and of its own kind: letters stay letters of their script and case, digits digits; phone
-numbers keep their country, cards their first digit and valid check digit, IBANs their country and check sum,
-addresses stay in range, names keep script and the gender that the title tells.
+Found: e-mail addresses in any script, secrets (values after password, token, ...; access keys), IBANs, IPv4 and IPv6
+addresses, social security numbers, payment cards, phone numbers, and names after a title (Mr, Mrs, Herr, Frau, Señor,
+г-н, ...). Each different entity gets a surrogate made from a secret key, so that it is the same wherever it is mentioned,
+however it is formatted there (coreference), and of its own kind: letters stay letters of their script and case, digits
+digits; phone numbers keep their country, cards their first digit and valid check digit, IBANs their country and check
+sum, addresses stay in range, names keep script and the gender that the title tells.
 
 Collision checks: a surrogate is taken only if no other entity of the kind has it and no real entity equals it; the others
-are made anew with the next attempt, until all are distinct. What is joined are entities, not texts: texts without a
-mention never leave their task, and texts with one meet their surrogates by their digest.
+are made anew with the next attempt, until all are distinct; once surrogates of an entity's length seem to be used up, it
+gets a longer one. What is joined are entities of different texts: texts without a mention never leave their task, and
+texts with one meet their surrogates by their digest.
 
-Defined cases: null texts stay null, empty ones empty; text outside mentions stays as it is; repeated rows are all
-rewritten alike; other columns, whatever their names, are kept; an empty table gives no rows.
+Defined cases: null texts stay null, empty ones empty; text outside mentions stays as it is, however long; repeated rows
+are all rewritten alike; of equal surrogates the entity that sorts first keeps its own; other columns, whatever their
+names, are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,28 +22,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checkpoint, fresh
+from tallyloom.llm.common import checkpoint, fresh, release
 
 MALE = ["Mr", "Herr", "Señor", "Monsieur", "г-н", "господин", "Господин"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "г-жа", "госпожа", "Госпожа"]
 NEUTRAL = ["Dr", "Prof"]
-MAX_ATTEMPTS = 30
+#: Attempts with surrogates as long as the entity, and attempts in all.
+PLAIN_ATTEMPTS, MAX_ATTEMPTS = 6, 30
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+"
-_SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}+"
+_WORD = r"[\p{L}\p{M}\p{N}"
+_EMAIL = rf"(?<!{_WORD}._%+-]){_WORD}._%+-]++@(?={_WORD}.-]*\.\p{{L}}{{2}}){_WORD}-]++(?:\.{_WORD}-]++)++"
+_BEFORE = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+_SECRET = _BEFORE + r"(?=\S{8})[^\s\"'<>,;]{7,}[^\s\"'<>,;.!?:)\]}]"
 _KEY = r"\bAKIA[0-9A-Z]{16}\b|\b(?:sk-|ghp_|xox[bp]-)[A-Za-z0-9-]{16,}+"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+_IP6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\w:])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])"
+_CARD = r"(?<![\d.+-])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19}|\d(?:[ -]?\d){12,18})(?![\d-])"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 _NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? \p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?"
-ENTITY = "|".join((_EMAIL, _SECRET, _KEY, _IBAN, _IP, _SSN, _CARD, _PHONE, _NAME))
+ENTITY = "|".join((_EMAIL, _SECRET, _KEY, _IBAN, _IP, _IP6, _SSN, _CARD, _PHONE, _NAME))
+#: False only for texts in which ENTITY can't match; cheap to tell.
+_HINT = r"[@0-9]|(?i:passw|pwd|token|secret|api[_-]?key)|sk-|ghp_|xox|(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? |[0-9A-Fa-f]:"
 
 _CONSONANTS, _VOWELS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдклмнпрст", "greek": "βγδκλμνπρστ"}, {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
-_ENDINGS = {("latin", "male"): "on", ("latin", "female"): "ia", ("latin", "other"): "en", ("cyrillic", "male"): "ан", ("cyrillic", "female"): "ина", ("cyrillic", "other"): "ень", ("greek", "male"): "ος", ("greek", "female"): "ια", ("greek", "other"): "εν"}
-_FAMILY = {("latin", "male"): "er", ("latin", "female"): "er", ("latin", "other"): "er", ("cyrillic", "male"): "ов", ("cyrillic", "female"): "ова", ("cyrillic", "other"): "енко", ("greek", "male"): "ης", ("greek", "female"): "η", ("greek", "other"): "ου"}
-_ALPHABETS = [("0123456789", 10), ("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26), ("абвгдежзийклмнопрстуфхцчшщъыьэюя", 32), ("αβγδεζηθικλμνξοπρστυφχψω", 24), ("àáâãäåæçèéêëìíîïñòóôõöøùúûüý", 28)]
+_ENDINGS = {
+    "latin given male": "on", "latin given female": "ia", "latin given other": "en", "latin family male": "er", "latin family female": "er", "latin family other": "er",
+    "cyrillic given male": "ан", "cyrillic given female": "ина", "cyrillic given other": "ень", "cyrillic family male": "ов", "cyrillic family female": "ова", "cyrillic family other": "енко",
+    "greek given male": "ος", "greek given female": "ια", "greek given other": "εν", "greek family male": "ης", "greek family female": "η", "greek family other": "ου",
+}
+#: First code point and number of the letters of an alphabet: digits, a-z, A-Z, accented Latin (twice), Greek, Cyrillic,
+#: Armenian, Hebrew, Arabic (twice), Devanagari, Thai, Georgian, Hiragana, Katakana, Han, Hangul.
+_ALPHABETS = [(48, 10), (97, 26), (65, 26), (0xE0, 23), (0xF8, 7), (0x3B1, 25), (0x430, 32), (0x561, 38), (0x5D0, 27), (0x621, 26), (0x641, 10), (0x915, 37), (0xE01, 46), (0x10D0, 33), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902), (0xAC00, 11172)]
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once and written once in the plan."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _digits(s: Column) -> Column:
@@ -49,7 +67,7 @@ def _digits(s: Column) -> Column:
 
 
 def _chars(s: Column) -> Column:
-    return F.sequence(F.lit(1), F.length(s))
+    return F.split(s, "")
 
 
 def kind_of(m: Column) -> Column:
@@ -58,6 +76,7 @@ def kind_of(m: Column) -> Column:
         F.when(m.rlike(r"^[^\s=:\"']+@"), "email")
         .when(m.rlike(r"^(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]"), "secret")
         .when(m.rlike(r"^(AKIA|sk-|ghp_|xox[bp]-)"), "secret")
+        .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:"), "ipv6")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -74,17 +93,18 @@ def _gender(m: Column) -> Column:
 
 def _value(m: Column) -> Column:
     """A secret without the word before it."""
-    return F.regexp_extract(m, r"([A-Za-z0-9_+/-]{8,})$", 1)
+    return F.regexp_replace(m, f"^{_BEFORE}", "")
 
 
 def parts_of(m: Column) -> Column:
     """array<struct<kind, name>>: what a mention refers to, however it is written; a name has a part for each word."""
     kind = kind_of(m)
     name = (
-        F.when(kind == "email", F.lower(m))
+        F.when(kind == "email", F.when(F.length(F.lower(m)) == F.length(m), F.lower(m)).otherwise(m))
         .when(kind == "secret", _value(m))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "ip", m)
+        .when(kind == "ipv6", F.lower(m))
         .when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), _digits(m)))
         .otherwise(_digits(m))
     )
@@ -94,14 +114,16 @@ def parts_of(m: Column) -> Column:
 
 
 def _substituted(name: Column, seed: Column) -> Column:
-    """Every digit and letter replaced by one of its own alphabet, other characters kept."""
+    """Every digit and letter replaced by one of its own alphabet, other characters kept; a Latin letter outside the
+    alphabets by an accented one, any other letter by one of a-z."""
+    alphabets = F.array(*(F.struct(F.lit(first).alias("first"), F.lit(n).alias("n")) for first, n in _ALPHABETS))
 
-    def one(i):
-        c, turn = F.substring(name, i, F.lit(1)), F.xxhash64(seed, i)
-        out = c
-        for letters, n in reversed(_ALPHABETS):
-            out = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), (F.pmod(turn, F.lit(n)) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+    def one(c, i):
+        code = F.ascii(c)
+        own = F.filter(alphabets, lambda r: (code >= r["first"]) & (code < r["first"] + r["n"]))
+        other = F.when(c.rlike(r"\p{IsLatin}"), alphabets[3]).when(c.rlike(r"\p{L}"), alphabets[1])
+        drawn = lambda r: F.decode(F.unhex(F.lpad(F.hex(r["first"] + F.pmod(F.xxhash64(seed, i), r["n"])), 4, "0")), "UTF-16BE")
+        return F.coalesce(_let(F.coalesce(F.get(own, F.lit(0)), other), drawn), c)
 
     return F.array_join(F.transform(_chars(name), one), "")
 
@@ -109,85 +131,95 @@ def _substituted(name: Column, seed: Column) -> Column:
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10."""
 
-    def worth(i):
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = (F.length(digits) - i) % 2 == 1
-        return F.when(twice, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+    def worth(c, i):
+        d = c.cast("int")
+        return F.when(i % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
-    return F.aggregate(F.transform(_chars(digits), worth), F.lit(0), lambda a, x: a + x) % 10
+    return F.aggregate(F.transform(_chars(F.reverse(digits)), worth), F.lit(0), lambda a, x: a + x) % 10
 
 
 def _rest97(text: Column) -> Column:
     """The number that letters (A is 10) and digits spell, modulo 97."""
 
-    def step(acc, i):
-        c = F.substring(text, i, F.lit(1))
+    def step(acc, c):
         return F.when(c.rlike("[A-Z]"), (acc * 100 + F.ascii(c) - 55) % 97).otherwise((acc * 10 + F.ascii(c) - 48) % 97)
 
     return F.aggregate(_chars(text), F.lit(0), step)
 
 
-def _name_word(name: Column, kind: Column, seed: Column) -> Column:
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+def _name_word(name: Column, kind: Column, seed: Column, more: Column) -> Column:
+    """A made-up word of name's script with an ending that fits kind; null for a script without syllables."""
+    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").when(name.rlike(r"\p{IsLatin}"), "latin")
 
-    def syllables(s):
-        c, v = _CONSONANTS[s], _VOWELS[s]
-        pick = lambda letters, i: F.substring(F.lit(letters), (F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
-        return F.concat(*(x for i in range(4) for x in (pick(c, 2 * i), pick(v, 2 * i + 1))), pick(c, 8))
+    def spelt(s):
+        by_script = lambda letters: F.element_at(F.create_map(*(F.lit(x) for pair in letters.items() for x in pair)), s)
+        pick = lambda letters, i: F.substring(letters, (F.pmod(F.xxhash64(seed, i), F.length(letters)) + 1).cast("int"), F.lit(1))
+        stem = F.transform(F.sequence(F.lit(0), more + 3), lambda i: F.concat(pick(by_script(_CONSONANTS), 2 * i), pick(by_script(_VOWELS), 2 * i + 1)))
+        return F.concat(F.array_join(stem, ""), pick(by_script(_CONSONANTS), F.lit(-2)), F.element_at(F.create_map(*(F.lit(x) for pair in _ENDINGS.items() for x in pair)), F.concat_ws(" ", s, kind)))
 
-    out = F.lit(None).cast("string")
-    for s in _CONSONANTS:
-        stem = syllables(s)
-        for g in ("male", "female", "other"):
-            out = F.when((script == s) & (kind == f"given {g}"), F.concat(stem, F.lit(_ENDINGS[s, g]))).when((script == s) & (kind == f"family {g}"), F.concat(stem, F.lit(_FAMILY[s, g]))).otherwise(out)
-    return out
+    return _let(script, spelt)
 
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
-    """What stands for an entity, in the plain form that parts_of gives; equal arguments give equal results."""
+    """What stands for an entity, in the plain form that parts_of gives; equal arguments give equal results. From the
+    attempt PLAIN_ATTEMPTS on it is longer than the entity, as surrogates of that length seem to be used up."""
     # The gender of a family name shapes its ending alone, so that a couple keeps one stem.
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.split(kind, " ")[0], name, attempt.cast("string")), 256)
-    plain = _substituted(name, seed)
-    octet = lambda i: (F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(254)) + 1).cast("string")
-    card = F.concat(F.substring(name, 1, 1), F.substring(plain, F.lit(2), F.length(name) - 1))
-    body = F.substring(card, F.lit(1), F.length(card) - 1)
-    checked = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    local = F.when(name.startswith("+"), 3).otherwise(1)
-    area = (F.pmod(F.xxhash64(seed, F.lit(-1)), F.lit(8)) + 2).cast("string")
-    phone = F.concat(F.substring(name, F.lit(1), local - 1), area, F.substring(plain, local + 1, F.length(name)))
-    bank = F.substring(plain, F.lit(5), F.length(name))
-    country = F.substring(name, 1, 2)
-    iban = F.concat(country, F.lpad((98 - _rest97(F.concat(bank, country, F.lit("00")))).cast("string"), 2, "0"), bank)
-    dot = F.length(name) - F.instr(F.reverse(name), ".") + 1
-    email = F.concat(_substituted(F.substring(name, F.lit(1), dot - 1), seed), F.substring(name, dot, F.length(name)))
-    hexed = F.substring(F.concat(*(F.sha2(F.concat(seed, F.lit(str(i))), 256) for i in range(4))), F.lit(1), F.length(name))
-    return (
-        F.when(kind == "email", email)
-        .when((kind == "secret") & name.rlike("^[0-9a-f]{1,256}$"), hexed)
-        .when((kind == "secret") & name.rlike("^(AKIA|sk-|ghp_|xox[bp]-)"), F.concat(F.regexp_extract(name, "^(AKIA|sk-|ghp_|xox[bp]-)", 1), F.substring(plain, F.length(F.regexp_extract(name, "^(AKIA|sk-|ghp_|xox[bp]-)", 1)) + 1, F.length(name))))
-        .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
-        .when(kind == "iban", iban)
-        .when((kind == "card") & (_luhn(name) == 0), checked)
-        .when(kind == "card", card)
-        .when(kind == "phone", phone)
-        .when(kind.rlike("^(given|family) "), _name_word(name, kind, seed))
-        .otherwise(plain)
-    )
-
-
-def _formatted(mention: Column, kind: Column, new: Column) -> Column:
-    """The plain surrogate in the mention's own format: its separators, its case, the word before a secret."""
+    seed_of = F.sha2(F.concat_ws("\x1f", F.lit(key), F.split(kind, " ")[0], name, attempt.cast("string")), 256)
+    more = F.greatest(attempt - PLAIN_ATTEMPTS + 1, F.lit(0)).cast("int")
+
+    def made(seed):
+        extra = lambda letters: F.array_join(F.transform(F.slice(F.sequence(F.lit(1), 2 * more + 1), F.lit(1), 2 * more), lambda i: F.substring(F.lit(letters), (F.pmod(F.xxhash64(seed, -i), F.lit(len(letters))) + 1).cast("int"), F.lit(1))), "")
+
+        def of_plain(plain):
+            body = F.concat(F.substring(name, 1, 1), F.substring(plain, F.lit(2), F.length(name) - 1), extra("0123456789"))
+            checked = lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string"))
+            local = F.when(name.startswith("+"), 3).otherwise(1)
+            area = (F.pmod(F.xxhash64(seed, F.lit(-1)), F.lit(8)) + 2).cast("string")
+            phone = F.concat(F.substring(name, F.lit(1), local - 1), area, F.substring(plain, local + 1, F.length(name)), extra("0123456789"))
+            country = F.substring(name, 1, 2)
+            iban = lambda bank: F.concat(country, F.lpad((98 - _rest97(F.concat(bank, country, F.lit("00")))).cast("string"), 2, "0"), bank)
+            dot = F.length(name) - F.instr(F.reverse(name), ".") + 1
+            prefix = F.regexp_extract(name, "^(AKIA|sk-|ghp_|xox[bp]-)", 1)
+            return (
+                F.when(kind == "email", F.concat(extra("abcdefghijklmnopqrstuvwxyz"), F.substring(plain, F.lit(1), dot - 1), F.substring(name, dot, F.length(name))))
+                .when(kind == "secret", F.concat(prefix, F.substring(plain, F.length(prefix) + 1, F.length(name)), extra("0123456789abcdef")))
+                .when(kind == "iban", _let(F.concat(F.substring(plain, F.lit(5), F.length(name)), extra("0123456789")), iban))
+                .when((kind == "card") & (_luhn(name) == 0), _let(F.substring(body, F.lit(1), F.length(body) - 1), checked))
+                .when(kind == "card", body)
+                .when(kind == "phone", phone)
+                .otherwise(F.concat(plain, extra("0123456789")))
+            )
+
+        octet = lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")
+        hexed = F.array_join(F.transform(_chars(name), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(F.pmod(F.xxhash64(seed, i), F.lit(16)))))), "")
+        return F.coalesce(
+            F.when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."))
+            .when((kind == "ipv6") | (kind == "secret") & name.rlike("^[0-9a-f]+$"), F.concat(hexed, extra("0123456789abcdef")))
+            .when(kind.rlike("^(given|family) "), _name_word(name, kind, seed, more)),
+            _let(_substituted(name, seed), of_plain),
+        )
+
+    return _let(seed_of, made)
+
+
+def _formatted(mention: Column, kind: Column, name: Column, new: Column) -> Column:
+    """The plain surrogate in the mention's own format: its separators, its case, the word before a secret. What the
+    surrogate has more than the entity stands before an address, and after the rest."""
     digits_before = lambda i: F.length(_digits(F.substring(mention, F.lit(1), i)))
+    places = F.sequence(F.lit(1), F.length(mention))
     plain = _digits(new)
-    numbered = F.array_join(F.transform(_chars(mention), lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike(r"\d"), F.substring(plain, digits_before(i), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))), "")
-    cased = F.array_join(F.transform(_chars(mention), lambda i: F.when(F.substring(mention, i, F.lit(1)) != F.lower(F.substring(mention, i, F.lit(1))), F.upper(F.substring(new, i, F.lit(1)))).otherwise(F.substring(new, i, F.lit(1)))), "")
+    numbered = F.array_join(F.transform(places, lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike(r"\d"), F.substring(plain, digits_before(i), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))), "")
+    over = F.greatest(F.length(new) - F.length(mention), F.lit(0))
+    cased = F.array_join(F.zip_with(_chars(mention), _chars(F.substring(new, over + 1, F.length(new))), lambda old, c: F.when(old != F.lower(old), F.upper(c)).otherwise(c)), "")
     solid_before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), " ", ""))
-    spaced = F.array_join(F.transform(_chars(mention), lambda i: F.when(F.substring(mention, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(new, solid_before(i), F.lit(1)))), "")
+    spaced = F.array_join(F.transform(places, lambda i: F.when(F.substring(mention, i, F.lit(1)) == " ", F.lit(" ")).otherwise(F.substring(new, solid_before(i), F.lit(1)))), "")
     return (
-        F.when(kind == "email", cased)
-        .when(kind == "secret", F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(new)), new))
-        .when(kind == "iban", spaced)
-        .when(kind.isin("ssn", "card", "phone"), numbered)
+        F.when(kind == "email", F.concat(F.substring(new, F.lit(1), over), cased))
+        .when(kind == "secret", F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(name)), new))
+        .when(kind == "iban", F.concat(spaced, F.substring(new, F.length(name) + 1, F.length(new))))
+        .when(kind.isin("ssn", "card", "phone"), F.concat(numbered, F.substring(plain, F.length(_digits(name)) + 1, F.length(plain))))
+        .when(kind == "ipv6", F.when(mention == F.upper(mention), F.upper(new)).otherwise(new))
+        .when(kind.rlike("^(given|family) "), F.initcap(new))
         .otherwise(new)
     )
 
@@ -196,49 +228,49 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
     """(kind, name, new) for distinct entities (kind, name): surrogates that differ from each other and from all entities."""
     family = lambda c: F.split(c, " ")[0]
     left, taken = entities.select("kind", "name"), None
-    real = entities.select(family(F.col("kind")).alias("sort"), F.col("name").alias("new")).distinct()
+    real = entities.select(family(F.col("kind")).alias("sort"), F.lower("name").alias("new")).distinct()
     for attempt in range(MAX_ATTEMPTS):
-        tries = left.select("kind", "name", family(F.col("kind")).alias("sort"), F.lower(surrogate(F.col("kind"), F.col("name"), F.lit(attempt), key)).alias("new"), surrogate(F.col("kind"), F.col("name"), F.lit(attempt), key).alias("made"))
+        tries = left.select("kind", "name", family(F.col("kind")).alias("sort"), surrogate(F.col("kind"), F.col("name"), F.lit(attempt), key).alias("made"))
+        tries = checkpoint(tries.select("kind", "name", "sort", "made", F.lower("made").alias("new")))
         first = tries.groupBy("sort", "new").agg(F.min("name").alias("name"))  # a family name of either gender is one entity
         free = first.join(real, ["sort", "new"], "left_anti")
         if taken is not None:
             free = free.join(taken.select(family(F.col("kind")).alias("sort"), F.lower("new").alias("new")), ["sort", "new"], "left_anti")
         won = checkpoint(free.join(tries, ["sort", "new", "name"]).select("kind", "name", F.col("made").alias("new")))
         taken = won if taken is None else taken.unionByName(won)
+        done = left
         left = checkpoint(left.join(won, ["kind", "name"], "left_anti"))
-        if left.limit(1).count() == 0:
+        release(tries, done if attempt else None)
+        if left.isEmpty():
             return taken
     raise RuntimeError(f"some entities have no distinct surrogate after {MAX_ATTEMPTS} attempts")
 
 
-def _hint(text: Column) -> Column:
-    """False only for texts in which ENTITY can't match; cheap to tell."""
-    out = text.rlike("[@0-9]")
-    for word in (*MALE, *FEMALE, *NEUTRAL):
-        out = out | text.contains(word + " ") | text.contains(word + ". ")
-    return out | text.rlike("(?i:passw|pwd|token|secret|api[_-]?key|sk-|ghp_|xox|AKIA)")
-
-
 def mentions_of(text: Column) -> Column:
-    return F.when(_hint(text), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with surrogates in their texts; count_col, if named, tells how many mentions were replaced."""
+    """docs with surrogates in their texts; count_col, if named, tells how many mentions were replaced.
+
+    Texts are searched once: docs and what was found in them are written to the shared folder and read from there.
+    """
     text = F.col(text_col)
     found, digest, new, gone = fresh(docs, "mentions", "digest", "surrogates", "digest_of")
-    rows = docs.withColumn(found, F.coalesce(mentions_of(text), F.array().cast("array<string>")))
-    held = checkpoint(rows.where(F.size(found) > 0).select(F.md5(text).alias("digest"), F.col(found).alias("mentions")))
+    none = F.array().cast("array<string>")
+    rows = checkpoint(docs.withColumn(found, F.coalesce(mentions_of(text), none)))
+    some = rows.where(F.size(found) > 0)
+    held = checkpoint(some.select(F.md5(text.cast("binary")).alias("digest"), F.col(found).alias("mentions")).groupBy("digest").agg(F.first("mentions").alias("mentions")))
     each = held.select("digest", F.posexplode("mentions").alias("at", "mention"))
     parts = each.select("digest", "at", "mention", F.posexplode(parts_of(F.col("mention"))).alias("part", "p")).select("digest", "at", "mention", "part", "p.kind", "p.name")
-    table = resolved(parts.select("kind", "name").distinct(), key)
-    made = parts.join(table, ["kind", "name"]).select("digest", "at", "part", "mention", F.when(F.col("kind").rlike("^(given|family) "), F.initcap("new")).otherwise(_formatted(F.col("mention"), F.col("kind"), F.col("new"))).alias("new"), "kind")
-    whole = made.distinct().groupBy("digest", "at").agg(F.first("mention").alias("mention"), F.min("kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ").alias("new"))
-    whole = whole.select("digest", "at", F.when(F.col("kind").rlike("^(given|family) "), F.concat(F.regexp_extract("mention", r"^(\S+ )", 1), F.col("new"))).otherwise(F.col("new")).alias("new"))
-    per_text = whole.groupBy("digest").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new)).withColumnRenamed("digest", gone)
-    per_text = checkpoint(per_text)
-    plain = rows.where(F.size(found) == 0)
-    touched = rows.where(F.size(found) > 0).withColumn(digest, F.md5(text)).join(per_text, F.col(digest) == F.col(gone))
+    table = resolved(checkpoint(parts.select("kind", "name").distinct()), key)
+    made = parts.join(table, ["kind", "name"]).select("digest", "at", "part", "mention", "kind", _formatted(F.col("mention"), F.col("kind"), F.col("name"), F.col("new")).alias("new"))
+    named = F.col("kind").rlike("^(given|family) ")
+    whole = made.groupBy("digest", "at").agg(F.first("mention").alias("mention"), F.min("kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ").alias("new"))
+    whole = whole.select("digest", "at", F.when(named, F.concat(F.regexp_extract("mention", r"^(\S+ )", 1), F.col("new"))).otherwise(F.col("new")).alias("new"))
+    per_text = checkpoint(whole.groupBy(F.col("digest").alias(gone)).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new)))
+    release(held)
+    touched = some.withColumn(digest, F.md5(text.cast("binary"))).join(per_text, F.col(digest) == F.col(gone))
     joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.col(new), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
     columns = lambda df, value: df.select(*(value.alias(c) if c == text_col else F.col(c) for c in docs.columns), *([F.size(found).alias(count_col)] if count_col else []))
-    return columns(plain, text).unionByName(columns(touched, joined))
+    return columns(rows.where(F.size(found) == 0), text).unionByName(columns(touched, joined))

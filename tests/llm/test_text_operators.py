@@ -216,6 +216,57 @@ def test_surrogates_are_distinct_even_when_hashes_meet(spark, monkeypatch):
     assert len(set(out)) == 20 and sum("9.9.9.9" in t for t in out) == 1 and not any(re.search(r"1\.2\.3\.", t) for t in out)
 
 
+def test_surrogates_of_other_scripts_long_addresses_and_secrets(spark):
+    texts = [
+        "an 李明@例え.中国, سمير@مثال.com, weiß.łukő@straße-haus.de and -@-.com",
+        "x@" + "a." * 20_000 + "com and x@" + "b." * 20_000,
+        'password = "Tr0ub4dor&3xyz" pwd=P@ssw0rd! token: eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl.',
+        "card 4532015112830366 152.143.123.131 then 4532 0151 1283 0366 and 2001:db8::ff00:42:8329",
+        "Tel. +49 30 1234 " * 3000,
+    ]
+    out, n = replaced(spark, texts)
+    assert n == [4, 1, 3, 4, 3000]
+    a, b, c, d = re.fullmatch(r"an (.+?), (.+?), (.+?) and (.+)", out[0]).groups()
+    han = "[\u4e00-\u9fa5]"
+    assert re.fullmatch(f"{han}{{2}}@{han}[\u3041-\u3096]\\.中国", a) and re.fullmatch("[\u0621-\u063a\u0641-\u064a]{4}@[\u0621-\u064a]{4}\\.com", b)
+    assert re.fullmatch(r"[a-zß-ÿ]{4}\.[a-zß-ÿ]{4}@[a-zß-ÿ]{6}-[a-z]{4}\.de", c) and "weiß" not in c and d != "-@-.com" and d.endswith("-@-.com")
+    assert not out[1].startswith("x@a.a.") and out[1].endswith("com and x@" + "b." * 20_000) and len(out[1]) == len(texts[1])
+    assert not any(s in out[2] for s in ("Tr0ub", "3xyz", "ssw0rd", "eyJ", "c2ln")) and out[2].startswith('password = "') and re.search('" pwd=.{8}! token: .{20}\\..{19}\\..{12}\\.$', out[2])
+    card, ip, again, six = re.fullmatch(r"card (\d{16}) ([\d.]+) then ([\d ]{19}) and ([\da-f:]+)", out[3]).groups()
+    assert card == again.replace(" ", "") != "4532015112830366" and ip != "152.143.123.131" and six != "2001:db8::ff00:42:8329"
+    assert len(set(re.findall(r"\+49[\d ]+\d", out[4]))) == 1 and "1234" not in out[4]
+
+
+def test_surrogates_match_brute_force_over_the_small_documents(spark):
+    """One surrogate for an entity and one entity for a surrogate in all texts, and all else as it was."""
+    import regex
+
+    pattern = regex.compile(pii.ENTITY.replace("(?<![\\w:.])", "(?<![A-Za-z0-9_:.])").replace("(?![\\w:])", "(?![A-Za-z0-9_:])").replace("\\d", "[0-9]"))
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    there, back, n = {}, {}, 0
+    for i, text in docs:
+        at = 0
+        new = got[i]
+        for m, following in zip(list(pattern.finditer(text)), [*list(pattern.finditer(text))[1:], None], strict=True):
+            gap = text[at : m.start()]
+            assert new.startswith(gap)
+            rest = text[m.end() : following.start() if following else None]
+            new = new[len(gap) :]
+            size = len(m[0]) if following is None and not rest else None
+            if m[0][:2] in ("Mr", "Dr", "Fr", "He", "Mi", "Ms", "Pr", "Se", "Ma", "Mm") or m[0][0] in "Гг" or regex.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", m[0]):
+                size = None if rest else len(new)  # names and dotted addresses change their length
+                mine = new[: new.index(rest)] if rest else new
+            else:
+                mine = new[: len(m[0])]
+            assert mine != m[0] or " " in m[0]
+            assert there.setdefault(m[0], mine) == mine
+            assert back.setdefault(mine, m[0]).lower() == m[0].lower()
+            new, at, n = new[len(mine) :], m.end(), n + 1
+        assert new == text[at:]
+    assert n > 20
+
+
 def test_replace_keeps_other_columns_and_rows(spark):
     docs = spark.createDataFrame([(1, "x 1.2.3.4", "d", [1]), (1, "x 1.2.3.4", "d", [1]), (None, "plain", None, None)], "doc_id long, text string, digest string, mentions array<int>")
     out = pii.replace(docs, "k")
