@@ -1,8 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Each step is two aggregations and a join; the edges are written to the shared checkpoint folder after each round, and
-the number of rounds grows with the logarithm of the longest chain. No task holds a whole component: a node's
-neighbours are only reduced to their smallest.
+Each step is two aggregations and a join; the edges are written to the shared checkpoint folder after each round, those of
+the round before are deleted, and the number of rounds grows with the logarithm of the longest chain. No task holds a whole
+component: a node's neighbours are only reduced to their smallest.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checkpoint
+from tallyloom.llm.common import checkpoint, release
 
 MAX_ROUNDS = 60
 
@@ -65,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a")
         step = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        step = checkpoint(step)
+        step, before = checkpoint(step), e
+        release(before)
         if _stars(step):
             e = step
             break

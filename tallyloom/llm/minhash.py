@@ -9,15 +9,17 @@ that equal regions of two documents hold equal darts. Weight regions are [0, 1),
 place inside its region, so weights need not be whole numbers. Only darts of low rank are thrown: about
 t (ln t + 3) in all for a document of any length. Each dart falls on one of t coordinates; the earliest there is kept.
 
-Join: equal bags are merged first. Band values name buckets. In large buckets members are compared to one centre a
-round. Then all pairs of a bucket whose members are still in different components are compared: those in small buckets
-one by one, with bounds on their weights and a sketch of the signature inside the join; members of a large component and
-those who share a large bucket with it, and the rest of large buckets, in tiles of bounded size that pass on connecting
-links and not pairs. All comparisons are exact, on whole texts or on all their features. So no link between different
-components of a bucket is lost, and no step makes a row for each pair of a large group.
+Join: equal bags are merged first. Band values name buckets. In large buckets members are compared to three centres. Then
+all pairs of a bucket whose members are still in different components are compared: those in small buckets one by one,
+with bounds on their weights and a sketch of the signature inside the join; members of a large component and those who
+share a large bucket with it, and the rest of large buckets, in tiles of bounded size that pass on connecting links and
+not pairs. All comparisons are exact, on whole texts or on all their features, and no step makes a row for each pair of a
+large group. What chance can miss: a pair at exactly the threshold shares no bucket once in 140,000, and in a small bucket
+its sketches differ too much once in a million; more similar pairs are missed less.
 
 Defined cases: null, empty and wordless texts link with nothing; rows with a null doc_id link with nothing and have a
-null class; rows that share a doc_id are one document if their texts are equal, and else are put in one class.
+null class; rows that share a doc_id are put in one class, whatever their texts and order; of ties the smallest doc_id
+names the class; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import SLICE_BYTES, at_most, checkpoint, fresh, slices
+from tallyloom.llm.common import SLICE_BYTES, at_most, checkpoint, fresh, release, slices
 from tallyloom.llm.components import components
 from tallyloom.llm.words import mix, shingle_bags, words_of
 
@@ -47,6 +49,8 @@ TILE_ROWS, TILE_WEIGHT = 1024, 1 << 20
 WHOLE_GROUP_TILES = 12
 #: A semi-join's keys are broadcast up to this many longs (8 MB), and shuffled beyond.
 BROADCAST_KEYS = 1 << 20
+#: Bags with more copies than this meet their class by a broadcast; a table has at most its rows over this of them.
+HOT_COPIES = 1000
 _ID_BITS = np.uint64(48)
 
 
@@ -185,73 +189,87 @@ def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of every row with words, rep being the smallest id with that bag; and (node, component) of linked reps."""
-    sig = checkpoint(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size)).where("weight > 0")
-    reps = sig.groupBy("name0", "name1").agg(F.min_by(F.struct("id", "weight", "s0", "s1", "s2", "bands"), "id").alias("head"))
-    of_rep = sig.select("id", "name0", "name1").join(reps.select("name0", "name1", F.col("head.id").alias("rep")), ["name0", "name1"]).select("id", "rep").distinct()
-    rows = reps.select("head.*").select("id", "weight", "s0", "s1", "s2", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
+    """(id, name0, name1) of every row, names being null for wordless texts; and (name0, name1, copies, class) of every bag.
+
+    A node is the smallest id of a bag's rows. Ids with several texts have several bags; these are in one class anyhow, so
+    that it does no harm if they share a node, as long as all texts of the node are compared."""
+    sig = checkpoint(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size))
+    heads = sig.where("weight > 0").groupBy("name0", "name1").agg(F.min_by(F.struct("id", "weight", "s0", "s1", "s2", "bands"), "id").alias("head"), F.count("*").alias("copies"))
+    heads = checkpoint(heads.select("name0", "name1", "copies", "head.*"))
+    rows = heads.select("id", "weight", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpoint(rows.join(buckets, "key"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = checkpoint(semi(texts, members, "id").dropDuplicates(["id"]))
-    shared = of_rep.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")  # one id, several texts
-    edges, labels, tried = checkpoint(shared), None, None
-
-    def labelled(df):
-        if labels is None:
-            return df.withColumn("component", F.col("id"))
-        return df.join(labels, df["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-
-    def compared(pairs):
-        nonlocal edges, labels, tried
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpoint(verified(pairs, texts, size, threshold))
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = edges.union(found)
-        labels = checkpoint(components(edges))
-        return found
-
+    texts = semi(texts, members, "id").withColumn("digest", F.xxhash64("text")).dropDuplicates(["id", "digest"]).drop("digest")
+    texts = checkpoint(texts)
     w = threshold - 1e-9
-    for k in range(CENTRE_ROUNDS):
-        large = labelled(members.where(F.col("n") > SMALL_BUCKET).select("key", "id", "weight"))
-        turn = F.struct(F.xxhash64("id", F.lit(k)), F.col("id"), F.col("component"), F.col("weight"))
-        centres = large.groupBy("key").agg(F.min(turn).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        pairs = large.join(centres, "key").where((F.col("component") != F.col("c.component")) & (F.col("weight") >= w * F.col("c.weight")) & (F.col("c.weight") >= w * F.col("weight")))
-        compared(pairs.groupBy("id").agg(F.min("c.id").alias("b")).select(F.col("id").alias("a"), "b"))
+
+    # Large buckets: every member is compared to up to CENTRE_ROUNDS others, which hold together what is alike all through.
+    large = members.where(F.col("n") > SMALL_BUCKET).select("key", "id", "weight")
+    turns = [F.struct(F.xxhash64("id", F.lit(k)).alias("turn"), F.col("id"), F.col("weight")) for k in range(max(CENTRE_ROUNDS, 1))]
+    centres = large.groupBy("key").agg(F.array(*(F.min(t) for t in turns)).alias("centres"))
+    met = large.join(centres, "key").select("id", "weight", F.posexplode("centres").alias("k", "c"))
+    met = met.where((F.col("k") < CENTRE_ROUNDS) & (F.col("id") != F.col("c.id")) & (F.col("weight") >= w * F.col("c.weight")) & (F.col("c.weight") >= w * F.col("weight")))
+    pairs = met.groupBy("id", "k").agg(F.min("c").alias("c")).select(F.col("id").alias("a"), F.col("c.id").alias("b"))
+    edges = checkpoint(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, size, threshold))
+    labels = components(edges)
+    mixed = members.withColumn("crowded", F.col("n") > SMALL_BUCKET).drop("n").join(labels, F.col("id") == F.col("node"), "left")
+    mixed = checkpoint(mixed.withColumn("component", F.coalesce("component", "id")).drop("node"))
+    release(members)
 
     # Members of large components meet, in tiles, all others that share a bucket with their component.
-    mixed = checkpoint(labelled(members.withColumn("crowded", F.col("n") > SMALL_BUCKET).drop("n", "centre")))
-    sizes = mixed.select("id", "component", "weight").distinct().groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("sum")).where(F.col("n") >= LARGE_COMPONENT)
-    sizes = checkpoint(sizes)
-    features = checkpoint(features_of(semi(texts, members.where(F.col("n") > SMALL_BUCKET), "id"), size))
-    if sizes.limit(1).count():
-        homes = sizes.select(F.col("component").alias("home"))
-        in_bucket = mixed.join(homes, mixed["component"] == homes["home"]).select("key", "home").distinct()
-        visits = mixed.join(in_bucket, "key").where(F.col("component") != F.col("home")).select("id", "component", "weight", "home").distinct()
-        visits = visits.join(homes.select(F.col("home").alias("component"), F.lit(True).alias("also")), "component", "left").where(F.col("also").isNull() | (F.col("component") > F.col("home")))
-        residents = mixed.select("id", "component", "weight").distinct().join(homes, F.col("component") == F.col("home")).select("id", "weight", "home")
-        found = checkpoint(_met(residents, visits.select("id", "weight", "home"), features, threshold))
-        edges = edges.union(found)
-        labels = checkpoint(components(edges))
+    sizes = mixed.select("id", "component").distinct().groupBy("component").count().where(F.col("count") >= LARGE_COMPONENT)
+    homes = checkpoint(sizes.select(F.col("component").alias("home")))
+    in_bucket = mixed.join(homes, mixed["component"] == homes["home"]).select("key", "home").distinct()
+    visits = mixed.join(in_bucket, "key").where(F.col("component") != F.col("home")).select("id", "component", "weight", "home").distinct()
+    visits = visits.join(homes.select(F.col("home").alias("component"), F.lit(True).alias("also")), "component", "left").where(F.col("also").isNull() | (F.col("component") > F.col("home")))
+    visits = checkpoint(visits.select("id", "weight", "home"))
+    visited = visits.select("home").distinct()
+    residents = mixed.join(visited, mixed["component"] == visited["home"]).select("id", "weight", "home").distinct()
 
     # The other pairs of a bucket: one by one where they are few, in tiles where they are not. Small buckets keep their
-    # members of large components, as who shares no other bucket with those has no features and has not met them.
-    rest = mixed.join(sizes.select("component", F.lit(True).alias("met")), "component", "left")
-    rest = rest.where(F.col("met").isNull() | ~F.col("crowded")).drop("component", "met", "crowded")
-    rest = labelled(rest)
+    # members of large components, as who shares no other bucket with those has not met them.
+    rest = mixed.join(homes.select(F.col("home").alias("component"), F.lit(True).alias("met")), "component", "left")
+    rest = rest.where(F.col("met").isNull() | ~F.col("crowded")).select("key", "id", "weight", "component")
     span = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("weight").alias("sum")).where("lo <> hi").select("key", "n", "sum")
     rest = checkpoint(rest.join(span, "key"))
     gathered, whole = _gathered(rest.where(F.col("n") > SMALL_BUCKET).select("key", "id", "component", "weight", "n", "sum"))
-    found = checkpoint(_crowded(gathered, features, threshold))
-    edges = edges.union(found)
-    few = checkpoint(rest.where(F.col("n") <= SMALL_BUCKET).join(whole, "id", "left"))
+    tiled = checkpoint(residents.select("id").union(visits.select("id")).union(gathered.select("id")).distinct())
+    features = checkpoint(features_of(semi(texts, tiled, "id"), size))
+    found = checkpoint(_met(residents, visits, features, threshold).union(_crowded(gathered, features, threshold)))
+    release(mixed, features, visits, tiled)
+
+    few = rest.where(F.col("n") <= SMALL_BUCKET).join(whole, "id", "left")
+    few = checkpoint(few.join(heads.select("id", "weight", "s0", "s1", "s2"), ["id", "weight"]))
     x, y = few.alias("x"), few.alias("y")
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(3)), F.lit(0))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (F.col("x.weight") >= w * F.col("y.weight")) & (F.col("y.weight") >= w * F.col("x.weight")) & (differ <= most_different(BANDS * ROWS, threshold))
     near = near & ~F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))  # those of one group have been compared
-    compared(x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    return of_rep, labels
+    single = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    single = checkpoint(verified(single, texts, size, threshold))
+    release(texts, few, rest)
+
+    nodes = heads.select("name0", "name1", "copies", F.col("id").alias("rep"))
+    several = sig.where("weight > 0").select("id", "name0", "name1").distinct()
+    again = several.groupBy("id").count().where("count > 1").select("id")
+    shared = several.join(again, "id", "left_semi").join(nodes, ["name0", "name1"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    labels = components(edges.union(found).union(single).union(shared))
+    release(edges, found, single)
+    bag_class = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("name0", "name1", "copies", F.coalesce("component", "rep").alias("class"))
+    named = [F.when(F.col("weight") > 0, F.col(c)).alias(c) for c in ("name0", "name1")]
+    return sig.select("id", *named), checkpoint(bag_class)
+
+
+def _placed(rows: DataFrame, bag_class: DataFrame) -> DataFrame:
+    """(id, class) of rows that have a bag. Bags of very many copies are broadcast, if there are few enough of those."""
+    names = ["name0", "name1"]
+    rows = rows.where("name0 is not null")
+    hot = bag_class.where(F.col("copies") > HOT_COPIES).select(*names, "class")
+    if not at_most(hot, BROADCAST_KEYS):
+        return rows.join(bag_class, names).select("id", "class")
+    rows = rows.join(F.broadcast(hot), names, "left")
+    cold = rows.where("class is null").drop("class").join(bag_class.where(F.col("copies") <= HOT_COPIES), names)
+    return rows.where("class is not null").select("id", "class").union(cold.select("id", "class"))
 
 
 # Tiles: many documents against many, without a row for each pair ------------------------------------------------------
@@ -362,8 +380,9 @@ def _crowded(rows: DataFrame, features: DataFrame, threshold: float) -> DataFram
             la, lb = label[: len(a)], label[len(a) :]
             if len(np.unique(label)) > 1:
                 u, v = np.nonzero(_alike(left, right, threshold) & (la[:, None] != lb[None, :]))
+                _, first = np.unique(la[u] * (label.max() + 1) + lb[v], return_index=True)  # one link for two components
                 group = np.arange(label.max() + 1)
-                for x, y in zip(u.tolist(), v.tolist(), strict=True):
+                for x, y in zip(u[first].tolist(), v[first].tolist(), strict=True):
                     p, q = group[la[x]], group[lb[y]]
                     if p != q:
                         group[group == q] = p
@@ -382,19 +401,21 @@ def most_different(t: int, threshold: float) -> int:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each different id: id_col, class_id (the smallest id of its class), kept (whether it is that one)."""
-    of_rep, labels = links(docs, id_col, text_col, size, threshold)
-    known = of_rep.join(labels, of_rep["rep"] == labels["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class"))
-    out = docs.select(F.col(id_col).alias("id")).distinct().join(known, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.coalesce(F.col("class") == F.col("id"), F.lit(True)).alias("kept"))
+    rows, bag_class = links(docs, id_col, text_col, size, threshold)
+    known = rows.select("id", F.col("id").alias("class")).union(_placed(rows, bag_class)).groupBy("id").agg(F.min("class").alias("class"))
+    known = known.union(docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long"), F.lit(None).cast("long")).distinct())
+    return known.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.coalesce(F.col("class") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; rows with a null id stay."""
+    """docs with one document of each class, the one with the smallest id (of several texts with that id, the one with the
+    smallest hash); rows with a null id stay."""
     gone = classes(docs, id_col, text_col, size, threshold).where("not kept").select(F.col(id_col).alias("gone"))
     kept = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("gone"))
-    if at_most(again, 0):
+    hashed, again_id, least = fresh(docs, "hashed", "again_id", "least")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(again_id)).agg(F.count("*").alias("n"), F.min(F.xxhash64(text_col)).alias(least)).where("n > 1").drop("n")
+    again = checkpoint(again)
+    if again.isEmpty():
         return kept
-    (n,) = fresh(docs, "turn")
-    once = kept.join(again, kept[id_col] == again["gone"], "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == again["gone"], "left_anti").unionByName(once)
+    once = kept.withColumn(hashed, F.xxhash64(text_col)).join(again, (F.col(id_col) == F.col(again_id)) & (F.col(hashed) == F.col(least))).select(*docs.columns).dropDuplicates([id_col])
+    return kept.join(again, F.col(id_col) == F.col(again_id), "left_anti").unionByName(once)

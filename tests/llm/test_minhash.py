@@ -99,6 +99,21 @@ def test_long_text_repeats_and_shared_ids(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_that_share_an_id_in_any_order(spark, turned):
+    """Every text of an id is compared, whichever row comes first."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    c = " ".join(f"c{k}" for k in range(60))
+    rows = [(1, a), (1, b), (1, c), (2, b + " more"), (0, c + " more"), (4, None), (4, a + " and more")]
+    check(spark, rows[::-1] if turned else rows)
+
+
+def test_many_copies_meet_their_class(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_COPIES", 3)
+    rows = [(k, "one text that is there very often") for k in range(9)] + [(20 + k, "another one that is there twice") for k in range(2)] + [(30, "and a third")]
+    check(spark, rows)
+
+
 def test_keep_one_keeps_columns_and_null_ids(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "A b c d e f!", None), (None, "a b c d e f", "y"), (4, "others are left alone here", "z"), (5, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
