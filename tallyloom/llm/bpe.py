@@ -31,6 +31,9 @@ PIECE_CHARS = 1 << 16
 #: follows is matched as it would be at the start of a text.
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])")
 
+#: White space as the split pattern has it, in runs so long that the pattern would exhaust its stack.
+_LONG_SPACE = regex.compile(r"\p{White_Space}{1024,}")
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -59,11 +62,25 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(text) <= PIECE_CHARS:
+        if len(text) < 1024:
             return self.encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            # The pattern matches a run at the end of a text as a whole, and any other but for its last character, which
+            # goes with what follows. It never matches across the start of a run.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self._plain(text[at : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in self.encoding.encode_ordinary(piece)]
 
-    def decode(self, ids) -> bytes:
+    def decode(self, ids) -> bytes | None:
+        """The bytes of ids; null if one of them is none of the ranks."""
+        if len(ids) and not (0 <= min(ids) and max(ids) < len(self.token_bytes)):
+            return None
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
@@ -83,7 +100,8 @@ def _shared(spark: SparkSession, rank_path: str):
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """df with the token ids of every text."""
+    """df with the token ids of every text, in ids_col (with a final _ where df has a column of that name)."""
+    (ids_col,) = fresh(df, ids_col)
     ranks = _shared(df.sparkSession, rank_path)
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -101,7 +119,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """df with the raw bytes that the ids stand for; null ids give null."""
+    """df with the raw bytes that the ids stand for, in bytes_col (with a final _ where df has a column of that name); null
+    ids, and ids outside the ranks, give null."""
+    (bytes_col,) = fresh(df, bytes_col)
     ranks = _shared(df.sparkSession, rank_path)
     schema = T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())])
 

@@ -8,14 +8,17 @@ shingle that no document holds is out at once. Candidates must leave room for th
 
 Documents are read twice, once to count the items' shingles and once to find the prefix shingles with the words around
 them. What is sent to executors is at most `MAX_TOKENS` longs; a larger benchmark is worked off in as many parts as it
-needs. Joins and sums run on the few hits, not on texts.
+needs, over documents that are numbered and written once. Joins and sums run on the few hits, not on texts.
 
 Defined cases: null, empty and wordless documents have no words and no hits; null or wordless items match nothing; items
-that share an id count once; an empty benchmark hits nothing; equal documents are all reported.
+that share an id count once; an empty benchmark hits nothing; equal documents, documents that share an id and those of no
+id are all reported, each for itself; whole texts count, however long; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,27 +142,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     picked = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("string").alias("text"))
     wins = checkpoint(windows(benchmark, item_col, item_text_col, window, size))
     tokens = wins.select("g", F.explode("tokens").alias("token")).distinct()
+    token_parts = _parts(tokens)
+    numbered = _row_numbered(picked)
+    if len(token_parts) > 1:
+        numbered = checkpoint(numbered)  # read once a part, always under the same numbers
+    names = ["rid", *names]
     counts = None
-    for part in _parts(tokens):
-        c = _counts(picked, part)
+    for part in token_parts:
+        c = _counts(numbered, part)
         counts = c if counts is None else counts.union(c)
-    if counts is None:
-        places, prefixes = checkpoint(_row_numbered(_probe(picked, {}, window, names))), None
-    else:
+    prefixes, parts = None, [{}]
+    if counts is not None:
         counts = counts.groupBy("g", "token").agg(F.sum("n").alias("n_docs"))
         each = wins.select("words", "n", "g", F.posexplode("tokens").alias("offset", "token")).distinct()
         rare = each.join(counts, ["g", "token"], "left").groupBy("words", "n", "g").agg(F.min(F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "token", "offset")).alias("p"))
         prefixes = checkpoint(rare.where("p.n_docs > 0").select("words", "n", "g", "p.token", "p.offset"))
-        found = None
         parts = _parts(prefixes.select("g", "token").distinct()) or [{}]
-        for part in parts:
-            x = _probe(picked, part, window, names)
-            found = x if found is None else found.unionByName(x)
-        places = checkpoint(_row_numbered(found if len(parts) == 1 else _merged(found, names, len(parts))))
-    base = places.select("rid", *names, "n_words")
+    found = [checkpoint(_probe(numbered, part, window, names)) for part in parts]
+    names = names[1:]
+    base = found[0].select("rid", *names, "n_words")
     if prefixes is None:
         return base.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    near = places.select("rid", F.explode("places").alias("p")).select("rid", "p.*")
+    near = functools.reduce(DataFrame.union, [x.select("rid", F.explode("places").alias("p")) for x in found]).select("rid", "p.*")
     small = F.broadcast(prefixes) if at_most(prefixes, BROADCAST_ROWS) else prefixes
     fits = (F.col("left") >= F.col("offset")) & (F.col("left") - F.col("offset") + F.col("n") <= F.size("around"))
     same = F.array_join(F.slice("around", F.greatest(F.col("left") - F.col("offset") + 1, F.lit(1)), F.col("n")), " ") == F.col("words")
@@ -179,12 +183,6 @@ def _row_numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("rid", F.monotonically_increasing_id())
 
 
-def _merged(found: DataFrame, names: list[str], parts: int) -> DataFrame:
-    """One row per document of the rows that the parts gave it; equal documents are told apart by nothing but their number."""
-    by = found.groupBy(*names, "n_words").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), (F.count("*") / parts).cast("int").alias("times"))
-    return by.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names, "n_words", "places")
-
-
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 (of the ids joined by commas) and contaminated, one row per document."""
     found = hits(docs, benchmark, [id_col], text_col, **how)

@@ -1,14 +1,15 @@
 """Near-duplicate embeddings: int8 tile products with rigorous error bounds, full precision where they can't decide.
 
 Equal vectors are merged first. The different ones are dealt to tiles by hash, and every pair of tiles meets in one
-task as int8 codes of the unit vectors. With a vector's code c, scale s and error e = |u - s c|, the true cosine of u and
+task as int8 codes, scales and errors of the unit vectors. With a vector's code c, scale s and error e = |u - s c|, the true cosine of u and
 v is within e_v + (1 + e_v) e_u of s_u s_v (c_u . c_v); the integer product is exact in float32. Only pairs whose bound
-reaches the threshold, without their lower bound doing so too, are computed again in double precision. A task hands on
-link counts and a spanning forest, not its pairs, so a group of n near copies costs it no more than n rows.
+reaches the threshold, without their lower bound doing so too, are computed again in double precision: a task hands on up
+to `OPEN_PAIRS` such pairs, which then meet their vectors; where it has more, its two tiles meet again with their vectors.
+Of all else a task hands on link counts and a spanning forest, so a group of n near copies costs it no more than n rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; a null vec_id links with nothing and is its own component (null); rows that share a vec_id
-count as vectors of their own but are one node of the graph.
+count as vectors of their own but are one node of the graph; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ TILE_ROWS = 8192
 #: So many tiles at least, that small tables too are shared by many tasks.
 MIN_TILES = 6
 BLOCK = 512
+#: Pairs that codes can't decide and that a task of two tiles hands on.
+OPEN_PAIRS = 8192
 _EXACT_DIM = (1 << 24) // (127 * 127)
 
 
@@ -65,10 +69,12 @@ class Unions:
                 self.label = jump
 
 
-def linked(x: np.ndarray, codes, scale, error, rows: np.ndarray, cols: np.ndarray, threshold: float):
-    """Links between rows and cols (numbers of unit vectors in x), block by block, as pairs of numbers."""
+def linked(x: np.ndarray | None, codes, scale, error, rows: np.ndarray, cols: np.ndarray, threshold: float):
+    """Links between rows and cols (numbers of vectors), block by block, as pairs of numbers, and the pairs that codes can't
+    decide; with the unit vectors x those are decided too."""
     slack = 1e-6
     e_top = error[cols].max()
+    none = np.zeros(0, np.int64)
     for k in range(0, len(rows), BLOCK):
         r = rows[k : k + BLOCK]
         p = products(codes[r], codes[cols])
@@ -77,27 +83,39 @@ def linked(x: np.ndarray, codes, scale, error, rows: np.ndarray, cols: np.ndarra
         i, j = np.nonzero(p >= least.astype(p.dtype)[:, None])
         near, u, v = p[i, j].astype(np.float64) * scale[r[i]], r[i], cols[j]
         bound = error[u] + (1 + error[u]) * error[v] + slack
-        sure, open_ = near - bound >= threshold, near + bound >= threshold
-        again = np.flatnonzero(open_ & ~sure)
-        ok = sure.copy()
+        ok, open_ = near - bound >= threshold, near + bound >= threshold
+        again = np.flatnonzero(open_ & ~ok)
+        if x is None:
+            yield u[ok], v[ok], u[again], v[again]
+            continue
         for a in range(0, len(again), 1 << 16):
             some = again[a : a + (1 << 16)]
             ok[some] = np.einsum("ij,ij->i", x[u[some]], x[v[some]]) >= threshold
-        yield u[ok], v[ok]
+        yield u[ok], v[ok], none, none
 
 
 def _cell(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Per vector of two tiles: how many vectors of the other tile (or its own) it links with, and its local root."""
-    x = np.stack(pdf["unit"].to_numpy())
-    ids, copies, tile = (pdf[c].to_numpy() for c in ("id", "copies", "tile"))
-    codes, scale, error = quantise(x)
-    rows, cols = np.flatnonzero(tile == pdf["i"].iloc[0]), np.flatnonzero(tile == pdf["j"].iloc[0])
-    one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    links, groups = np.zeros(len(ids), np.int64), Unions(len(ids))
+    """What two tiles (or one with itself) tell. Sort 0: how many vectors of the other tile a vector links with, and its
+    local root. Sort 1: the heads of a pair that codes can't decide. Sort 2: the tiles have too many such pairs."""
+    hid, ids, copies, tile = (pdf[c].to_numpy() for c in ("hid", "id", "copies", "tile"))
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    if "unit" in pdf:
+        x = np.stack(pdf["unit"].to_numpy())
+        codes, scale, error = quantise(x)
+    else:
+        x, codes = None, np.stack([np.frombuffer(c, np.int8) for c in pdf["code"]])
+        scale, error = pdf["scale"].to_numpy(), pdf["error"].to_numpy()
+    rows, cols, one = np.flatnonzero(tile == i), np.flatnonzero(tile == j), i == j
+    links, groups, open_, n_open = np.zeros(len(ids), np.int64), Unions(len(ids)), [], 0
     if len(rows) and len(cols):
-        for u, v in linked(x, codes, scale, error, rows, cols, threshold):
+        for u, v, a, b in linked(x, codes, scale, error, rows, cols, threshold):
             if one:
                 u, v = u[u != v], v[u != v]
+                a, b = a[a < b], b[a < b]
+            n_open += len(a)
+            if n_open > OPEN_PAIRS:
+                return pd.DataFrame({"sort": [2], "hid": [i], "id": [j], "links": [codes.shape[1]], "root": [0]})
+            open_.append((hid[a], hid[b]))
             links += np.bincount(u, copies[v], minlength=len(ids)).astype(np.int64)
             if not one:
                 links += np.bincount(v, copies[u], minlength=len(ids)).astype(np.int64)
@@ -105,7 +123,46 @@ def _cell(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     some = np.flatnonzero(links)
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, groups.label, ids)
-    return pd.DataFrame({"id": ids[some], "links": links[some], "root": least[groups.label[some]]})
+    told = pd.DataFrame({"sort": 0, "hid": hid[some], "id": ids[some], "links": links[some], "root": least[groups.label[some]]})
+    if not n_open:
+        return told
+    left, right = (np.concatenate(x) for x in zip(*open_, strict=True))
+    return pd.concat([told, pd.DataFrame({"sort": 1, "hid": left, "id": right, "links": 0, "root": 0})])
+
+
+def _coded(batches):
+    for batch in batches:
+        code, scale, error = [], [], []
+        for x in batch.column("unit").to_pylist():
+            c, s, e = quantise(np.array([x]))
+            code.append(c[0].tobytes())
+            scale.append(s[0])
+            error.append(e[0])
+        kept = [batch.column(c) for c in ("hid", "id", "copies", "tile", "dim")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(code, pa.binary()), pa.array(scale, pa.float64()), pa.array(error, pa.float64())], ["hid", "id", "copies", "tile", "dim", "code", "scale", "error"])
+
+
+def _decided(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """Both directions of those open pairs (hid, id being the heads) that link, like the rows of sort 0."""
+    side = lambda k: heads.select(*(F.col(c).alias(c + k) for c in ("hid", "id", "copies", "unit")))
+    both = pairs.select(F.col("hid").alias("hid_a"), F.col("id").alias("hid_b")).join(side("_a"), "hid_a").join(side("_b"), "hid_b")
+
+    def run(batches):
+        for batch in batches:
+            u, v = (np.array(batch.column(c).to_pylist(), np.float64).reshape(batch.num_rows, -1) for c in ("unit_a", "unit_b"))
+            ok = pa.array(np.einsum("ij,ij->i", u, v) >= threshold) if batch.num_rows else pa.array([], pa.bool_())
+            for a, b in (("a", "b"), ("b", "a")):
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in (f"hid_{a}", f"id_{a}", f"copies_{b}", f"id_{b}")], ["hid", "id", "links", "root"])
+
+    # Vectors of one length to a batch, as a pair's are.
+    return both.mapInArrow(lambda batches: run(_by_length(batches)), "hid long, id long, links long, root long")
+
+
+def _by_length(batches):
+    for batch in batches:
+        sizes = np.array(pa.compute.list_value_length(batch.column("unit_a")))
+        for n in np.unique(sizes):
+            yield batch.filter(pa.array(sizes == n))
 
 
 def _units(batches):
@@ -125,18 +182,26 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     vec = F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast("array<double>"))
     rows = vectors.select(F.col(id_col).alias("id"), vec.alias("unit")).mapInArrow(_units, "id long, unit array<double>")
     rows = checkpoint(rows)
-    heads = checkpoint(rows.where("unit is not null").groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("id").alias("lo"), F.max("id").alias("hi")))
+    heads = rows.where("unit is not null").groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    heads = checkpoint(heads.withColumn("hid", F.monotonically_increasing_id()))
     n = heads.count()
     tiles = max(MIN_TILES, -(-n // TILE_ROWS))
     dealt = heads.withColumn("tile", F.pmod(F.xxhash64("unit"), F.lit(tiles)).cast("int")).withColumn("dim", F.size("unit"))
-    cells = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("id", "copies", "unit", "tile", "dim", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"))
-    found = checkpoint(cells.groupBy("dim", "i", "j").applyInPandas(lambda pdf: _cell(pdf, threshold), "id long, links long, root long"))
-    own = heads.select("unit", F.col("id").alias("head"), "copies")
-    known = rows.where("unit is not null").join(own, "unit").select("id", "head", "copies")
+    coded = checkpoint(dealt.select("hid", "id", "copies", "tile", "dim", "unit").mapInArrow(_coded, "hid long, id long, copies long, tile int, dim int, code binary, scale double, error double"))
+    met = lambda df: df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("i", F.least("tile", "k")).withColumn("j", F.greatest("tile", "k")).drop("k")
+    schema = "sort int, hid long, id long, links long, root long"
+    told = checkpoint(met(coded).groupBy("dim", "i", "j").applyInPandas(lambda pdf: _cell(pdf, threshold), schema))
+    undecided = told.where("sort = 2").select(F.col("hid").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.col("links").cast("int").alias("dim"))
+    again = met(dealt.select("hid", "id", "copies", "tile", "dim", "unit")).join(undecided, ["dim", "i", "j"])
+    again = again.groupBy("dim", "i", "j").applyInPandas(lambda pdf: _cell(pdf, threshold), schema)
+    found = told.where("sort = 0").union(again).drop("sort").union(_decided(told.where("sort = 1"), heads, threshold))
+    found = checkpoint(found)
+    own = heads.select("unit", "hid", F.col("id").alias("head"), "copies")
+    known = rows.where("unit is not null").join(own, "unit").select("id", "hid", "head", "copies")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(known.select(F.col("id").alias("a"), F.col("head").alias("b")))
     labels = components(edges.where("a <> b").distinct())
-    sums = found.groupBy(F.col("id").alias("head")).agg(F.sum("links").alias("links"))
-    counted = known.join(sums, "head", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    sums = found.groupBy("hid").agg(F.sum("links").alias("links"))
+    counted = known.join(sums, "hid", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lone = rows.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"))
     out = counted.unionByName(lone).join(labels.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")

@@ -10,7 +10,8 @@ markup gives labels where it tells (article, nav, footer, ...), and their paragr
 with menus, notices, adverts, forms, sidebars and comments, whose labels are known.
 
 Defined cases: null or empty html, and pages without main blocks, give empty text; unclosed and stray tags are closed as
-browsers do; scripts, styles, comments and hidden templates are never text; with no page to learn from, blocks are kept
+browsers do; a button, list of choices or svg left open ends at the next paragraph, heading, list or the like; the whole
+path and all words of a block count, however long; columns of other names are kept, and added ones renamed where they clash; scripts, styles, comments and hidden templates are never text; with no page to learn from, blocks are kept
 unless their own tags say otherwise; repeated rows each get a row; page ids may be null.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from tallyloom.llm.common import fresh, slices
 
-SAMPLE_PAGES = 240
+SAMPLE_PAGES, SAMPLE_CHARS = 240, 200_000
 PATH_DIM, WORD_DIM, NUMBERS = 96, 32, 8
 HIDDEN = 20
 EPOCHS = 8
@@ -39,6 +40,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg head title iframe object canvas select option textarea button".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: These end a button or a list of choices that was left open, and these an svg, as browsers and people read it.
+ENDS_CONTROL = frozenset("p h1 h2 h3 h4 h5 h6 article main section ul ol dl table blockquote pre".split())
+ENDS_SVG = ENDS_CONTROL | frozenset("body br center dd div dt hr img li menu nav header footer aside".split())
+CONTROLS = frozenset("button select option optgroup".split())
+HEAD_TAGS = frozenset("base basefont link meta noscript script style template title".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOILER = frozenset("nav header footer aside form menu ad ads advert advertisement banner promo sponsored cookie cookies notice consent sidebar comment comments reply replies related share social newsletter subscribe breadcrumb breadcrumbs pagination widget login search copyright".split())
 _WORD = re.compile(r"\w+")
@@ -48,13 +54,41 @@ def _bucket(token: str, dim: int) -> int:
     return zlib.crc32(token.encode()) % dim
 
 
+class Path:
+    """The open tags around a block; vec: their hashed words, the nearest of each weighing most."""
+
+    __slots__ = ("up", "vec", "words")
+
+    def __init__(self, up: Path | None, words: tuple[str, ...]):
+        self.up, self.words = up, words
+        self.vec = np.zeros(PATH_DIM, np.float32) if up is None else up.vec * np.float32(0.9)
+        for w in words:
+            self.vec[_bucket(w, PATH_DIM)] = 1
+
+    def __iter__(self):
+        """Each tag's words, from the outermost tag in."""
+        steps, at = [], self
+        while at is not None:
+            steps.append(at.words)
+            at = at.up
+        return reversed(steps)
+
+    @classmethod
+    def of(cls, steps) -> Path:
+        at = cls(None, ())
+        for words in steps:
+            at = cls(at, tuple(words))
+        return at
+
+
 class Blocks(HTMLParser):
     """Leaf blocks of a page: text, path words, and how much of the text is in links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.found: list[tuple[str, list[tuple[str, ...]], float]] = []
+        self.root = Path(None, ())
+        self.stack: list[tuple[str, Path]] = []
+        self.found: list[tuple[str, Path, float]] = []
         self.parts: list[str] = []
         self.linked = 0
         self.silent = 0
@@ -62,7 +96,7 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = [words for tag, words in self.stack if tag not in INLINE]
+            path = self.stack[-1][1] if self.stack else self.root
             self.found.append((text, path, min(1.0, self.linked / len(text))))
         self.parts, self.linked = [], 0
 
@@ -71,9 +105,22 @@ class Blocks(HTMLParser):
             self.silent -= tag in SILENT
         del self.stack[k:]
 
+    def _end(self, tags) -> None:
+        """Close the outermost open tag among tags, and all inside it."""
+        k = next((k for k, (name, _) in enumerate(self.stack) if name in tags), None)
+        if k is not None:
+            self._pop(k)
+
     def handle_starttag(self, tag, attrs):
+        if self.silent > 0:
+            if tag not in HEAD_TAGS and tag != "head":
+                self._end({"head"})
+            if tag in ENDS_CONTROL:
+                self._end(CONTROLS)
+            if tag in ENDS_SVG:
+                self._end({"svg"})
         if tag not in INLINE:
-            if tag not in SILENT or tag in ("title", "head"):
+            if self.silent <= 0 and (tag not in SILENT or tag in ("title", "head")):
                 self.flush()
             if tag in CLOSES_P or tag in SAME:
                 for k in range(len(self.stack) - 1, -1, -1):
@@ -83,8 +130,6 @@ class Blocks(HTMLParser):
                         break
                     if name not in INLINE:
                         break
-            if tag == "body":
-                self._pop(next((k for k, (name, _) in enumerate(self.stack) if name == "head"), len(self.stack)))
         elif tag in ("br", "img", "wbr"):
             self.parts.append(" " if tag == "br" else "")
         if tag in VOID:
@@ -93,7 +138,8 @@ class Blocks(HTMLParser):
         for k, v in attrs:
             if k in ("class", "id", "role", "itemprop") and v:
                 words += [w.lower() for w in re.split(r"[^A-Za-z]+", v) if w]
-        self.stack.append((tag, tuple(words)))
+        up = self.stack[-1][1] if self.stack else self.root
+        self.stack.append((tag, up if tag in INLINE else Path(up, tuple(words))))
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -102,10 +148,14 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE and tag not in SILENT:
+        if tag not in INLINE and tag not in SILENT and self.silent <= 0:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
+                if self.silent > 0:  # a tag inside it was left open
+                    self._pop(k + 1)
+                    if tag not in INLINE and self.silent <= 0:
+                        self.flush()
                 self._pop(k)
                 return
             if tag in INLINE and self.stack[k][0] not in INLINE:
@@ -118,7 +168,7 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks(html: str | None) -> list[tuple[str, list[tuple[str, ...]], float]]:
+def blocks(html: str | None) -> list[tuple[str, Path, float]]:
     p = Blocks()
     p.feed(html or "")
     p.close()
@@ -127,17 +177,16 @@ def blocks(html: str | None) -> list[tuple[str, list[tuple[str, ...]], float]]:
 
 
 def vectors(page) -> np.ndarray:
-    """One row per block: hashed path words (near ones weigh more), hashed words, numbers about the text."""
+    """One row per block: hashed words of its whole path and whole text, and numbers about the text."""
     out = np.zeros((len(page), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
     for k, (text, path, linked) in enumerate(page):
-        for up, words in enumerate(reversed(path[-8:])):
-            for w in words:
-                out[k, _bucket(w, PATH_DIM)] += 0.8**up
+        out[k, :PATH_DIM] = path.vec if isinstance(path, Path) else Path.of(path).vec
         words = _WORD.findall(text.lower())
-        for w in words[:60]:
-            out[k, PATH_DIM + _bucket("w" + w, WORD_DIM)] += 1 / min(len(words), 60)
+        if words:
+            hashed = np.bincount([_bucket("w" + w, WORD_DIM) for w in words], minlength=WORD_DIM)
+            out[k, PATH_DIM : PATH_DIM + WORD_DIM] = hashed / len(words)
         n = len(text)
-        out[k, -NUMBERS:] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, sum(text.count(c) for c in ".,;:!?") / n * 10, sum(map(str.isdigit, text[:400])) / min(n, 400), k / len(page), text[-1:] in ".!?…\"'", "©" in text)
+        out[k, -NUMBERS:] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, sum(text.count(c) for c in ".,;:!?") / n * 10, sum(map(str.isdigit, text)) / n, k / len(page), text[-1:] in ".!?…\"'", "©" in text)
     return out
 
 
@@ -307,6 +356,7 @@ def _layout(rng, title: str, paragraphs: list[str], spare: list[str]) -> list[tu
     if side < 0.25:
         boiler(aside + [("ul",), ("li",)], "ad", int(rng.integers(2, 6)), float(rng.random() < 0.6))
     body = pick([[("article",)], [("main",)], [("main",), ("article",)], [("div", "content")], [("div", "post", "body")], [("section", "entry", "content")], [("div", "article", "text")], [("div",)]])
+    body = body + [("div",)] * int(rng.integers(1, 14) * (rng.random() < 0.25))
     if rng.random() < 0.8:
         page.append((title, root + body + ([("header",)] if rng.random() < 0.15 else []) + [("h1",)], 0.0, 1))
     for k, p in enumerate(paragraphs):
@@ -360,10 +410,14 @@ class Model:
 
 
 def fit(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES) -> Model:
-    """A labeller trained on at most `most` pages, those with the smallest hashes."""
+    """A labeller trained on at most `most` different pages of at most `SAMPLE_CHARS` characters, those with the smallest
+    hashes. Pages are first thinned out by hash where they are, so that few more than these reach the driver."""
     html = F.col(html_col).cast("string")
-    rows = pages.where(html.isNotNull() & (F.length(html) <= 200_000)).select(html.alias("html"), F.xxhash64(html).alias("turn"))
-    sample = [r["html"] for r in rows.orderBy("turn").limit(most).collect()]
+    rows = pages.where(html.isNotNull() & (F.length(html) <= SAMPLE_CHARS)).select(html.alias("html"), F.xxhash64(html).alias("turn"))
+    n = rows.agg(F.approx_count_distinct("turn").alias("n")).first()["n"]
+    if n > 4 * most:
+        rows = rows.where(F.pmod("turn", F.lit(1_000_000)) < int(1_000_000 * 3 * most / n) + 1)
+    sample = [r["html"] for r in rows.groupBy("turn").agg(F.min("html").alias("html")).orderBy("turn").limit(most).collect()]
     made = training_pages(sample)
     return Model(train(made) if made else None)
 

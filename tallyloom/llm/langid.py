@@ -13,11 +13,12 @@ score 0; equal counts go to the language that sorts first; with nothing learned
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,8 +145,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", mos
     common = seen.where(F.col("n") >= LEAST).join(F.broadcast(totals), "lang").withColumn("f", F.col("n") / F.col("total"))
     top = common.groupBy("gram").agg(F.max("f").alias("top"))
     kept = common.join(top, "gram").where(F.col("f") >= LEAST_SHARE * F.col("top"))
-    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= MAX_GRAMS)
-    got = kept.select("lang", "gram").toPandas()
+    got = kept.where(F.col("n") >= _least_counts(kept, len(languages))).select("lang", "gram").toPandas()
     table = np.zeros((1 << SLOT_BITS, -(-len(languages) // 8)), np.uint8)
     for lang, part in got.groupby("lang"):
         for slot in _slots(part["gram"].to_numpy(np.int64).view(np.uint64)):
@@ -154,6 +154,23 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", mos
     return Model(languages, table, filled**HASHES)
 
 
+def _least_counts(kept: DataFrame, languages: int):
+    """For each row's language, the count from which on it has at most MAX_GRAMS n-grams: from a histogram of counts, whose
+    classes grow by a sixteenth, so that no task sorts a language."""
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(17 / 16)).cast("int")
+    bars = kept.groupBy("lang", step.alias("step")).agg(F.count("*").alias("grams"), F.min("n").alias("least")).collect()
+    least = {}
+    for lang in range(languages):
+        mine, total, low = sorted((r for r in bars if r["lang"] == lang), key=lambda r: -r["step"]), 0, 1 << 62
+        for r in mine:
+            total += r["grams"]
+            if total > MAX_GRAMS:
+                break
+            low = r["least"]
+        least[lang] = low
+    return F.element_at(F.create_map(*(F.lit(x) for pair in least.items() for x in pair)), F.col("lang"))
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs, without the text, with lang_pred and score."""
     rest = [c for c in docs.columns if c != text_col]

@@ -359,6 +359,7 @@ def _gathered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = checkpoint(rows.join(groups.select("node", F.col("component").alias("hub")), F.col("id") == F.col("node")).drop("node"))
     once = placed.select("hub", "id", "component", "weight").distinct()
     sizes = once.groupBy("hub").agg(F.count("*").alias("n"), F.sum("weight").alias("sum")).where(_tiles(F.col("n"), F.col("sum")) <= WHOLE_GROUP_TILES)
+    sizes = checkpoint(sizes)  # so that its size is known, and a hot group is not dealt by its hub where it is small
     whole = once.join(sizes, "hub").select(F.col("hub").alias("key"), "id", "component", "weight", "n", "sum", F.lit(0).alias("sort"))
     apart = placed.join(sizes.select("hub"), "hub", "left_anti").select("key", "id", "component", "weight", "n", "sum", F.lit(1).alias("sort"))
     return whole.unionByName(apart), once.join(sizes.select("hub"), "hub").select("id", "hub").distinct()

@@ -1,7 +1,7 @@
 """Toxic severity by cumulative-link ordinal regression on sparse word features.
 
-Grades: 0 for documents labelled clean, 1 for toxic ones of good quality, 2 for toxic ones of bad quality (the labels hold
-no finer severity). P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all ordered thresholds; x holds
+Grades: 0 for documents labelled clean, 1 for toxic ones of good quality, 2 for toxic ones of bad quality. The labels hold no
+finer severity, so that grade 2 is a stand-in, and deployments with graded labels should pass those. P(grade >= k) = sigmoid(w . x - theta_k) with one weight vector for all ordered thresholds; x holds
 1 + ln(count) of each chosen word that occurs. The expected severity is the sum of these probabilities; a document is rejected when
 P(grade >= 1) is at least `REJECT`.
 
@@ -11,7 +11,9 @@ whole text is scored.
 
 Defined cases: null, empty and wordless texts have no features, so they get the thresholds' severity alone and are kept
 unless nearly all labelled documents are toxic; without labels of both kinds nothing is learned, severity is 0 and
-nothing is rejected; labels that are null or repeated are left out or taken at their greatest.
+nothing is rejected; labels that are null or repeated are left out or taken at their greatest; repeated rows are
+judged alike, whole texts of any length; other columns are kept, and added ones renamed where they clash; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import checkpoint, fresh, slices
+from tallyloom.llm.common import at_most, checkpoint, fresh, slices
 from tallyloom.llm.decontam import Lookup
 from tallyloom.llm.words import words_of
 
@@ -85,14 +88,16 @@ def features(texts: pa.Array, look: Lookup) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(text, grade) of a sample of labelled documents, chosen by the hash of their ids."""
+    """(text, grade) of a sample of labelled documents, chosen by the hash of their ids; of rows that share an id, the one
+    with the smallest text."""
     grades = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     grades = grades.select(F.col(id_col).alias("id"), F.when(F.col("toxic") > 0, F.when(F.col("quality") > 0, 1).otherwise(2)).otherwise(0).alias("grade"))
     n = grades.count()
     if n > most:
         grades = grades.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return checkpoint(texts.join(F.broadcast(grades), "id").select("text", "grade"))
+    grades = F.broadcast(grades) if at_most(grades, 2 * most) else grades
+    return checkpoint(texts.join(grades, "id").groupBy("id", "grade").agg(F.min("text").alias("text")).select("text", "grade"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Model:
@@ -154,7 +159,8 @@ def _eta(batch: pa.RecordBatch, text_col: str, model: Model, look: Lookup) -> np
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, without the text, with severity, grade (most likely of the exceeded) and toxic (whether it is rejected)."""
+    """docs, without the text, with severity (expected), grade (the highest one whose threshold is passed with a chance of at
+    least REJECT) and toxic (whether it is rejected)."""
     rest = [c for c in docs.columns if c != text_col]
     names = fresh(docs.drop(text_col), "severity", "grade", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,12 +1,12 @@
 """URL verdicts by rules and by a list of canonical URLs, with DataFrame operations only.
 
-Rules (host, path prefix, verdict) and listed URLs become keys. A URL's own keys (its canonical form; and the host
-suffixes and path prefixes of the shapes that rules have) are tested against a blocked Bloom filter: a key's hash names
-one block of 256 bits, and six bits in it must be set. Possible hits go to an exact hash join with the keys, which removes
-false positives. The longest rule that fits decides; else the URL is blocked if it is listed.
+A URL's canonical form is tested against a blocked Bloom filter of the listed ones: its hash names one block of 256 bits,
+and six bits in it must be set. Possible hits go to an exact hash join with the list, which removes false positives. Rules
+(host, path prefix, verdict) meet URLs by each suffix of their host; the longest one that fits decides; else the URL is
+blocked if it is listed.
 
-The filter has at most `MAX_BLOCKS` blocks (2 MB) whatever the length of the list, so it can be broadcast; a longer list
-only lets more false positives through to the exact join. Equal (host, path) pairs are judged once.
+A filter of up to `MAX_BLOCKS` blocks (2 MB) is broadcast; that of a longer list is joined by block, as both sides are dealt
+evenly by the hash. Equal (host, path) pairs are judged once.
 
 Defined cases: a null URL or one without `://` has an empty host and path, no rule and verdict allow; null list
 entries and rules without a host list nothing; of equal rules with different verdicts block wins; repeated rows each get
@@ -20,12 +20,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fresh
+from tallyloom.llm.common import at_most, fresh
 
 MAX_BLOCKS = 1 << 16
 KEYS_PER_BLOCK = 16
 BITS = 6
-MAX_SHAPES = 4096
 BROADCAST_KEYS = 100_000
 
 
@@ -44,10 +43,6 @@ def canonical(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("url "), bare, trimmed))
 
 
-def _labels(host: Column) -> Column:
-    return F.size(F.split(host, r"\."))
-
-
 def _bits(key: Column) -> tuple[Column, list[Column]]:
     """The hash that picks a key's block, and the four words of bits it needs there."""
     spread = F.xxhash64(F.lit("bits"), key)
@@ -65,7 +60,7 @@ def _bits(key: Column) -> tuple[Column, list[Column]]:
 def bloom(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     """(block, w0..w3) of the filter of keys (column key), and the number of blocks it is made for."""
     blocks = 1
-    while blocks * KEYS_PER_BLOCK < n and blocks < MAX_BLOCKS:
+    while blocks * KEYS_PER_BLOCK < n:
         blocks *= 2
     at, words = _bits(F.col("key"))
     return keys.select(F.pmod(at, F.lit(blocks)).alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(words))).groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4))), blocks
@@ -78,29 +73,32 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
     rows = pages.withColumn(names[0], host).withColumn(names[1], path)
     urls = rows.select(F.col(names[0]).alias("host"), F.col(names[1]).alias("path")).distinct()
 
-    made = rules.where("host <> ''").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    rule_keys = made.select(F.concat(F.lit("rule "), F.col("host"), F.col("path")).alias("key"), F.length(F.concat("host", "path")).alias("length"), "verdict")
-    rule_keys = rule_keys.groupBy("key", "length").agg(F.max("verdict").alias("verdict"))
+    made = rules.where("host <> ''").select(F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
+    made = made.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
+    labels = F.split("host", r"\.")
+    depth = made.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    suffixes = F.transform(F.sequence(F.greatest(F.size(labels) - depth + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    made = F.broadcast(made) if at_most(made, BROADCAST_KEYS) else made
+    named = urls.where("host <> ''")
+    ruled = named.select("host", "path", F.explode(suffixes).alias("suffix")).join(made, F.col("suffix") == F.col("rule_host"))
+    ruled = ruled.where(F.col("path").startswith(F.col("rule_path"))).withColumn("rule", F.concat("rule_host", "rule_path"))
+    ruled = ruled.select("host", "path", F.struct(F.length("rule").alias("length"), "verdict", "rule").alias("best"), F.lit(False).alias("listed"))
+
     listed_host, listed_path = host_path(F.col(listed_col).cast("string"))
-    url_keys = listed.select(canonical(listed_host, listed_path).alias("key")).where("key is not null").distinct().select("key", F.lit(0).alias("length"), F.lit("block").alias("verdict"))
-    keys = rule_keys.unionByName(url_keys)
+    keys = listed.select(canonical(listed_host, listed_path).alias("key")).where("key is not null").distinct()
     n = keys.count()
-
-    shapes = made.select(_labels(F.col("host")).alias("labels"), F.length("path").alias("length")).distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules have over {MAX_SHAPES} combinations of host depth and path length")
-    own = [F.when((_labels(F.col("host")) >= s["labels"]) & (F.length("path") >= s["length"]), F.concat(F.lit("rule "), F.substring_index("host", ".", -s["labels"]), F.substring(F.col("path"), 1, s["length"]))) for s in shapes]
-    asked = urls.where("host <> ''").select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(canonical(F.col("host"), F.col("path")), *own)))).alias("key"))
+    asked = named.select("host", "path", canonical(F.col("host"), F.col("path")).alias("key"))
     at, words = _bits(F.col("key"))
     table, blocks = bloom(keys, n)
     asked = asked.select("host", "path", "key", F.pmod(at, F.lit(blocks)).alias("block"), *(w.alias(f"m{i}") for i, w in enumerate(words)))
-    possible = asked.join(F.broadcast(table), "block")
+    possible = asked.join(F.broadcast(table) if blocks <= MAX_BLOCKS else table, "block")
     for i in range(4):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
     exact = possible.select("host", "path", "key").join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys.hint("shuffle_hash"), "key")
-    fits = F.when(F.col("length") > 0, F.struct("length", "verdict", F.substring("key", 6, 1 << 30).alias("rule")))
-    verdicts = exact.groupBy("host", "path").agg(F.max(fits).alias("best"), F.bool_or(F.col("length") == 0).alias("listed"))
-    verdicts = verdicts.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "best", "listed")
-    out = rows.join(verdicts, (rows[names[0]] == verdicts["__h"]) & (rows[names[1]] == verdicts["__p"]), "left")
-    verdict = F.coalesce(F.col("best.verdict"), F.when(F.coalesce("listed", F.lit(False)), "block").otherwise("allow"))
-    return out.select(*(rows[c] for c in rows.columns), F.col("best.rule").alias(names[2]), verdict.alias(names[3]))
+    exact = exact.select("host", "path", F.lit(None).cast("struct<length:int,verdict:string,rule:string>").alias("best"), F.lit(True).alias("listed"))
+
+    h, p, best, is_listed = fresh(rows, "judged_host", "judged_path", "best", "listed")
+    verdicts = ruled.union(exact).groupBy(F.col("host").alias(h), F.col("path").alias(p)).agg(F.max("best").alias(best), F.bool_or("listed").alias(is_listed))
+    out = rows.join(verdicts, (F.col(names[0]) == F.col(h)) & (F.col(names[1]) == F.col(p)), "left")
+    verdict = F.coalesce(F.col(best)["verdict"], F.when(F.coalesce(is_listed, F.lit(False)), "block").otherwise("allow"))
+    return out.select(*(F.col(c) for c in rows.columns), F.col(best)["rule"].alias(names[2]), verdict.alias(names[3]))

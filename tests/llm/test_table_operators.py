@@ -74,6 +74,21 @@ def test_urls_match_brute_force(spark):
         assert (r["host_"], r["path"], r["rule"], r["verdict"], r["host"]) == (host, path, best and best[1], verdict, "host"), u
 
 
+def test_urls_with_clashing_columns_deep_rules_and_empty_tables(spark, monkeypatch):
+    """Also with a filter that is joined by block instead of broadcast, and a list that tells nothing in the host."""
+    monkeypatch.setattr(urls, "MAX_BLOCKS", 2)
+    pages = spark.createDataFrame([(k, f"https://h{k}.org/p", "a", "b", k) for k in range(400)] + [(999, "https://" + "a." * 20_000 + "b.c/x/y", None, None, 0)], "page_id long, url string, listed string, best string, judged_host int")
+    rules = spark.createDataFrame([("a.b.c", "/x", "block"), ("b.c", "/x/", "allow"), ("h7.org", "", "allow")], "host string, path string, verdict string")
+    listed = spark.createDataFrame([(f"http://www.h{k}.org/p/",) for k in range(0, 400, 7)], "url string")
+    out = urls.judge(pages, rules, listed)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    got = {r["page_id"]: r for r in out.collect()}
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == {k for k in range(0, 400, 7) if k != 7} | {999} - {7}
+    assert got[7]["rule"] == "h7.org" and got[999]["rule"] == "a.b.c/x" and got[3]["listed"] == "a" and got[3]["judged_host"] == 3
+    assert urls.judge(pages.limit(0), rules, listed).count() == 0
+    assert urls.judge(pages, rules.limit(0), listed.limit(0)).where("verdict = 'allow' and rule is null").count() == 401
+
+
 def test_bloom_passes_every_key_and_few_others(spark):
     from pyspark.sql import functions as F
 
@@ -116,6 +131,39 @@ def test_articles_of_real_pages_are_whole(spark, labeller):
     assert html.extract(pages.limit(0), labeller).columns == ["page_id", "url", "text", "n_chars"]
 
 
+def shown(page):
+    return [t for t, _, _ in html.blocks(page)]
+
+
+def test_text_behind_open_controls_is_not_lost():
+    assert shown("<body><button>Go<p>Article</p>") == ["Article"]
+    assert shown("<select><option>x<p>text") == ["text"]
+    assert shown("<svg><p>in</p>") == ["in"]
+    assert shown("<head><title>T</title><article>No body tag</article>") == ["No body tag"]
+    assert shown("<p>One <button>Go</button> two<svg><text>no</text></svg> three</p>") == ["One two three"]
+    assert len(shown("<div>x" * 3000)) == 3000
+
+
+LONG = " ".join(f"Sentence number {k} goes on, and on." for k in range(2000))
+HAND_MADE = [
+    ("<html><body><div><h1>Harbour opens again</h1><p>The harbour opened on Monday, after two years of work.</p><p>Ships came in from the north.</p></div></body></html>", ["Harbour opens again", "The harbour opened on Monday, after two years of work.", "Ships came in from the north."]),
+    ("<body><nav><a href=/a>Home</a> <a href=/b>News</a></nav><main><p>Only this one is the text, says the editor.</p></main><footer>All rights reserved.</footer>", ["Only this one is the text, says the editor."]),
+    (f"<body><header><a href=/>Site</a></header><article><h1>Long</h1><p>{LONG}</p></article><aside><ul><li><a>Buy now and save 50%</a></ul></aside></body>", ["Long", LONG]),
+    ("<article>" + "<div>" * 12 + "<p>Deep inside many boxes there is a paragraph of the article.</p>" + "</div>" * 12 + "</article><div class=comments><div class=comment><p>Nice one, thanks!</p></div></div>", ["Deep inside many boxes there is a paragraph of the article."]),
+]
+
+
+@pytest.mark.parametrize("page, want", HAND_MADE)
+def test_hand_written_pages(labeller, page, want):
+    assert labeller.texts([page]) == ["\n".join(want)]
+
+
+def test_repeats_and_clashing_columns_of_pages(spark, labeller):
+    pages = spark.createDataFrame([(1, HAND_MADE[1][0], "t"), (1, HAND_MADE[1][0], "t"), (None, None, None)], "page_id long, html string, text string")
+    out = html.extract(pages, labeller)
+    assert out.columns == ["page_id", "text", "text_", "n_chars"] and sorted(r["n_chars"] for r in out.collect()) == [0, 43, 43]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     w = {k: x.astype(np.float64) for k, x in html.start_weights(5, rng).items()}
@@ -170,6 +218,28 @@ def test_links_match_brute_force(spark, monkeypatch, rows_a_tile):
     assert embeddings.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("open_pairs", [0, 10**6])
+def test_pairs_that_codes_leave_open(spark, monkeypatch, open_pairs):
+    """Many cosines lie at 0.9: they are decided pair by pair, or by their tiles' vectors."""
+    monkeypatch.setattr(embeddings, "TILE_ROWS", 60)
+    monkeypatch.setattr(embeddings, "OPEN_PAIRS", open_pairs)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((4, 8))
+    x = base[rng.integers(4, size=200)] + rng.standard_normal((200, 8)) * 0.33
+    rows = [(k // 2 if k < 20 else k, [float(c) for c in v]) for k, v in enumerate(x)] + [(500, [1.0] * 5), (501, [1.0] * 5), (502, [1.0, 1.0, 1.0, 1.0, 1.1])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, unit string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near(docs).collect())
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[len(u) == len(v) and k != j and u @ v >= 0.9 for j, v in enumerate(unit)] for k, u in enumerate(unit)]
+    parent = {i: i for i, _ in rows}
+    for _ in rows:
+        for k, (i, _) in enumerate(rows):
+            for j, ok in enumerate(near[k]):
+                if ok:
+                    parent[i] = parent[rows[j][0]] = min(parent[i], parent[rows[j][0]])
+    assert got == sorted((i, sum(near[k]), parent[i]) for k, (i, _) in enumerate(rows))
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((500, 48))

@@ -45,6 +45,31 @@ def test_bpe_cuts_do_not_change_ids(monkeypatch):
     assert len(list(c.pieces(text))) > 50 and c.encode(text) == whole
 
 
+def test_bpe_of_very_long_white_space(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c = bpe.codec(open(RANKS, "rb").read(), PATTERN)
+    for run in (" " * 3000, "\n" * 3000, " \n\t\u00a0\u3000" * 400 + " "):
+        for text in (run, "a" + run, run + "b", f"It's 1 {run}word{run}, and {run}\x1c{run}.", f"x{run}\n", run * 2 + "é"):
+            assert c.encode(text) == plain.encode_ordinary(text)
+    texts = [" " * 2_000_000, "\n" * 1_500_000 + "end", "x" * 2_000_000]
+    got = bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, PATTERN).orderBy("doc_id").collect()
+    assert all(r["round_trip"] for r in got) and got[0]["n_tokens"] == 2_000_000
+
+
+def test_bpe_clashes_empty_tables_and_ids_outside_the_ranks(spark):
+    docs = spark.createDataFrame([(1, "abc", 7, 8)], "doc_id long, text string, ids int, decoded int")
+    out = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN, ids_col="ids_")
+    assert out.columns == [*docs.columns, "ids_", "decoded_"] and bytes(out.first()["decoded_"]) == b"abc"
+    assert bpe.encode(docs.limit(0), RANKS, PATTERN).count() == bpe.digests(docs.limit(0), RANKS, PATTERN).count() == 0
+    odd = spark.createDataFrame([([1, 10**6],), ([-1],), ([],), (None,)], "ids array<int>")
+    assert [r["decoded"] and bytes(r["decoded"]) for r in bpe.decode(odd, RANKS, PATTERN).collect()] == [None, None, b"", None]
+
+
 def test_encode_then_decode(spark):
     docs = spark.createDataFrame([(1, "abc def", 7), (2, None, 8)], "doc_id long, text string, ids_sha256 int")
     out = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN).orderBy("doc_id").collect()
@@ -92,6 +117,15 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, most):
     assert clean.count() == sum(not r[-1] for r in got)
 
 
+def test_decontamination_in_parts_tells_equal_ids_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_TOKENS", 1)
+    item = " ".join(f"i{k}" for k in range(12))
+    docs = [(1, " ".join(f"d{k}" for k in range(12))), (1, item), (None, item), (None, " ".join(f"e{k}" for k in range(12))), (7, ("x " * 30_000) + item)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    got = sorted((tuple(r) for r in decontam.report(d, b).collect()), key=str)
+    assert got == brute_hits(docs, [(1, item), (2, item)])
+
+
 def test_decontamination_without_items(spark):
     d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(d, b).first()["n_hit"] == 0 and decontam.clean(d, b).count() == 1 and decontam.report(d.limit(0), b).count() == 0
@@ -138,6 +172,28 @@ def test_severity_without_labels(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_severity_against_the_words_that_were_planted(spark):
+    """The learned weights order documents as the planted severity does: more bad words, and worse labels, a higher one."""
+    docs, labels = [], []
+    rng = random.Random(8)
+    for k in range(900):
+        grade = k % 3
+        w = [rng.choice([f"c{j}" for j in range(200)]) for _ in range(40)] + ["vile"] * (grade == 1) + ["abhorrent"] * (grade == 2)
+        rng.shuffle(w)
+        docs.append((k, " ".join(w), "x"))
+        labels.append((k, int(grade < 2), int(grade > 0)))
+    docs += [(5, "c1 c2", "again"), (5, "c1 c2", "again"), (2000, "word " * 200_000 + "abhorrent", "long")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, severity string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = toxicity.score(d, model)
+    assert out.columns == ["doc_id", "severity", "severity_", "grade", "toxic"]
+    rows = out.collect()
+    by_grade = [[r["severity_"] for r in rows if r["doc_id"] < 900 and r["doc_id"] % 3 == g and r["severity"] == "x"] for g in range(3)]
+    assert max(by_grade[0]) < min(by_grade[1]) and max(by_grade[1]) < min(by_grade[2])
+    assert [r["grade"] for r in rows if r["doc_id"] == 2000] == [2]
+    assert len({(r["severity_"], r["grade"]) for r in rows if r["severity"] == "again"}) == 1
+
+
 # Language
 
 
