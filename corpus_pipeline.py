@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame, which is
 written as Parquet and read again before the next. All stages but the last return the columns of documents.
+
+Defined cases: null, empty and wordless texts are kept by all stages (as near-duplicates of nothing); rows with a null
+doc_id are kept unless a stage rejects their text; of rows that share a doc_id one stays; texts count whole, however long;
+extra columns, whatever their names, stay until the last stage; empty tables give no rows; without labels of both kinds
+nothing is rejected as toxic, and an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ STAGES = [
     ("byte_bpe", bpe_stage),
 ]
 
-#: The stages hash by seeds, fit a model and run BPE, which SQL can't express; tests hold run() against brute force.
+#: The stages hash by seeds, fit a model and run BPE, which SQL can't express; a test holds run() against plain Python.
 ORACLE_SQL = None
 
 
