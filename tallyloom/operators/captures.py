@@ -12,10 +12,27 @@ from tallyloom.functions.joins import small, stored
 
 C = F.col
 # What tells a page that is no content, and the words that are counted.
-BAD_TITLES = [("access denied", "access_denied"), ("just a moment", "bot_check"), ("page not found", "not_found"), ("404", "not_found"), ("attention required", "bot_check")]
-BAD_TEXTS = [("verify you are human", "bot_check"), ("enable javascript", "needs_javascript"), ("access denied", "access_denied"), ("unusual traffic", "bot_check")]
-BAD_URLS = [("/404", "not_found"), ("captcha", "bot_check"), ("/error", "error_page")]
-COUNTED = ["sale", "deal", "offer", "discount", "promo", "coupon", "reward", "free", "save", "clearance", "member", "off"]
+BAD_TITLES = [
+    ("access denied", "access_denied"), ("access to this page has been denied", "access_denied"),
+    ("404 not found", "page_not_found"), ("page not found", "page_not_found"), ("page not available", "page_not_found"), ("oops page not found", "page_not_found"),
+    ("site offline", "site_offline"), ("something went wrong", "generic_error"), ("routing to checkout", "bot_or_queue_page"),
+]
+BAD_TEXTS = [
+    ("access to this page has been denied", "access_denied"), ("access denied", "access_denied"),
+    ("enable javascript and cookies", "bot_or_queue_page"), ("verify you are human", "bot_or_queue_page"), ("request unsuccessful", "bot_or_queue_page"),
+    ("something went wrong", "generic_error"),
+]
+BAD_URLS = [("/pagenotfound", "page_not_found"), ("/page-not-found", "page_not_found"), ("/verify?", "bot_or_queue_page"), ("/dduser-challenge", "bot_or_queue_page"), ("queue.", "bot_or_queue_page")]
+COUNTED = ["reward", "offer", "deal", "discount", "promo", "app", "member", "birthday", "expires", "valid", "coupon", "free"]
+FAILURES = [
+    ("timed out", "LLM timeout"), ("invalid json", "invalid JSON from LLM"), ("json decode", "invalid JSON from LLM"),
+    ("no concrete", "no concrete promotion extracted"), ("no promotion", "no concrete promotion extracted"),
+    ("pydantic", "LLM output failed validation"), ("validation", "LLM output failed validation"), ("404", "Ollama model not found (404)"),
+    ("connection", "connection error"), ("valid json", "invalid JSON from LLM"),
+    ("could not extract", "LLM returned no promotions list"), ("promotions list", "LLM returned no promotions list"),
+]
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 CANDIDATE_WORDS = ["reward", "offer", "deal", "promo", "discount", "valid", "expires", "birthday", "membership", "app", "sale", "off", "clearance", "savings", "coupon", "free", "redeem", "code"]
 BLOCK_SIGNALS = ["access denied", "forbidden", "cloudflare", "captcha", "are you human", "just a moment", "checking your browser", "enable javascript", "pardon our interruption", "security check", "robot or human", "ddos-guard", "ray id"]
 
@@ -86,10 +103,13 @@ def section_hashes(sections: DataFrame) -> DataFrame:
 
 
 def raw_text_summary(captures: DataFrame) -> DataFrame:
-    """Length, lines, the start, and how often each counted word is a part of the text."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    n = lambda w: ((F.length(text) - F.length(F.replace(text, F.lit(w), F.lit("")))) / len(w)).cast("long")
-    return captures.select("doc_id", "brand", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), F.size(F.split("text", "\n")).cast("long").alias("lines"), F.substring("text", 1, 500).alias("start"), *(n(w).alias(f"n_{w}") for w in COUNTED))
+    """Length, lines, the start with spaces for line feeds, and how often each counted word is a part of the text."""
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
+    n = lambda w: ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("long")
+    open_line = ((text != "") & ~text.rlike(f"(?:{LINE_END})\\z")).cast("long")
+    lines = F.regexp_count(text, F.lit(LINE_END)) + open_line
+    return captures.select("doc_id", "brand", F.length(text).cast("long").alias("length"), lines.alias("lines"), F.replace(F.substring(text, 1, 500), F.lit("\n"), F.lit(" ")).alias("start"), *(n(w).alias(f"n_{w}") for w in COUNTED))
 
 
 def text_candidates(captures: DataFrame) -> DataFrame:
@@ -113,11 +133,10 @@ def keep_previous_if_empty(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def classify_failures(failures: DataFrame) -> DataFrame:
-    """Reasons for error texts, the first that fits; else the first 120 characters."""
-    rules = [("timeout", "timeout"), ("timed out", "timeout"), ("403", "blocked"), ("captcha", "blocked"), ("404", "not_found"), ("json", "bad_model_output"), ("connection", "network"), ("dns", "network")]
+    """Reasons for error texts, the first that fits; else the first 120 characters in one line."""
     e = F.lower("error")
-    reason = F.substring("error", 1, 120)
-    for word, name in reversed(rules):
+    reason = F.substring(F.replace("error", F.lit("\n"), F.lit(" ")), 1, 120)
+    for word, name in reversed(FAILURES):
         reason = F.when(e.contains(word), name).otherwise(reason)
     return failures.withColumn("reason", reason)
 
@@ -125,7 +144,7 @@ def classify_failures(failures: DataFrame) -> DataFrame:
 def pipeline_log_summary(lines: DataFrame) -> DataFrame:
     """How many lines report each outcome, and the brands named in them."""
     outcome = F.regexp_extract("value", r"(?:-> |\[)(success|skipped|failed|OK|SKIP|FAILED)\b", 1)
-    brand = F.regexp_extract("value", r"^\s*([^:\[\]]+?):", 1)
+    brand = F.regexp_extract("value", r"^(?:\[\w+\] )?\s*([^:\[\]]+?):", 1)
     d = lines.select(F.lower(outcome).alias("outcome"), F.nullif(brand, F.lit("")).alias("brand")).where("outcome <> ''")
     return d.groupBy("outcome").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("brand")), ",").alias("brands"))
 

@@ -21,7 +21,9 @@ MEMBER = r"(?i)\b(?:rewards?|loyalty|insider|circle|plus|elite|member)\s+(?:memb
 # Bonuses and thresholds of push messages.
 BONUS = {"fav_brand": 35.0, "fav_cat": 20.0, "searched_brand": 55.0, "searched_cat": 30.0, "clicked_brand": 45.0, "clicked_cat": 20.0}
 PERSONAL, UNKNOWN = 90.0, 110.0
-NOTIFY_FLOOR, MIN_GROUPS = 65.0, 2
+NOTIFY_FLOOR, MIN_GROUPS, LEAST_CONFIDENCE = 65.0, 2, 0.75
+BOGO = r"(?i)\bbogo\b|buy.one.get.one"
+TRIAL = r"(?i)\bfree\s+trial\b|\btrial\b|\d+\s+(?:months?|weeks?|days?)\s+free"
 DEMOGRAPHIC = r"(?i)\b(veteran|veterans|military|active[- ]duty|student|students|teacher|teachers|senior|seniors|first[- ]responder|first[- ]responders|healthcare|nurse|nurses|employee\s+discount|staff\s+discount)\b"
 
 
@@ -131,16 +133,44 @@ def merge_user_email_deals(catalog: DataFrame, deals: DataFrame, as_of: Column,
     return both.select("user_id", C("b").alias("brand_key"), C("t").alias("title_key"), "score", "shared_score", F.when(C("shared_score").isNull() | (C("score") > C("shared_score")), "email").otherwise("catalog").alias("winner"))
 
 
-def notification_candidates(offers: DataFrame, favourites: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
-    """Every offer with its first disqualifier, or null, and the groups of signals it has; candidates need two groups."""
-    d = offers.join(favourites.select("brand", F.lit(True).alias("_fav")).distinct(), "brand", "left").join(members.select("brand", F.lit(True).alias("_mem")).distinct(), "brand", "left")
-    text = F.concat_ws(" ", "promotion_title", "short_summary")
-    days = F.datediff("end_date", F.to_date(as_of))
-    personal = F.coalesce("_fav", F.lit(False)) | F.coalesce("_mem", F.lit(False))
-    value = (C("effective_discount_pct") >= 40) | (C("estimated_savings") >= 20)
-    context = days.between(0, 1) | (~C("requires_membership") & ~C("requires_app"))
-    groups = F.array_compact(F.array(F.when(personal, "personal"), F.when(value, "value"), F.when(context, "context")))
-    skip = F.when(C("global_quality_score") < NOTIFY_FLOOR, "below_threshold").when(days < 0, "expired").when(text.rlike(DEMOGRAPHIC), "demographic").when((C("membership_cost") == "paid") & C("requires_membership") & ~F.coalesce("_mem", F.lit(False)), "paid_membership").when(F.size(groups) < MIN_GROUPS, "too_few_signals")
+def notification_candidates(offers: DataFrame, favourites: DataFrame, members: DataFrame, affinity: DataFrame, as_of: Column, birthday: Column | None = None) -> DataFrame:
+    """Every offer with its first disqualifier, or null, and the groups of signals it has; candidates need two groups.
+
+    favourites, members and affinity (with email_count) tell of brands; birthday is the user's. Columns that offers lack
+    (valid_days, new_user_only, ...) count as null."""
+    given = lambda name, kind: C(name) if name in offers.columns else F.lit(None).cast(kind)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    key = F.regexp_replace(F.lower(F.coalesce("brand", F.lit(""))), "[^a-z0-9]", "").alias("_key")
+    flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    known = affinity.groupBy(key).agg(F.max("email_count").alias("_emails"))
+    d = offers.withColumn("_key", key).join(flag(favourites, "_fav"), "_key", "left").join(flag(members, "_mem"), "_key", "left").join(known, "_key", "left")
+    today = F.to_date(as_of)
+    days, title, kind = F.datediff("end_date", today), F.coalesce("promotion_title", F.lit("")), F.coalesce("discount_type", F.lit(""))
+    valid = F.transform(F.coalesce(given("valid_days", "array<string>"), F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    names = [F.lower(F.date_format(today, f)) for f in ("EEEE", "EEE")]
+    member = yes(C("_mem"))
+    birth = F.to_date(birthday) if birthday is not None else F.lit(None).cast("date")
+    this_year = F.add_months(birth, (F.year(today) - F.year(birth)) * 12)
+    next_birth = F.when(this_year < today, F.add_months(birth, (F.year(today) + 1 - F.year(birth)) * 12)).otherwise(this_year)
+    private = given("email_date", "date").isNotNull() | yes(given("source_type", "string") == "email") | yes(given("visibility", "string") == "private_user_offer")
+    personal = yes(C("_fav")) | yes(C("_emails") >= 10) | private | member | (yes(given("birthday_related", "boolean")) & yes(F.datediff(next_birth, today).between(0, 30)))
+    percent = F.nullif(F.regexp_extract(F.coalesce("discount_value", F.lit("")), r"(\d+(?:\.\d+)?)\s*%", 1), F.lit("")).cast("double")
+    value = ((kind == "free_item") & ~title.rlike(TRIAL)) | title.rlike(BOGO) | ((kind == "percentage_off") & yes(percent >= 50)) | yes(days.between(0, 1))
+    only_today = ((F.size(valid) == 1) & F.element_at(F.concat(valid, F.array(F.lit(""))), 1).isin(*names)) | yes(days == 0)
+    easy = ~yes(C("requires_membership")) & ~yes(C("requires_app")) & (F.coalesce(given("minimum_spend", "double"), F.lit(0.0)) == 0) & ~yes(given("purchase_required", "boolean"))
+    groups = F.array_compact(F.array(F.when(personal, "personal"), F.when(value, "value"), F.when(only_today | easy, "context")))
+    text = F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(given("short_summary", "string"), F.lit("")), F.nullif(given("terms_text", "string"), F.lit("")))
+    other_day = (F.size(valid) > 0) & ~F.exists(valid, lambda x: x.isin(*names))
+    skip = (
+        F.when(F.coalesce("global_quality_score", F.lit(0.0)) < NOTIFY_FLOOR, "below_threshold")
+        .when(F.coalesce("confidence_score", F.lit(0.0)) < LEAST_CONFIDENCE, "low_confidence")
+        .when(kind == "points", "points")
+        .when(other_day, "wrong_day")
+        .when(text.rlike(DEMOGRAPHIC), "demographic_restricted")
+        .when(yes(C("requires_membership")) & yes(F.lower("membership_cost").contains("paid")) & ~member, "paid_membership_not_member")
+        .when(yes(given("new_user_only", "boolean")) & (member | yes(C("_emails") >= 3)), "new_user_only_existing_customer")
+        .when(F.size(groups) < MIN_GROUPS, "insufficient_signal_diversity")
+    )
     return d.select(*offers.columns, groups.alias("signal_groups"), skip.alias("skip_reason"), offer_id(C("brand"), C("promotion_title")).alias("promo_id"))
 
 

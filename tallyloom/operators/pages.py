@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tags without visible text, and short or long lines that are no content.
-DROPPED = frozenset("script style noscript svg nav footer header iframe".split())
-NOISE = ("cookie", "privacy policy", "terms of use", "all rights reserved", "skip to content", "sign in", "accept all")
-LEGAL = ("terms and conditions", "arbitration", "liability", "warranty")
+# Tags without visible text, paths of links that lead to no offer, and short or long lines that are no content.
+DROPPED = frozenset("script style noscript svg canvas iframe nav footer".split())
+NO_OFFER = "cart checkout account login sign-?in sign-?up register logout wishlist search help support contact about faq returns? shipping privacy terms sitemap legal accessibility careers? press blog stores? locations? store-?finder find-a-store"
+NOISE = ("accept cookies", "cookie policy", "privacy policy", "terms of use", "skip to main content")
+LEGAL = r"redeemable transferable prohibited liability pursuant void\b indemnif arbitration sublicense warranties governing\s+law jurisdiction severab"
+_NO_OFFER = re.compile(f"/?(?:{NO_OFFER.replace(' ', '|')})(?:/|$|\\?)", re.IGNORECASE)
+_LEGAL = re.compile(rf"\b(?:{LEGAL.replace(' ', '|')})\b", re.IGNORECASE)
 _BLOCK = frozenset("p div li ul ol br h1 h2 h3 h4 h5 h6 tr td th section article main aside form table blockquote title".split())
 
 
@@ -39,8 +42,9 @@ class _Visible(HTMLParser):
             self.parts.append("\n")
         elif tag == "a" and self.link is not None:
             label = " ".join("".join(self.parts[self.label :]).split())
-            if not self.hidden and self.link.startswith("/") and not self.link.startswith("//") and len(label) > 3 and self.link.count("/") > 1:
-                self.parts.append(f" [deal_url:{self.link}]")
+            link = self.link.strip()
+            if not self.hidden and len(link) > 1 and link.startswith("/") and not link.startswith("//") and len(label) > 4 and not _NO_OFFER.match(link) and "#" not in link.split("?")[0]:
+                self.parts.append(f" [deal_url:{link}]")
             self.link = None
 
     def handle_data(self, data):
@@ -57,7 +61,7 @@ def visible_text(html: str | None) -> str:
     for line in "".join(p.parts).split("\n"):
         line = re.sub(r"\s+", " ", line).strip()
         low = line.lower()
-        if not line or line in seen or (len(line) < 120 and any(x in low for x in NOISE)) or (len(line) > 400 and any(x in low for x in LEGAL)):
+        if not line or line in seen or (len(line) < 120 and any(x in low for x in NOISE)) or (len(line) > 400 and _LEGAL.search(line)):
             continue
         seen.add(line)
         out.append(line)

@@ -28,7 +28,25 @@ def _emails(spark, sf_dir):
 def _pages(spark, sf_dir):
     k = C("doc_id") % 7
     d = _captures(spark, sf_dir)
-    return d.select("doc_id", F.when(k == 0, "Access Denied").when(k == 1, "404 - oops").otherwise(C("brand")).alias("title"), F.when(k == 2, F.concat(F.lit("Please verify you are HUMAN. "), C("text"))).otherwise(C("text")).alias("text"), F.when(k == 3, "https://x.example.com/captcha?a=1").otherwise("https://x.example.com/").alias("final_url"))
+    title = F.when(k == 0, "Access Denied").when(k == 1, "Oops Page Not Found").when(k == 5, "Something went wrong.").otherwise(C("brand"))
+    return d.select("doc_id", title.alias("title"), F.when(k == 2, F.concat(F.lit("Please verify you are HUMAN. "), C("text"))).otherwise(C("text")).alias("text"), F.when(k == 3, "https://x.example.com/Verify?a=1").when(k == 4, "https://x.example.com/page-not-found").otherwise("https://x.example.com/").alias("final_url"))
+
+
+def _errors(spark, sf_dir):
+    said = F.element_at(F.array(*(F.lit(x) for x in ("Request TIMED out", "Invalid JSON at 3", "no concrete offer", "ValidationError: validation", "HTTP 404", "connection refused", "not valid json", "could not extract", "odd\nerror"))), (C("doc_id") % 9 + 1).cast("int"))
+    return _captures(spark, sf_dir).select("doc_id", F.concat_ws(" ", said, F.when(C("doc_id") % 9 == 8, C("text"))).alias("error"))
+
+
+def _log(spark, sf_dir):
+    k = C("doc_id") % 4
+    line = F.when(k == 0, F.concat(F.lit("[FAILED] "), "brand", F.lit(": C:/failed/x.json"))).when(k == 1, F.concat(F.lit("[OK] "), "brand", F.lit(": 3 offers"))).when(k == 2, F.concat("brand", F.lit(": https://x.example.com -> skipped"))).otherwise(F.lit("nothing to tell"))
+    return _captures(spark, sf_dir).select(line.alias("value"))
+
+
+def _kept(spark, sf_dir):
+    """New offers of some brands, and the old ones of the rest."""
+    offers = domain(spark, sf_dir, "offers").select("pos", "brand", "promotion_title")
+    return cap.keep_previous_if_empty(offers.where("brand < 'Brand#2'"), offers.where("pos % 2 = 0"))
 
 
 def _sources(spark, sf_dir):
@@ -48,9 +66,16 @@ def _signals(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    c = catalog(spark, sf_dir)
+    k = C("pos")
+    c = catalog(spark, sf_dir).withColumns({
+        "valid_days": F.when(k % 5 == 0, F.array(F.lit("Mon"))).when(k % 5 == 1, F.array(F.lit("wednesday"))).when(k % 5 == 2, F.array(F.lit("Tue"), F.lit("Wed"))),
+        "new_user_only": k % 7 == 0, "birthday_related": k % 6 == 0, "purchase_required": k % 4 == 0,
+        "minimum_spend": F.when(k % 11 == 0, 20.0), "visibility": F.when(k % 9 == 0, "private_user_offer").otherwise("public_general_offer"),
+    })
     users = domain(spark, sf_dir, "users")
-    return op.notification_candidates(c, users.where("user_id % 7 = 0").select(C("favorite_brand").alias("brand")), users.where("user_id % 11 = 0").select(C("favorite_brand").alias("brand")), now())
+    brands = lambda where: users.where(where).select(F.upper("favorite_brand").alias("brand"))
+    affinity = users.groupBy(C("favorite_brand").alias("brand")).agg(F.count_if(C("user_id") % 9 == 0).alias("email_count"))
+    return op.notification_candidates(c, brands("user_id % 150 = 7"), brands("user_id % 150 = 11"), affinity, now(), F.lit("1990-02-10").cast("date"))
 
 
 def _push(spark, sf_dir):
@@ -77,6 +102,9 @@ def _ranked(spark, sf_dir):
 
 QUERIES = {
     "detect_bad_page": lambda s, d: cap.detect_bad_page(_pages(s, d)).select("doc_id", "bad_reason"),
+    "classify_failures": lambda s, d: cap.classify_failures(_errors(s, d)).select("doc_id", "reason"),
+    "pipeline_log_summary": lambda s, d: cap.pipeline_log_summary(_log(s, d)),
+    "keep_previous_if_empty": _kept,
     "capture_status": lambda s, d: cap.capture_status(_captures(s, d), _captures(s, d).where("doc_id % 4 = 0").select("brand", F.sha2("text", 256).alias("content_hash"))).select("doc_id", "content_hash", "status"),
     "keep_latest_captures": lambda s, d: cap.keep_latest_captures(_captures(s, d), 3).select("doc_id", "brand", "place"),
     "combine_sections": _combined,
@@ -99,7 +127,8 @@ QUERIES = {
 }
 
 _COUNT = "cast((length(lower({c})) - length(replace(lower({c}), '{w}', ''))) / {n} as bigint)"
-_HITS = " + ".join(f"length(regexp_extract_all(lower(text), '\\b{w}\\b'))" for w in cap.COUNTED)
+_HITS = " + ".join(f"length(regexp_extract_all(lower(text), '\\b{w}\\b'))" for w in cap.CANDIDATE_WORDS)
+_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _LATEST = "latest as (select *, row_number() over (partition by brand order by scraped_at desc, doc_id desc) as place from captures)"
 _TC = f"{_LATEST}, tc as (select doc_id, brand, length(text) as length, {_HITS} as hits, case when length(text) >= 300 then 'usable' else 'too_short' end as status from latest where place = 1)"
 _SIG = f"""sig as (select *, concat(subject, chr(10), body) as txt from emails), x as (select *, list_distinct_in_order(regexp_extract_all(txt, '{op.CODE}', 1)) as codes from sig)"""
@@ -118,18 +147,34 @@ rk as (select *, case when hid then 0 else greatest(0, least(100, case when q <>
   case when hid then 'hidden_brand' else concat_ws(',', case when f0 then 'favorite_brand' end, case when f1 then 'favorite_category' end, case when f2 then 'brand_affinity' end, case when f3 then 'category_affinity' end, case visibility when 'private_user_offer' then 'private_email_offer' when 'member_offer' then 'member_email_offer' end,
   case when kind = 'free_item' then 'free_item,matches_free_priority' end, case when title like 'BOGO%' then 'matches_bogo_priority' end, case when kind = 'points' and not f0 then 'points_without_affinity' end, case when needs and visibility <> 'member_offer' then 'membership_required' end) end as reasons,
   sha256(concat_ws(chr(10), cast(user_id as varchar), message_id, brand, title, kind, '20%', '')) as fingerprint from flags)"""
-_NOTE = f"""note as (select c.*, brand in (select favorite_brand from users where user_id % 7 = 0) as fav, brand in (select favorite_brand from users where user_id % 11 = 0) as mem from cat c),
-n2 as (select *, fav or mem as g1, pct >= 40 or saved_value >= 20 as g2, coalesce(end_date - date '2024-01-31' between 0 and 1, false) or (not requires_membership and not requires_app) as g3 from note),
-n3 as (select *, case when q < 65 then 'below_threshold' when end_date < date '2024-01-31' then 'expired' when regexp_matches(concat_ws(' ', promotion_title, short_summary), '{op.DEMOGRAPHIC}') then 'demographic' when membership_cost = 'paid' and requires_membership and not mem then 'paid_membership'
-  when cast(g1 as int) + cast(g2 as int) + cast(g3 as int) < 2 then 'too_few_signals' end as skip_reason from n2)"""
+_KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+_NOTE = f"""ub as (select {_KEY.format('favorite_brand')} as k, bool_or(user_id % 150 = 7) as fav, bool_or(user_id % 150 = 11) as mem, count(*) filter (where user_id % 9 = 0) as emails from users group by 1),
+note as (select c.*, coalesce(u.fav, false) as fav, coalesce(u.mem, false) as mem, coalesce(u.emails, 0) as emails, end_date - date '2024-01-31' as days from cat c left join ub u on u.k = {_KEY.format('c.brand')}),
+n2 as (select *, fav or mem or emails >= 10 or pos % 9 = 0 or pos % 6 = 0 as g1,
+  coalesce(discount_type = 'free_item', false) and not regexp_matches(promotion_title, '{op.TRIAL}') or regexp_matches(promotion_title, '{op.BOGO}')
+  or discount_type = 'percentage_off' and coalesce(try_cast(regexp_extract(discount_value, '([0-9]+) *%', 1) as double) >= 50, false) or coalesce(days between 0 and 1, false) as g2,
+  pos % 5 = 1 or coalesce(days = 0, false) or (not requires_membership and not requires_app and pos % 11 <> 0 and pos % 4 <> 0) as g3 from note),
+n3 as (select *, case when q < 65 then 'below_threshold' when confidence_score < 0.75 then 'low_confidence' when discount_type = 'points' then 'points' when pos % 5 = 0 then 'wrong_day'
+  when regexp_matches(concat_ws(' ', promotion_title, short_summary), '{op.DEMOGRAPHIC}') then 'demographic_restricted' when contains(membership_cost, 'paid') and requires_membership and not mem then 'paid_membership_not_member'
+  when pos % 7 = 0 and (mem or emails >= 3) then 'new_user_only_existing_customer' when cast(g1 as int) + cast(g2 as int) + cast(g3 as int) < 2 then 'insufficient_signal_diversity' end as skip_reason from n2)"""
 _CAT_VALUE = _CAT.replace("select * exclude (saved), concat", "select * exclude (saved), saved as saved_value, concat")
 
 ORACLE_SQL = {
-    "detect_bad_page": f"""{ctes('captures')} select doc_id, case when doc_id % 7 = 0 then 'access_denied' when doc_id % 7 = 1 then 'not_found' when doc_id % 7 = 2 then 'bot_check' when contains(lower(substr(text, 1, 1200)), 'enable javascript') then 'needs_javascript' when doc_id % 7 = 3 then 'bot_check' end as bad_reason from captures""",
+    "detect_bad_page": f"""{ctes('captures')}, p as (select *, lower(substr(case when doc_id % 7 = 2 then concat('Please verify you are HUMAN. ', text) else text end, 1, 1200)) as t from captures)
+select doc_id, case when doc_id % 7 = 0 then 'access_denied' when doc_id % 7 = 1 then 'page_not_found' when doc_id % 7 = 5 then 'generic_error' when contains(t, 'access denied') or contains(t, 'access to this page has been denied') then 'access_denied'
+  when contains(t, 'enable javascript and cookies') or contains(t, 'verify you are human') or contains(t, 'request unsuccessful') then 'bot_or_queue_page' when contains(t, 'something went wrong') then 'generic_error'
+  when doc_id % 7 = 3 then 'bot_or_queue_page' when doc_id % 7 = 4 then 'page_not_found' end as bad_reason from p""",
+    "classify_failures": f"""{ctes('captures')} select doc_id, case doc_id % 9 when 0 then 'LLM timeout' when 1 then 'invalid JSON from LLM' when 2 then 'no concrete promotion extracted' when 3 then 'LLM output failed validation' when 4 then 'Ollama model not found (404)'
+  when 5 then 'connection error' when 6 then 'invalid JSON from LLM' when 7 then 'LLM returned no promotions list' else
+  case {' '.join(f"when contains(lower(text), '{w}') then '{r}'" for w, r in cap.FAILURES)} else substr(concat('odd error ', replace(text, chr(10), ' ')), 1, 120) end end as reason from captures""",
+    "pipeline_log_summary": f"""{ctes('captures')}, l as (select case doc_id % 4 when 0 then 'failed' when 1 then 'ok' when 2 then 'skipped' end as outcome, brand from captures)
+select outcome, count(*) as n, array_to_string(list_sort(list_distinct(list(brand))), ',') as brands from l where outcome is not null group by 1""",
+    "keep_previous_if_empty": f"{ctes('offers')} select pos, brand, promotion_title from offers where brand < 'Brand#2' union all select pos, brand, promotion_title from offers where pos % 2 = 0 and brand >= 'Brand#2'",
     "capture_status": f"{ctes('captures')} select doc_id, sha256(text) as content_hash, case when length(text) < 100 then 'failed' when exists (select 1 from captures h where h.doc_id % 4 = 0 and h.brand = c.brand and h.text = c.text) then 'skipped_duplicate_hash' else 'success' end as status from captures c",
     "keep_latest_captures": f"{ctes('captures')}, {_LATEST} select doc_id, brand, place from latest where place <= 3",
     "combine_sections": f"{ctes('captures')} select brand, sha256(string_agg(concat('=== u', doc_id, ' ===', chr(10), text), chr(10) || chr(10) order by doc_id)) as text_sha, arg_min(case when doc_id % 3 = 0 then lang end, doc_id) filter (where doc_id % 3 = 0 and lang is not null) as title from captures group by brand",
-    "raw_text_summary": f"{ctes('captures')} select doc_id, brand, length(text) as length, len(string_split(text, chr(10))) as lines, substr(text, 1, 500) as start, {', '.join(_COUNT.format(c='text', w=w, n=len(w)) + f' as n_{w}' for w in cap.COUNTED)} from captures",
+    "raw_text_summary": f"""{ctes('captures')} select doc_id, brand, length(text) as length, len(regexp_extract_all(text, '\\r\\n|{_BREAK}')) + case when text = '' or regexp_matches(text, '{_BREAK}\\z') then 0 else 1 end as lines,
+  replace(substr(text, 1, 500), chr(10), ' ') as start, {', '.join(_COUNT.format(c='text', w=w, n=len(w)) + f' as n_{w}' for w in cap.COUNTED)} from captures""",
     "text_candidates": f"{ctes('captures')}, {_TC} select * from tc",
     "select_parse_candidates": f"{ctes('captures')}, {_TC} select doc_id, brand, hits, length from tc where status = 'usable' and doc_id % 2 <> 0 order by hits desc, length desc, brand limit 10",
     "brand_health": f"""{ctes('captures', 'offers')}, t as (select brand, arg_max(length(text), (scraped_at, doc_id)) as length from captures where n_chars < 600 group by 1), n as (select concat('src', pos % 15) as brand, count(*) as offers, count(*) filter (where confidence_score >= 0.65) as confident from offers group by 1)
