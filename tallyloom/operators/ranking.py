@@ -1,7 +1,7 @@
 """Distances, eligibility, scores and feeds of offers for users.
 
-Offers are gated on their own columns before they meet users. The meeting of users and offers is a nested-loop join with
-the gated offers broadcast if they are few; per user only the best offers of each brand go on.
+Offers are gated on their own columns before they meet users. Users meet only those offers that can reach a place in their
+feed: the first ones of short lists that many users share, and those that concern them alone.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.joins import small
+from tallyloom.functions.joins import small, stored
 from tallyloom.functions.text import any_date, matches_domain
 
 C = F.col
@@ -152,27 +152,86 @@ def fatigue() -> Column:
     return F.when(F.coalesce("dismissed", F.lit(False)), F.lit(None)).when(F.coalesce("redeemed", F.lit(False)), 8.0).when(F.coalesce("clicks", F.lit(0)) > 0, 0.0).when(seen <= 3, 0.0).when(seen == 4, 5.0).when(seen == 5, 15.0).when(seen == 6, 40.0).when(seen == 7, 80.0)
 
 
-def scored_pairs(users: DataFrame, offers: DataFrame, state: DataFrame, distances: DataFrame | None = None) -> DataFrame:
+def feed_score(near: Column, affinity: Column, likes: Column, tired: Column) -> Column:
+    """The score of an offer; what depends on the user comes in as columns."""
+    cost = F.lower(F.coalesce("membership_cost", F.lit("")))
+    member = F.when(~C("requires_membership"), 3.0).when(cost.contains("free"), -2.0).when(cost.contains("paid"), -18.0).otherwise(-6.0)
+    title, kind = F.lower("promotion_title"), F.lower("discount_type")
+    weak = F.when((C("promotion_type") == "app_offer") & (kind == "unknown"), 18.0).otherwise(0.0) + F.when(title.contains("select style"), 10.0).otherwise(0.0) + F.when(title.contains("newsletter") | title.contains("sign up"), 18.0).otherwise(0.0) + F.when(title.contains("limited time") & (kind == "unknown"), 10.0).otherwise(0.0)
+    urgency = C("expiration_urgency_score") * F.greatest(F.lit(0.0), F.least(C("economic_value_score") / 35.0, F.lit(1.0))) * 1.2
+    return F.round(C("global_quality_score") - weak + near + urgency + member + affinity + likes - tired, 4)
+
+
+def feed_candidates(users: DataFrame, offers: DataFrame, state: DataFrame, limit: int = VISIBLE + RESERVE, deep: int = 3) -> DataFrame:
+    """(user_id, promotion_id) of all gated offers that can be among a user's first `limit` places of take_diverse.
+
+    Without state and favourites, an offer's score is the same for all users, but for the bonus of its category. So an offer
+    can be placed only if its brand is among the first in the list of all offers, or in the list of the user's favourite
+    category, and if it is among the first of its brand in that list. These lists hold limit brands, and as many more as the
+    user has acted on, since such brands may fall back. Offers of the favourite brand and offers the user has acted on join
+    by their keys. So users meet some dozens of offers each, not all.
+    """
+    none = F.lit(0.0)
+    o = offers.select("promotion_id", F.lower(F.trim("brand")).alias("b"), F.lower("category").alias("c"), "_needs_favourite", feed_score(none, none, none, none).alias("plain"))
+    acted = state.select("user_id", "promotion_id").join(o.select("promotion_id", "b"), "promotion_id").join(users.select("user_id"), "user_id", "left_semi")
+    acted = stored(acted.distinct())
+    times = acted.groupBy("user_id", "b").agg(F.count("*").alias("times"))
+    touched = times.groupBy("user_id").agg(F.count("*").alias("touched"))
+    top = touched.join(times, "user_id").agg(F.max("touched").alias("touched"), F.max("times").alias("times")).first()
+    brands, deepest = limit + (top["touched"] or 0) + 2, deep + (top["times"] or 0)
+    order = [F.desc("plain"), "promotion_id"]
+    rank = lambda df, *by: df.withColumn("depth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(C("depth") <= deepest)
+    u = users.select("user_id", F.lower(F.trim("favorite_brand")).alias("b"), F.lower("favorite_category").alias("c")).distinct()
+    near_top = limit + F.coalesce("touched", F.lit(0)) + 2
+    open_to_all = o.where(~F.coalesce("_needs_favourite", F.lit(False)))
+
+    # The list of all offers, and the lists of categories: their first brands, and the first offers of those.
+    everything = rank(open_to_all, "b")
+    first = everything.where("depth = 1").orderBy(*order).limit(brands)
+    first = first.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("b", "place")
+    everything = stored(everything.join(F.broadcast(first), "b").select("b", "promotion_id", "depth", "place"))
+    by_category = rank(open_to_all, "b", "c")
+    best = by_category.where("depth = 1").withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(*order))).where(C("place") <= brands)
+    by_category = stored(by_category.join(best.select("b", "c", "place"), ["b", "c"]).select("b", "c", "promotion_id", "depth", "place"))
+    who = u.join(touched, "user_id", "left")
+    shallow, rest = C("depth") <= deep, (C("depth") > deep) & (C("depth") <= deep + C("times"))
+    found = [
+        who.join(F.broadcast(everything.where(shallow).drop("b")), C("place") <= near_top),
+        who.drop("b").join(small(by_category.where(shallow)), "c").where(C("place") <= near_top),
+        times.join(everything, "b").where(rest),
+        times.join(u.drop("b"), "user_id").join(by_category, ["b", "c"]).where(rest),
+    ]
+    # The favourite brand, whose offers all get the same bonus, and some of which are for its friends only.
+    mine = u.join(times, ["user_id", "b"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    found += [
+        mine.drop("c").join(small(rank(o, "b")), "b").where(shallow | rest),
+        mine.join(small(rank(o, "b", "c")), ["b", "c"]).where(shallow | rest),
+        acted,
+    ]
+    out = found[0].select("user_id", "promotion_id")
+    for df in found[1:]:
+        out = out.union(df.select("user_id", "promotion_id"))
+    return out.distinct()
+
+
+def scored_pairs(users: DataFrame, offers: DataFrame, state: DataFrame, distances: DataFrame | None = None, limit: int = VISIBLE + RESERVE) -> DataFrame:
     """(user_id, promotion_id, brand, score, ...) of users and gated offers; hidden and saved ones are left out.
 
-    state: per user and offer, as engagement.interaction_state gives it.
+    With distances (user_id, brand, distance_km), of all offers of those brands; without, of those that can be among the
+    user's first `limit` places. state: per user and offer, as engagement.interaction_state gives it.
     """
-    pairs = users.join(small(offers), ~C("_needs_favourite") | (F.lower("brand") == F.lower("favorite_brand")))
-    pairs = pairs.join(state, ["user_id", "promotion_id"], "left")
     if distances is not None:
-        pairs = pairs.join(distances, ["user_id", "brand"], "left")
+        pairs = users.join(distances, "user_id").join(offers, "brand")
+    else:
+        pairs = feed_candidates(users, offers, state, limit).join(users, "user_id").join(small(offers), "promotion_id")
+    pairs = pairs.where(~F.coalesce("_needs_favourite", F.lit(False)) | (F.lower("brand") == F.lower("favorite_brand")))
+    pairs = pairs.join(state, ["user_id", "promotion_id"], "left")
     miles = (C("distance_km") if distances is not None else F.lit(None).cast("double")) * 0.621371
     near = F.when(miles <= 0.5, 25.0).when(miles <= 1.0, 18.0).when(miles <= 3.0, 10.0).when(miles <= 5.0, 5.0).otherwise(0.0)
-    cost = F.lower(F.coalesce("membership_cost", F.lit("")))
-    member = F.when(~C("requires_membership"), 3.0).when(cost.contains("free"), -2.0).when(cost.contains("paid"), -18.0).otherwise(-6.0)
     likes = F.when(F.lower("brand") == F.lower("favorite_brand"), FAVOURITE_BRAND).otherwise(0.0) + F.when(F.lower("category") == F.lower("favorite_category"), FAVOURITE_CATEGORY).otherwise(0.0)
     affinity = F.when(F.coalesce("clicks", F.lit(0)) > 0, CLICKED).otherwise(0.0)
-    title, kind = F.lower("promotion_title"), F.lower("discount_type")
-    weak = F.when((C("promotion_type") == "app_offer") & (kind == "unknown"), 18.0).otherwise(0.0) + F.when(title.contains("select style"), 10.0).otherwise(0.0) + F.when(title.contains("newsletter") | title.contains("sign up"), 18.0).otherwise(0.0) + F.when(title.contains("limited time") & (kind == "unknown"), 10.0).otherwise(0.0)
-    urgency = C("expiration_urgency_score") * F.greatest(F.lit(0.0), F.least(C("economic_value_score") / 35.0, F.lit(1.0))) * 1.2
     d = pairs.withColumn("fatigue", fatigue()).where(C("fatigue").isNotNull() & ~F.coalesce("saved", F.lit(False)))
-    score = C("global_quality_score") - weak + near + urgency + member + affinity + likes - C("fatigue")
-    return d.withColumn("score", F.round(score, 4))
+    return d.withColumn("score", feed_score(near, affinity, likes, C("fatigue")))
 
 
 def take_diverse(scored: DataFrame, limit: int = VISIBLE, cap: int = 1, fallback: int = 2) -> DataFrame:
@@ -188,7 +247,7 @@ def near_me(users: DataFrame, offers: DataFrame, state: DataFrame, distances: Da
     fine = C("status").isin("active", "probably_active", "online_only") & (C("confidence_score") >= MIN_CONFIDENCE) & (C("global_quality_score") >= NEAR_FLOOR) & (C("deal_scope") != "online_only") & ~F.lower("category").isin(FAR_CATEGORIES) & F.lower("redemption_method").isin(NEAR_METHODS)
     fine = fine & ~(C("promotion_type").isin("reward", "membership_benefit") & ~F.coalesce(immediate_value(), F.lit(False)))
     gated = offers.where(fine).withColumn("_needs_favourite", F.lit(False))
-    return scored_pairs(users, gated, state, distances.where(C("distance_km") <= radius_km)).where("distance_km is not null")
+    return scored_pairs(users, gated, state, distances.where(C("distance_km") <= radius_km))
 
 
 def feed_queue(ranked: DataFrame, dismissed: DataFrame) -> DataFrame:
