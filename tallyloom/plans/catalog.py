@@ -78,6 +78,13 @@ def _dedup(spark, sf_dir):
     return op.dedup_offers(offers).select("pos", "place", "brand", "promotion_title", "confidence_score")
 
 
+def _merge_active(spark, sf_dir):
+    """Two catalogs with a status each, of which the second lacks the brand."""
+    status = F.element_at(F.array(*(F.lit(x) for x in ("active", "expired", "needs_review", "probably_active", "online_only"))), (C("pos") % 5 + 1).cast("int"))
+    offers = _offers(spark, sf_dir).withColumn("status", status)
+    return op.merge_active(offers.where("pos % 2 = 0").select("pos", "brand", "status"), offers.where("pos % 2 = 1").select("pos", "status"))
+
+
 def _merge_sources(spark, sf_dir):
     offers = _offers(spark, sf_dir).select("pos", "brand", "promotion_title", "discount_type", "confidence_score")
     web = offers.where("pos % 3 <> 0")
@@ -138,6 +145,7 @@ QUERIES = {
     "dedup_offers": _dedup,
     "public_and_matching_urls": _url_cases,
     "merge_sources": _merge_sources,
+    "merge_active": _merge_active,
     "publish_filter": lambda s, d: op.publish_filter(_offers(s, d).withColumn("promotion_title", F.when(C("pos") % 12 == 0, F.concat(F.lit("Año "), C("promotion_title"))).otherwise(C("promotion_title"))), now()).select("pos", "drop_reason"),
     "publish_drop_counts": lambda s, d: op.drop_counts(op.publish_filter(_offers(s, d), now())),
     "review_table": lambda s, d: op.review_table(op.compute_status(_offers(s, d), now())),
@@ -226,6 +234,7 @@ select pos, place, brand, promotion_title, confidence_score from e where rn2 = 1
   when 5 then 'https://a.example.com:443/y' when 6 then 'https://a b.example.com' else deal_url end as url, case when pos % 2 = 0 then 'example.com' else 'www.brand13.example.com' end as domain from offers),
 v as (select *, pos % 9 in (5, 7, 8) as is_public, regexp_replace(regexp_extract(url, '^https?://([^/:]+)', 1), '^www[.]', '') as host, regexp_replace(domain, '^www[.]', '') as dom from u)
 select pos, url, domain, is_public, is_public and (host = dom or ends_with(host, '.' || dom)) as matches from v""",
+    "merge_active": f"""{ctes('offers')} select pos, case when pos % 2 = 0 then brand end as brand, case pos % 5 when 0 then 'active' when 1 then 'expired' when 2 then 'needs_review' when 3 then 'probably_active' else 'online_only' end as status from offers where pos % 5 not in (1, 2)""",
     "merge_sources": f"""{ctes('offers')}, k as (select pos, brand, promotion_title, discount_type, confidence_score, concat({_SLUG.format('brand')}, '|', substr({_SLUG.format('promotion_title')}, 1, 40), '|', discount_type) as key from offers),
 w as (select * from k where pos % 3 <> 0 qualify row_number() over (partition by key order by pos desc) = 1),
 e0 as (select * replace (round(1.2e0 - confidence_score, 2) as confidence_score) from k where pos % 2 = 0),

@@ -111,7 +111,7 @@ QUERIES = {
     "raw_text_summary": lambda s, d: cap.raw_text_summary(_captures(s, d)),
     "text_candidates": lambda s, d: cap.text_candidates(_captures(s, d)),
     "select_parse_candidates": lambda s, d: cap.select_parse_candidates(cap.text_candidates(_captures(s, d)), _captures(s, d).where("doc_id % 2 = 0").select("brand", "doc_id"), _captures(s, d).where("doc_id % 100 = 0").select("brand").distinct(), 10).select("doc_id", "brand", "hits", "length"),
-    "brand_health": lambda s, d: cap.brand_health(_captures(s, d).select("brand").distinct(), _captures(s, d).where("n_chars < 600"), domain(s, d, "offers").select(F.concat(F.lit("src"), C("pos") % 15).alias("brand"), "confidence_score")),
+    "brand_health": lambda s, d: cap.brand_health(_captures(s, d).select("brand").distinct(), _captures(s, d), domain(s, d, "offers").select(F.concat(F.lit("src"), C("pos") % 15).alias("brand"), "confidence_score")),
     "brand_status": lambda s, d: cap.brand_status(_sources(s, d), _captures(s, d), domain(s, d, "offers").select(F.concat(F.lit("src"), C("pos") % 15).alias("brand"), (C("pos") % 2 == 0).alias("synthesized")), _sources(s, d).where("brand in ('src3', 'new3')")),
     "email_signals": lambda s, d: op.email_signals(_emails(s, d)).select("message_id", C("keyword_hits")["save"].alias("n_save"), C("keyword_hits")["offer"].alias("n_offer"), F.array_join("promo_codes", ",").alias("codes"), F.array_join("discount_phrases", ",").alias("discounts"), F.array_join("expiry_phrases", ",").alias("expiries"), "has_signal"),
     "classify_visibility": lambda s, d: op.classify_visibility(_emails(s, d).withColumn("body", F.when(C("conv_id") % 5 == 0, F.concat(F.lit("Your reward is here. "), C("body"))).when(C("conv_id") % 5 == 1, F.concat(F.lit("A plus member price. "), C("body"))).otherwise(C("body")))).select("message_id", "visibility"),
@@ -177,7 +177,7 @@ select outcome, count(*) as n, array_to_string(list_sort(list_distinct(list(bran
   replace(substr(text, 1, 500), chr(10), ' ') as start, {', '.join(_COUNT.format(c='text', w=w, n=len(w)) + f' as n_{w}' for w in cap.COUNTED)} from captures""",
     "text_candidates": f"{ctes('captures')}, {_TC} select * from tc",
     "select_parse_candidates": f"{ctes('captures')}, {_TC} select doc_id, brand, hits, length from tc where status = 'usable' and doc_id % 2 <> 0 order by hits desc, length desc, brand limit 10",
-    "brand_health": f"""{ctes('captures', 'offers')}, t as (select brand, arg_max(length(text), (scraped_at, doc_id)) as length from captures where n_chars < 600 group by 1), n as (select concat('src', pos % 15) as brand, count(*) as offers, count(*) filter (where confidence_score >= 0.65) as confident from offers group by 1)
+    "brand_health": f"""{ctes('captures', 'offers')}, t as (select brand, arg_max(length(text), (scraped_at, doc_id)) as length from captures group by 1), n as (select concat('src', pos % 15) as brand, count(*) as offers, count(*) filter (where confidence_score >= 0.65) as confident from offers group by 1)
 select brand, length, coalesce(offers, 0) as offers, coalesce(confident, 0) as confident, case when length is null then 'never_captured' when length < 400 then 'too_short' when coalesce(offers, 0) = 0 then 'no_offers' when confident = 0 then 'weak' else 'healthy' end as health
 from (select distinct brand from captures) left join t using (brand) left join n using (brand)""",
     "brand_status": f"""{ctes('captures', 'offers')}, t as (select brand, arg_max({{'n': length(text), 'blocked': {" or ".join(f"contains(lower(text), '{w}')" for w in cap.BLOCK_SIGNALS)}}}, (scraped_at, doc_id)) as c from captures group by 1),

@@ -90,11 +90,20 @@ def _offer_columns(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
+    """Of the users with labels: all offers of a brand of theirs, and the offers they have labelled."""
     labels = _labels(spark, sf_dir)
-    users = labels.select("user_id").distinct()
-    offers = _offer_columns(spark, sf_dir).where("promotion_id in ('p0', 'p1', 'p2', 'p3', 'p4', 'p7', 'p8', 'p12')")
-    pairs = users.join(F.broadcast(offers.select("promotion_id")))
-    return learn.preference_features(pairs, labels, _offer_columns(spark, sf_dir), now())
+    offers = _offer_columns(spark, sf_dir)
+    of_brand = labels.select("user_id", F.concat(F.lit("Brand#"), 1 + C("user_id") % 25).alias("brand")).distinct().join(offers, "brand").select("user_id", "promotion_id")
+    labelled = labels.select("user_id", "promotion_id").join(offers.select("promotion_id"), "promotion_id").select("user_id", "promotion_id")
+    return learn.preference_features(of_brand.union(labelled).distinct(), labels, offers, now())
+
+
+def _brand_level(spark, sf_dir):
+    """The offers of users' favourite brands, scored by confidence."""
+    users, offers = _users(spark, sf_dir), domain(spark, sf_dir, "offers")
+    scored_offers = users.select("user_id", C("favorite_brand").alias("brand")).join(offers, "brand").select("user_id", "brand", "category", (C("confidence_score") * 100).alias("score"))
+    interest = domain(spark, sf_dir, "interactions").groupBy("user_id", "category").agg((F.least(F.count("*"), F.lit(5)) / 5.0).alias("interest"))
+    return op.brand_level_score(scored_offers, op.infer_category_weights(users, offers), interest).select("user_id", "brand", "category", "brand_score")
 
 
 def _probabilities(spark, sf_dir):
@@ -131,6 +140,7 @@ QUERIES = {
     "training_readiness": lambda s, d: learn.training_readiness(_labels(s, d)),
     "temporal_split": lambda s, d: learn.temporal_split(_labels(s, d)).select("user_id", "promotion_id", "part"),
     "preference_features": _features,
+    "brand_level_score": _brand_level,
     "evaluate_scores": lambda s, d: learn.evaluate_scores(_probabilities(s, d)),
     "score_trees": _trees,
 }
@@ -201,7 +211,10 @@ select coalesce(o.key, n.key) as key, coalesce(o.name, n.name) as name, coalesce
     "preference_labels": f"{ctes('interactions')}, {_LABELS} select * from labels",
     "training_readiness": f"{ctes('interactions')}, {_LABELS} select count(*) as examples, sum(label) as saves, count(*) - sum(label) as dismissals, count(distinct user_id) as users, count(*) >= 100 and least(sum(label), count(*) - sum(label)) >= 20 and count(distinct user_id) >= 5 as ready from labels",
     "temporal_split": f"{ctes('interactions')}, {_LABELS} select user_id, promotion_id, case when row_number() over (order by sequence, user_id, promotion_id) <= floor(0.8 * count(*) over ()) then 'train' else 'test' end as part from labels",
-    "preference_features": f"""{_EVIDENCE}, pairs as (select distinct user_id, c.* from labels, (select * from cols where promotion_id in ('p0', 'p1', 'p2', 'p3', 'p4', 'p7', 'p8', 'p12')) c),
+    "brand_level_score": f"""{ctes('users', 'offers', 'interactions')}, w as (select user_id, category, n / sum(n) over (partition by user_id) as weight from (select user_id, category, count(*) as n from users join offers on lower(brand) = lower(favorite_brand) group by 1, 2)),
+i as (select user_id, category, least(count(*), 5) / 5.0e0 as interest from interactions group by 1, 2), b as (select user_id, brand, category, max(confidence_score * 100) as best, least(count(*), 3) * 2.0e0 as n from users join offers on brand = favorite_brand group by 1, 2, 3)
+select user_id, brand, category, round(best + n + coalesce(weight, 0) * 10 + coalesce(interest, 0) * 5, 4) as brand_score from b left join w using (user_id, category) left join i using (user_id, category)""",
+    "preference_features": f"""{_EVIDENCE}, pairs as (select l.user_id, c.* from labels l join cols c on lower(c.brand) = concat('brand#', 1 + l.user_id % 25) union select l.user_id, c.* from labels l join cols c on c.promotion_id = l.promotion_id),
 x as (select p.user_id, p.promotion_id, w.w, w.sign, {", ".join(f"p.{k} = w.{k} as same_{k}" for k in _KINDS)} from pairs p left join w on w.user_id = p.user_id and w.promotion_id <> p.promotion_id)
 select user_id, promotion_id, {", ".join(f"round(coalesce(sum(w * sign) filter (where same_{k}), 0) / (coalesce(sum(w) filter (where same_{k}), 0) + 4), 6) as {k}_preference, round(greatest(0, least(coalesce(sum(w) filter (where same_{k}), 0) / 20, 1)), 6) as {k}_evidence" for k in _KINDS)},
   round(greatest(0, least(coalesce(sum(w), 0) / 20, 1)), 6) as total_evidence from x group by 1, 2""",

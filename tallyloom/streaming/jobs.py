@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.joins import shared_folder
 from tallyloom.operators import engagement
 
 C = F.col
@@ -48,9 +47,7 @@ def stream_last_active(events: DataFrame) -> DataFrame:
 def run_now(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there (availableNow) and return what it has written; mode: complete or append."""
     spark = stream.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "spark-checkpoints"))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/out"
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").outputMode(mode)
     if mode == "complete":
