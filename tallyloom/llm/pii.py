@@ -46,6 +46,9 @@ ENTITY = "|".join((_EMAIL, _SECRET, _KEY, _IBAN, _IP, _IP6, _SSN, _CARD, _PHONE,
 #: False only for texts in which ENTITY can't match; cheap to tell.
 _HINT = r"[@0-9]|(?i:passw|pwd|token|secret|api[_-]?key)|sk-|ghp_|xox|(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? |[0-9A-Fa-f]:"
 
+#: Country codes of one and two digits; all others have three.
+_COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _CONSONANTS, _VOWELS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдклмнпрст", "greek": "βγδκλμνπρστ"}, {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 _ENDINGS = {
     "latin given male": "on", "latin given female": "ia", "latin given other": "en", "latin family male": "er", "latin family female": "er", "latin family other": "er",
@@ -173,9 +176,9 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
         def of_plain(plain):
             body = F.concat(F.substring(name, 1, 1), F.substring(plain, F.lit(2), F.length(name) - 1), extra("0123456789"))
             checked = lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string"))
-            local = F.when(name.startswith("+"), 3).otherwise(1)
+            abroad = F.regexp_extract(name, _COUNTRY_CODE, 0)
             area = (F.pmod(F.xxhash64(seed, F.lit(-1)), F.lit(8)) + 2).cast("string")
-            phone = F.concat(F.substring(name, F.lit(1), local - 1), area, F.substring(plain, local + 1, F.length(name)), extra("0123456789"))
+            phone = F.concat(abroad, area, F.substring(plain, F.length(abroad) + 2, F.length(name)), extra("0123456789"))
             country = F.substring(name, 1, 2)
             iban = lambda bank: F.concat(country, F.lpad((98 - _rest97(F.concat(bank, country, F.lit("00")))).cast("string"), 2, "0"), bank)
             dot = F.length(name) - F.instr(F.reverse(name), ".") + 1

@@ -297,14 +297,15 @@ def test_surrogates_match_brute_force_over_the_small_documents(spark):
     """One surrogate for an entity and one entity for a surrogate in all texts, and all else as it was."""
     import regex
 
-    pattern = regex.compile(pii.ENTITY.replace("(?<![\\w:.])", "(?<![A-Za-z0-9_:.])").replace("(?![\\w:])", "(?![A-Za-z0-9_:])").replace("\\d", "[0-9]"))
+    pattern = regex.compile(pii.ENTITY)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
     there, back, n = {}, {}, 0
     for i, text in docs:
         at = 0
         new = got[i]
-        for m, following in zip(list(pattern.finditer(text)), [*list(pattern.finditer(text))[1:], None], strict=True):
+        found = list(pattern.finditer(text))
+        for m, following in zip(found, [*found[1:], None][: len(found)], strict=True):
             gap = text[at : m.start()]
             assert new.startswith(gap)
             rest = text[m.end() : following.start() if following else None]
