@@ -19,7 +19,7 @@ def test_entry_and_registry(spark):
 
 def test_visible_text():
     html = "<html><body><script>x()</script><nav>Menu</nav><h1>Rewards</h1><p>Get offers today.</p><p>Get offers today.</p><p>We use cookies</p><a href='/deals/shoes'>Shoes on sale</a><img alt='Summer sale banner'></body></html>"
-    assert pages.visible_text(html) == "Rewards\nGet offers today.\nShoes on sale [deal_url:/deals/shoes] Summer sale banner"
+    assert pages.visible_text(html) == "Rewards\nGet offers today.\nWe use cookies\nShoes on sale [deal_url:/deals/shoes] Summer sale banner"
     assert pages.visible_text(None) == "" and pages.visible_text(pages.visible_text(html)).startswith("Rewards")
 
 
