@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import catalog, engagement, messages, pages, ranking, scoring, streaming
+from tallyloom.plans import catalog, engagement, messages, pages, ranking, scoring, search, streaming
 
-_MODULES = [engagement, catalog, scoring, ranking, messages, pages, streaming]
+_MODULES = [engagement, catalog, scoring, ranking, messages, pages, search, streaming]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
