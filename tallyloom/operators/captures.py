@@ -177,3 +177,45 @@ def brand_status(sources: DataFrame, captures: DataFrame, offers: DataFrame, fai
 def health_shares(health: DataFrame) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return health.groupBy("health").agg(F.count("*").alias("n")).withColumn("share_pct", F.round(100.0 * C("n") / total, 1))
+
+
+#: Words of a page for women, men and children.
+GENDER_WORDS = {
+    "women": ["women", "woman", "womens", "womenswear", "her", "ladies", "lady", "girls", "girl"],
+    "men": ["mens", "menswear", "him", "guys", "guy", "boys", "boy", "men", "man"],
+    "kids": ["kids", "kid", "children", "child", "baby", "babies", "toddler", "infant", "infants"],
+}
+#: Words that a page with a local deal has, how many it needs, and the least confidence of its offer.
+DEAL_SIGNALS = [
+    "sale", "special", "discount", "promo", "promotion", "offer", "happy hour", "deal", "coupon", "% off", "off today", "free",
+    "first visit", "new guest", "first time", "student", "resident", "pop-up", "pop up", "event", "limited time", "this week", "today only",
+    "weekday special", "prix fixe", "early bird", "complimentary", "bogo", "buy one", "get one",
+]
+LEAST_SIGNALS, LOCAL_CONFIDENCE = 2, 0.85
+
+
+def detect_gender(lines: Column, text: Column) -> Column:
+    """Whom product lines and text speak of: kids alone, women, men, unisex for both of these, else null."""
+    said = F.concat_ws(" ", F.array_join(F.coalesce(lines, F.array().cast("array<string>")), " "), text)
+    words = F.split(F.lower(said), r"[\s\-/']+")
+    women, men, kids = (F.arrays_overlap(words, F.array(*map(F.lit, GENDER_WORDS[g]))) for g in ("women", "men", "kids"))
+    return F.when(women & men, "unisex").when(women, "women").when(men, "men").when(kids, "kids")
+
+
+def has_deal_signals(text: Column) -> Column:
+    """Whether the text has two or more of the signals of a local deal; a null text has none."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.when(lower.contains(w), 1).otherwise(0) for w in DEAL_SIGNALS), F.lit(0)) >= LEAST_SIGNALS
+
+
+def due_businesses(businesses: DataFrame, checks: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Businesses that were not checked in the last days; names differ by more than case and outer spaces."""
+    recent = checks.where(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp("checked_at")) / 86400) < days)
+    return businesses.withColumn("_key", F.lower(F.trim("name"))).join(recent.select(F.lower(F.trim("name")).alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+
+
+def best_local_offer(offers: DataFrame) -> DataFrame:
+    """The surest titled offer of each business (name, pos, promotion_title, confidence_score); ties: the smaller pos."""
+    sure = offers.where((F.col("confidence_score") >= LOCAL_CONFIDENCE) & (F.col("promotion_title") != ""))
+    best = F.max_by(F.struct("pos", "promotion_title", "confidence_score"), F.struct("confidence_score", -F.col("pos")))
+    return sure.groupBy(F.lower(F.trim("name")).alias("business")).agg(best.alias("o")).select("business", "o.*")

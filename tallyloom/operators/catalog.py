@@ -341,3 +341,20 @@ def fast_redemption(offers: DataFrame, as_of: Column, links: DataFrame | None =
 
 def trusted_urls(offers: DataFrame) -> DataFrame:
     return offers.withColumn("url_is_public", public_url(C("deal_url")))
+
+
+def carry_forward_evidence(new: DataFrame, previous: DataFrame, as_of: Column) -> DataFrame:
+    """New evidence (offer, source_url, content_hash, status, checked_at) after what earlier runs found on the same page.
+
+    A fetch that failed at or after the capture makes it unverified; an equal supported offer that was checked later lends
+    its time. Evidence that is not supported sends an offer to review. Null URLs or hashes match nothing.
+    """
+    page = ["source_url", "content_hash"]
+    latest = lambda c, more=F.lit(True): F.max(F.when((F.col(c) <= as_of) & more, F.col(c)))
+    failed = previous.groupBy(*page).agg(latest("check_failed_at").alias("_failed"))
+    proved = previous.groupBy("offer", *page).agg(latest("checked_at", F.col("status") == "supported").alias("_proved"))
+    d = new.join(failed, page, "left").join(proved, ["offer", *page], "left")
+    lost = F.coalesce(F.col("_failed") >= F.col("checked_at"), F.lit(False))
+    status = F.when(lost, "unverified").otherwise(F.col("status"))
+    newer = ~lost & (F.col("status") == "supported") & (F.col("_proved") > F.col("checked_at"))
+    return d.withColumns({"status": status, "checked_at": F.when(newer, F.col("_proved")).otherwise(F.col("checked_at")), "check_failed_at": F.when(lost, F.col("_failed")), "needs_review": F.coalesce(status != "supported", F.lit(True))}).drop("_failed", "_proved")

@@ -213,3 +213,60 @@ def push_selection(users: DataFrame, candidates: DataFrame, sent: DataFrame, eve
     d = d.where(C("score") >= F.when(C("reason") == "none", UNKNOWN).otherwise(PERSONAL))
     best = d.groupBy("user_id").agg(F.max_by(F.struct("promo_id", "score", "reason"), F.struct("score", "promo_id")).alias("o"))
     return best.select("user_id", "o.*")
+
+
+#: Suffixes of programs in mails, endings and words of names that say nothing.
+PROGRAM = r"\b([A-Z][A-Za-z&']{1,20}(?:\s[A-Za-z&']{1,20}){0,3}\s(?:Rewards?|Insider|Circle|One|Club|Plus\s*(?:Card)?|Perks|Stubs|ExtraCare|myWalgreens|SkyMiles|AAdvantage|MileagePlus|TrueBlue|Rapid\sRewards|Ultamate\sRewards))\b"
+GENERIC_ENDING = r"(?i)\s+(rewards?|program|membership|points?|club|perks?|card|pass|plus|insider)\s*$"
+SAYS_NOTHING = "unknown|n/a|yes|membership|rewards program"
+#: Signals and their points, most a day, hours between two, days before a brand comes again, least quality and score, quiet hours.
+POLICY_POINTS = {"favorite_brand": 40.0, "favorite_category": 25.0, "brand_interaction": 15.0, "user_interested": 35.0}
+MOST_A_DAY, GAP_HOURS, COOLDOWN_DAYS, LEAST_NOTIFY, LEAST_SCORE, QUIET = 2, 4, 7, 60.0, 95.0, (22, 8)
+
+
+def detect_memberships(emails: DataFrame, offers: DataFrame, previous: DataFrame) -> DataFrame:
+    """Programs with the brand that named them last: from mail texts, from membership_name of offers, and known before.
+
+    Names of offers that are fillers or the brand with a usual ending are left out. Of equal times the known one stays,
+    then the mail's; then the smaller brand.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
+    mailed = emails.select("brand", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PROGRAM), 1))).alias("program"), C("sent_at").alias("last_seen"), F.lit(1).alias("turn"))
+    name = F.trim("membership_name")
+    generic = plain(F.regexp_replace(name, GENERIC_ENDING, "")) == plain(F.coalesce("brand", F.lit("")))
+    stated = offers.where(C("requires_membership") & (F.length(name) > 3) & ~F.lower(name).rlike(SAYS_NOTHING) & ~generic).select("brand", name.alias("program"), C("email_date").alias("last_seen"), F.lit(2).alias("turn"))
+    known = previous.select("brand", "program", "last_seen", F.lit(0).alias("turn"))
+    best = F.min_by(F.struct("brand", "last_seen"), F.struct(-F.coalesce(F.unix_timestamp("last_seen"), F.lit(0)), "turn", "brand"))
+    return known.unionByName(mailed).unionByName(stated).groupBy("program").agg(best.alias("b")).select("program", "b.*")
+
+
+def notification_policy(users: DataFrame, candidates: DataFrame, history: DataFrame, events: DataFrame, feedback: DataFrame, as_of: Column) -> DataFrame:
+    """The one candidate a user may get now: none in quiet hours, after two on a day or within four hours of the last.
+
+    All signals hang on brand and category, and a sent offer cools its whole brand, so only the best candidate of each pair
+    counts (ties: the smaller promo_id). Scores go to 100, so a pair without a signal never reaches the 105 it would need;
+    users thus meet pairs by their signals. The first feedback on brand or category counts; a refusal drops the pair.
+    """
+    low = lambda c: F.lower(c).alias(c)
+    pairs = candidates.where(C("notify_score") >= LEAST_NOTIFY).groupBy(low("brand"), low("category")).agg(F.min_by(F.struct("promo_id", "notify_score"), F.struct(-C("notify_score"), "promo_id")).alias("o")).select("brand", "category", "o.*")
+    none = F.lit(None).cast("struct<at:timestamp,interested:boolean>")
+    said = F.struct(C("created_at").alias("at"), "interested")
+    acts = events.where(C("event_type").isin("deal_card_opened", "deal_card_clicked", "fast_redeem_clicked"))
+    signal = lambda df, key, kind, fb=none: df.select("user_id", F.lower(key).alias("key"), F.lit(kind).alias("kind"), fb.alias("said"))
+    by_brand = signal(users, "favorite_brand", "favorite_brand").union(signal(acts, "brand", "brand_interaction").distinct()).union(signal(feedback, "brand", "feedback", said))
+    by_category = signal(users, "favorite_category", "favorite_category").union(signal(feedback, "category", "feedback", said))
+    small_pairs = small(pairs)
+    reduced = lambda d: d.groupBy("user_id", "key", "kind").agg(F.min("said").alias("said"))
+    met = reduced(by_brand).join(small_pairs, C("key") == C("brand")).unionByName(reduced(by_category).join(small_pairs, C("key") == C("category")))
+    d = met.groupBy("user_id", "brand", "category", "promo_id", "notify_score").agg(*(F.bool_or(C("kind") == k).alias(k) for k in POLICY_POINTS if k != "user_interested"), F.min("said")["interested"].alias("user_interested"))
+    score = sum((F.when(F.coalesce(C(k), F.lit(False)), p).otherwise(0.0) for k, p in POLICY_POINTS.items()), C("notify_score"))
+    hour = F.hour(as_of)
+    fine = d.withColumn("score", F.round(score, 2)).where((hour < QUIET[0]) & (hour >= QUIET[1]) & F.coalesce(C("user_interested"), F.lit(True)) & (C("score") >= LEAST_SCORE))
+    past = history.where(C("sent_at") <= as_of)
+    today = F.count_if(F.to_date("sent_at") == F.to_date(as_of)) >= MOST_A_DAY
+    soon = F.max("sent_at") > as_of - F.expr(f"interval {GAP_HOURS} hours")
+    full = past.groupBy("user_id").agg((today | soon).alias("full")).where("full").select("user_id")
+    cool = past.where(F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(F.date_trunc("day", "sent_at"))) / 86400) < COOLDOWN_DAYS).select("user_id", low("brand")).distinct()
+    free = fine.join(full, "user_id", "left_anti").join(cool, ["user_id", "brand"], "left_anti")
+    return free.groupBy("user_id").agg(F.min_by(F.struct("promo_id", "score"), F.struct(-C("score"), "promo_id")).alias("o")).select("user_id", "o.*")

@@ -288,3 +288,38 @@ def feedback_metadata(offers: DataFrame, as_of: Column) -> DataFrame:
     effort = F.when(C("fast_redemption.eligible"), F.when(C("fast_redemption.effort_level") == "low", "instant").otherwise("easy")).when(C("requires_app"), "app_required").when(C("promo_code").isNotNull(), "code_required").when(~C("requires_membership"), "easy").otherwise("membership_required")
     days = F.datediff("end_date", F.to_date(as_of))
     return offers.select("pos", F.regexp_replace(F.lower("brand"), "[^a-z0-9]", "_").alias("brand_id"), tier.alias("value_tier"), effort.alias("effort_type"), F.when(days >= 0, days).alias("days_until_expiry"))
+
+
+#: The box of stores (south, west, north, east), and how tags mark a closed one.
+STORE_BOX = (24.396308, -124.848974, 49.384358, -66.885444)
+CLOSED_PREFIXES = ["disused:", "abandoned:", "demolished:", "razed:", "was:", "lifecycle:"]
+CLOSED_TAGS = {
+    "disused": ["yes"],
+    "abandoned": ["yes"],
+    "shop": ["vacant", "no", "disused"],
+    "lifecycle": ["closed", "disused", "abandoned", "demolished", "razed"],
+    "opening_hours": ["closed", "off"],
+    "amenity": ["disused", "vacant"],
+}
+
+
+def open_stores(features: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Map features (id, kind, lat, lng, center_lat, center_lng, tags) that are open stores of a brand.
+
+    aliases has brand, name or pattern (of the whole name unless it has anchors), ignore_case and extra tags. Nodes lie at
+    their own place, ways at their centre. Names are looked up once each; a null name, place or tag map gives no store.
+    """
+    closed = F.exists(F.map_keys("tags"), lambda k: F.rlike(k, F.lit("^(" + "|".join(CLOSED_PREFIXES) + ")")))
+    for key, values in CLOSED_TAGS.items():
+        closed |= F.coalesce(C("tags")[key].isin(values), F.lit(False))
+    node = C("kind") == "node"
+    spots = features.where(~closed).select("id", "tags", C("tags")["name"].alias("store"), F.when(node, C("lat")).otherwise(C("center_lat")).alias("lat"), F.when(node, C("lng")).otherwise(C("center_lng")).alias("lng"))
+    south, west, north, east = STORE_BOX
+    spots = spots.where(C("lat").between(south, north) & C("lng").between(west, east))
+    anchored = F.when(C("pattern").rlike(r"[\^$]"), C("pattern")).otherwise(F.concat(F.lit("^"), "pattern", F.lit("$")))
+    rules = small(aliases.withColumn("_pattern", F.concat(F.when(C("ignore_case"), "(?i)").otherwise(""), anchored)).select("brand", C("name").alias("_name"), "_pattern", "extra"))
+    exact = spots.join(rules.where("_pattern is null"), C("store") == C("_name"))
+    names = spots.select(C("store").alias("_name")).distinct().join(rules.where("_pattern is not null").drop("_name"), F.expr("_name rlike _pattern"))
+    found = exact.select("id", "store", "lat", "lng", "tags", "brand", "extra").unionByName(spots.join(names, C("store") == C("_name")).select("id", "store", "lat", "lng", "tags", "brand", "extra"))
+    more = F.forall(F.coalesce(F.map_entries("extra"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.coalesce(C("tags")[e["key"]] == e["value"], F.lit(False)))
+    return found.where(more).select("brand", "id", "store", "lat", "lng").distinct()
