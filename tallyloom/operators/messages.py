@@ -228,7 +228,7 @@ def detect_memberships(emails: DataFrame, offers: DataFrame, previous: DataFrame
     """Programs with the brand that named them last: from mail texts, from membership_name of offers, and known before.
 
     Names of offers that are fillers or the brand with a usual ending are left out. Of equal times the known one stays,
-    then the mail's; then the smaller brand.
+    then the mail's; then the smaller brand. As the fixed pattern has it, a name may begin in the subject and end in the text.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))

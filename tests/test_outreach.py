@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import captures, catalog, messages, ranking
 
-NOON = F.expr("timestamp '2024-01-31 12:00:00'")
+NOON = "timestamp '2024-01-31 12:00:00'"
 
 
 def times(df, *columns):
@@ -21,12 +21,12 @@ def test_gender_and_signals(spark):
 
 
 def test_memberships_leave_out_fillers(spark):
-    mails = times(spark.createDataFrame([("A", "Join Harbor Club", "Harbor Club is yours", "2024-01-02"), ("B", None, None, "2024-01-03")], "brand string, subject string, body string, sent_at string"), "sent_at")
+    mails = times(spark.createDataFrame([("A", "Hi:", "Harbor Club. Blue Sky Circle! Harbor Club.", "2024-01-02"), ("C", "Meet Elm Club", "Oak Perks", "2024-01-02"), ("B", None, None, "2024-01-03")], "brand string, subject string, body string, sent_at string"), "sent_at")
     stated = [("A", True, "A Rewards"), ("A", True, "n/a or so"), ("A", False, "Silver Tier"), ("A", True, "Gold Tier"), ("A", True, None), (None, True, "Iron Tier")]
     offers = spark.createDataFrame(stated, "brand string, requires_membership boolean, membership_name string").withColumn("email_date", F.lit("2024-01-01").cast("timestamp"))
     known = times(spark.createDataFrame([("Z", "Gold Tier", "2024-01-01")], "brand string, program string, last_seen string"), "last_seen")
     got = {(r.program, r.brand) for r in messages.detect_memberships(mails, offers, known).collect()}
-    assert got == {("Join Harbor Club", "A"), ("Harbor Club", "A"), ("Gold Tier", "Z"), ("Iron Tier", None)}
+    assert got == {("Harbor Club", "A"), ("Blue Sky Circle", "A"), ("Meet Elm Club\nOak Perks", "C"), ("Gold Tier", "Z"), ("Iron Tier", None)}
 
 
 def test_open_stores_need_their_tags(spark):
@@ -50,7 +50,7 @@ def test_evidence_takes_failures_and_newer_proof(spark):
     new = times(spark.createDataFrame([(i, f"o{i}", "u", f"h{i}", s, "2024-01-10") for i, s in ((1, "supported"), (2, "supported"), (3, "unverified"), (4, "supported"))], "id int, offer string, source_url string, content_hash string, status string, checked_at string"), "checked_at")
     old = [("x", "u", "h1", "unverified", "2024-01-01", "2024-01-10"), ("o2", "u", "h2", "supported", "2024-01-20", None), ("o3", "u", "h3", "supported", "2024-01-20", None), ("o4", "u", "h4", "supported", "2024-02-20", "2024-01-09")]
     old = times(spark.createDataFrame(old, "offer string, source_url string, content_hash string, status string, checked_at string, check_failed_at string"), "checked_at", "check_failed_at")
-    got = {r.id: (r.status, str(r.checked_at)[:10], r.needs_review) for r in catalog.carry_forward_evidence(new, old, NOON).collect()}
+    got = {r.id: (r.status, str(r.checked_at)[:10], r.needs_review) for r in catalog.carry_forward_evidence(new, old, F.expr(NOON)).collect()}
     assert got == {1: ("unverified", "2024-01-10", True), 2: ("supported", "2024-01-20", False), 3: ("unverified", "2024-01-10", True), 4: ("supported", "2024-01-10", False)}
 
 
@@ -62,5 +62,5 @@ def test_policy_limits(spark):
     events = spark.createDataFrame([], "user_id int, brand string, event_type string")
     feedback = times(spark.createDataFrame([(5, "A", "x", "2024-01-01", False), (5, "A", "x", "2024-01-02", True)], "user_id int, brand string, category string, created_at string, interested boolean"), "created_at")
     run = lambda at: {(r.user_id, r.promo_id, r.score) for r in messages.notification_policy(users, offers, history, events, feedback, at).collect()}
-    assert run(NOON) == {(1, "p1", 135.0), (2, "p2", 100.0), (5, "p2", 100.0), (6, "p1", 135.0)}
+    assert run(F.expr(NOON)) == {(1, "p1", 135.0), (2, "p2", 100.0), (5, "p2", 100.0), (6, "p1", 135.0)}
     assert run(F.expr("timestamp '2024-01-31 22:00:00'")) == set() == run(F.expr("timestamp '2024-01-31 07:59:00'"))
