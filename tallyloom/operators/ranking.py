@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.joins import small, stored
-from tallyloom.functions.text import any_date, matches_domain
+from tallyloom.functions.text import any_date, dollars, matches_domain, percent
 
 C = F.col
 EARTH_KM = 6371.0
@@ -323,3 +323,50 @@ def open_stores(features: DataFrame, aliases: DataFrame) -> DataFrame:
     found = exact.select("id", "store", "lat", "lng", "tags", "brand", "extra").unionByName(spots.join(names, C("store") == C("_name")).select("id", "store", "lat", "lng", "tags", "brand", "extra"))
     more = F.forall(F.coalesce(F.map_entries("extra"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.coalesce(C("tags")[e["key"]] == e["value"], F.lit(False)))
     return found.where(more).select("brand", "id", "store", "lat", "lng").distinct()
+
+
+#: Points of the older ranks by discount type, where the value says nothing; and what membership adds.
+DEAL_POINTS = {"free_item": 85.0, "percentage_off": 55.0, "amount_off": 50.0, "sale_price": 50.0, "free_shipping": 35.0, "points": 20.0}
+OTHER_POINTS, MEMBER, OPEN_TO_ALL, FREE_COST, PAID_COST, OTHER_COST, ON_DAY, OFF_DAY = 15.0, 25.0, 8.0, -2.0, -15.0, -5.0, 5.0, -20.0
+REWARD_CONFIDENCE, REWARD_RANK = 0.75, 60.0
+
+
+def valid_today(days: Column, as_of: Column) -> Column:
+    """Whether the listed week days hold today's name or its first three letters; null where none are listed."""
+    names = [F.lower(F.date_format(as_of, f)) for f in ("EEEE", "EEE")]
+    return F.when(F.size(F.coalesce(days, F.array().cast("array<string>"))) > 0, F.exists(days, lambda d: F.coalesce(F.lower(d).isin(*names), F.lit(False))))
+
+
+def rank_score(member: Column, as_of: Column) -> Column:
+    """The older rank of an offer: quality, whether it holds today, and what its membership costs."""
+    today, cost = valid_today(C("valid_days"), as_of), F.lower(F.coalesce("membership_cost", F.lit("")))
+    day = F.when(today, ON_DAY).when(~today, OFF_DAY).otherwise(0.0)
+    fee = F.when(member, MEMBER).when(~C("requires_membership"), OPEN_TO_ALL).when(cost.contains("free"), FREE_COST).when(cost.contains("paid"), PAID_COST).otherwise(OTHER_COST)
+    return F.coalesce("global_quality_score", F.lit(0.0)) + day + fee
+
+
+def deal_score(discount_type: Column, discount_value: Column, confidence: Column) -> Column:
+    """The older score of an offer: what it saves, as its value says, times its confidence; from 0 to 100."""
+    off = F.when(discount_type == "percentage_off", 40 + F.least(percent(discount_value), F.lit(100.0)) * 0.6).when(discount_type == "amount_off", 40 + F.least(dollars(discount_value) / 5, F.lit(40.0)))
+    base = F.lit(OTHER_POINTS)
+    for kind, points in DEAL_POINTS.items():
+        base = F.when(discount_type == kind, points).otherwise(base)
+    return F.least(F.coalesce(off, base) * F.coalesce(confidence, F.lit(0.0)), F.lit(100.0))
+
+
+def online_feed(offers: DataFrame, as_of: Column) -> DataFrame:
+    """Offers of the online surface with their score: active, valid today, no rewards, redeemed online."""
+    online = (C("redemption_method") == "online") | ((C("redemption_method") == "show_code") & (C("deal_scope") == "online_only"))
+    fine = C("status").isin("active", "probably_active", "online_only") & F.coalesce(valid_today(C("valid_days"), as_of), F.lit(True))
+    d = offers.where(fine & F.coalesce(online, F.lit(False)) & ~F.coalesce(C("promotion_type").isin("reward", "membership_benefit"), F.lit(False)))
+    return d.withColumn("score", deal_score(C("discount_type"), C("discount_value"), C("confidence_score")))
+
+
+def rewards_feed(offers: DataFrame, as_of: Column) -> DataFrame:
+    """Offers of the rewards surface with their rank; quality tells those shown first: a member's, or sure ones that are
+    free to join, give a free item or rank 60 and more. Finance is left out."""
+    cost = F.lower(F.coalesce("membership_cost", F.lit("")))
+    worth = (cost == "") | cost.contains("free") | (C("discount_type") == "free_item") | (rank_score(F.lit(False), as_of) >= REWARD_RANK)
+    d = offers.where(C("promotion_type").isin("reward", "membership_benefit") & (F.coalesce("category", F.lit("")) != "finance"))
+    quality = C("member") | F.coalesce((C("confidence_score") >= REWARD_CONFIDENCE) & worth, F.lit(False))
+    return d.withColumns({"score": rank_score(C("member"), as_of), "quality": quality})

@@ -80,7 +80,16 @@ def _policy(spark, sf_dir):
     return msg.notification_policy(domain(spark, sf_dir, "users"), candidates, history, events, feedback, F.expr(_NOON))
 
 
+def _surfaces(spark, sf_dir):
+    """The catalog with week days and memberships."""
+    k = C("pos")
+    days = F.when(k % 4 == 0, F.array(F.lit("Wed"))).when(k % 4 == 1, F.array(F.lit("monday"), F.lit("Tue"))).when(k % 4 == 2, F.array().cast("array<string>"))
+    return catalog(spark, sf_dir).withColumns({"valid_days": days, "member": k % 7 == 0})
+
+
 QUERIES = {
+    "online_feed": lambda s, d: rank.online_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", F.round("score", 4).alias("score")),
+    "rewards_feed": lambda s, d: rank.rewards_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", F.round("score", 4).alias("score"), "quality"),
     "detect_gender": _gender,
     "has_deal_signals": _signals,
     "due_businesses": _due,
@@ -100,7 +109,14 @@ _HAS = {g: f"list_has_any(words, {[*w]})" for g, w in cap.GENDER_WORDS.items()}
 _SUM = " + ".join(f"cast(contains(t, '{w}') as int)" for w in cap.DEAL_SIGNALS)
 _SENT = "interactions where event_type = 'deal_unsaved'"
 
+_DAY = "case pos % 4 when 0 then 5 when 1 then -20 else 0 end"
+_FEE = "case when not requires_membership then 8 when membership_cost = 'free' then -2 when membership_cost = 'paid' then -15 else -5 end"
+
 ORACLE_SQL = {
+    "online_feed": f"""{ctes('offers')}, {_CAT} select pos, round(least(100, confidence_score * case discount_type when 'free_item' then 85 when 'percentage_off' then 40 + 0.6e0 * (5 + pos % 70) when 'amount_off' then 40 + least(40, cast(replace(discount_value, '$', '') as double) / 5) when 'sale_price' then 50 when 'free_shipping' then 35 when 'points' then 20 else 15 end), 4) as score
+from cat where status in ('active', 'probably_active', 'online_only') and pos % 4 <> 1 and promotion_type not in ('reward', 'membership_benefit') and (redemption_method = 'online' or redemption_method = 'show_code' and deal_scope = 'online_only')""",
+    "rewards_feed": f"""{ctes('offers')}, {_CAT} select pos, round(q + {_DAY} + case when pos % 7 = 0 then 25 else {_FEE} end, 4) as score,
+  pos % 7 = 0 or (confidence_score >= 0.75 and (membership_cost = 'free' or discount_type = 'free_item' or q + {_DAY} + {_FEE} >= 60)) as quality from cat where promotion_type in ('reward', 'membership_benefit')""",
     "detect_gender": f"""{ctes('captures')}, w as (select doc_id, regexp_split_to_array(lower(concat_ws(' ', case doc_id % 7 when 0 then 'Women''s dresses' when 1 then 'Shoes for MEN' when 2 then 'kids/baby' when 3 then 'For her-him' when 4 then 'Boys' else '' end, text)), '[\\s\\-/'']+') as words from captures)
 select doc_id, case when {_HAS['women']} and {_HAS['men']} then 'unisex' when {_HAS['women']} then 'women' when {_HAS['men']} then 'men' when {_HAS['kids']} then 'kids' end as target_gender from w""",
     "has_deal_signals": f"{ctes('captures')}, t as (select doc_id, lower(coalesce(case when doc_id % 3 = 0 then 'Happy HOUR bogo ' || text else text end, '')) as t from captures) select doc_id, {_SUM} >= 2 as has_signals from t",

@@ -64,3 +64,19 @@ def test_policy_limits(spark):
     run = lambda at: {(r.user_id, r.promo_id, r.score) for r in messages.notification_policy(users, offers, history, events, feedback, at).collect()}
     assert run(F.expr(NOON)) == {(1, "p1", 135.0), (2, "p2", 100.0), (5, "p2", 100.0), (6, "p1", 135.0)}
     assert run(F.expr("timestamp '2024-01-31 22:00:00'")) == set() == run(F.expr("timestamp '2024-01-31 07:59:00'"))
+
+
+def test_surfaces(spark):
+    schema = "pos int, status string, promotion_type string, discount_type string, discount_value string, redemption_method string, deal_scope string, valid_days array<string>, confidence_score double, category string, membership_cost string, requires_membership boolean, global_quality_score double, member boolean"
+    rows = [
+        (1, "active", "sale", "percentage_off", "50% off", "online", None, ["Wednesday"], 0.8, "food", None, False, 50.0, False),
+        (2, "active", "sale", "amount_off", "$500", "show_code", "online_only", None, 1.0, "food", None, False, 50.0, False),
+        (3, "active", "sale", "amount_off", None, "online", None, ["tue"], 1.0, "food", None, False, 50.0, False),
+        (4, "active", "reward", None, None, "online", None, ["tue"], 0.8, "food", "Paid yearly", True, 80.0, False),
+        (5, "expired", "reward", "free_item", None, None, None, [], None, None, None, True, None, True),
+        (6, "active", "reward", None, None, None, None, None, 0.8, "finance", None, False, 99.0, True),
+    ]
+    d = spark.createDataFrame(rows, schema)
+    assert {r.pos: round(r.score, 6) for r in ranking.online_feed(d, F.expr(NOON)).collect()} == {1: 56.0, 2: 80.0}
+    assert {r.pos: (r.score, r.quality) for r in ranking.rewards_feed(d, F.expr(NOON)).collect()} == {4: (45.0, False), 5: (25.0, True)}
+    assert ranking.online_feed(d.limit(0), F.expr(NOON)).count() == 0
