@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.joins import small
+from tallyloom.functions.joins import small, stored
 
 C = F.col
 #: Redemption methods that need a visit, offers that are rewards, and words of a paid membership.
@@ -72,7 +72,7 @@ def search_match(queries: DataFrame, offers: DataFrame, words: DataFrame) -> Dat
     same, prefix, held = C("term") == C("query"), C("term").startswith(C("query")), C("term").contains(C("query"))
     has = lambda kind, how: F.bool_or((C("kind") == kind) & how).alias(kind)
     first = lambda kind, how, exact, other: F.min(F.when((C("kind") == kind) & how, F.struct("place", F.when(same, exact).otherwise(other).alias("points"))))["points"].alias(kind)
-    found = terms.join(small(down.union(up).distinct()), "term").groupBy("query", "pos", "global_quality_score", "distance_km").agg(
+    found = terms.join(small(stored(down.union(up).distinct())), "term").groupBy("query", "pos", "global_quality_score", "distance_km").agg(
         has("brand", same), has("brand", prefix).alias("brand_start"), has("brand", held).alias("brand_part"), first("alias", prefix, 90.0, 70.0),
         first("explicit", F.lit(True), 80.0, 70.0), first("contextual", F.lit(True), 35.0, 25.0), has("product", F.lit(True)), has("taxonomy", same),
         has("title", held), has("summary", held), has("code", same), has("tag", F.lit(True)), has("category", held), has("blocked", same),
