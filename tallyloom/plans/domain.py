@@ -73,6 +73,15 @@ from conversations""",
 select event_id as id, user_id, case event_id % 5 when 0 then 'brand#1' when 1 then 'food' when 2 then ' Tech ' when 3 then 'zzz' else 'Brand#12' end as query,
   event_id % 5 = 3 as no_result, ts as created_at
 from events where event_type = 'signup'""",
+    # A page for each document, with offers between its sentences, and a second page, of the same site or another.
+    "promo_texts": """
+select doc_id, concat('s', doc_id) as source, concat('https://www.', coalesce(source, 'none'), '.example.com/', doc_id) as source_url, concat(coalesce(source, 'none'), '.example.com') as trusted_domain,
+  case when doc_id % 29 = 0 then null when doc_id % 31 = 0 then '2024-01-30T10:00:00' else concat('2024-01-', 10 + doc_id % 20, 'T10:00:00+00:00') end as checked_at,
+  concat(case when doc_id % 3 = 0 then concat('=== https://', coalesce(source, 'none'), '.example.com/first ===', chr(10)) else '' end,
+    replace(replace(replace(coalesce(text, ''), concat('.', chr(10)), concat('.', chr(10), case doc_id % 5 when 0 then 'Save 20% off running shoes.' when 1 then 'Take  $15.00 off any order' when 2 then 'Free tote bag with any purchase!' when 3 then 'Running shoes: 20% discount for rewards members' else 'Summer dresses up to 30% off' end, chr(10))),
+      '. L', concat(case when doc_id % 2 = 0 then '. Use RUN20 for it,' else ' on an order of $60.' end, chr(10), 'L')), '. T', concat(case when doc_id % 4 < 2 then ' on selected styles' else ' ends March 5, 2024' end, chr(10), 'T')),
+    chr(10), '=== https://', case when doc_id % 5 = 0 then 'evil.test' else concat('shop.', coalesce(source, 'none'), '.example.com') end, '/q ===', chr(10), 'Save 20% off blue running shoes', chr(10), 'Save $15 off any order, take it with RUN20', chr(10), 'A complimentary gift: one tote bag', chr(10), 'Summer dresses: save up to 30% until 3/5/2024') as text
+from documents""",
 }
 
 _DAYS = re.compile(r"make_interval_days\(([^)]*)\)")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import catalog, engagement, messages, outreach, pages, ranking, scoring, search, streaming
+from tallyloom.plans import catalog, engagement, grounding, messages, outreach, pages, ranking, scoring, search, streaming
 
-_MODULES = [engagement, catalog, scoring, ranking, messages, pages, search, outreach, streaming]
+_MODULES = [engagement, catalog, scoring, ranking, messages, pages, search, outreach, streaming, grounding]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}

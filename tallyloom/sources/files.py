@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import re
+import uuid
 from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
@@ -79,3 +80,28 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def write_review_csv(review: DataFrame, path: str) -> None:
     review.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_snapshot(df: DataFrame, path: str) -> None:
+    """df as a new snapshot under path, which read_snapshot() gives from then on. The snapshot is written aside and named in
+    the file CURRENT, which is replaced in one step; df may come from the snapshot before, which stays."""
+    spark = df.sparkSession
+    name = f"snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    next_, current = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"_next-{name}", "CURRENT"))
+    out = next_.getFileSystem(conf).create(next_)
+    out.write(bytearray(name.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(next_.getFileSystem(conf).getUri(), conf).rename(next_, current, how)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest snapshot that was wholly written; none if there is none."""
+    current = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    if not current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(current):
+        return None
+    return spark.read.parquet(f"{path}/{spark.read.text(str(current.toString())).first()[0]}")
