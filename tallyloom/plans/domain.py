@@ -78,9 +78,19 @@ from events where event_type = 'signup'""",
 select doc_id, concat('s', doc_id) as source, concat('https://www.', coalesce(source, 'none'), '.example.com/', doc_id) as source_url, concat(coalesce(source, 'none'), '.example.com') as trusted_domain,
   case when doc_id % 29 = 0 then null when doc_id % 31 = 0 then '2024-01-30T10:00:00' else concat('2024-01-', 10 + doc_id % 20, 'T10:00:00+00:00') end as checked_at,
   concat(case when doc_id % 3 = 0 then concat('=== https://', coalesce(source, 'none'), '.example.com/first ===', chr(10)) else '' end,
-    replace(replace(replace(coalesce(text, ''), concat('.', chr(10)), concat('.', chr(10), case doc_id % 5 when 0 then 'Save 20% off running shoes.' when 1 then 'Take  $15.00 off any order' when 2 then 'Free tote bag with any purchase!' when 3 then 'Running shoes: 20% discount for rewards members' else 'Summer dresses up to 30% off' end, chr(10))),
-      '. L', concat(case when doc_id % 2 = 0 then '. Use RUN20 for it,' else ' on an order of $60.' end, chr(10), 'L')), '. T', concat(case when doc_id % 4 < 2 then ' on selected styles' else ' ends March 5, 2024' end, chr(10), 'T')),
+    replace(replace(replace(coalesce(text, ''), concat('.', chr(10), 'A'), concat('.', chr(10), case doc_id % 5 when 0 then 'Save 20% off running shoes.' when 1 then 'Take  $15.00 off any order' when 2 then 'Free tote bag with any purchase!' when 3 then 'Running shoes: 20% discount for rewards members' else 'Summer dresses up to 30% off' end, chr(10), 'A')),
+      '. Las ', concat(case when doc_id % 2 = 0 then '. Use RUN20 for it,' else ' on an order of $60.' end, chr(10), 'Las ')), '. The ', concat(case when doc_id % 4 < 2 then ' on selected styles' else ' ends March 5, 2024' end, chr(10), 'The ')),
     chr(10), '=== https://', case when doc_id % 5 = 0 then 'evil.test' else concat('shop.', coalesce(source, 'none'), '.example.com') end, '/q ===', chr(10), 'Save 20% off blue running shoes', chr(10), 'Save $15 off any order, take it with RUN20', chr(10), 'A complimentary gift: one tote bag', chr(10), 'Summer dresses: save up to 30% until 3/5/2024') as text
+from documents""",
+    # A shop's page for each document: products and prices between its sentences, links at its end.
+    "shop_texts": """
+select doc_id, coalesce(source, 'none') as brand, lang as category, concat(coalesce(source, 'none'), '.example.com') as website_domain,
+  concat(replace(replace(replace(replace(coalesce(text, ''),
+    concat('.', chr(10), 'A'), concat('.', chr(10), 'Slim Fit Denim Jacket M', chr(10), '$', 80 + doc_id % 40, '.00 $', 39 + doc_id % 7, '.99', chr(10), 'A')),
+    '. Las ', concat('.', chr(10), 'Black Leather Boots XL', chr(10), case when doc_id % 2 = 0 then 'now ' else '' end, '$45.50 was $', 60 + doc_id % 60, chr(10), 'Las ')),
+    '. The ', concat('.', chr(10), 'Floral Midi Dress / women', chr(10), '120.00', chr(10), 10 + doc_id % 99, '.95', chr(10), 'View cart', chr(10), 'The ')),
+    '. Les ', concat('.', chr(10), 'Save $10 - $25', chr(10), 'Canvas tote bag, one size', chr(10), '$1,', 200 + doc_id % 300, '.00 $999.00', chr(10), 'Les ')),
+    chr(10), 'Denim jacket offers [deal_url:/jackets/', doc_id % 9, '] and leather boots [deal_url:', case when doc_id % 4 = 0 then '//evil.test' else '' end, '/boots] for you', case when doc_id % 3 = 0 then ' [deal_url:/home]' else '' end) as text
 from documents""",
 }
 
