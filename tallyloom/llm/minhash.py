@@ -284,7 +284,7 @@ def features_of(texts: DataFrame, size: int) -> DataFrame:
                 of, item, count, _ = bags(batch.column("text"), size)
                 of, item = np.repeat(of, count), np.repeat(item, count)
                 turn = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                value = mix(item ^ (turn.astype(np.uint64) << _ID_BITS))
+                value = mix(mix(item) ^ turn.astype(np.uint64))
                 ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64)))], ["id", "features"])
 

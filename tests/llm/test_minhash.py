@@ -138,3 +138,20 @@ def test_components_of_chains_and_cycles(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (200, 150), (150, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
+
+
+def test_features_count_every_repeat(spark):
+    """Shared features are the shared weight, also of shingles that occur more than 65,536 times."""
+    sizes = [70_000, 150_000, 149_000]
+    texts = spark.createDataFrame([(k, "a " * n + "b c") for k, n in enumerate(sizes)], "id long, text string")
+    rows = {r["id"]: r["features"] for r in minhash.features_of(texts, 5).collect()}
+    assert [len(set(rows[k])) for k in range(3)] == [n - 2 for n in sizes]
+    assert len(set(rows[1]) & set(rows[2])) == 149_000 - 4 + 2 and len(set(rows[0]) & set(rows[1])) == 70_000 - 4 + 2
+
+
+def test_a_chain_of_long_repeats_is_one_class(spark):
+    """Each text is 1.1 times as long as the one before: 0.91 alike, whatever the length is."""
+    texts = [("a " * int(70_000 * 1.1**k), k) for k in range(6)] + [("a " * int(700 * 1.1**k), 100 + k) for k in range(6)]
+    got = {r["doc_id"]: r for r in minhash.classes(spark.createDataFrame([(k, t) for t, k in texts], "doc_id long, text string")).collect()}
+    column = next(c for c in got[0].asDict() if "class" in c)
+    assert len({got[k][column] for k in range(6)}) == 1 and len({got[100 + k][column] for k in range(6)}) == 1
