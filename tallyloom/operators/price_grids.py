@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.joins import stored
 from tallyloom.functions.text import matches_domain
 from tallyloom.operators.captures import detect_gender
 
@@ -262,10 +263,12 @@ def collapse_grid_offers(offers: DataFrame, cards: DataFrame, id_col: str = "doc
     keywords merged into its own. Elsewhere the card is added (pos null), unless a sale among the offers is within 15 points of it
     or neither has keywords of its own. A text has one card, so offers meet it by the text's id alone.
     """
+    cards = stored(cards.select(id_col, *_FIELDS))
     own = _first_of_title(offers, id_col)
     no = lambda c: ~F.coalesce(C(c).cast("boolean"), F.lit(False))
     priced = (C("promotion_type") == "sale") & C("discount_type").isin(*GRID_DISCOUNTS)
     own = own.withColumn("_grid", F.coalesce(priced & no("requires_membership") & no("requires_app") & (F.coalesce("promo_code", F.lit("")) == ""), F.lit(False)))
+    own = stored(own.select(id_col, "pos", "_grid", *_FIELDS))
     points = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d+)\s*%", 1), F.lit("")).cast("int")
     card = cards.select(id_col, points(C("discount_value")).alias("_points"), (F.size("product_keywords_explicit") > 0).alias("_focused"))
     met = own.join(card, id_col, "left")
