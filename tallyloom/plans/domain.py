@@ -92,6 +92,24 @@ select doc_id, coalesce(source, 'none') as brand, lang as category, concat(coale
     '. Les ', concat('.', chr(10), 'Save $10 - $25', chr(10), 'Canvas tote bag, one size', chr(10), '$1,', 200 + doc_id % 300, '.00 $999.00', chr(10), 'Les ')),
     chr(10), 'Denim jacket offers [deal_url:/jackets/', doc_id % 9, '] and leather boots [deal_url:', case when doc_id % 4 = 0 then '//evil.test' else '' end, '/boots] for you', case when doc_id % 3 = 0 then ' [deal_url:/home]' else '' end) as text
 from documents""",
+    # A shop's text for each document, with what offers say at its head and between its sentences; some are empty or short.
+    "rule_texts": """
+select doc_id, case doc_id % 9 when 0 then 'Target' when 1 then 'AMC Theatres' when 2 then 'Mcdonalds' else source end as brand,
+  case when doc_id % 37 = 0 then null when doc_id % 37 = 1 then '  Coupon: 30% off  ' else concat(
+    case doc_id % 14 when 0 then 'Take 20% off today. ' when 1 then 'Get $ 5.50 off your order! ' when 2 then 'Just 7 dollars off' when 3 then 'A free drink for you' when 4 then 'Earn 50 points toward a reward'
+      when 5 then 'Clearance for a limited time' when 6 then 'Our loyalty program has 50 points' when 7 then 'Happy birthday, coupon inside' when 8 then 'Offer valid in the app' when 9 then 'Members deal: 15 percent off'
+      when 10 then 'Free with purchase, promo code RUN' when 11 then 'Rewardsale of the year' else '' end, chr(10),
+    case doc_id % 5 when 0 then 'Happy hour 3:30pm - 12 AM for new customers' when 1 then 'Scan in store, 9 am to 5:15 pm. Sign up now' when 2 then 'Online only, valid until noon' else '' end, chr(13), chr(10), chr(9),
+    replace(coalesce(text, ''), '. ', case doc_id % 3 when 0 then concat('.', chr(10)) when 1 then concat('. Members save. ', chr(10)) else '. ' end)) end as text
+from documents""",
+    "rule_mails": """
+select concat('m', conv_id, '-', turn) as message_id, concat('Brand#', 1 + conv_id % 25) as brand, concat('Save ', 10 + conv_id % 60, '% off today') as subject,
+  cast(case when conv_id % 2 = 0 then timestamp '2023-12-20 10:00:00' else timestamp '2024-01-10 00:00:00' end as timestamp) as sent_at,
+  split(concat('https://brand.example.com/unsubscribe ', case when conv_id % 3 = 0 then 'mailto:a@example.com' else concat('https://brand.example.com/', turn) end, ' https://brand.example.com/privacy'), ' ') as links,
+  case when conv_id % 5 = 0 then 'private_user_offer' else 'public_general_offer' end as visibility,
+  concat('Use code SAVE', 10 + conv_id % 60, case when conv_id % 7 = 0 then ' or use code EXTRA5' else '' end, '. Offer expires ', case conv_id % 4 when 0 then 'Feb 31' when 1 then 'January 32' else '' end, case when conv_id % 4 < 2 then ' and ends ' else '' end,
+    'January ', 1 + turn % 28, case when conv_id % 6 = 1 then ', 2024' else '' end, '. ', coalesce(text, '')) as body
+from conversations""",
 }
 
 _DAYS = re.compile(r"make_interval_days\(([^)]*)\)")
