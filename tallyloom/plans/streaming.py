@@ -22,7 +22,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/document[s].parquet").select("doc_id", C("source").alias("brand"), "text")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/document[s].parquet").select("doc_id", C("source").alias("brand"), "text", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 30 as int))").alias("scraped_at"))
 
 
 QUERIES = {
@@ -31,7 +31,7 @@ QUERIES = {
     "stream_impression_dedup": lambda s, d: jobs.run_now(jobs.stream_impression_dedup(_events(s, d), "60 days"), "append").select("user_id", "session_id", "context", "source_group", "promotion_id"),
     "stream_capture_dedup": lambda s, d: jobs.run_now(jobs.stream_capture_dedup(_captures(s, d)), "append").select("brand", "content_hash"),
     "stream_preference_state": lambda s, d: jobs.run_now(jobs.stream_preference_state(_events(s, d)), "complete"),
-    "stream_sessions_per_day": lambda s, d: jobs.run_now(jobs.stream_sessions_per_day(_events(s, d)), "complete").select(C("day").cast("date").alias("day"), "events"),
+    "stream_sessions_per_day": lambda s, d: jobs.run_now(jobs.stream_sessions_per_day(_events(s, d)), "append").select(C("day").cast("date").alias("day"), "events", "sessions"),
     "stream_last_active": lambda s, d: jobs.run_now(jobs.stream_last_active(_events(s, d)), "complete").select("user_id", C("last_active_at").cast("timestamp_ntz").alias("last_active_at")),
 }
 
@@ -43,6 +43,6 @@ ORACLE_SQL = {
     "stream_preference_state": f"""{ctes('interactions')} select user_id, promotion_id, coalesce(arg_max(event_type, event_sequence) filter (where event_type in ('deal_saved', 'deal_unsaved')) = 'deal_saved', false) as saved,
   coalesce(arg_max(event_type, event_sequence) filter (where event_type in ('not_interested', 'not_interested_undone')) = 'not_interested', false) as dismissed
 from interactions where event_type in ('deal_saved', 'deal_unsaved', 'not_interested', 'not_interested_undone') group by 1, 2""",
-    "stream_sessions_per_day": f"{ctes('interactions')} select cast(created_at as date) as day, count(*) as events from interactions group by 1",
+    "stream_sessions_per_day": f"{ctes('interactions')} select cast(created_at as date) as day, count(*) as events, count(distinct session_id) as sessions from interactions group by 1 having cast(created_at as date) + interval 3 day <= (select max(created_at) from interactions)",
     "stream_last_active": ENGAGEMENT["last_active"],
 }

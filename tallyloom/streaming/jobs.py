@@ -24,9 +24,15 @@ def stream_impression_dedup(events: DataFrame, delay: str = "7 days") -> DataFra
     return shown.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["user_id", "session_id", "context", "source_group", "promotion_id"])
 
 
-def stream_capture_dedup(captures: DataFrame) -> DataFrame:
-    """Captures whose text is new for their brand."""
-    return captures.withColumn("content_hash", F.sha2("text", 256)).dropDuplicates(["brand", "content_hash"])
+def stream_capture_dedup(captures: DataFrame, delay: str = "90 days", known: DataFrame | None = None) -> DataFrame:
+    """Captures whose text is new for their brand. A hash is kept as state until the watermark (the latest time seen, less the
+    delay) has passed its first capture by the delay too, so state holds the hashes of a bounded time; older ones are told
+    apart by known, the stored (brand, content_hash) of captures before. Null texts of a brand count as one text."""
+    d = captures.withColumn("content_hash", F.sha2("text", 256))
+    if known is not None:
+        old = known.select(C("brand").alias("_brand"), C("content_hash").alias("_hash")).distinct()
+        d = d.join(old, C("brand").eqNullSafe(C("_brand")) & C("content_hash").eqNullSafe(C("_hash")), "left_anti")
+    return d.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["brand", "content_hash"])
 
 
 def stream_preference_state(events: DataFrame) -> DataFrame:
@@ -36,8 +42,13 @@ def stream_preference_state(events: DataFrame) -> DataFrame:
 
 
 def stream_sessions_per_day(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Events and (approximate) distinct sessions of each day."""
-    return events.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 day")).agg(F.count("*").alias("events"), F.approx_count_distinct("session_id").alias("sessions")).select(C("window.start").alias("day"), "events", "sessions")
+    """Events and distinct sessions of each day, exact, once the watermark has passed the day (append mode).
+
+    The first step counts the events of each session and day, the second the sessions and events of each day, both under
+    one watermark, so a busy day is many keys of the first step and a few partial rows of the second. Null sessions are one."""
+    seen = events.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 day"), "session_id").agg(F.count("*").alias("n"))
+    days = seen.groupBy(F.window(F.window_time("window"), "1 day")).agg(F.sum("n").alias("events"), F.count("*").alias("sessions"))
+    return days.select(C("window.start").alias("day"), "events", "sessions")
 
 
 def stream_last_active(events: DataFrame) -> DataFrame:
