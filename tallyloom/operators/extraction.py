@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,15 @@ def _clock(hour: Column, minute: Column, half: Column) -> Column:
     return F.format_string("%02d:%02d", h24, F.coalesce(F.nullif(minute, F.lit("")).cast("int"), F.lit(0)))
 
 
-def _says(words: str, c: str = "_low") -> Column:
-    return C(c).rlike(words)
+def _says(words: str, c: Column | None = None) -> Column:
+    """Whether the lower text has one of the words, which are parted by |; a search of bytes, unlike rlike()."""
+    text = C("_low") if c is None else c
+    return functools.reduce(lambda a, b: a | b, (text.contains(w) for w in words.split("|")))
+
+
+def _starting(first: str, pattern: str) -> str:
+    """The pattern, tried only where one of the first characters of its alternatives stands."""
+    return f"(?=[{first}])(?:{pattern})"
 
 
 def rule_based_offers(texts: DataFrame, min_length: int = 200, require_keywords: bool = True) -> DataFrame:
@@ -84,11 +93,12 @@ def rule_based_offers(texts: DataFrame, min_length: int = 200, require_keywords:
     """
     low = F.lower(F.coalesce("text", F.lit("")))
     d = texts.withColumn("_low", low)
-    hits = F.regexp_count("_low", F.lit(f"(?={WORDS})")) + F.regexp_count("_low", F.lit(f"(?={LONGER_WORDS})"))
+    starts = lambda first, words: F.regexp_count("_low", F.lit(_starting(first, f"(?={words})")))
+    hits = starts("rodpcsvebma", WORDS) + starts("rpm", LONGER_WORDS)
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), LINE_END), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
     d = d.withColumns({
         "keyword_hits": hits,
-        "evidence": F.array_distinct(F.regexp_extract_all("_low", F.lit("|".join(EVIDENCE)), F.lit(0))),
+        "evidence": F.array_distinct(F.regexp_extract_all("_low", F.lit(_starting(r"\d$fvelopc", "|".join(EVIDENCE))), F.lit(0))),
         "_lines": lines,
         "_hours": F.regexp_extract("text", HOURS, 0),
         "_length": F.length("text"),
@@ -98,20 +108,21 @@ def rule_based_offers(texts: DataFrame, min_length: int = 200, require_keywords:
         "redemption_method": F.when(_says("app"), "in_app").when(_says("code"), "show_code").when(_says("scan"), "scan_barcode").when(_says("online"), "online").when(_says("in store|in-store"), "in_store").otherwise("unknown"),
         "_kind": F.when(_says("birthday"), "birthday_reward").when(_says("coupon"), "coupon").when(_says("sale|clearance"), "sale").when(_says("app") & _says("offer|deal"), "app_offer").when(_says("reward"), "reward").when(_says("member"), "membership_benefit").otherwise("unknown"),
     })
+    d = d.withColumn("_told", F.slice(F.filter("_lines", lambda x: _says(TERMS, F.lower(x))), 1, 8))
     clear = F.size("evidence") > 0
     found = lambda pattern: F.regexp_extract("_low", pattern, 1)
     of_kind = lambda kind, value=None: F.struct(F.lit(kind).alias("type"), (F.lit(value) if value is None or isinstance(value, str) else value).cast("string").alias("value"))
     discount = (
         F.when(~clear, of_kind("unknown"))
-        .when(_says(PERCENT_OFF), of_kind("percentage_off", F.concat(found(PERCENT_OFF), F.lit("%"))))
-        .when(_says(DOLLARS_OFF), of_kind("amount_off", F.concat(F.lit("$"), found(DOLLARS_OFF))))
-        .when(_says(WORDED_DOLLARS_OFF), of_kind("amount_off", F.concat(F.lit("$"), found(WORDED_DOLLARS_OFF))))
-        .when(_says(FREE), of_kind("free_item", "free"))
-        .when(_says(f"{EARN}|{TOWARD}"), of_kind("points"))
-        .when(_says(SALE), of_kind("sale_price"))
+        .when(C("_low").rlike(PERCENT_OFF), of_kind("percentage_off", F.concat(found(PERCENT_OFF), F.lit("%"))))
+        .when(C("_low").rlike(DOLLARS_OFF), of_kind("amount_off", F.concat(F.lit("$"), found(DOLLARS_OFF))))
+        .when(C("_low").rlike(WORDED_DOLLARS_OFF), of_kind("amount_off", F.concat(F.lit("$"), found(WORDED_DOLLARS_OFF))))
+        .when(C("_low").rlike(FREE), of_kind("free_item", "free"))
+        .when(C("_low").rlike(f"{EARN}|{TOWARD}"), of_kind("points"))
+        .when(C("_low").rlike(SALE), of_kind("sale_price"))
         .otherwise(of_kind("unknown"))
     )
-    told = F.slice(F.filter("_lines", lambda x: F.lower(x).rlike(TERMS)), 1, 8)
+    told = C("_told")
     enough = (C("_trimmed") >= min_length) & ((C("keyword_hits") > 0) | (F.lit(not require_keywords) & clear))
     d = d.withColumns({
         "_ok": F.coalesce(enough, F.lit(False)),
