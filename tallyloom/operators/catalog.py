@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.joins import small
 from tallyloom.functions.text import any_date, compact, iso_date, offer_text, public_url, slug
 
 C = F.col
 
-# What counts as a placeholder, junk, a discount, and so on, in offer texts.
+# Fixed values, all of this block: what counts as a placeholder, junk, a discount, and so on, in offer texts; names of paid
+# programs, titles, and typography.
 PLACEHOLDER = r"(?i)^(?:no\s+promotions?\s+found|an\s+error\s+occurred|[a-z\s]+\s+promotion\s*$)"
 SWEEPSTAKES = r"(?i)\bsweepstakes\b|\bcontest\b|\braffle\b|\bgiveaway\b|\benter\s+to\s+win\b"
 TICKETS = r"(?i)^.{2,60}\s+tickets?\s*(?:\([^)]*\))?\s*$"
@@ -309,7 +311,7 @@ def fast_redemption(offers: DataFrame, as_of: Column, links: DataFrame | None =
     web, deep = F.lit(None).cast("string"), F.lit(None).cast("string")
     if links is not None:
         name = F.trim(F.regexp_replace(F.lower("brand"), "[^a-z0-9 ]", ""))
-        hit = d.select("pos", name.alias("_n")).join(F.broadcast(links), C("_n").contains(C("word"))).groupBy("pos").agg(F.min_by(F.struct("deep_link", "web_link"), "ord").alias("_app"))
+        hit = d.select("pos", name.alias("_n")).join(small(links), C("_n").contains(C("word"))).groupBy("pos").agg(F.min_by(F.struct("deep_link", "web_link"), "ord").alias("_app"))
         d = d.join(hit, "pos", "left")
         web, deep = C("_app.web_link"), C("_app.deep_link")
     code, food = F.nullif(F.trim("promo_code"), F.lit("")), F.coalesce(F.lower("category").isin("food", "fast_food", "restaurant", "coffee"), F.lit(False))

@@ -20,7 +20,7 @@ PRIVATE_BODY = r"(?i)\bjust\s+for\s+you\b|\byour\s+(?:reward|offer|gift|code|cou
 MEMBER = r"(?i)\b(?:rewards?|loyalty|insider|circle|plus|elite|member)\s+(?:member|exclusive|only|offer|get|price|benefit)\b|\bfor\s+(?:our\s+)?(?:rewards?|loyalty|insider|circle|elite)\s+members?\b"
 # Bonuses and thresholds of push messages.
 BONUS = {"fav_brand": 35.0, "fav_cat": 20.0, "searched_brand": 55.0, "searched_cat": 30.0, "clicked_brand": 45.0, "clicked_cat": 20.0}
-PERSONAL, UNKNOWN = 90.0, 110.0
+PERSONAL, UNKNOWN, PUSH_FLOOR = 90.0, 110.0, 65.0
 NOTIFY_FLOOR, MIN_GROUPS, LEAST_CONFIDENCE = 65.0, 2, 0.75
 BOGO = r"(?i)\bbogo\b|buy.one.get.one"
 TRIAL = r"(?i)\bfree\s+trial\b|\btrial\b|\d+\s+(?:months?|weeks?|days?)\s+free"
@@ -178,11 +178,12 @@ def skip_counts(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(F.coalesce("skip_reason", F.lit("candidate")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def push_selection(users: DataFrame, candidates: DataFrame, sent: DataFrame, events: DataFrame, searches: DataFrame, as_of: Column) -> DataFrame:
-    """The one candidate for each user: not sent for a week, best score with bonuses for what the user likes, clicked and
+def push_selection(users: DataFrame, candidates: DataFrame, sent: DataFrame, events: DataFrame, searches: DataFrame, as_of: Column, least: float = PUSH_FLOOR) -> DataFrame:
+    """The one candidate for each user: of a score of least or more, not sent for a week, best score with bonuses for what the user likes, clicked and
     searched lately, over the threshold. Queries match brands and categories as substrings, either way."""
     week = lambda c: C(c) >= as_of - F.expr("interval 7 days")
     acts = events.where(week("created_at") & C("event_type").isin("deal_card_opened", "deal_card_clicked", "redeem_clicked", "fast_redeem_clicked"))
+    candidates = candidates.where(C("notify_score") >= least)
     found = candidates.select(F.lower("brand").alias("brand"), F.lower("category").alias("category")).distinct()
     asked = searches.where(week("created_at") & (F.trim("query") != "")).select("user_id", F.lower(F.trim("query")).alias("q")).distinct()
     queries = asked.select("q").distinct()

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tags without visible text, paths of links that lead to no offer, and short or long lines that are no content.
+# Tags without visible text, the pattern of paths that lead to no offer, and short or long lines that are no content.
 DROPPED = frozenset("script style noscript svg canvas iframe nav footer".split())
-NO_OFFER = "cart checkout account login sign-?in sign-?up register logout wishlist search help support contact about faq returns? shipping privacy terms sitemap legal accessibility careers? press blog stores? locations? store-?finder find-a-store"
+NO_OFFER = r"cart|checkout|account|login|sign-?in|sign-?up|register|logout|wishlist|search|help|support|contact|about|faq|returns?|shipping|privacy|terms|sitemap|legal|accessibility|careers?|press|blog|stores?|locations?|store-?finder|find-a-store"
 NOISE = ("accept cookies", "cookie policy", "privacy policy", "terms of use", "skip to main content")
-LEGAL = r"redeemable transferable prohibited liability pursuant void\b indemnif arbitration sublicense warranties governing\s+law jurisdiction severab"
-_NO_OFFER = re.compile(f"/?(?:{NO_OFFER.replace(' ', '|')})(?:/|$|\\?)", re.IGNORECASE)
-_LEGAL = re.compile(rf"\b(?:{LEGAL.replace(' ', '|')})\b", re.IGNORECASE)
+LEGAL = r"redeemable|transferable|prohibited|liability|pursuant|void\b|indemnif|arbitration|sublicense|warranties|governing\s+law|jurisdiction|severab"
+_NO_OFFER = re.compile(f"/?(?:{NO_OFFER})(?:/|$|\\?)", re.IGNORECASE)
+_LEGAL = re.compile(rf"\b(?:{LEGAL})\b", re.IGNORECASE)
 _BLOCK = frozenset("p div li ul ol br h1 h2 h3 h4 h5 h6 tr td th section article main aside form table blockquote title".split())
 
 

@@ -44,6 +44,7 @@ TITLE_HINTS = [
     (r"\bwallets?\b|\bcard\s+holders?\b|\bwristlets?\b", 55.0),
     (r"\bbags?\b", 100.0),
 ]
+# Patterns of titles, and points of quick actions.
 BOGO = r"(?i)\bbogo\b|buy.one.get.one"
 BUY_GET = r"(?i)buy\s+(\d+)\s+get\s+(\d+)"
 TRIAL = r"(?i)\bfree\s+trial\b|\btrial\b|\d+\s+(?:months?|weeks?|days?)\s+free"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OFFER = "brand string, category string, promotion_title string, short_summary string, terms_text string, promotion_type string, discount_type string, discount_value string, promo_code string, minimum_spend string, requires_membership boolean, membership_name string, membership_cost string, requires_app boolean, redemption_method string, redemption_steps array<string>, deal_scope string, start_date string, end_date string, valid_days array<string>, deal_url string, source_url string, confidence_score double, extraction_status string"
-EMAIL = "path string, brand string, sender string, subject string, sent_at timestamp, message_id string, text string, html string, links array<string>"
+EMAIL = "path string, brand string, sender string, subject string, sent_at timestamp, message_id string, text string, html string, links array<string>, error string"
 
 
 def read_brand_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -29,10 +29,12 @@ def load_sources(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("urls", F.coalesce(F.when(F.size("urls") > 0, F.col("urls")), F.when(F.col("url").isNotNull(), F.array("url")), F.array().cast("array<string>"))).withColumn("url", F.get("urls", F.lit(0)))
 
 
-def filter_sources(sources: DataFrame, brand: str | None = None, category: str | None = None, allowed_only: bool = True) -> DataFrame:
+def filter_sources(sources: DataFrame, brand: str | None = None, category: str | None = None, allowed_only: bool = True, first: int | None = None) -> DataFrame:
+    """The sources of a brand (a part of its name) or category that may be fetched; the first of them by name, if asked."""
     d = sources.where(F.coalesce("allowed_to_fetch", F.lit(True))) if allowed_only else sources
     d = d.where(F.lower("brand").contains(brand.lower())) if brand else d
-    return d.where(F.lower("category") == category.lower()) if category else d
+    d = d.where(F.lower("category") == category.lower()) if category else d
+    return d.orderBy("brand", "url").limit(first) if first is not None else d
 
 
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,25 +46,34 @@ def read_captures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_eml(raw: DataFrame) -> DataFrame:
-    """Mails from (path, content): sender, subject, time, id, text, html and at most fifty different links."""
+    """Mails from (path, content): sender, subject, time, id, text, html and at most fifty different links.
+
+    A mail that cannot be read (no content, an unknown charset) gives a row of its path and the error, all else null."""
 
     def body(m, kind):
         part = m.get_body((kind,))
         return part.get_content() if part is not None else ""
 
+    def read(path, content):
+        m = email.message_from_bytes(bytes(content), policy=email.policy.default)
+        name, address = parseaddr(str(m["From"] or ""))
+        text, html = body(m, "plain"), body(m, "html")
+        try:
+            sent = pd.Timestamp(parsedate_to_datetime(str(m["Date"]))).tz_convert("UTC").tz_localize(None)
+        except (ValueError, TypeError):
+            sent = pd.NaT
+        links = list(dict.fromkeys(re.findall(r"https?://[^\s<>\"']+", f"{text}\n{html}")))[:50]
+        return (path, name or address.split("@")[-1].split(".")[0], address, str(m["Subject"] or ""), sent, str(m["Message-ID"] or ""), text.strip() or re.sub(r"<[^>]+>", " ", html).strip(), html, links, None)
+
+    def tried(path, content):
+        try:
+            return read(path, content)
+        except (ValueError, TypeError, LookupError, AttributeError, KeyError) as e:  # what the mail's own bytes can cause
+            return (path, *[None] * 3, pd.NaT, *[None] * 4, f"{type(e).__name__}: {e}")
+
     def run(parts):
         for pdf in parts:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                m = email.message_from_bytes(bytes(content), policy=email.policy.default)
-                name, address = parseaddr(str(m["From"] or ""))
-                text, html = body(m, "plain"), body(m, "html")
-                try:
-                    sent = pd.Timestamp(parsedate_to_datetime(str(m["Date"]))).tz_convert("UTC").tz_localize(None)
-                except (ValueError, TypeError):
-                    sent = pd.NaT
-                links = list(dict.fromkeys(re.findall(r"https?://[^\s<>\"']+", f"{text}\n{html}")))[:50]
-                rows.append((path, name or address.split("@")[-1].split(".")[0], address, str(m["Subject"] or ""), sent, str(m["Message-ID"] or ""), text.strip() or re.sub(r"<[^>]+>", " ", html).strip(), html, links))
+            rows = [tried(path, content) for path, content in zip(pdf["path"], pdf["content"], strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in EMAIL.split(", ")])
 
     return raw.select("path", "content").mapInPandas(run, EMAIL)

@@ -31,6 +31,14 @@ def test_parse_eml(spark):
     assert s["promo_codes"] == ["SAVE30"] and s["expiry_phrases"] == ["10/10/2026"] and s["has_signal"]
 
 
+def test_mails_that_cannot_be_read_do_not_end_the_job(spark):
+    odd = b"From: a@b.example.com\r\nContent-Type: text/plain; charset=no-such-set\r\n\r\nHello"
+    rows = [("none", None), ("odd", bytearray(odd)), ("empty", bytearray(b"")), ("good", bytearray(b"Subject: Hi\r\n\r\nText"))]
+    got = {r["path"]: r for r in files.parse_eml(spark.createDataFrame(rows, "path string, content binary").coalesce(1)).collect()}
+    assert got["none"]["error"].startswith("TypeError") and got["none"]["text"] is None and got["odd"]["error"].startswith("LookupError")
+    assert (got["good"]["subject"], got["good"]["text"], got["good"]["error"]) == ("Hi", "Text", None) and got["empty"]["text"] == ""
+
+
 def test_sources_and_sinks(spark, tmp_path):
     docs = {"brand": "Acme", "category": "food", "promotions": [{"promotion_title": "10% off", "confidence_score": 0.8}, None, {"promotion_title": "Free tea", "brand": "Other"}]}
     (tmp_path / "in").mkdir()
@@ -43,6 +51,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "sources.json").write_text(json.dumps([{"brand": "A", "url": "https://a.example.com"}, {"brand": "B", "urls": ["https://b.example.com", "x"], "allowed_to_fetch": False}]))
     sources = files.load_sources(spark, str(tmp_path / "sources.json"))
     assert sorted((r["brand"], r["url"], len(r["urls"])) for r in sources.collect()) == [("A", "https://a.example.com", 1), ("B", "https://b.example.com", 2)]
+    assert [r["brand"] for r in files.filter_sources(sources, allowed_only=False, first=1).collect()] == ["A"]
     assert [r["brand"] for r in files.filter_sources(sources, brand="a").collect()] == ["A"]
     (tmp_path / "caps").mkdir()
     (tmp_path / "caps" / "a_1.txt").write_text("one\ntwo")
