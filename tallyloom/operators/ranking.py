@@ -18,6 +18,7 @@ EARTH_KM = 6371.0
 MIN_CONFIDENCE, QUALITY_FLOOR, NEAR_FLOOR = 0.70, 65.0, 55.0
 UNKNOWN_FLOOR, POINTS_FLOOR = 82.0, 78.0
 RADIUS_KM = 8.05
+GRID_LEVELS = 6  # steps of 360 degrees / 4 ** level: 0.09 degrees, 10 km, at the last
 VISIBLE, RESERVE = 10, 30
 FAVOURITE_BRAND, FAVOURITE_CATEGORY, BIRTHDAY = 24.0, 14.0, 12.0
 SAVED, CLICKED, SEARCHED = 18.0, 6.0, 12.0
@@ -43,13 +44,58 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
 
 
 def nearest_store(users: DataFrame, stores: DataFrame) -> DataFrame:
-    """Kilometres from each user to the nearest store of each brand. Equal places of users and of stores are met once."""
-    places = users.select(C("lat").alias("u_lat"), C("lng").alias("u_lng")).distinct()
-    spots = stores.select("brand", "lat", "lng").distinct()
-    best = places.join(small(spots), F.lit(True)).groupBy("u_lat", "u_lng", "brand").agg(F.min(haversine_km(C("u_lat"), C("u_lng"), C("lat"), C("lng"))).alias("distance_km"))
+    """Kilometres from each user to the nearest store of each brand. Equal places of users and of stores are met once.
+
+    Places and stores lie in cells of a world grid whose steps shrink fourfold from level to level. A cell of places keeps,
+    of each brand, the cells of stores that may hold the nearest one: those whose least distance is not above the smallest
+    greatest distance of all. Those alone are split further, so a brand's far stores leave early, and only the stores of
+    the last few cells are measured. Users and stores without a valid place have no distance.
+    """
+    leaf = lambda df: df.withColumns({"y": _cell_of(C("lat")), "x": _cell_of(C("lng"))})
+    valid = C("lat").between(-90, 90) & C("lng").between(-180, 180)
+    places = stored(leaf(users.where(valid).select("lat", "lng").distinct()))
+    spots = stored(leaf(stores.where(valid & C("brand").isNotNull()).select("brand", "lat", "lng").distinct()))
+    up = lambda c, level: F.shiftright(c, 2 * (GRID_LEVELS - level))
+    at = lambda df, level, names: df.select(*(n for n in ["brand"] if n in df.columns), up("y", level).alias(names[0]), up("x", level).alias(names[1])).distinct()
+    near = at(places, 0, ("y", "x")).join(at(spots, 0, ("sy", "sx")), (C("y") == C("sy")) & (C("x") == C("sx")))
+    for level in range(1, GRID_LEVELS + 1):
+        above = lambda c: F.shiftright(c, 2)
+        split = at(spots, level, ("ty", "tx")).withColumns({"sy": above("ty"), "sx": above("tx")})
+        near = near.join(split, ["brand", "sy", "sx"]).select("y", "x", "brand", C("ty").alias("sy"), C("tx").alias("sx"))
+        least, greatest = _cell_bounds(level - 1, level)
+        near = near.withColumns({"_least": least, "_top": F.min(greatest).over(Window.partitionBy("y", "x", "brand"))})
+        near = near.where(C("_least") <= C("_top") * (1 + 1e-9) + 1e-15).drop("_least", "_top")
+        inside = at(places, level, ("ty", "tx")).withColumns({"y": above("ty"), "x": above("tx")})
+        near = near.join(inside, ["y", "x"]).select(C("ty").alias("y"), C("tx").alias("x"), "brand", "sy", "sx")
+    met = near.join(places.withColumnsRenamed({"lat": "u_lat", "lng": "u_lng"}), ["y", "x"]).join(spots.withColumnsRenamed({"y": "sy", "x": "sx"}), ["brand", "sy", "sx"])
+    best = met.groupBy("u_lat", "u_lng", "brand").agg(F.min(haversine_km(C("u_lat"), C("u_lng"), C("lat"), C("lng"))).alias("distance_km"))
     return users.join(best, (users["lat"] == best["u_lat"]) & (users["lng"] == best["u_lng"])).select("user_id", "brand", "distance_km")
 
 
+def _cell_of(degrees: Column) -> Column:
+    """The cell of the last level along one axis; 180 degrees belong to the last cell."""
+    return F.least(F.floor((degrees + 180) * (4**GRID_LEVELS / 360)), F.lit(4**GRID_LEVELS - 1)).cast("int")
+
+
+def _cell_bounds(level: int, store_level: int) -> tuple[Column, Column]:
+    """Bounds of the haversine between any place of cell (y, x) and any of cell (sy, sx), which grows with the distance."""
+    size, store_size = 360.0 / 4**level, 360.0 / 4**store_level
+    middle = lambda c, s: (C(c) + 0.5) * s - 180
+    reach = (size + store_size) / 2
+    lat, store_lat = middle("y", size), middle("sy", store_size)
+    apart = F.abs(lat - store_lat)
+    around = F.abs(middle("x", size) - middle("sx", store_size))
+    around = F.least(around, 360 - around)
+    cos_least = lambda c, s: F.cos(F.radians(F.least(F.abs(c) + s / 2, F.lit(90.0))))
+    cos_most = lambda c, s: F.cos(F.radians(F.least(F.greatest(F.abs(c) - s / 2, F.lit(0.0)), F.lit(90.0))))
+    square = lambda d: F.pow(F.sin(F.radians(d) / 2), 2)
+    gap = lambda d: F.greatest(d - reach, F.lit(0.0))
+    span = lambda d: F.least(d + reach, F.lit(180.0))
+    least = square(gap(apart)) + cos_least(lat, size) * cos_least(store_lat, store_size) * square(gap(around))
+    most = square(span(apart)) + cos_most(lat, size) * cos_most(store_lat, store_size) * square(span(around))
+    return least, F.least(most, F.lit(1.0))
+
+
 def stores_within(users: DataFrame, stores: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """The nearest store of each brand inside the radius, by an equi-join on grid cells and their neighbours."""
     step = 0.1  # degrees of latitude: 11 km, more than the radius

@@ -85,17 +85,29 @@ def _labels(spark, sf_dir):
     return learn.preference_labels(domain(spark, sf_dir, "interactions"))
 
 
-def _offer_columns(spark, sf_dir):
-    return domain(spark, sf_dir, "offers").select(F.concat(F.lit("p"), C("pos")).alias("promotion_id"), "brand", "category", "promotion_type", "discount_type", "requires_membership")
+def _feature_inputs(spark, sf_dir):
+    """Offers with all columns that features read, users with stated preferences, and what is known of memberships."""
+    offers = catalog(spark, sf_dir).select(
+        "promotion_id", "brand", "category", "promotion_type", "discount_type", "requires_membership", "requires_app", "confidence_score", "global_quality_score", "economic_value_score",
+        F.round("effective_discount_pct", 1).alias("effective_discount_pct"), "deal_scope", "promotion_title", (C("pos") % 3 == 0).alias("purchase_required"), (C("pos") % 5 < 2).alias("is_email"),
+        F.when(C("pos") % 11 == 0, "$25").when(C("pos") % 11 == 1, "  ").alias("minimum_spend"))
+    words = F.array(*map(F.lit, ["Free ", "bogo", "discount", "online", "nearby", "rewards"]))
+    users = _users(spark, sf_dir).select(
+        "user_id", "lat", "lng", F.array(F.concat(F.lit(" "), F.upper("favorite_brand"))).alias("favorite_brands"), F.array(C("favorite_category"), F.lit(None)).alias("favorite_categories"),
+        F.when(C("user_id") % 7 > 0, F.slice(words, (C("user_id") % 7).cast("int"), 2)).alias("deal_priorities"), "favorite_brand")
+    members = users.where("user_id % 5 < 4").select("user_id", C("favorite_brand").alias("brand"), (C("user_id") % 2 == 0).alias("is_member"))
+    return offers, users, members
 
 
 def _features(spark, sf_dir):
     """Of the users with labels: all offers of a brand of theirs, and the offers they have labelled."""
     labels = _labels(spark, sf_dir)
-    offers = _offer_columns(spark, sf_dir)
-    of_brand = labels.select("user_id", F.concat(F.lit("Brand#"), 1 + C("user_id") % 25).alias("brand")).distinct().join(offers, "brand").select("user_id", "promotion_id")
-    labelled = labels.select("user_id", "promotion_id").join(offers.select("promotion_id"), "promotion_id").select("user_id", "promotion_id")
-    return learn.preference_features(of_brand.union(labelled).distinct(), labels, offers, now())
+    offers, users, members = _feature_inputs(spark, sf_dir)
+    of_brand = labels.select("user_id", F.concat(F.lit("Brand#"), 1 + C("user_id") % 25).alias("brand")).distinct().join(offers, "brand").select("user_id", "promotion_id", "brand")
+    labelled = labels.select("user_id", "promotion_id").join(offers.select("promotion_id", "brand"), "promotion_id").select("user_id", "promotion_id", "brand")
+    near = op.stores_within(users, domain(spark, sf_dir, "stores"))
+    pairs = of_brand.union(labelled).distinct().join(near, ["user_id", "brand"], "left").select("user_id", "promotion_id", "distance_km")
+    return learn.preference_features(pairs, labels, offers, now(), users, members)
 
 
 def _brand_level(spark, sf_dir):
@@ -214,10 +226,20 @@ select coalesce(o.key, n.key) as key, coalesce(o.name, n.name) as name, coalesce
     "brand_level_score": f"""{ctes('users', 'offers', 'interactions')}, w as (select user_id, category, n / sum(n) over (partition by user_id) as weight from (select user_id, category, count(*) as n from users join offers on lower(brand) = lower(favorite_brand) group by 1, 2)),
 i as (select user_id, category, least(count(*), 5) / 5.0e0 as interest from interactions group by 1, 2), b as (select user_id, brand, category, max(confidence_score * 100) as best, least(count(*), 3) * 2.0e0 as n from users join offers on brand = favorite_brand group by 1, 2, 3)
 select user_id, brand, category, round(best + n + coalesce(weight, 0) * 10 + coalesce(interest, 0) * 5, 4) as brand_score from b left join w using (user_id, category) left join i using (user_id, category)""",
-    "preference_features": f"""{_EVIDENCE}, pairs as (select l.user_id, c.* from labels l join cols c on lower(c.brand) = concat('brand#', 1 + l.user_id % 25) union select l.user_id, c.* from labels l join cols c on c.promotion_id = l.promotion_id),
-x as (select p.user_id, p.promotion_id, w.w, w.sign, {", ".join(f"p.{k} = w.{k} as same_{k}" for k in _KINDS)} from pairs p left join w on w.user_id = p.user_id and w.promotion_id <> p.promotion_id)
-select user_id, promotion_id, {", ".join(f"round(coalesce(sum(w * sign) filter (where same_{k}), 0) / (coalesce(sum(w) filter (where same_{k}), 0) + 4), 6) as {k}_preference, round(greatest(0, least(coalesce(sum(w) filter (where same_{k}), 0) / 20, 1)), 6) as {k}_evidence" for k in _KINDS)},
-  round(greatest(0, least(coalesce(sum(w), 0) / 20, 1)), 6) as total_evidence from x group by 1, 2""",
+    "preference_features": f"""{_EVIDENCE.replace(ctes('offers', 'interactions'), ctes('offers', 'interactions', 'users', 'stores'))}, {_CAT}, {_NEAREST},
+pairs as (select l.user_id, c.* from labels l join cols c on lower(c.brand) = concat('brand#', 1 + l.user_id % 25) union select l.user_id, c.* from labels l join cols c on c.promotion_id = l.promotion_id),
+x as (select p.user_id, p.promotion_id, w.w, w.sign, {", ".join(f"p.{k} = w.{k} as same_{k}" for k in _KINDS)} from pairs p left join w on w.user_id = p.user_id and w.promotion_id <> p.promotion_id),
+f as (select user_id, promotion_id, {", ".join(f"round(coalesce(sum(w * sign) filter (where same_{k}), 0) / (coalesce(sum(w) filter (where same_{k}), 0) + 4), 6) as {k}_preference, round(greatest(0, least(coalesce(sum(w) filter (where same_{k}), 0) / 20, 1)), 6) as {k}_evidence" for k in _KINDS)},
+  round(greatest(0, least(coalesce(sum(w), 0) / 20, 1)), 6) as total_evidence from x group by 1, 2),
+g as (select f.*, c.* exclude (promotion_id), u.favorite_brand as ub, u.favorite_category as uc, n.distance_km as km, regexp_matches(promotion_title, '(?i)\\bbogo\\b|buy.one.get.one') as two, f.user_id % 7 as want
+  from f join cat c using (promotion_id) left join users u on u.user_id = f.user_id left join nearest n on n.user_id = f.user_id and n.brand = c.brand and n.distance_km <= 8.05)
+select user_id, promotion_id, {", ".join(f"{k}_preference, {k}_evidence" for k in _KINDS)}, total_evidence, round(greatest(0, least(q / 100, 1)), 6) as quality, round(greatest(0, least(e / 100, 1)), 6) as economic_value, confidence_score as confidence,
+  round(greatest(0, least(round(pct, 1) / 100, 1)), 6) as discount, cast(requires_membership as int) as requires_membership, cast(coalesce(brand = ub and user_id % 5 < 4 and user_id % 2 = 0, false) as int) as has_membership,
+  cast(coalesce(brand = ub and user_id % 5 < 4, false) as int) as membership_known, cast(requires_app as int) as requires_app, cast(pos % 3 = 0 as int) as purchase_required, cast(pos % 11 = 0 as int) as minimum_spend_required,
+  cast(pos % 4 = 2 as int) as online_only, cast(pos % 5 < 2 as int) as email, cast(coalesce(brand = ub, false) as int) as favorite_brand, cast(coalesce(category = uc, false) as int) as favorite_category,
+  cast(ub is not null and (want = 1 and discount_type = 'free_item' or want in (1, 2) and two or want in (2, 3) and discount_type in ('percentage_off', 'amount_off', 'sale_price') or want in (3, 4) and pos % 4 = 2 or want in (4, 5) and km is not null or want in (5, 6) and requires_membership) as int) as priority_match,
+  cast(discount_type = 'free_item' as int) as discount_free, cast(discount_type = 'percentage_off' as int) as discount_percentage, cast(discount_type = 'amount_off' as int) as discount_amount, cast(discount_type = 'points' as int) as discount_points,
+  cast(two as int) as discount_bogo, cast(promotion_type in ('reward', 'membership_benefit') as int) as promotion_reward from g""",
     "evaluate_scores": f"""{ctes('interactions')}, {_LABELS}, s as (select label, round(0.05e0 + (sequence * 7 % 19 + label * 3) / 25.0e0, 2) as p from labels),
 a as (select avg(case when x.p > y.p then 1.0 when x.p = y.p then 0.5 else 0 end) as auc from s x, s y where x.label = 1 and y.label = 0)
 select count(*) as examples, round((select auc from a), 6) as auc, round(avg(-(label * ln(greatest(1e-7, least(1 - 1e-7, p))) + (1 - label) * ln(greatest(1e-7, least(1 - 1e-7, 1 - p))))), 6) as log_loss,

@@ -90,3 +90,27 @@ def test_one_dismissal_of_the_brand(spark):
     got = {r["promotion_id"]: r for r in learning.preference_features(pairs, labels, offers, F.expr("timestamp '2024-01-31 00:00:00'")).collect()}
     assert (got["p2"]["brand_preference"], got["p2"]["total_evidence"], got["p2"]["category_preference"]) == (-0.2, 0.05, 0.0)
     assert (got["p1"]["brand_preference"], got["p1"]["total_evidence"]) == (0.0, 0.0)
+
+
+def test_features_of_offers_and_stated_preferences(spark):
+    """Scores clamp to 0..1, names meet in any case, unknown memberships are told apart, each priority has its own sort of offer."""
+    labels = spark.createDataFrame([], "user_id long, promotion_id string, label int, sequence long, at timestamp")
+    offers = spark.createDataFrame(
+        [("p1", " Brand A", "Food", "reward", "free_item", True, 130.0, -4.0, 0.5, 25.0, True, True, " $5 ", "online_only", True, "BOGO socks"),
+         ("p2", "b", "tech", "sale", "points", False, float("nan"), None, None, 300.0, None, False, " ", "brand_level", False, "Buy one, get one"),
+         ("p3", "c", None, None, "amount_off", None, 50.0, 10.0, 1.5, 0.0, False, None, None, None, None, None)],
+        "promotion_id string, brand string, category string, promotion_type string, discount_type string, requires_membership boolean, global_quality_score double, economic_value_score double, confidence_score double, effective_discount_pct double, requires_app boolean, purchase_required boolean, minimum_spend string, deal_scope string, is_email boolean, promotion_title string")
+    users = spark.createDataFrame([(1, ["brand a ", None], ["FOOD"], [" Free"]), (2, ["B"], None, ["bogo", "nearby"]), (3, [], [], ["discount"]), (4, None, None, ["nearby"])], "user_id long, favorite_brands array<string>, favorite_categories array<string>, deal_priorities array<string>")
+    members = spark.createDataFrame([(1, "BRAND A", False), (1, "brand a", True), (2, "b", False)], "user_id long, brand string, is_member boolean")
+    pairs = spark.createDataFrame([(1, "p1", None), (2, "p1", None), (2, "p2", None), (3, "p3", None), (4, "p3", 2.5), (9, "p2", 1.0)], "user_id long, promotion_id string, distance_km double")
+    rows = learning.preference_features(pairs, labels, offers, F.expr("timestamp '2024-01-31 00:00:00'"), users, members)
+    assert rows.columns == ["user_id", "promotion_id", *learning.PREFERENCE_FEATURES] and len(learning.PREFERENCE_FEATURES) == 30
+    got = {(r["user_id"], r["promotion_id"]): r.asDict() for r in rows.collect()}
+    ones = lambda *k: {name for name, v in got[k].items() if v == 1 and name not in ("user_id", "promotion_id")}
+    assert ones(1, "p1") == {"quality", "requires_membership", "has_membership", "membership_known", "requires_app", "purchase_required", "minimum_spend_required", "online_only", "email", "favorite_brand", "favorite_category", "priority_match", "discount_free", "discount_bogo", "promotion_reward"}
+    assert (got[1, "p1"]["economic_value"], got[1, "p1"]["confidence"], got[1, "p1"]["discount"]) == (0.0, 0.5, 0.25)
+    assert ones(2, "p1") == ones(1, "p1") - {"has_membership", "membership_known", "favorite_brand", "favorite_category"}
+    assert ones(2, "p2") == {"discount", "membership_known", "favorite_brand", "discount_points"}  # a comma is no single character before a space
+    assert ones(3, "p3") == {"confidence", "priority_match", "discount_amount"} and ones(4, "p3") == ones(3, "p3")
+    assert ones(9, "p2") == {"discount", "discount_points"}
+    assert all(v is not None for row in got.values() for v in row.values())
