@@ -11,7 +11,8 @@ with menus, notices, adverts, forms, sidebars and comments, whose labels are kno
 
 Defined cases: null or empty html, and pages without main blocks, give empty text; unclosed and stray tags are closed as
 browsers do; a button, list of choices or svg left open ends at the next paragraph, heading, list or the like; the whole
-path and all words of a block count, however long; columns of other names are kept, and added ones renamed where they clash; scripts, styles, comments and hidden templates are never text; with no page to learn from, blocks are kept
+path and all words of a block count, however long; columns of other names are kept, and added ones renamed where they clash; scripts, styles, comments, hidden templates and what an object or canvas shows where it can't be drawn are never
+text; text in a head outside its title ends the head; with no page to learn from, blocks are kept
 unless their own tags say otherwise; repeated rows each get a row; page ids may be null.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -35,6 +37,8 @@ PATH_DIM, WORD_DIM, NUMBERS = 96, 32, 8
 HIDDEN = 20
 EPOCHS = 8
 SEED = 11
+#: A page of more blocks is labelled in stretches of so many.
+LONG_PAGE = 20_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +51,7 @@ CONTROLS = frozenset("button select option optgroup".split())
 HEAD_TAGS = frozenset("base basefont link meta noscript script style template title".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOILER = frozenset("nav header footer aside form menu ad ads advert advertisement banner promo sponsored cookie cookies notice consent sidebar comment comments reply replies related share social newsletter subscribe breadcrumb breadcrumbs pagination widget login search copyright".split())
+TELLING = BOILER | {"article", "main"}
 _WORD = re.compile(r"\w+")
 
 
@@ -55,15 +60,19 @@ def _bucket(token: str, dim: int) -> int:
 
 
 class Path:
-    """The open tags around a block; vec: their hashed words, the nearest of each weighing most."""
+    """The open tags around a block; vec: their hashed words, the nearest of each weighing most; telling: those of their
+    words that tell whether a block is main text."""
 
-    __slots__ = ("up", "vec", "words")
+    __slots__ = ("telling", "up", "vec", "words")
 
     def __init__(self, up: Path | None, words: tuple[str, ...]):
         self.up, self.words = up, words
         self.vec = np.zeros(PATH_DIM, np.float32) if up is None else up.vec * np.float32(0.9)
         for w in words:
             self.vec[_bucket(w, PATH_DIM)] = 1
+        self.telling = frozenset() if up is None else up.telling
+        if not self.telling.issuperset(here := TELLING.intersection(words)):
+            self.telling |= here
 
     def __iter__(self):
         """Each tag's words, from the outermost tag in."""
@@ -82,7 +91,7 @@ class Path:
 
 
 class Blocks(HTMLParser):
-    """Leaf blocks of a page: text, path words, and how much of the text is in links."""
+    """Leaf blocks of a page: text, path words, and how much of the text is in links. Each tag costs the same, however many are open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -92,6 +101,8 @@ class Blocks(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.silent = 0
+        self.places: dict[str, list[int]] = defaultdict(list)  # where each open tag stands in the stack
+        self.walls: list[int] = []  # where those stand that aren't inline
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -100,16 +111,27 @@ class Blocks(HTMLParser):
             self.found.append((text, path, min(1.0, self.linked / len(text))))
         self.parts, self.linked = [], 0
 
+    def _push(self, tag: str, path: Path) -> None:
+        self.places[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.walls.append(len(self.stack))
+        self.silent += tag in SILENT
+        self.stack.append((tag, path))
+
     def _pop(self, k: int) -> None:
-        for tag, _ in self.stack[k:]:
+        """Close the open tags from the k-th on."""
+        while len(self.stack) > k:
+            tag, _ = self.stack.pop()
             self.silent -= tag in SILENT
-        del self.stack[k:]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.walls.pop()
 
     def _end(self, tags) -> None:
         """Close the outermost open tag among tags, and all inside it."""
-        k = next((k for k, (name, _) in enumerate(self.stack) if name in tags), None)
-        if k is not None:
-            self._pop(k)
+        outermost = [self.places[tag][0] for tag in tags if self.places[tag]]
+        if outermost:
+            self._pop(min(outermost))
 
     def handle_starttag(self, tag, attrs):
         if self.silent > 0:
@@ -122,14 +144,10 @@ class Blocks(HTMLParser):
         if tag not in INLINE:
             if self.silent <= 0 and (tag not in SILENT or tag in ("title", "head")):
                 self.flush()
-            if tag in CLOSES_P or tag in SAME:
-                for k in range(len(self.stack) - 1, -1, -1):
-                    name = self.stack[k][0]
-                    if name == "p" and tag in CLOSES_P or name in SAME.get(tag, ()):
-                        self._pop(k)
-                        break
-                    if name not in INLINE:
-                        break
+            if self.walls:
+                name = self.stack[self.walls[-1]][0]
+                if name == "p" and tag in CLOSES_P or name in SAME.get(tag, ()):
+                    self._pop(self.walls[-1])
         elif tag in ("br", "img", "wbr"):
             self.parts.append(" " if tag == "br" else "")
         if tag in VOID:
@@ -139,8 +157,7 @@ class Blocks(HTMLParser):
             if k in ("class", "id", "role", "itemprop") and v:
                 words += [w.lower() for w in re.split(r"[^A-Za-z]+", v) if w]
         up = self.stack[-1][1] if self.stack else self.root
-        self.stack.append((tag, up if tag in INLINE else Path(up, tuple(words))))
-        self.silent += tag in SILENT
+        self._push(tag, up if tag in INLINE else Path(up, tuple(words)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -150,21 +167,23 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE and tag not in SILENT and self.silent <= 0:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if self.silent > 0:  # a tag inside it was left open
-                    self._pop(k + 1)
-                    if tag not in INLINE and self.silent <= 0:
-                        self.flush()
-                self._pop(k)
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                return
+        if not self.places[tag]:
+            return
+        k = self.places[tag][-1]
+        if tag in INLINE and self.walls and self.walls[-1] > k:
+            return
+        if self.silent > 0:  # a tag inside it was left open
+            self._pop(k + 1)
+            if tag not in INLINE and self.silent <= 0:
+                self.flush()
+        self._pop(k)
 
     def handle_data(self, data):
+        if self.silent > 0 and self.stack[-1][0] == "head" and data.strip():
+            self._end({"head"})
         if self.silent <= 0:
             self.parts.append(data)
-            if any(tag == "a" for tag, _ in self.stack):
+            if self.places["a"]:
                 self.linked += len(data.strip())
 
 
@@ -176,17 +195,18 @@ def blocks(html: str | None) -> list[tuple[str, Path, float]]:
     return p.found
 
 
-def vectors(page) -> np.ndarray:
-    """One row per block: hashed words of its whole path and whole text, and numbers about the text."""
-    out = np.zeros((len(page), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
-    for k, (text, path, linked) in enumerate(page):
+def vectors(page, first: int = 0, end: int | None = None) -> np.ndarray:
+    """One row per block (from first to before end): hashed words of its whole path and whole text, and numbers about the text."""
+    part = page[first:end]
+    out = np.zeros((len(part), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
+    for k, (text, path, linked) in enumerate(part):
         out[k, :PATH_DIM] = path.vec if isinstance(path, Path) else Path.of(path).vec
         words = _WORD.findall(text.lower())
         if words:
             hashed = np.bincount([_bucket("w" + w, WORD_DIM) for w in words], minlength=WORD_DIM)
             out[k, PATH_DIM : PATH_DIM + WORD_DIM] = hashed / len(words)
         n = len(text)
-        out[k, -NUMBERS:] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, sum(text.count(c) for c in ".,;:!?") / n * 10, sum(map(str.isdigit, text)) / n, k / len(page), text[-1:] in ".!?…\"'", "©" in text)
+        out[k, -NUMBERS:] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, sum(text.count(c) for c in ".,;:!?") / n * 10, sum(map(str.isdigit, text)) / n, (first + k) / len(page), text[-1:] in ".!?…\"'", "©" in text)
     return out
 
 
@@ -207,11 +227,11 @@ def start_weights(dim: int, rng) -> dict[str, np.ndarray]:
     return w
 
 
-def _run(x, mask, W, c, keep):
-    """States (T x B x H) of one LSTM; x is T x B x D. keep: what the backward pass needs."""
+def _run(x, mask, W, c, keep, start=None):
+    """States (T x B x H) of one LSTM, from the state start on, and its last state; x is T x B x D. keep: what the backward pass needs."""
     t, b, d = x.shape
     pre = (x.reshape(t * b, d) @ W[:d]).reshape(t, b, -1) + c
-    h = s = np.zeros((b, HIDDEN), np.float32)
+    h, s = start or (np.zeros((b, HIDDEN), np.float32),) * 2
     states, tape = np.zeros((t, b, HIDDEN), np.float32), []
     for k in range(t):
         g = pre[k] + h @ W[d:]
@@ -224,13 +244,13 @@ def _run(x, mask, W, c, keep):
             tape.append((h, s, i, f, o, n, new))
         s, h = m * new + (1 - m) * s, m * out + (1 - m) * h
         states[k] = h
-    return states, tape
+    return states, tape, (h, s)
 
 
 def forward(w, x, mask, keep=False):
     """Chance of main for each block (T x B)."""
-    f, tf = _run(x, mask, w["Wf"], w["cf"], keep)
-    b, tb = _run(x[::-1], mask[::-1], w["Wb"], w["cb"], keep)
+    f, tf, _ = _run(x, mask, w["Wf"], w["cf"], keep)
+    b, tb, _ = _run(x[::-1], mask[::-1], w["Wb"], w["cb"], keep)
     both = np.concatenate([f, b[::-1]], axis=2)
     return _sigmoid(both @ w["o"] + w["p"])[..., 0], both, tf, tb
 
@@ -306,15 +326,29 @@ def label(w, pages: list[np.ndarray], cells: int = 60_000) -> list[np.ndarray]:
     return out
 
 
+def label_long(w, page, step: int = LONG_PAGE) -> np.ndarray:
+    """Which blocks of one page are main, the page being read in stretches that hand on their states; of a stretch only its
+    share of the blocks' scores is kept."""
+    score = np.full(len(page), w["p"][0], np.float32)
+    starts = list(range(0, len(page), step))
+    for d, order, half in (("f", starts, w["o"][:HIDDEN]), ("b", starts[::-1], w["o"][HIDDEN:])):
+        state, turn = None, 1 if d == "f" else -1
+        for first in order:
+            x = vectors(page, first, first + step)[::turn, None]
+            states, _, state = _run(x, np.ones(x.shape[:2], np.float32), w["W" + d], w["c" + d], False, state)
+            score[first : first + step] += (states[:, 0] @ half)[::turn, 0]
+    return _sigmoid(score) >= 0.5
+
+
 # Training pages -------------------------------------------------------------------------------------------------------
 
 
 def told(path) -> bool | None:
     """What a block's own tags say: False inside boilerplate, True in an article, None if they don't tell."""
-    words = [w for step in path for w in step]
-    if any(w in BOILER for step in path for w in step if not (w == "header" and any("article" in s for s in path))):
+    words = (path if isinstance(path, Path) else Path.of(path)).telling
+    if any(w in BOILER for w in words if not (w == "header" and "article" in words)):
         return False
-    return True if any(w in ("article", "main") for w in words) else None
+    return True if words else None
 
 
 _MENU = "Home News About Contact Login Register Search Sports Business World Politics Culture Videos Photos Help Careers Privacy Terms Sitemap Archive Topics Shop Store Account Cart Blog Events Services Products Company Team Press".split()
@@ -405,7 +439,8 @@ class Model:
         if self.weights is None:
             chosen = [[told(path) is not False for _, path, _ in p] for p in pages]
         else:
-            chosen = label(self.weights, [vectors(p) for p in pages])
+            chosen = label(self.weights, [vectors(p) if len(p) <= LONG_PAGE else vectors([]) for p in pages])
+            chosen = [label_long(self.weights, p) if len(p) > LONG_PAGE else c for p, c in zip(pages, chosen, strict=True)]
         return ["\n".join(t for (t, _, _), ok in zip(p, keep, strict=True) if ok) for p, keep in zip(pages, chosen, strict=True)]
 
 

@@ -1,6 +1,7 @@
 """Sharding, URL verdicts, HTML extraction, embeddings and the pipeline."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -144,6 +145,26 @@ def test_text_behind_open_controls_is_not_lost():
     assert len(shown("<div>x" * 3000)) == 3000
 
 
+def test_text_in_a_head_ends_it():
+    assert shown("<html><head><title>T</title>Plain words of the article.</html>") == ["Plain words of the article."]
+    assert shown("<head> <title>T</title>\n<style>p {}</style> <meta name=a> Words<p>more") == ["Words", "more"]
+
+
+@pytest.mark.parametrize("page, n", [("<div>" * 100_000 + "x", 1), ("<div>x" * 50_000, 50_000), ("<b>" * 50_000 + "<div>x</div>" * 50_000, 50_000), ("<div>" * 50_000 + "x</b></p></li>" * 50_000, 50_000), ("<p><a>x" * 50_000, 50_000), ("<div>" * 50_000 + "<select><option>a<p>x</p>" * 20_000, 20_000)])
+def test_many_open_tags_take_no_longer(page, n):
+    start = time.process_time()
+    found = html.blocks(page)
+    [html.told(path) for _, path, _ in found]
+    assert len(found) == n and time.process_time() - start < 6
+
+
+def test_long_pages_are_labelled_as_in_one_piece(labeller):
+    page = html.blocks("".join(body for body, _ in HAND_MADE) * 20)
+    whole = html.label(labeller.weights, [html.vectors(page)])[0]
+    for step in (1, 7, 100, 10_000):
+        assert (html.label_long(labeller.weights, page, step) == whole).all()
+
+
 LONG = " ".join(f"Sentence number {k} goes on, and on." for k in range(2000))
 HAND_MADE = [
     ("<html><body><div><h1>Harbour opens again</h1><p>The harbour opened on Monday, after two years of work.</p><p>Ships came in from the north.</p></div></body></html>", ["Harbour opens again", "The harbour opened on Monday, after two years of work.", "Ships came in from the north."]),
