@@ -8,8 +8,10 @@ to `OPEN_PAIRS` such pairs, which then meet their vectors; where it has more, it
 Of all else a task hands on link counts and a spanning forest, so a group of n near copies costs it no more than n rows.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-different lengths do not link; a null vec_id links with nothing and is its own component (null); rows that share a vec_id
-count as vectors of their own but are one node of the graph; an empty table gives no rows; other columns are not looked at.
+different lengths do not link; rows with a null vec_id are compared like all others, each a node of its own: they count as
+links and connect, and only where no vec_id is reachable is component_id null, one row of such a component being kept; rows
+that share a vec_id count as vectors of their own but are one node of the graph; an empty table gives no rows; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -131,15 +133,15 @@ def _cell(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _coded(batches):
-    for batch in batches:
-        code, scale, error = [], [], []
-        for x in batch.column("unit").to_pylist():
-            c, s, e = quantise(np.array([x]))
-            code.append(c[0].tobytes())
-            scale.append(s[0])
-            error.append(e[0])
+    for batch in _by_length(batches, "unit"):
+        code, scale, error = quantise(_matrix(batch.column("unit")))
         kept = [batch.column(c) for c in ("hid", "id", "copies", "tile", "dim")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(code, pa.binary()), pa.array(scale, pa.float64()), pa.array(error, pa.float64())], ["hid", "id", "copies", "tile", "dim", "code", "scale", "error"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale, pa.float64()), pa.array(error, pa.float64())], ["hid", "id", "copies", "tile", "dim", "code", "scale", "error"])
+
+
+def _matrix(column) -> np.ndarray:
+    """The rows of a column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _decided(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
@@ -149,18 +151,18 @@ def _decided(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            u, v = (np.array(batch.column(c).to_pylist(), np.float64).reshape(batch.num_rows, -1) for c in ("unit_a", "unit_b"))
-            ok = pa.array(np.einsum("ij,ij->i", u, v) >= threshold) if batch.num_rows else pa.array([], pa.bool_())
+            u, v = _matrix(batch.column("unit_a")), _matrix(batch.column("unit_b"))
+            ok = pa.array(np.einsum("ij,ij->i", u, v) >= threshold)
             for a, b in (("a", "b"), ("b", "a")):
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in (f"hid_{a}", f"id_{a}", f"copies_{b}", f"id_{b}")], ["hid", "id", "links", "root"])
 
     # Vectors of one length to a batch, as a pair's are.
-    return both.mapInArrow(lambda batches: run(_by_length(batches)), "hid long, id long, links long, root long")
+    return both.mapInArrow(lambda batches: run(_by_length(batches, "unit_a")), "hid long, id long, links long, root long")
 
 
-def _by_length(batches):
+def _by_length(batches, column: str):
     for batch in batches:
-        sizes = np.array(pa.compute.list_value_length(batch.column("unit_a")))
+        sizes = np.array(pa.compute.list_value_length(batch.column(column)))
         for n in np.unique(sizes):
             yield batch.filter(pa.array(sizes == n))
 
@@ -174,14 +176,15 @@ def _units(batches):
             top = np.abs(x).max(initial=0)
             x = x / top if np.isfinite(top) and top > 0 else x[:0]
             out.append(x / np.sqrt(x @ x) if len(x) and np.isfinite(x).all() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.float64()))], ["id", "unit"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("nameless"), pa.array(out, pa.list_(pa.float64()))], ["id", "nameless", "unit"])
 
 
 def near(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: id_col, n_links, component_id, kept."""
-    vec = F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast("array<double>"))
-    rows = vectors.select(F.col(id_col).alias("id"), vec.alias("unit")).mapInArrow(_units, "id long, unit array<double>")
-    rows = checkpoint(rows)
+    # A row without an id gets a node number from the other end of the longs, so that ids stay the smallest of a component.
+    node = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1) - F.monotonically_increasing_id())
+    rows = vectors.select(node.alias("id"), F.col(id_col).isNull().alias("nameless"), F.col(vector_col).cast("array<double>").alias("unit"))
+    rows = checkpoint(rows.mapInArrow(_units, "id long, nameless boolean, unit array<double>"))
     heads = rows.where("unit is not null").groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     heads = checkpoint(heads.withColumn("hid", F.monotonically_increasing_id()))
     n = heads.count()
@@ -192,17 +195,20 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     schema = "sort int, hid long, id long, links long, root long"
     told = checkpoint(met(coded).groupBy("dim", "i", "j").applyInPandas(lambda pdf: _cell(pdf, threshold), schema))
     undecided = told.where("sort = 2").select(F.col("hid").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.col("links").cast("int").alias("dim"))
-    again = met(dealt.select("hid", "id", "copies", "tile", "dim", "unit")).join(undecided, ["dim", "i", "j"])
+    cells = undecided.withColumn("tile", F.explode(F.array_distinct(F.array("i", "j"))))
+    again = dealt.select("hid", "id", "copies", "tile", "dim", "unit").join(cells, ["dim", "tile"])
     again = again.groupBy("dim", "i", "j").applyInPandas(lambda pdf: _cell(pdf, threshold), schema)
     found = told.where("sort = 0").union(again).drop("sort").union(_decided(told.where("sort = 1"), heads, threshold))
     found = checkpoint(found)
     own = heads.select("unit", "hid", F.col("id").alias("head"), "copies")
-    known = rows.where("unit is not null").join(own, "unit").select("id", "hid", "head", "copies")
+    known = rows.where("unit is not null").join(own, "unit").select("id", "nameless", "hid", "head", "copies")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(known.select(F.col("id").alias("a"), F.col("head").alias("b")))
     labels = components(edges.where("a <> b").distinct())
     sums = found.groupBy("hid").agg(F.sum("links").alias("links"))
-    counted = known.join(sums, "hid", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    lone = rows.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"))
+    counted = known.join(sums, "hid", "left").select("id", "nameless", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    lone = rows.where("unit is null").select("id", "nameless", F.lit(0).cast("long").alias("n_links"))
     out = counted.unionByName(lone).join(labels.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = out.withColumn("component", F.coalesce("component", "id")).withColumn("kept", F.col("component") == F.col("id"))
+    no_ids = rows.where("nameless").select(F.col("id").alias("component"), F.lit(True).alias("no_id"))
+    out = out.withColumn("no_id", F.lit(None).cast("boolean")) if no_ids.isEmpty() else out.join(no_ids, "component", "left")
+    return out.select(F.when(~F.col("nameless"), F.col("id")).alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.when(F.col("no_id").isNull(), F.col("component")).alias("component_id"), "kept")

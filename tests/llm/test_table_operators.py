@@ -239,6 +239,15 @@ def test_links_match_brute_force(spark, monkeypatch, rows_a_tile):
     assert embeddings.near(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_rows_without_an_id_are_compared(spark):
+    """Two rows without an id connect 1 and 2, which are not alike themselves; others reach no id."""
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(2, turn(0)), (None, turn(20)), (None, turn(20)), (1, turn(40)), (None, turn(120)), (None, turn(121)), (None, None), (3, turn(200)), (None, [0.0, 0.0])]
+    got = embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    told = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str)
+    assert told == sorted([(2, 2, 1, False), (None, 3, 1, False), (None, 3, 1, False), (1, 2, 1, True), (None, 1, None, True), (None, 1, None, False), (None, 0, None, True), (3, 0, 3, True), (None, 0, None, True)], key=str)
+
+
 @pytest.mark.parametrize("open_pairs", [0, 10**6])
 def test_pairs_that_codes_leave_open(spark, monkeypatch, open_pairs):
     """Many cosines lie at 0.9: they are decided pair by pair, or by their tiles' vectors."""
