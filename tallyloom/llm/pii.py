@@ -2,10 +2,12 @@
 
 Found: e-mail addresses in any script, secrets (values after password, token, ...; access keys), IBANs, IPv4 and IPv6
 addresses, social security numbers, payment cards, phone numbers, and names after a title (Mr, Mrs, Herr, Frau, Señor,
-г-н, ...). Each different entity gets a surrogate made from a secret key, so that it is the same wherever it is mentioned,
+г-н, ...) with all other mentions of such a name or its family name in the same text. IBANs and cards count only if their
+check sums are right: other numbers stay as they are. Each different entity gets a surrogate made from a secret key, so that it is the same wherever it is mentioned,
 however it is formatted there (coreference), and of its own kind: letters stay letters of their script and case, digits
 digits; phone numbers keep their country, cards their first digit and valid check digit, IBANs their country and check
-sum, addresses stay in range, names keep script and the gender that the title tells.
+sum, addresses stay in range, names keep script and the gender that a title of theirs tells, in whatever text it does. A
+phone number with and without its +1 is one entity, and so are the stems of a couple's family name in Russian.
 
 Collision checks: a surrogate is taken only if no other entity of the kind has it and no real entity equals it; the others
 are made anew with the next attempt, until all are distinct; once surrogates of an entity's length seem to be used up, it
@@ -32,19 +34,22 @@ PLAIN_ATTEMPTS, MAX_ATTEMPTS = 6, 30
 
 _WORD = r"[\p{L}\p{M}\p{N}"
 _EMAIL = rf"(?<!{_WORD}._%+-]){_WORD}._%+-]++@(?={_WORD}.-]*\.\p{{L}}{{2}}){_WORD}-]++(?:\.{_WORD}-]++)++"
-_BEFORE = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
+_BEFORE = r"(?i:password|passwort|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 _SECRET = _BEFORE + r"(?=\S{8})[^\s\"'<>,;]{7,}[^\s\"'<>,;.!?:)\]}]"
-_KEY = r"\bAKIA[0-9A-Z]{16}\b|\b(?:sk-|ghp_|xox[bp]-)[A-Za-z0-9-]{16,}+"
+_KEY = r"\bAKIA[0-9A-Z]{16}\b|\b(?:sk-|ghp_|xox[bp]-)[A-Za-z0-9-]{16,}+|\bBearer [A-Za-z0-9._~+/-]{15,}[A-Za-z0-9_~+/=-]"
 _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 _IP6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![\w:])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.+-])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{13,19}|\d(?:[ -]?\d){12,18})(?![\d-])"
-_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-_NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? \p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?"
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d.,+-])0\d{2,4}[ /]\d{5,7}(?![\d-])"
+_TITLE = r"(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "
+_NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}" + r"\p{Lu}\p{L}++(?: \p{Lu}\p{L}++)?"
 ENTITY = "|".join((_EMAIL, _SECRET, _KEY, _IBAN, _IP, _IP6, _SSN, _CARD, _PHONE, _NAME))
 #: False only for texts in which ENTITY can't match; cheap to tell.
-_HINT = r"[@0-9]|(?i:passw|pwd|token|secret|api[_-]?key)|sk-|ghp_|xox|(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? |[0-9A-Fa-f]:"
+_HINT = rf"[@0-9]|(?i:passw|pwd|token|secret|api[_-]?key)|sk-|ghp_|xox|Bearer |{_TITLE}|[0-9A-Fa-f]:"
+#: Endings of Russian family names of men; those of women have one letter more.
+_RUSSIAN = "(?:ов|ев|ёв|ин|ын)"
 
 #: Country codes of one and two digits; all others have three.
 _COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -77,8 +82,8 @@ def kind_of(m: Column) -> Column:
     """What a mention is: the same order as in ENTITY."""
     return (
         F.when(m.rlike(r"^[^\s=:\"']+@"), "email")
-        .when(m.rlike(r"^(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]"), "secret")
-        .when(m.rlike(r"^(AKIA|sk-|ghp_|xox[bp]-)"), "secret")
+        .when(m.rlike(r"^(?i:password|passwort|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]"), "secret")
+        .when(m.rlike(r"^(AKIA|sk-|ghp_|xox[bp]-|Bearer .{16})"), "secret")
         .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:"), "ipv6")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
@@ -96,7 +101,14 @@ def _gender(m: Column) -> Column:
 
 def _value(m: Column) -> Column:
     """A secret without the word before it."""
-    return F.regexp_replace(m, f"^{_BEFORE}", "")
+    return F.regexp_replace(m, f"^(?:{_BEFORE}|Bearer )", "")
+
+
+def is_entity(m: Column) -> Column:
+    """False for what has the form of an IBAN or a card but not its check sum."""
+    kind, solid = kind_of(m), F.regexp_replace(m, " ", "")
+    rest = _rest97(F.concat(F.substring(solid, F.lit(5), F.length(solid)), F.substring(solid, 1, 4)))
+    return F.when(kind == "iban", rest == 1).when(kind == "card", _luhn(_digits(m)) == 0).otherwise(True)
 
 
 def parts_of(m: Column) -> Column:
@@ -108,11 +120,19 @@ def parts_of(m: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "ip", m)
         .when(kind == "ipv6", F.lower(m))
-        .when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), _digits(m)))
+        .when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").when(m.rlike(r"^\(|^\d{3}[.-]"), "+1").otherwise(""), _digits(m)))
         .otherwise(_digits(m))
     )
-    words = F.slice(F.split(m, " "), 2, 2)
-    roles = F.transform(words, lambda w, i: F.struct(F.concat(F.when((F.size(words) > 1) & (i == 0), F.lit("given ")).otherwise(F.lit("family ")), _gender(m)).alias("kind"), F.lower(w).alias("name")))
+    words = F.split(F.regexp_replace(F.lower(m), f"^(?i){_TITLE}", ""), " ")
+
+    def role(w, i):
+        family = (F.size(words) == 1) | (i > 0)
+        by_form = F.when(family & w.rlike(f"{_RUSSIAN}а$"), "female").when(family & w.rlike(f"{_RUSSIAN}$"), "male").otherwise("other")
+        gender = F.when(_gender(m) == "other", by_form).otherwise(_gender(m))
+        stem = F.when(family & (gender == "female") & w.rlike(f"{_RUSSIAN}а$"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+        return F.struct(F.concat(F.when(family, F.lit("family ")).otherwise(F.lit("given ")), gender).alias("kind"), stem.alias("name"))
+
+    roles = F.transform(words, role)
     return F.when(kind == "name", roles).otherwise(F.array(F.struct(kind.alias("kind"), name.alias("name"))))
 
 
@@ -176,7 +196,7 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
         def of_plain(plain):
             body = F.concat(F.substring(name, 1, 1), F.substring(plain, F.lit(2), F.length(name) - 1), extra("0123456789"))
             checked = lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string"))
-            abroad = F.regexp_extract(name, _COUNTRY_CODE, 0)
+            abroad = F.regexp_extract(name, f"{_COUNTRY_CODE}|^0", 0)
             area = (F.pmod(F.xxhash64(seed, F.lit(-1)), F.lit(8)) + 2).cast("string")
             phone = F.concat(abroad, area, F.substring(plain, F.length(abroad) + 2, F.length(name)), extra("0123456789"))
             country = F.substring(name, 1, 2)
@@ -210,7 +230,8 @@ def _formatted(mention: Column, kind: Column, name: Column, new: Column) -> Colu
     surrogate has more than the entity stands before an address, and after the rest."""
     digits_before = lambda i: F.length(_digits(F.substring(mention, F.lit(1), i)))
     places = F.sequence(F.lit(1), F.length(mention))
-    plain = _digits(new)
+    at_home = (kind == "phone") & name.startswith("+") & ~mention.startswith("+")
+    plain = F.when(at_home, F.substring(_digits(new), F.lit(2), F.length(new))).otherwise(_digits(new))
     numbered = F.array_join(F.transform(places, lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike(r"\d"), F.substring(plain, digits_before(i), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))), "")
     over = F.greatest(F.length(new) - F.length(mention), F.lit(0))
     cased = F.array_join(F.zip_with(_chars(mention), _chars(F.substring(new, over + 1, F.length(new))), lambda old, c: F.when(old != F.lower(old), F.upper(c)).otherwise(c)), "")
@@ -220,7 +241,7 @@ def _formatted(mention: Column, kind: Column, name: Column, new: Column) -> Colu
         F.when(kind == "email", F.concat(F.substring(new, F.lit(1), over), cased))
         .when(kind == "secret", F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(name)), new))
         .when(kind == "iban", F.concat(spaced, F.substring(new, F.length(name) + 1, F.length(new))))
-        .when(kind.isin("ssn", "card", "phone"), F.concat(numbered, F.substring(plain, F.length(_digits(name)) + 1, F.length(plain))))
+        .when(kind.isin("ssn", "card", "phone"), F.concat(numbered, F.substring(plain, F.length(_digits(mention)) + 1, F.length(plain))))
         .when(kind == "ipv6", F.when(mention == F.upper(mention), F.upper(new)).otherwise(new))
         .when(kind.rlike("^(given|family) "), F.initcap(new))
         .otherwise(new)
@@ -231,7 +252,8 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
     """(kind, name, new) for distinct entities (kind, name): surrogates that differ from each other and from all entities."""
     family = lambda c: F.split(c, " ")[0]
     left, taken = entities.select("kind", "name"), None
-    real = entities.select(family(F.col("kind")).alias("sort"), F.lower("name").alias("new")).distinct()
+    forms = F.when(F.col("kind") == "family female", F.array(F.lower("name"), F.concat(F.lower("name"), F.lit("а")))).otherwise(F.array(F.lower("name")))
+    real = entities.select(family(F.col("kind")).alias("sort"), F.explode(forms).alias("new")).distinct()
     for attempt in range(MAX_ATTEMPTS):
         tries = left.select("kind", "name", family(F.col("kind")).alias("sort"), surrogate(F.col("kind"), F.col("name"), F.lit(attempt), key).alias("made"))
         tries = checkpoint(tries.select("kind", "name", "sort", "made", F.lower("made").alias("new")))
@@ -249,31 +271,59 @@ def resolved(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"some entities have no distinct surrogate after {MAX_ATTEMPTS} attempts")
 
 
-def mentions_of(text: Column) -> Column:
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
+def with_genders(entities: DataFrame, key: str) -> DataFrame:
+    """resolved(), where a name that is met without a gender too is the one that is known by one gender alone."""
+    role, gender = F.split("kind", " ")[0], F.split("kind", " ")[1]
+    named = entities.where(F.col("kind").rlike("^(given|family) ")).select(role.alias("role"), gender.alias("gender"), "kind", "name")
+    known = named.where("gender <> 'other'").groupBy("role", "name").agg(F.min("kind").alias("as_kind"), F.max("kind").alias("other_kind")).where("as_kind = other_kind")
+    same = checkpoint(named.where("gender = 'other'").join(known, ["role", "name"]).select("kind", "name", "as_kind"))
+    table = resolved(entities.join(same, ["kind", "name"], "left_anti"), key)
+    return table.unionByName(same.join(table.withColumnRenamed("kind", "as_kind"), ["as_kind", "name"]).select("kind", "name", "new"))
+
+
+def pattern_of(found: Column) -> Column:
+    """ENTITY and the names that mentions with a title give, with or without their given names; null if there are none."""
+    titled = F.filter(found, lambda m: m.rlike(rf"^{_TITLE}\p{{Lu}}"))
+    names = F.array_distinct(F.transform(titled, lambda m: F.regexp_replace(m, f"^{_TITLE}", "")))
+    ways = F.transform(F.filter(names, lambda n: F.length(n) > 1), lambda n: F.regexp_replace(n, r"^(\S+ )(?=\S)", "(?:$1)?"))
+    edge = r")(?![\p{L}\p{M}\p{N}_@]|[.-][\p{L}\p{N}])"
+    return F.when(F.size(ways) > 0, F.concat(F.lit(rf"{ENTITY}|(?<![\p{{L}}\p{{M}}\p{{N}}_@.-])(?:"), F.array_join(ways, "|"), F.lit(edge)))
+
+
+def found_in(text: Column) -> Column:
+    """struct<pattern, mentions>: what stands for what in the text, in order; pattern is null where ENTITY is enough."""
+
+    def whole(first):
+        return _let(F.struct(pattern_of(first).alias("pattern")), lambda p: F.struct(p["pattern"].alias("pattern"), F.when(p["pattern"].isNotNull(), F.regexp_extract_all(text, p["pattern"], F.lit(0))).otherwise(first).alias("mentions")))
+
+    return F.when(text.rlike(_HINT), _let(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), whole))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with surrogates in their texts; count_col, if named, tells how many mentions were replaced.
 
-    Texts are searched once: docs and what was found in them are written to the shared folder and read from there.
+    Texts are searched once, those with a name after a title twice; docs and what was found in them are written to the shared
+    folder and read from there. Texts with mentions are cut at them again when the surrogates are known.
     """
     text = F.col(text_col)
-    found, digest, new, gone = fresh(docs, "mentions", "digest", "surrogates", "digest_of")
-    none = F.array().cast("array<string>")
-    rows = checkpoint(docs.withColumn(found, F.coalesce(mentions_of(text), none)))
-    some = rows.where(F.size(found) > 0)
-    held = checkpoint(some.select(F.md5(text.cast("binary")).alias("digest"), F.col(found).alias("mentions")).groupBy("digest").agg(F.first("mentions").alias("mentions")))
+    found, digest, new, gone = fresh(docs, "found", "digest", "surrogates", "digest_of")
+    rows = checkpoint(docs.withColumn(found, found_in(text)))
+    mentions, pattern = F.col(found)["mentions"], F.col(found)["pattern"]
+    size = F.coalesce(F.size(F.filter(mentions, is_entity)), F.lit(0))
+    some = rows.where(size > 0)
+    held = checkpoint(some.select(F.md5(text.cast("binary")).alias("digest"), mentions.alias("mentions")).groupBy("digest").agg(F.first("mentions").alias("mentions")))
     each = held.select("digest", F.posexplode("mentions").alias("at", "mention"))
-    parts = each.select("digest", "at", "mention", F.posexplode(parts_of(F.col("mention"))).alias("part", "p")).select("digest", "at", "mention", "part", "p.kind", "p.name")
-    table = resolved(checkpoint(parts.select("kind", "name").distinct()), key)
+    kept = each.where(~is_entity(F.col("mention"))).select("digest", "at", F.col("mention").alias("new"))
+    parts = each.where(is_entity(F.col("mention"))).select("digest", "at", "mention", F.posexplode(parts_of(F.col("mention"))).alias("part", "p")).select("digest", "at", "mention", "part", "p.kind", "p.name")
+    table = with_genders(checkpoint(parts.select("kind", "name").distinct()), key)
     made = parts.join(table, ["kind", "name"]).select("digest", "at", "part", "mention", "kind", _formatted(F.col("mention"), F.col("kind"), F.col("name"), F.col("new")).alias("new"))
     named = F.col("kind").rlike("^(given|family) ")
     whole = made.groupBy("digest", "at").agg(F.first("mention").alias("mention"), F.min("kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ").alias("new"))
-    whole = whole.select("digest", "at", F.when(named, F.concat(F.regexp_extract("mention", r"^(\S+ )", 1), F.col("new"))).otherwise(F.col("new")).alias("new"))
+    whole = whole.select("digest", "at", F.when(named, F.concat(F.regexp_extract("mention", f"^({_TITLE})", 1), F.col("new"))).otherwise(F.col("new")).alias("new")).unionByName(kept)
     per_text = checkpoint(whole.groupBy(F.col("digest").alias(gone)).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new)))
     release(held)
     touched = some.withColumn(digest, F.md5(text.cast("binary"))).join(per_text, F.col(digest) == F.col(gone))
-    joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.col(new), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
-    columns = lambda df, value: df.select(*(value.alias(c) if c == text_col else F.col(c) for c in docs.columns), *([F.size(found).alias(count_col)] if count_col else []))
-    return columns(rows.where(F.size(found) == 0), text).unionByName(columns(touched, joined))
+    gaps = F.when(pattern.isNotNull(), F.split(text, pattern, -1)).otherwise(F.split(text, ENTITY, -1))
+    joined = F.array_join(F.zip_with(gaps, F.col(new), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    columns = lambda df, value: df.select(*(value.alias(c) if c == text_col else F.col(c) for c in docs.columns), *([size.cast("int").alias(count_col)] if count_col else []))
+    return columns(rows.where(size == 0), text).unionByName(columns(touched, joined))

@@ -66,12 +66,15 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     entity = regex.compile(pii.ENTITY)
+    worth = lambda i, c: int(c) if i % 2 == 0 else (int(c) * 2 - 9 * (int(c) > 4))
+    # Long numbers that are no card, by their check digit, stay as they are.
+    number = lambda m: regex.fullmatch(r"\d(?:[ -]?\d){12,18}", m) and sum(worth(i, c) for i, c in enumerate(reversed(regex.sub(r"\D", "", m)))) % 10 != 0
     touched = 0
     for r in left:
         if r[i] not in clean:
             continue
         same = hashlib.sha256((r[t] or "").encode()).hexdigest() == got[r[i]]["decoded_sha256"]
-        if entity.search(r[t] or ""):
+        if any(not number(m[0]) for m in entity.finditer(r[t] or "")):
             touched += 1
             assert not same
         else:
