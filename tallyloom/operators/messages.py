@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.joins import small
-from tallyloom.functions.text import offer_id
+from tallyloom.functions.text import offer_id, rounded
 
 C = F.col
 # Signals in promotional e-mails.
@@ -210,7 +210,7 @@ def push_selection(users: DataFrame, candidates: DataFrame, sent: DataFrame, eve
     reason = F.lit("none")
     for k in reversed(flags):
         reason = F.when(flags[k], k).otherwise(reason)
-    d = d.withColumns({"score": F.round(score, 2), "reason": reason})
+    d = d.withColumns({"score": rounded(score, 2), "reason": reason})
     d = d.where(C("score") >= F.when(C("reason") == "none", UNKNOWN).otherwise(PERSONAL))
     best = d.groupBy("user_id").agg(F.max_by(F.struct("promo_id", "score", "reason"), F.struct("score", "promo_id")).alias("o"))
     return best.select("user_id", "o.*")
@@ -263,7 +263,7 @@ def notification_policy(users: DataFrame, candidates: DataFrame, history: DataFr
     d = met.groupBy("user_id", "brand", "category", "promo_id", "notify_score").agg(*(F.bool_or(C("kind") == k).alias(k) for k in POLICY_POINTS if k != "user_interested"), F.min("said")["interested"].alias("user_interested"))
     score = sum((F.when(F.coalesce(C(k), F.lit(False)), p).otherwise(0.0) for k, p in POLICY_POINTS.items()), C("notify_score"))
     hour = F.hour(as_of)
-    fine = d.withColumn("score", F.round(score, 2)).where((hour < QUIET[0]) & (hour >= QUIET[1]) & F.coalesce(C("user_interested"), F.lit(True)) & (C("score") >= LEAST_SCORE))
+    fine = d.withColumn("score", rounded(score, 2)).where((hour < QUIET[0]) & (hour >= QUIET[1]) & F.coalesce(C("user_interested"), F.lit(True)) & (C("score") >= LEAST_SCORE))
     past = history.where(C("sent_at") <= as_of)
     today = F.count_if(F.to_date("sent_at") == F.to_date(as_of)) >= MOST_A_DAY
     soon = F.max("sent_at") > as_of - F.expr(f"interval {GAP_HOURS} hours")

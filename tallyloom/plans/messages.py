@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import rounded
 from tallyloom.operators import captures as cap
 from tallyloom.operators import messages as op
 from tallyloom.plans.domain import AS_OF, ctes, domain
@@ -118,9 +119,9 @@ QUERIES = {
     "email_ingest_status": lambda s, d: op.email_ingest_status(_emails(s, d).withColumn("sender", C("brand")), _emails(s, d).where("conv_id % 3 = 0").select(F.sha2(F.concat_ws("\n", "brand", "subject", "body"), 256).alias("content_hash"))).select("message_id", "status"),
     "email_candidates": lambda s, d: op.email_candidates(_signals(s, d)),
     "inbox_brand_affinity": lambda s, d: op.inbox_brand_affinity(_emails(s, d).select("brand", C("conv_id").alias("seen_at")), _emails(s, d).where("turn = 0").select("brand", F.lit(2).cast("long").alias("email_count"), C("conv_id").alias("last_seen"))),
-    "personal_email_rank": lambda s, d: _ranked(s, d).select("message_id", F.round("personal_rank_score", 3).alias("score"), F.array_join("rank_reasons", ",").alias("reasons")),
+    "personal_email_rank": lambda s, d: _ranked(s, d).select("message_id", rounded("personal_rank_score", 3).alias("score"), F.array_join("rank_reasons", ",").alias("reasons")),
     "deal_fingerprint": lambda s, d: op.deal_fingerprint(_deals(s, d)).select("message_id", "fingerprint"),
-    "upsert_user_deals": lambda s, d: op.upsert_user_deals(*(op.deal_fingerprint(_ranked(s, d)).where(w).select("user_id", "fingerprint", (C("personal_rank_score") + x).alias("personal_rank_score"), F.lit("2024-02-01").cast("date").alias("end_date"), (now() - F.expr("interval 1 day") * (F.length("message_id") * 2)).alias("received_at")) for w, x in (("length(message_id) > 0", 0), ("category = 'food'", 5))), now()).select("user_id", "fingerprint", F.round("personal_rank_score", 3).alias("score"), "status", "expires_at"),
+    "upsert_user_deals": lambda s, d: op.upsert_user_deals(*(op.deal_fingerprint(_ranked(s, d)).where(w).select("user_id", "fingerprint", (C("personal_rank_score") + x).alias("personal_rank_score"), F.lit("2024-02-01").cast("date").alias("end_date"), (now() - F.expr("interval 1 day") * (F.length("message_id") * 2)).alias("received_at")) for w, x in (("length(message_id) > 0", 0), ("category = 'food'", 5))), now()).select("user_id", "fingerprint", rounded("personal_rank_score", 3).alias("score"), "status", "expires_at"),
     "notification_candidates": lambda s, d: _candidates(s, d).select("pos", "promo_id", F.array_join("signal_groups", ",").alias("groups"), "skip_reason"),
     "notification_skip_counts": lambda s, d: op.skip_counts(_candidates(s, d)),
     "push_selection": _push,

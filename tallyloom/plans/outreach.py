@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import rounded
 from tallyloom.operators import captures as cap
 from tallyloom.operators import catalog as cat
 from tallyloom.operators import messages as msg
@@ -88,8 +89,8 @@ def _surfaces(spark, sf_dir):
 
 
 QUERIES = {
-    "online_feed": lambda s, d: rank.online_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", F.round("score", 4).alias("score")),
-    "rewards_feed": lambda s, d: rank.rewards_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", F.round("score", 4).alias("score"), "quality"),
+    "online_feed": lambda s, d: rank.online_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", rounded("score", 4).alias("score")),
+    "rewards_feed": lambda s, d: rank.rewards_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", rounded("score", 4).alias("score"), "quality"),
     "detect_gender": _gender,
     "has_deal_signals": _signals,
     "due_businesses": _due,
