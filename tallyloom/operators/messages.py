@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.joins import small
+from tallyloom.functions.joins import small, stored
 from tallyloom.functions.text import offer_id, rounded
 
 C = F.col
@@ -183,33 +183,43 @@ def push_selection(users: DataFrame, candidates: DataFrame, sent: DataFrame, eve
     searched lately, over the threshold. Queries match brands and categories as substrings, either way."""
     week = lambda c: C(c) >= as_of - F.expr("interval 7 days")
     acts = events.where(week("created_at") & C("event_type").isin("deal_card_opened", "deal_card_clicked", "redeem_clicked", "fast_redeem_clicked"))
-    candidates = candidates.where(C("notify_score") >= least)
-    found = candidates.select(F.lower("brand").alias("brand"), F.lower("category").alias("category")).distinct()
+    ranked = candidates.where(C("notify_score") >= least).select("promo_id", F.lower("brand").alias("brand"), F.lower("category").alias("category"), "notify_score")
     asked = searches.where(week("created_at") & (F.trim("query") != "")).select("user_id", F.lower(F.trim("query")).alias("q")).distinct()
     queries = asked.select("q").distinct()
     either = lambda c: C(c).contains(C("q")) | C("q").contains(C(c))
-    hits = {}
-    for c in ("brand", "category"):
-        words = queries.join(small(found.select(c).distinct()), either(c)).select("q", c)
-        hits[f"searched_{c}"] = asked.join(words, "q").select("user_id", c).distinct().withColumn(f"searched_{c}", F.lit(True))
-        hits[f"clicked_{c}"] = acts.where(C(c).isNotNull()).select("user_id", F.lower(c).alias(c)).distinct().withColumn(f"clicked_{c}", F.lit(True))
-    # Users meet pairs of brand and category, not candidates: of each pair only as many of its best candidates as the user
-    # has been sent of it, and one more, can matter.
-    place = F.row_number().over(Window.partitionBy("brand", "category").orderBy(F.desc("notify_score"), F.desc("promo_id")))
-    ranked = candidates.select("promo_id", F.lower("brand").alias("brand"), F.lower("category").alias("category"), "notify_score").withColumn("_place", place)
+    liked = {}
+    for c, favourite in (("brand", "favorite_brand"), ("category", "favorite_category")):
+        words = queries.join(small(ranked.select(c).distinct()), either(c)).select("q", c)
+        signal = lambda df, key, kind: df.select("user_id", F.lower(key).alias(c), F.lit(kind).alias("kind"))  # noqa: B023, E731
+        signals = signal(users, favourite, "fav").union(signal(asked.join(words, "q"), c, "searched")).union(signal(acts, c, "clicked"))
+        flags = [F.bool_or(C("kind") == k).alias(f"{k}_{c}") for k in ("searched", "clicked", "fav")]
+        liked[c] = signals.where(C(c).isNotNull()).join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id", c).agg(*flags)
+    # Who likes neither brand nor category of a candidate needs its best alone, and so on: each user meets the lists of all
+    # candidates, of liked brands, of liked categories and of both, and of each the first candidate not sent lately. A list
+    # leaves out what else the user likes of a candidate, but another one then holds it with its full score.
     lately = sent.where(week("sent_at")).select("user_id", "promo_id").distinct()
-    had = lately.join(ranked, "promo_id").groupBy("user_id", "brand", "category").agg(F.count("*").alias("_had"))
-    d = users.select("user_id", F.lower("favorite_brand").alias("fb"), F.lower("favorite_category").alias("fc")).join(small(found))
-    for name, h in hits.items():
-        d = d.join(h, ["user_id", name.split("_")[1]], "left")
-    d = d.join(had, ["user_id", "brand", "category"], "left").join(small(ranked), ["brand", "category"]).where(C("_place") <= F.coalesce("_had", F.lit(0)) + 1)
+    had = stored(lately.join(ranked, "promo_id").join(users.select("user_id"), "user_id", "left_semi").select("user_id", "brand", "category"))
+    met = {(): users.select("user_id").distinct(), ("brand",): liked["brand"], ("category",): liked["category"], ("brand", "category"): liked["brand"].join(liked["category"], "user_id")}
+    most = (had.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0) + 1
+    order = [rounded("notify_score", 2).desc(), F.desc("promo_id")]
+    names = [f"{k}_{c}" for c in liked for k in ("searched", "clicked", "fav")]
+    d = None
+    for keys, who in met.items():
+        if keys:
+            first = ranked.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(C("_place") <= most)
+        else:
+            first = ranked.where(C("notify_score") >= UNKNOWN).orderBy(*order).limit(most).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+        times = had.groupBy("user_id", *keys).agg(F.count("*").alias("_had"))
+        places = F.explode(F.sequence(F.lit(1), (F.coalesce("_had", F.lit(0)) + 1).cast("int")))
+        m = who.join(times, ["user_id", *keys], "left").withColumn("_place", places).join(small(first.select(*keys, "_place", "promo_id", "notify_score")), [*keys, "_place"])
+        m = m.select("user_id", "promo_id", "notify_score", *((C(n) if n in who.columns else F.lit(False)).alias(n) for n in names))
+        d = m if d is None else d.unionByName(m)
     d = d.join(lately, ["user_id", "promo_id"], "left_anti")
-    flag = {"searched_brand": "searched_brand", "clicked_brand": "clicked_brand", "fav_brand": C("brand") == C("fb"), "searched_cat": "searched_category", "clicked_cat": "clicked_category", "fav_cat": C("category") == C("fc")}
-    flags = {k: F.coalesce(C(v) if isinstance(v, str) else v, F.lit(False)) for k, v in flag.items()}
-    score = sum((F.when(flags[k], BONUS[k]).otherwise(0.0) for k in flags), C("notify_score"))
+    flag = {"searched_brand": "searched_brand", "clicked_brand": "clicked_brand", "fav_brand": "fav_brand", "searched_cat": "searched_category", "clicked_cat": "clicked_category", "fav_cat": "fav_category"}
+    score = sum((F.when(C(flag[k]), BONUS[k]).otherwise(0.0) for k in flag), C("notify_score"))
     reason = F.lit("none")
-    for k in reversed(flags):
-        reason = F.when(flags[k], k).otherwise(reason)
+    for k in reversed(flag):
+        reason = F.when(C(flag[k]), k).otherwise(reason)
     d = d.withColumns({"score": rounded(score, 2), "reason": reason})
     d = d.where(C("score") >= F.when(C("reason") == "none", UNKNOWN).otherwise(PERSONAL))
     best = d.groupBy("user_id").agg(F.max_by(F.struct("promo_id", "score", "reason"), F.struct("score", "promo_id")).alias("o"))

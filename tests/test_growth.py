@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import any_date, rounded
-from tallyloom.operators import ranking
+from tallyloom.operators import messages, ranking
 
 STATE = "user_id long, promotion_id string, impressions long, clicks long, redeemed boolean, saved boolean, dismissed boolean"
 
@@ -71,3 +71,16 @@ def test_users_alike_are_fed_once(spark):
 
     got = {r["user_id"]: r["what"] for r in ranking.for_alike(users, acts, ["favorite_brand", "favorite_category"], feed).collect()}
     assert sorted(fed) == [0, 7, 50] and got == {k: "A" if k < 50 else "none" for k in range(100)}
+
+
+def test_pushes_by_lists_of_what_users_like(spark):
+    """Each user gets the best unsent candidate by bonuses; one without a brand counts by its category, as SQL has it."""
+    at = F.expr("timestamp '2024-01-31 00:00:00'")
+    users = spark.createDataFrame([(1, "A", "food"), (2, None, "tech"), (3, None, None), (4, "A", "food"), (5, None, None)], "user_id long, favorite_brand string, favorite_category string")
+    offers = [("a1", "A", "food", 70.0), ("a2", "A", "food", 69.0), ("a3", "A", "tech", 88.0), ("b1", "B", "tech", 80.0), ("n1", None, "tech", 95.0), ("c1", "C", "books", 64.0), ("c2", "C", "books", 120.0), ("c3", "C", "books", 115.0)]
+    candidates = spark.createDataFrame(offers, "promo_id string, brand string, category string, notify_score double")
+    sent = spark.createDataFrame([(4, "a1"), (4, "a3"), (5, "c2"), (2, "c2"), (2, "c3")], "user_id long, promo_id string").withColumn("sent_at", at)
+    none = spark.createDataFrame([], "user_id long, event_type string, brand string, category string, created_at timestamp")
+    asked = spark.createDataFrame([], "user_id long, query string, created_at timestamp")
+    got = {r["user_id"]: (r["promo_id"], r["score"], r["reason"]) for r in messages.push_selection(users, candidates, sent, none, asked, at).collect()}
+    assert got == {1: ("a1", 125.0, "fav_brand"), 2: ("n1", 115.0, "fav_cat"), 3: ("c2", 120.0, "none"), 4: ("a2", 124.0, "fav_brand"), 5: ("c3", 115.0, "none")}
