@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.arrow import parts
 from tallyloom.functions.joins import stored
 from tallyloom.functions.text import matches_domain
 from tallyloom.operators.captures import detect_gender
@@ -101,7 +102,8 @@ def product_lines(texts: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<string>")
     def told(column: pa.Array) -> pa.Array:
-        return pa.array([lines_of(x.as_py() or "") for x in column], pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([lines_of(x.as_py() or "") for x in part], kind) for part in parts(column))])
 
     return texts.withColumn("product_lines", told("text")).drop("text")
 
@@ -189,7 +191,7 @@ def scan(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         automaton = _automaton()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, whole.column("text"))):
             at, rows, starts = [], [], []
             for k, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
@@ -301,7 +303,7 @@ def _markers(texts: DataFrame) -> DataFrame:
     """(source, at, path, words): the links in texts, and the words in the window around each."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, whole.column("text"))):
             rows = []
             for source, text in zip(batch.column("source"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
