@@ -267,7 +267,7 @@ def notification_policy(users: DataFrame, candidates: DataFrame, history: DataFr
     signal = lambda df, key, kind, fb=none: df.select("user_id", F.lower(key).alias("key"), F.lit(kind).alias("kind"), fb.alias("said"))
     by_brand = signal(users, "favorite_brand", "favorite_brand").union(signal(acts, "brand", "brand_interaction").distinct()).union(signal(feedback, "brand", "feedback", said))
     by_category = signal(users, "favorite_category", "favorite_category").union(signal(feedback, "category", "feedback", said))
-    small_pairs = small(pairs)
+    small_pairs = small(stored(pairs))
     reduced = lambda d: d.groupBy("user_id", "key", "kind").agg(F.min("said").alias("said"))
     met = reduced(by_brand).join(small_pairs, C("key") == C("brand")).unionByName(reduced(by_category).join(small_pairs, C("key") == C("category")))
     d = met.groupBy("user_id", "brand", "category", "promo_id", "notify_score").agg(*(F.bool_or(C("kind") == k).alias(k) for k in POLICY_POINTS if k != "user_interested"), F.min("said")["interested"].alias("user_interested"))
