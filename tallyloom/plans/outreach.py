@@ -74,23 +74,27 @@ def _memberships(spark, sf_dir):
 
 
 def _policy(spark, sf_dir):
-    candidates = catalog(spark, sf_dir).select(C("promotion_id").alias("promo_id"), "brand", "category", C("global_quality_score").alias("notify_score"))
+    candidates = catalog(spark, sf_dir, "brand", "category", "global_quality_score").select(C("promotion_id").alias("promo_id"), "brand", "category", C("global_quality_score").alias("notify_score"))
     events = domain(spark, sf_dir, "interactions")
     history = events.where("event_type = 'deal_unsaved'").select("user_id", "brand", C("created_at").alias("sent_at"))
     feedback = events.where("event_type = 'not_interested'").select("user_id", "brand", "category", "created_at", (C("id") % 2 == 0).alias("interested"))
     return msg.notification_policy(domain(spark, sf_dir, "users"), candidates, history, events, feedback, F.expr(_NOON))
 
 
-def _surfaces(spark, sf_dir):
+#: What both surfaces read of an offer.
+_SHOWN = ["category", "status", "promotion_type", "redemption_method", "deal_scope", "discount_type", "discount_value", "confidence_score"]
+
+
+def _surfaces(spark, sf_dir, *more):
     """The catalog with week days and memberships."""
     k = C("pos")
     days = F.when(k % 4 == 0, F.array(F.lit("Wed"))).when(k % 4 == 1, F.array(F.lit("monday"), F.lit("Tue"))).when(k % 4 == 2, F.array().cast("array<string>"))
-    return catalog(spark, sf_dir).withColumns({"valid_days": days, "member": k % 7 == 0})
+    return catalog(spark, sf_dir, *_SHOWN, *more).withColumns({"valid_days": days, "member": k % 7 == 0})
 
 
 QUERIES = {
     "online_feed": lambda s, d: rank.online_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", rounded("score", 4).alias("score")),
-    "rewards_feed": lambda s, d: rank.rewards_feed(_surfaces(s, d), F.expr(AS_OF)).select("pos", rounded("score", 4).alias("score"), "quality"),
+    "rewards_feed": lambda s, d: rank.rewards_feed(_surfaces(s, d, "requires_membership", "membership_cost", "global_quality_score"), F.expr(AS_OF)).select("pos", rounded("score", 4).alias("score"), "quality"),
     "detect_gender": _gender,
     "has_deal_signals": _signals,
     "due_businesses": _due,
