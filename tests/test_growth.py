@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import any_date, rounded
-from tallyloom.operators import messages, ranking
+from tallyloom.operators import learning, messages, ranking
 
 STATE = "user_id long, promotion_id string, impressions long, clicks long, redeemed boolean, saved boolean, dismissed boolean"
 
@@ -84,3 +84,25 @@ def test_pushes_by_lists_of_what_users_like(spark):
     asked = spark.createDataFrame([], "user_id long, query string, created_at timestamp")
     got = {r["user_id"]: (r["promo_id"], r["score"], r["reason"]) for r in messages.push_selection(users, candidates, sent, none, asked, at).collect()}
     assert got == {1: ("a1", 125.0, "fav_brand"), 2: ("n1", 115.0, "fav_cat"), 3: ("c2", 120.0, "none"), 4: ("a2", 124.0, "fav_brand"), 5: ("c3", 115.0, "none")}
+
+
+def test_features_meet_users_by_sorts_of_offers(spark):
+    """All offers of a brand as if each pair were worked out alone, labels of the own offer left out; users meet sorts, not offers."""
+    at = F.expr("timestamp '2024-01-31 00:00:00'")
+    k = F.col("id")
+    offers = spark.range(120).select(
+        F.concat(F.lit("p"), k).alias("promotion_id"), F.when(k < 100, "A").when(k < 118, "B").alias("brand"), F.when(k % 2 == 0, "Food ").alias("category"), F.lit("sale").alias("promotion_type"), F.when(k % 4 < 2, "points").alias("discount_type"),
+        (k % 2 == 0).alias("requires_membership"), (k * 1.0).alias("global_quality_score"), F.when(k % 4 == 0, F.concat(F.lit("BOGO "), k)).otherwise(F.concat(F.lit("Shoes "), k)).alias("promotion_title"), F.when(k % 4 == 2, "online_only").when(k % 4 == 1, F.lit(None)).otherwise("brand_level").alias("deal_scope"))
+    rows = [(1, "p0", 1, 0), (1, "p4", 0, 1), (1, "p3", 1, 2), (1, "p101", 1, 3), (1, "p119", 1, 4), (2, "p110", 0, 5), (2, "p7", 1, 120)]
+    labels = spark.createDataFrame(rows, "user_id long, promotion_id string, label int, days int").select("user_id", "promotion_id", "label", (at - F.make_dt_interval("days")).alias("at"))
+    wanted = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (3, "B"), (3, "none")], "user_id long, brand string")
+    users = spark.createDataFrame([(1, ["a"], ["food"], ["bogo"]), (2, [], None, ["nearby", "online"])], "user_id long, favorite_brands array<string>, favorite_categories array<string>, deal_priorities array<string>")
+    members = spark.createDataFrame([(1, "a ", True), (3, "B", False)], "user_id long, brand string, is_member boolean")
+    near = spark.createDataFrame([(2, "A", 1.5), (1, "B", 2.0)], "user_id long, brand string, distance_km double")
+    pairs = wanted.join(offers, "brand").select("user_id", "promotion_id", "brand").union(labels.join(offers, "promotion_id").select("user_id", "promotion_id", "brand")).distinct().join(near, ["user_id", "brand"], "left").drop("brand")
+    want = learning.preference_features(pairs, labels, offers, at, users, members)
+    got = learning.brand_features(wanted, labels, offers, at, users, members, near)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) == 200 + 18 + 3
+    assert learning._by_sort(offers)[1].groupBy("brand").count().where("count > 4").isEmpty()
