@@ -10,6 +10,8 @@ value in them is found by one walk over the lines in Python; all else is column
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ TIME_ZONE = "America/New_York"
 SCHEMA_VERSION, VALIDATOR = 1, "captured_text_v1"
 NO_ANCHOR = "a an the and or on in at to for of with your you our off save up get buy free discount offer deal sale code promo online only all items select purchase order orders first use extra plus exclusive".split()
 FREE_SHIPPING, FREE_ITEM = r"\bfree\s+(?:standard\s+)?(?:shipping|delivery)\b", r"\bfree\b|\bcomplimentary\b"
-CUT_WORDS = r"\boff\b|\bsave\b|\bsavings\b|\bdiscount\b|\brebate\b"
 CUT_BEFORE, CUT_AFTER = r"(?:\bsave\b|\bsavings\b|\brebate\b|\bdiscount\b)(?:\s+\w+){0,3}\s*", r"\s+(?:off|discount|rebate|savings)\b"
 OMITTED = {
     "new_user_only": r"\bfirst (?:order|purchase)\b|\bnew (?:customers?|users?|members?) only\b",
@@ -44,6 +45,11 @@ OMITTED = {
 }
 MINIMUM = r"\b(?:orders?|purchases?|spend) (?:of |over |above |at least )?\$\s*\d|\$\d+(?:\.\d+)?\+"
 SELECTED = r"\bselect(?:ed)?\b"
+# What a passage holds if it fits a pattern: told much faster than the pattern.
+SIGNS = {
+    OMITTED["new_user_only"]: ("first ", "new "), OMITTED["purchase_required"]: ("purchase",), OMITTED["requires_app"]: ("app",),
+    OMITTED["requires_membership"]: ("member",), MINIMUM: ("$",), SELECTED: ("select",),
+}
 
 _SHARE, _SUM = re.compile(r"(?<![\d.])(\d+(?:\.\d+)?)\s*%"), re.compile(r"\$\s*(\d+(?:\.\d+)?)")
 _FREE = {"free_shipping": re.compile(FREE_SHIPPING), "free_item": re.compile(FREE_ITEM)}
@@ -85,22 +91,45 @@ def _named(said: str) -> set[str]:
     """All amounts that a normalised text names ("20%", "$15"), and what it gives for free."""
     shares = {x.removesuffix(".00") + "%" for x in _SHARE.findall(said)} if "%" in said else set()
     sums = {"$" + x.removesuffix(".00") for x in _SUM.findall(said)} if "$" in said else set()
-    return shares | sums | {kind for kind, pattern in _FREE.items() if pattern.search(said)}
+    free = {kind for kind, pattern in _FREE.items() if pattern.search(said)} if "free" in said or "complimentary" in said else set()
+    return shares | sums | free
+
 
+def _passages(text: str, url: str | None, wanted: set[str], every: bool):
+    """(line, page_url, excerpt, said, keys) of each passage that names a wanted amount or something free, or of every one.
 
-def _passages(text: str, url: str | None, every: bool):
-    """(line, page_url, excerpt, said, keys) of each passage that names an amount or something free, or of every one."""
+    Lines are normalised and searched once, not once for each passage they are in; only what runs over a line's end, and a
+    last line that the excerpt cuts, is looked at again.
+    """
     lines = text.splitlines()
-    speaks = [every or any(s in low for s in _SIGNS) for low in map(str.casefold, lines)]
-    for i, line in enumerate(lines):
-        head = _head(line)
-        if head:
-            url = head
-        elif any(speaks[i : i + PASSAGE_LINES]) and line.strip():
-            end = next((k for k in range(i + 1, min(i + PASSAGE_LINES, len(lines))) if lines[k].startswith("=== ") or _head(lines[k])), i + PASSAGE_LINES)
-            excerpt = "\n".join(lines[i:end]).strip()[:EXCERPT]
-            said = " ".join(excerpt.casefold().split())
-            yield i, url, excerpt, said, _named(said)
+    heads, told = list(map(_head, lines)), [_plain(line) for line in lines]
+    speaks = [every or any(s in x for s in _SIGNS) for x in told]
+    named = [_named(x) if speaks[i] else set() for i, x in enumerate(told)]
+    for i in range(len(lines)):
+        if heads[i]:
+            url = heads[i]
+        elif told[i] and any(speaks[i : i + PASSAGE_LINES]):
+            end = next((k for k in range(i + 1, min(i + PASSAGE_LINES, len(lines))) if lines[k].startswith("=== ") or heads[k]), min(i + PASSAGE_LINES, len(lines)))
+            whole = "\n".join(lines[i:end]).strip()
+            excerpt, parts, keys = whole[:EXCERPT], told[i:end], set().union(*named[i:end])
+            if len(whole) > EXCERPT:
+                last = excerpt.count("\n")
+                parts = [*told[i : i + last], _plain(excerpt[excerpt.rfind("\n") + 1 :])]
+                keys = set().union(*named[i : i + last], _named(parts[-1]))
+            parts = [x for x in parts if x]
+            over = any(map(_runs_on, parts, parts[1:]))
+            if every or over or not keys.isdisjoint(wanted):
+                said = " ".join(parts)
+                yield i, url, excerpt, said, _named(said) if over else keys
+
+
+def _plain(line: str) -> str:
+    return " ".join(line.casefold().split())
+
+
+def _runs_on(line: str, following: str) -> bool:
+    """Whether an amount or something free may begin in a line and end in the following one."""
+    return (following[0] == "%" and line[-1].isdigit()) or (line[-1] == "$" and following[0].isdigit()) or line.endswith(("free", "standard"))
 
 
 def _head(line: str) -> str | None:
@@ -125,35 +154,55 @@ def snapshot(offers: DataFrame) -> Column:
     return F.struct(*texts, *flags, *lists, F.coalesce(_has(offers, "timezone", "string"), F.lit(TIME_ZONE)).alias("timezone"))
 
 
-def _reasons(offers: DataFrame) -> Column:
-    """What keeps an offer from being looked for at all."""
-    blank = lambda c: F.coalesce(_has(offers, c, "string"), F.lit("")) == ""
-    yes = lambda c: F.coalesce(_has(offers, c, "boolean"), F.lit(False))
+def _source_reasons() -> Column:
+    """What keeps all offers of a text from being looked for."""
     at = F.coalesce("checked_at", F.lit(""))
     dated = at.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$") & F.to_date(F.try_to_timestamp(F.substring(at, 1, 10), F.lit("yyyy-MM-dd"))).isNotNull()
-    steps = F.exists(F.coalesce(_has(offers, "redemption_steps", "array<string>"), F.array().cast("array<string>")), lambda s: F.coalesce(_stripped(s) != "", F.lit(False)))
     rules = [
         (~matches_domain(C("source_url"), C("trusted_domain")), "untrusted_source_url"),
         (dated & ~at.rlike(r"(Z|[T ].*[+-]\d{2}:?\d{2})$"), "capture_timezone_missing"),
         (~dated, "capture_date_missing"),
-        (~F.coalesce("has_text", F.lit(False)), "source_text_missing"),
+        (~F.coalesce(C("text").rlike(f"[^{_SPACE}]"), F.lit(False)), "source_text_missing"),
+    ]
+    return _told(rules)
+
+
+def _told(rules: list[tuple[Column, str]]) -> Column:
+    return F.filter(F.array(*(F.when(c, r) for c, r in rules)), lambda r: r.isNotNull())
+
+
+#: What is told of the offers of a source that has no text.
+NO_TEXT = ["untrusted_source_url", "capture_date_missing", "source_text_missing"]
+
+
+def _reasons(offers: DataFrame) -> Column:
+    """What else keeps an offer from being looked for."""
+    blank = lambda c: F.coalesce(_has(offers, c, "string"), F.lit("")) == ""
+    yes = lambda c: F.coalesce(_has(offers, c, "boolean"), F.lit(False))
+    steps = F.exists(F.coalesce(_has(offers, "redemption_steps", "array<string>"), F.array().cast("array<string>")), lambda s: F.coalesce(_stripped(s) != "", F.lit(False)))
+    rules = [
         (yes("synthesized"), "synthesized_offer_needs_review"),
         (F.coalesce(_has(offers, "discount_type", "string"), F.lit("unknown")) == "unknown", "unknown_discount"),
         (~steps, "missing_redemption_steps"),
         (yes("requires_membership") & blank("membership_name"), "missing_membership_name"),
         (F.coalesce((_has(offers, "promotion_type", "string") == "coupon") | (_has(offers, "redemption_method", "string") == "show_code"), F.lit(False)) & blank("promo_code"), "missing_promo_code"),
     ]
-    return F.filter(F.array(*(F.when(c, r) for c, r in rules)), lambda r: r.isNotNull())
+    return _told(rules)
+
+
+def _normals(offers: DataFrame) -> dict[str, Column]:
+    """The normalised texts that _wanted reads: columns of their own, so that each is worked out once."""
+    return {f"_{c}": normal(_has(offers, c, "string")) for c in ("promotion_title", "discount_value", "minimum_spend", "promo_code", "terms_text")}
 
 
 def _wanted(offers: DataFrame) -> Column:
-    """What a passage must and must not say to support an offer."""
+    """What a passage must and must not say to support an offer, by its columns and those of _normals."""
     text = lambda c: _has(offers, c, "string")
-    title, value, minimum, code, kind = normal(text("promotion_title")), normal(text("discount_value")), normal(text("minimum_spend")), normal(text("promo_code")), text("discount_type")
+    title, value, minimum, code, kind = C("_promotion_title"), C("_discount_value"), C("_minimum_spend"), C("_promo_code"), text("discount_type")
     number = F.replace(_first_number(value), F.lit("."), F.lit(r"\."))
     number = F.concat(number, F.when(number.contains("."), "").otherwise(r"(?:\.00)?"))
     token = F.when(kind == "amount_off", F.concat(F.lit(r"\$\s*"), number, F.lit(r"(?!\d|\.\d)"))).when(kind == "percentage_off", F.concat(F.lit(r"(?<![\d.])"), number, F.lit(r"\s*%")))
-    anchors = F.array_except(F.array_distinct(F.regexp_extract_all(title, F.lit("[a-z]{3,}"), 0)), F.array(*map(F.lit, NO_ANCHOR)))
+    anchors = F.filter(F.array_distinct(F.regexp_extract_all(title, F.lit("[a-z]{3,}"), 0)), lambda word: ~word.isin(NO_ANCHOR))
     quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(code, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
     free = kind.isin("free_shipping", "free_item")
     return F.struct(
@@ -162,7 +211,7 @@ def _wanted(offers: DataFrame) -> Column:
         ((kind == "percentage_off") & ~value.contains("up to")).alias("not_up_to"), F.when(code != "", quoted).alias("code"),
         F.when(minimum != "", minimum).alias("minimum"), amount_key(minimum).alias("minimum_key"), _day_pattern(text("start_date")).alias("start"), _day_pattern(text("end_date")).alias("end"),
         title.alias("title"), anchors.alias("anchors"), *(F.coalesce(_has(offers, c, "boolean"), F.lit(False)).alias(c) for c in OMITTED),
-        _like(F.concat_ws(" ", title, normal(text("terms_text"))), SELECTED).alias("selected"),
+        _like(F.concat_ws(" ", title, C("_terms_text")), SELECTED).alias("selected"),
     )
 
 
@@ -171,6 +220,7 @@ def _meet(batches):
     rows, taken = [], []
 
     def pairs(batch):
+        rows.sort(key=lambda r: r[0])  # an offer's pairs stay together, so that its patterns are compiled once
         at = np.array([t for t, _ in rows], np.int64)
         told = [pa.array(x, k) for x, k in zip(zip(*(r for _, r in rows), strict=True), (pa.string(), pa.int32(), *[pa.string()] * 3, pa.list_(pa.string())), strict=True)] if rows else []
         offers = batch.column("offers").flatten().take(pa.array(at)) if rows else None
@@ -180,12 +230,13 @@ def _meet(batches):
     for batch in batches:
         column = batch.column("offers")
         first = np.cumsum([0, *(len(x) for x in column)])
-        keys, values = (pa.compute.struct_field(column.flatten(), c).to_pylist() for c in ("key", "value"))
+        keys, values, titles, anchors = (pa.compute.struct_field(column.flatten(), c).to_pylist() for c in ("key", "value", "title", "anchors"))
         for r in range(batch.num_rows):
             own = range(first[r], first[r + 1])
             text, url, domain = (batch.column(c)[r].as_py() for c in ("text", "source_url", "trusted_domain"))
-            for line, page, excerpt, said, named in _passages(text or "", url, any(keys[k] is None for k in own)):
-                fit = [k for k in own if (keys[k] in named if keys[k] else values[k] and values[k] in said)]
+            wanted = {keys[k] for k in own}
+            for line, page, excerpt, said, named in _passages(text or "", url, wanted, None in wanted):
+                fit = [k for k in own if (keys[k] in named if keys[k] else values[k] and values[k] in said) and (sum(a in said for a in anchors[k]) >= min(2, len(anchors[k])) or titles[k] in said)]
                 rows += [(k, (domain, line, page, excerpt, said, list(named))) for k in fit]
                 if len(rows) >= PAIRS:
                     yield pairs(batch)
@@ -197,38 +248,41 @@ _PAIR = ["trusted_domain", "line", "page_url", "excerpt", "said", "keys"]
 
 
 def _supports(o: Column) -> Column:
-    """Whether the passage (said, keys) supports the offer o, whose value is known to be there."""
+    """Whether the passage (said, keys) supports the offer o, whose value is known to be there. What costs least comes first."""
     said = C("said")
     no = lambda c: ~F.coalesce(c, F.lit(False))
-    words = F.array_distinct(F.regexp_extract_all(said, F.lit("[a-z]{3,}"), 0))
-    met = F.size(F.array_intersect(o["anchors"], words))
-    titled = (F.size(o["anchors"]) == 0) | (met >= F.least(F.lit(2), F.size(o["anchors"]))) | said.contains(o["title"])
+    says = lambda pattern: reduce(or_, (said.contains(s) for s in SIGNS[pattern])) & _like(said, pattern)
     minimum = F.when(o["minimum_key"].isNotNull(), F.array_contains("keys", o["minimum_key"])).otherwise(said.contains(o["minimum"]))
-    out = no(o["not_up_to"] & said.contains("up to")) & (~o["cut"] | (_like(said, CUT_WORDS) & F.coalesce(F.regexp_like(said, o["claim"]), F.lit(False))))
+    out = no(o["not_up_to"] & said.contains("up to"))
+    for flag, pattern in OMITTED.items():
+        out &= o[flag] | ~says(pattern)
+    out &= o["selected"] | ~says(SELECTED)
+    out &= F.when(o["minimum"].isNotNull(), minimum).otherwise(~says(MINIMUM))
     for pattern in ("code", "start", "end"):
         out &= o[pattern].isNull() | F.regexp_like(said, o[pattern])
-    out &= titled & F.when(o["minimum"].isNotNull(), minimum).otherwise(~_like(said, MINIMUM))
-    for flag, pattern in OMITTED.items():
-        out &= o[flag] | ~_like(said, pattern)
-    return out & (o["selected"] | ~_like(said, SELECTED))
+    # With a lambda in it Spark makes many short methods of the condition, not one that is too long to be compiled.
+    met = F.size(F.filter(F.array_intersect(o["anchors"], F.regexp_extract_all(said, F.lit("[a-z]{3,}"), 0)), lambda word: word != ""))
+    out &= (F.size(o["anchors"]) == 0) | said.contains(o["title"]) | (met >= F.least(F.lit(2), F.size(o["anchors"])))
+    return out & (~o["cut"] | F.coalesce(F.regexp_like(said, o["claim"]), F.lit(False)))
 
 
 def build_source_evidence(offers: DataFrame, texts: DataFrame, id_col: str = "pos") -> DataFrame:
     """offers (id_col, source, ...) with source_evidence, by texts (source, text, source_url, checked_at, trusted_domain), of
     which there is one a source: supported with the first passage that supports the offer, or unverified for reasons."""
     text = F.coalesce("text", F.lit(""))
-    meta = texts.select("source", "source_url", "checked_at", "trusted_domain", F.sha2(text, 256).alias("content_hash"), (_stripped(text) != "").alias("has_text"))
+    meta = texts.select("source", "source_url", "checked_at", "trusted_domain", F.sha2(text, 256).alias("content_hash"), _source_reasons().alias("_of_source"))
     clean = offers.drop("source_url", "checked_at", "trusted_domain")
     known = clean.join(meta, "source", "left").withColumn("content_hash", F.coalesce("content_hash", F.sha2(F.lit(""), 256)))
-    known = stored(known.withColumn("_offer", snapshot(clean)).withColumn("_reasons", _reasons(known)))
-    asked = known.where(F.size("_reasons") == 0).select("source", F.struct(C(id_col).alias("id"), *(_wanted(clean)[c].alias(c) for c in _WANTED)).alias("o"))
+    of_source = F.coalesce("_of_source", F.array(*map(F.lit, NO_TEXT)))
+    known = stored(known.withColumn("_offer", snapshot(clean)).withColumn("_reasons", F.concat(of_source, _reasons(known))).drop("_of_source"))
+    asked = known.where(F.size("_reasons") == 0).withColumns(_normals(clean)).select("source", F.struct(C(id_col).alias("id"), *(_wanted(clean)[c].alias(c) for c in _WANTED)).alias("o"))
     groups = asked.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("_groups"))
     asked = asked.join(small(groups), "source").withColumn("_group", F.pmod(F.xxhash64("o.id"), C("_groups")))
     blocks = asked.groupBy("source", "_group").agg(F.collect_list("o").alias("offers"))
     met = texts.select("source", "text", "source_url", "trusted_domain").join(small(blocks, 20_000), "source").select("text", "source_url", "trusted_domain", "offers")
     kind = blocks.schema["offers"].dataType.elementType
     pairs = met.mapInArrow(_meet, T.StructType([T.StructField("o", kind), *T.StructType.fromDDL("trusted_domain string, line int, page_url string, excerpt string, said string, keys array<string>").fields]))
-    found = pairs.where(matches_domain(C("page_url"), C("trusted_domain")) & _supports(C("o"))).groupBy(C("o.id").alias(id_col)).agg(F.min_by(F.struct("excerpt", "page_url"), "line").alias("_found"))
+    found = pairs.where(_supports(C("o")) & matches_domain(C("page_url"), C("trusted_domain"))).groupBy(C("o.id").alias(id_col)).agg(F.min_by(F.struct("excerpt", "page_url"), "line").alias("_found"))
     out = known.join(found, id_col, "left")
     hit = C("_found").isNotNull()
     reasons = F.when(hit, F.array().cast("array<string>")).when(F.size("_reasons") == 0, F.array(F.lit("offer_not_grounded_in_captured_text"))).otherwise(C("_reasons"))

@@ -126,3 +126,41 @@ def test_outcomes_refresh_quarantine_and_are_idempotent(spark, grounded, told, t
     with pytest.raises(Exception, match="lost"):
         files.write_snapshot(broken, path)
     assert files.read_snapshot(spark, path).count() == 8
+
+
+def _every_passage(text, url):
+    """Passages as they are defined: four lines from each line that is no header, up to a header, normalised as a whole."""
+    lines = text.splitlines()
+    for i, line in enumerate(lines):
+        if op._head(line):
+            url = op._head(line)
+        elif line.strip():
+            end = next((k for k in range(i + 1, min(i + 4, len(lines))) if lines[k].startswith("=== ") or op._head(lines[k])), i + 4)
+            excerpt = "\n".join(lines[i:end]).strip()[:700]
+            said = " ".join(excerpt.casefold().split())
+            yield i, url, excerpt, said, op._named(said)
+
+
+def test_lines_are_searched_once(monkeypatch):
+    """The same passages as from each one's whole text, with amounts over lines' ends, cut excerpts and blank lines."""
+    bits = ["Save 20", "% off", "  ", "Take $", "15.00 off", "FREE", "Standard", "shipping for all", "a complimentary ẞTRASSE", "=== https://a.example/x ===", "=== no page", "x" * 340 + " 30% $12", "$5 " + "y" * 330, "plain words", "free\u2028delivery", "20.00%", "z" * 695 + " $155"]
+    text = "\n".join(bits[(k * k + k // 5) % len(bits)] for k in range(600))
+    want = list(_every_passage(text, "u"))
+    assert list(op._passages(text, "u", set(), True)) == want
+    wanted = {"20%", "$15", "free_shipping"}
+    got = list(op._passages(text, "u", wanted, False))
+    assert all(p in want for p in got) and [p for p in got if p[4] & wanted] == [p for p in want if p[4] & wanted]
+    searched = []
+    monkeypatch.setattr(op, "_named", lambda said, named=op._named: searched.append(said) or named(said))
+    list(op._passages("Save 20% off\n" * 400, "u", wanted, False))
+    assert len(searched) == 400
+
+
+def test_passages_without_an_offers_words_stay_in_python():
+    """Pairs that cannot be supported for lack of the title's words are not made; the others leave with their offer's others."""
+    import pyarrow as pa
+
+    offers = [{"key": "20%", "value": "20%", "title": "20% off running shoes", "anchors": ["running", "shoes"]}, {"key": "20%", "value": "20%", "title": "hats", "anchors": ["hats"]}]
+    batch = pa.RecordBatch.from_pylist([{"text": "20% on shoes\n\n=== x\n20% on running shoes\n=== x\n20% on hats and running shoes", "source_url": "u", "trusted_domain": "d", "offers": offers}])
+    got = [(r["o"]["title"], r["line"]) for b in op._meet(iter([batch])) for r in b.to_pylist()]
+    assert got == [*((offers[0]["title"], k) for k in (2, 3, 4, 5)), ("hats", 4), ("hats", 5)]
