@@ -10,8 +10,9 @@ value in them is found by one walk over the lines in Python; all else is column
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import reduce
-from operator import or_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.joins import small, stored
+from tallyloom.functions.joins import BROADCAST_ROWS, small, stored
 from tallyloom.functions.text import matches_domain
 
 C = F.col
@@ -45,7 +46,7 @@ OMITTED = {
 }
 MINIMUM = r"\b(?:orders?|purchases?|spend) (?:of |over |above |at least )?\$\s*\d|\$\d+(?:\.\d+)?\+"
 SELECTED = r"\bselect(?:ed)?\b"
-# What a passage holds if it fits a pattern: told much faster than the pattern.
+# What a passage holds if it fits a pattern: told much faster than the pattern, and in Python once for all offers of a passage.
 SIGNS = {
     OMITTED["new_user_only"]: ("first ", "new "), OMITTED["purchase_required"]: ("purchase",), OMITTED["requires_app"]: ("app",),
     OMITTED["requires_membership"]: ("member",), MINIMUM: ("$",), SELECTED: ("select",),
@@ -53,7 +54,7 @@ SIGNS = {
 
 _SHARE, _SUM = re.compile(r"(?<![\d.])(\d+(?:\.\d+)?)\s*%"), re.compile(r"\$\s*(\d+(?:\.\d+)?)")
 _FREE = {"free_shipping": re.compile(FREE_SHIPPING), "free_item": re.compile(FREE_ITEM)}
-_SIGNS = ("%", "$", "free", "complimentary")
+_NOTHING: frozenset[str] = frozenset()
 _HEAD = re.compile(r"=== (https?://\S+) ===")
 #: White space of all scripts.
 _SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -101,30 +102,52 @@ def _passages(text: str, url: str | None, wanted: set[str], every: bool):
     Lines are normalised and searched once, not once for each passage they are in; only what runs over a line's end, and a
     last line that the excerpt cuts, is looked at again.
     """
-    lines = text.splitlines()
-    heads, told = list(map(_head, lines)), [_plain(line) for line in lines]
-    speaks = [every or any(s in x for s in _SIGNS) for x in told]
-    named = [_named(x) if speaks[i] else set() for i, x in enumerate(told)]
-    for i in range(len(lines)):
+    lines, folded = text.splitlines(), text.casefold().splitlines()  # folding neither makes nor takes an end of a line
+    n, speaks = len(lines), [every or "%" in x or "$" in x or "free" in x or "complimentary" in x for x in folded]
+    if True not in speaks:
+        return
+    told = list(map(_flat, folded))
+    heads = list(map(_head, lines)) if "=== http" in text else [None] * n
+    stops = [line.startswith("=== ") or head is not None for line, head in zip(lines, heads, strict=True)] + [True]
+    named = [_named(x) if speaks[i] else _NOTHING for i, x in enumerate(told)]
+    full = [i for i in range(n) if told[i]]
+    runs = {i: k for i, k in zip(full, full[1:], strict=False) if _runs_on(told[i], told[k])}
+    at = -1
+    for i in range(n):
+        if at < i:
+            at = next((k for k in range(i, n) if speaks[k]), n)
+        if at == n:
+            return
         if heads[i]:
             url = heads[i]
-        elif told[i] and any(speaks[i : i + PASSAGE_LINES]):
-            end = next((k for k in range(i + 1, min(i + PASSAGE_LINES, len(lines))) if lines[k].startswith("=== ") or heads[k]), min(i + PASSAGE_LINES, len(lines)))
-            whole = "\n".join(lines[i:end]).strip()
-            excerpt, parts, keys = whole[:EXCERPT], told[i:end], set().union(*named[i:end])
-            if len(whole) > EXCERPT:
-                last = excerpt.count("\n")
-                parts = [*told[i : i + last], _plain(excerpt[excerpt.rfind("\n") + 1 :])]
-                keys = set().union(*named[i : i + last], _named(parts[-1]))
-            parts = [x for x in parts if x]
-            over = any(map(_runs_on, parts, parts[1:]))
+        elif told[i] and at < i + PASSAGE_LINES:
+            end = i + 1
+            while end < i + PASSAGE_LINES and not stops[end]:
+                end += 1
+            parts, whole, keys = told[i:end], None, named[i].union(*named[i + 1 : end])
+            over = bool(runs) and min(runs.get(k, n) for k in range(i, end)) < end
+            if sum(map(len, lines[i:end])) + end - i > EXCERPT:
+                whole = "\n".join(lines[i:end]).strip()
+                if len(whole) > EXCERPT:
+                    last = whole.count("\n", 0, EXCERPT)
+                    whole = whole[:EXCERPT]
+                    parts = [*told[i : i + last], _plain(whole[whole.rfind("\n") + 1 :])]
+                    keys = set().union(*named[i : i + last], _named(parts[-1]))
+                    seen = [x for x in parts if x]
+                    over = any(map(_runs_on, seen, seen[1:]))
             if every or over or not keys.isdisjoint(wanted):
-                said = " ".join(parts)
-                yield i, url, excerpt, said, _named(said) if over else keys
+                said = " ".join(x for x in parts if x)
+                yield i, url, "\n".join(lines[i:end]).strip() if whole is None else whole, said, _named(said) if over else keys
 
 
 def _plain(line: str) -> str:
-    return " ".join(line.casefold().split())
+    return _flat(line.casefold())
+
+
+def _flat(line: str) -> str:
+    """White space as single spaces, none at the ends; most lines have it so already."""
+    so = line.isascii() and "  " not in line and "\t" not in line and "\x1f" not in line and line[:1] != " " and line[-1:] != " " and "\n" not in line
+    return line if so else " ".join(line.split())
 
 
 def _runs_on(line: str, following: str) -> bool:
@@ -138,9 +161,13 @@ def _head(line: str) -> str | None:
     return found[1] if found else None
 
 
+def _day(raw: Column) -> Column:
+    return F.to_date(F.try_to_timestamp(F.substring(raw, 1, 10), F.lit("yyyy-MM-dd")))
+
+
 def _day_pattern(raw: Column) -> Column:
     """A pattern of the ways to write an ISO date or time's day; of nothing at all if it is none. Null for none given."""
-    day = F.to_date(F.try_to_timestamp(F.substring(raw, 1, 10), F.lit("yyyy-MM-dd")))
+    day = _day(raw)
     n = lambda unit: F.date_format(day, unit)
     p = F.concat(F.lit(r"(?U)\b(?:"), F.lower(n("MMM")), F.lit(r"\.?|"), F.lower(n("MMMM")), F.lit(r")\s+0?"), n("d"), F.lit(r"(?:st|nd|rd|th)?[,\s]+"), n("yyyy"), F.lit(r"\b|\b"), n("yyyy"), F.lit("-0?"), n("M"), F.lit("-0?"), n("d"), F.lit(r"\b|\b0?"), n("M"), F.lit("/0?"), n("d"), F.lit("/"), n("yyyy"), F.lit(r"\b"))
     return F.when(F.coalesce(raw, F.lit("")) != "", F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}($|[T ]\d{2}:\d{2})"), F.coalesce(p, F.lit("(?!)"))).otherwise("(?!)"))
@@ -204,97 +231,142 @@ def _wanted(offers: DataFrame) -> Column:
     token = F.when(kind == "amount_off", F.concat(F.lit(r"\$\s*"), number, F.lit(r"(?!\d|\.\d)"))).when(kind == "percentage_off", F.concat(F.lit(r"(?<![\d.])"), number, F.lit(r"\s*%")))
     anchors = F.filter(F.array_distinct(F.regexp_extract_all(title, F.lit("[a-z]{3,}"), 0)), lambda word: ~word.isin(NO_ANCHOR))
     quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(code, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    needs = F.array_compact(F.array(F.nullif(code, F.lit("")), *(F.date_format(_day(text(c)), "yyyy") for c in ("start_date", "end_date"))))
     free = kind.isin("free_shipping", "free_item")
     return F.struct(
         F.when(free, kind).otherwise(amount_key(value)).alias("key"), F.when(free, F.lit(None)).otherwise(value).alias("value"), kind.isin("amount_off", "percentage_off").alias("cut"),
         F.concat(F.lit("(?U)"), F.lit(CUT_BEFORE), token, F.lit("|"), token, F.lit(CUT_AFTER)).alias("claim"),
         ((kind == "percentage_off") & ~value.contains("up to")).alias("not_up_to"), F.when(code != "", quoted).alias("code"),
         F.when(minimum != "", minimum).alias("minimum"), amount_key(minimum).alias("minimum_key"), _day_pattern(text("start_date")).alias("start"), _day_pattern(text("end_date")).alias("end"),
-        title.alias("title"), anchors.alias("anchors"), *(F.coalesce(_has(offers, c, "boolean"), F.lit(False)).alias(c) for c in OMITTED),
+        title.alias("title"), anchors.alias("anchors"), needs.alias("needs"), *(F.coalesce(_has(offers, c, "boolean"), F.lit(False)).alias(c) for c in OMITTED),
         _like(F.concat_ws(" ", title, C("_terms_text")), SELECTED).alias("selected"),
     )
 
 
 def _meet(batches):
-    """Rows (text, source_url, trusted_domain, offers) as pairs of an offer and a passage that has its value."""
-    rows, taken = [], []
+    """Rows (text, source_url, trusted_domain, offers, fact) as pairs of an offer and a passage that has its value and all words
+    without which it cannot support the offer; the facts leave as rows of their own."""
+    rows = []
 
     def pairs(batch):
         rows.sort(key=lambda r: r[0])  # an offer's pairs stay together, so that its patterns are compiled once
         at = np.array([t for t, _ in rows], np.int64)
-        told = [pa.array(x, k) for x, k in zip(zip(*(r for _, r in rows), strict=True), (pa.string(), pa.int32(), *[pa.string()] * 3, pa.list_(pa.string())), strict=True)] if rows else []
-        offers = batch.column("offers").flatten().take(pa.array(at)) if rows else None
+        told = [pa.array(x, k) for x, k in zip(zip(*(r for _, r in rows), strict=True), _KINDS, strict=True)]
+        offers = batch.column("offers").flatten().take(pa.array(at))
         rows.clear()
-        return pa.RecordBatch.from_arrays([offers, *told], ["o", *_PAIR])
+        return whole(batch, offers, told)
+
+    def whole(batch, offers, told, fact=None):
+        """Rows as all rows leave, with a column for facts where the texts have them."""
+        if "fact" not in batch.schema.names:
+            return pa.RecordBatch.from_arrays([offers, *told], ["o", *_PAIR])
+        return pa.RecordBatch.from_arrays([offers, *told, pa.nulls(len(offers), batch.schema.field("fact").type) if fact is None else fact], ["o", *_PAIR, "fact"])
+
+    def fits(k, said, named):
+        if not (minimum_keys[k] in named if minimum_keys[k] else minimums[k] is None or minimums[k] in said) or (not_up_to[k] and "up to" in said):
+            return False
+        return all(x in said for x in needs[k] or ()) and (sum(a in said for a in anchors[k]) >= min(2, len(anchors[k])) or titles[k] in said)
 
     for batch in batches:
         column = batch.column("offers")
-        first = np.cumsum([0, *(len(x) for x in column)])
-        keys, values, titles, anchors = (pa.compute.struct_field(column.flatten(), c).to_pylist() for c in ("key", "value", "title", "anchors"))
+        first, flat = np.cumsum([0, *(len(x) for x in column)]), column.flatten()
+        of = {c.name: pa.compute.struct_field(flat, c.name).to_pylist() for c in flat.type if c.name in _TOLD}
+        keys, values, titles, anchors, needs, minimums, minimum_keys, not_up_to = (of.get(c) or [None] * len(flat) for c in _TOLD)
         for r in range(batch.num_rows):
             own = range(first[r], first[r + 1])
             text, url, domain = (batch.column(c)[r].as_py() for c in ("text", "source_url", "trusted_domain"))
-            wanted = {keys[k] for k in own}
-            for line, page, excerpt, said, named in _passages(text or "", url, wanted, None in wanted):
-                fit = [k for k in own if (keys[k] in named if keys[k] else values[k] and values[k] in said) and (sum(a in said for a in anchors[k]) >= min(2, len(anchors[k])) or titles[k] in said)]
-                rows += [(k, (domain, line, page, excerpt, said, list(named))) for k in fit]
+            by_key = defaultdict(list)
+            for k in own:
+                by_key[keys[k]].append(k)
+            others = [k for k in by_key.pop(None, []) if values[k]]
+            for line, page, excerpt, said, named in _passages(text or "", url, set(by_key), bool(others)):
+                near = [k for key in by_key if key in named for k in by_key[key]] + [k for k in others if values[k] in said]
+                near = [k for k in near if fits(k, said, named)]
+                if near:
+                    told = (domain, line, page, excerpt, said, _signs(said))
+                    rows += [(k, told) for k in near]
                 if len(rows) >= PAIRS:
                     yield pairs(batch)
         if rows:
             yield pairs(batch)
+        if "fact" in batch.schema.names:
+            yield whole(batch, pa.nulls(batch.num_rows, flat.type), [pa.nulls(batch.num_rows, k) for k in _KINDS], batch.column("fact"))
+
 
+def _signs(said: str) -> int:
+    """A bit for each pattern of SIGNS that a passage may fit."""
+    bits = 0
+    for k, words in enumerate(SIGNS.values()):
+        for word in words:
+            if word in said:
+                bits |= 1 << k
+                break
+    return bits
 
-_PAIR = ["trusted_domain", "line", "page_url", "excerpt", "said", "keys"]
+
+_PAIR, _KINDS = ["trusted_domain", "line", "page_url", "excerpt", "said", "signs"], [pa.string(), pa.int32(), *[pa.string()] * 3, pa.int32()]
+_TOLD = ["key", "value", "title", "anchors", "needs", "minimum", "minimum_key", "not_up_to"]
 
 
 def _supports(o: Column) -> Column:
-    """Whether the passage (said, keys) supports the offer o, whose value is known to be there. What costs least comes first."""
+    """Whether the passage said supports the offer o, whose value, minimum and needs are known to be there. What costs least comes first."""
     said = C("said")
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    says = lambda pattern: reduce(or_, (said.contains(s) for s in SIGNS[pattern])) & _like(said, pattern)
-    minimum = F.when(o["minimum_key"].isNotNull(), F.array_contains("keys", o["minimum_key"])).otherwise(said.contains(o["minimum"]))
-    out = no(o["not_up_to"] & said.contains("up to"))
-    for flag, pattern in OMITTED.items():
-        out &= o[flag] | ~says(pattern)
+    says = lambda pattern: (C("signs").bitwiseAND(1 << list(SIGNS).index(pattern)) != 0) & _like(said, pattern)
+    out = reduce(and_, (o[flag] | ~says(pattern) for flag, pattern in OMITTED.items()))
     out &= o["selected"] | ~says(SELECTED)
-    out &= F.when(o["minimum"].isNotNull(), minimum).otherwise(~says(MINIMUM))
+    out &= o["minimum"].isNotNull() | ~says(MINIMUM)
     for pattern in ("code", "start", "end"):
         out &= o[pattern].isNull() | F.regexp_like(said, o[pattern])
+    out &= ~o["cut"] | F.coalesce(F.regexp_like(said, o["claim"]), F.lit(False))
     # With a lambda in it Spark makes many short methods of the condition, not one that is too long to be compiled.
     met = F.size(F.filter(F.array_intersect(o["anchors"], F.regexp_extract_all(said, F.lit("[a-z]{3,}"), 0)), lambda word: word != ""))
-    out &= (F.size(o["anchors"]) == 0) | said.contains(o["title"]) | (met >= F.least(F.lit(2), F.size(o["anchors"])))
-    return out & (~o["cut"] | F.coalesce(F.regexp_like(said, o["claim"]), F.lit(False)))
+    return out & ((F.size(o["anchors"]) == 0) | said.contains(o["title"]) | (met >= F.least(F.lit(2), F.size(o["anchors"]))))
 
 
-def build_source_evidence(offers: DataFrame, texts: DataFrame, id_col: str = "pos") -> DataFrame:
-    """offers (id_col, source, ...) with source_evidence, by texts (source, text, source_url, checked_at, trusted_domain), of
-    which there is one a source: supported with the first passage that supports the offer, or unverified for reasons."""
-    text = F.coalesce("text", F.lit(""))
-    meta = texts.select("source", "source_url", "checked_at", "trusted_domain", F.sha2(text, 256).alias("content_hash"), _source_reasons().alias("_of_source"))
+def grounds(offers: DataFrame, texts: DataFrame, id_col: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """What the texts tell, in one reading of them: of themselves (their columns but the text, content_hash, and what keeps
+    their offers from being looked for), and of each supported offer the first passage that supports it."""
+    facts = texts.select(F.struct(*(c for c in texts.columns if c != "text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), _source_reasons().alias("_of_source")).alias("fact"), "text")
     clean = offers.drop("source_url", "checked_at", "trusted_domain")
-    known = clean.join(meta, "source", "left").withColumn("content_hash", F.coalesce("content_hash", F.sha2(F.lit(""), 256)))
-    of_source = F.coalesce("_of_source", F.array(*map(F.lit, NO_TEXT)))
-    known = stored(known.withColumn("_offer", snapshot(clean)).withColumn("_reasons", F.concat(of_source, _reasons(known))).drop("_of_source"))
-    asked = known.where(F.size("_reasons") == 0).withColumns(_normals(clean)).select("source", F.struct(C(id_col).alias("id"), *(_wanted(clean)[c].alias(c) for c in _WANTED)).alias("o"))
-    groups = asked.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("_groups"))
-    asked = asked.join(small(groups), "source").withColumn("_group", F.pmod(F.xxhash64("o.id"), C("_groups")))
+    open_ = clean.where(F.size(_reasons(clean)) == 0)
+    asked = open_.withColumns(_normals(clean)).select("source", F.struct(C(id_col).alias("id"), *(_wanted(clean)[c].alias(c) for c in _WANTED)).alias("o"))
+    groups = open_.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("_groups"))
+    count, many = groups.agg(F.sum("_groups"), F.count_if(C("_groups") > 1)).first()
+    if many:  # only a source with more offers than a block is dealt
+        dealt = groups.where(C("_groups") > 1)
+        asked = asked.join(F.broadcast(dealt) if many <= BROADCAST_ROWS else dealt, "source", "left")
+    asked = asked.withColumn("_group", F.pmod(F.xxhash64("o.id"), C("_groups")) if many else F.lit(0))
     blocks = asked.groupBy("source", "_group").agg(F.collect_list("o").alias("offers"))
-    met = texts.select("source", "text", "source_url", "trusted_domain").join(small(blocks, 20_000), "source").select("text", "source_url", "trusted_domain", "offers")
-    kind = blocks.schema["offers"].dataType.elementType
-    pairs = met.mapInArrow(_meet, T.StructType([T.StructField("o", kind), *T.StructType.fromDDL("trusted_domain string, line int, page_url string, excerpt string, said string, keys array<string>").fields]))
-    found = pairs.where(_supports(C("o")) & matches_domain(C("page_url"), C("trusted_domain"))).groupBy(C("o.id").alias(id_col)).agg(F.min_by(F.struct("excerpt", "page_url"), "line").alias("_found"))
+    kind, fact = blocks.schema["offers"].dataType, facts.schema["fact"].dataType
+    met = facts.withColumn("source", C("fact.source")).join(F.broadcast(blocks) if (count or 0) <= 20_000 else blocks, "source", "left")
+    looked = C("offers").isNotNull() & (F.size("fact._of_source") == 0)
+    met = met.select(F.when(looked, C("text")).alias("text"), "fact.source_url", "fact.trusted_domain", F.when(looked, C("offers")).otherwise(F.array().cast(kind)).alias("offers"), "fact")
+    pairs = met.mapInArrow(_meet, T.StructType([T.StructField("o", kind.elementType), *T.StructType.fromDDL("trusted_domain string, line int, page_url string, excerpt string, said string, signs int").fields, T.StructField("fact", fact)]))
+    told = pairs.where(C("fact").isNotNull() | (_supports(C("o")) & matches_domain(C("page_url"), C("trusted_domain"))))
+    told = stored(told.groupBy(C("o.id").alias(id_col), C("fact.source").alias("_source")).agg(F.min_by(F.struct("excerpt", "page_url"), "line").alias("_found"), F.any_value("fact").alias("_fact")))
+    return told.where(C("_fact").isNotNull()).select("_fact.*"), told.where(C("_fact").isNull()).select(id_col, "_found")
+
+
+def build_source_evidence(offers: DataFrame, texts: DataFrame, id_col: str = "pos", told: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """offers (id_col, source, ...) with source_evidence, by texts (source, text, source_url, checked_at, trusted_domain), of
+    which there is one a source: supported with the first passage that supports the offer, or unverified for reasons.
+    told: their grounds, where they have been worked out already."""
+    facts, found = told or grounds(offers, texts, id_col)
+    clean = offers.drop("source_url", "checked_at", "trusted_domain")
+    known = clean.join(facts.select("source", "source_url", "checked_at", "content_hash", "_of_source"), "source", "left").withColumn("content_hash", F.coalesce("content_hash", F.sha2(F.lit(""), 256)))
+    known = known.withColumn("_reasons", F.concat(F.coalesce("_of_source", F.array(*map(F.lit, NO_TEXT))), _reasons(known))).drop("_of_source")
     out = known.join(found, id_col, "left")
     hit = C("_found").isNotNull()
     reasons = F.when(hit, F.array().cast("array<string>")).when(F.size("_reasons") == 0, F.array(F.lit("offer_not_grounded_in_captured_text"))).otherwise(C("_reasons"))
     evidence = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(VALIDATOR).alias("validator"), F.when(hit, "supported").otherwise("unverified").alias("status"),
         F.when(hit, C("_found.page_url")).otherwise(C("source_url")).alias("source_url"), C("checked_at"), F.lit(None).cast("string").alias("check_failed_at"),
-        C("_found.excerpt").alias("excerpt"), C("content_hash"), C("_offer").alias("offer"), reasons.alias("reasons"),
+        C("_found.excerpt").alias("excerpt"), C("content_hash"), snapshot(clean).alias("offer"), reasons.alias("reasons"),
     )
     return out.select(*clean.columns, evidence.alias("source_evidence"))
 
 
-_WANTED = ["key", "value", "cut", "claim", "not_up_to", "code", "minimum", "minimum_key", "start", "end", "title", "anchors", *OMITTED, "selected"]
+_WANTED = ["key", "value", "cut", "claim", "not_up_to", "code", "minimum", "minimum_key", "start", "end", "title", "anchors", "needs", *OMITTED, "selected"]
 
 
 def apply_capture_outcome(catalog: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -311,10 +383,16 @@ def apply_capture_outcome(catalog: DataFrame, outcomes: DataFrame) -> DataFrame:
     same = (o["outcome"] == "skipped_duplicate_hash") & known & standing & (e["content_hash"] == o["content_hash"]) & F.array_contains(o["captured_urls"], e["source_url"]) & matches_domain(e["source_url"], C("website_domain"))
     lost = (o["outcome"] == "failed") & (e["status"] == "supported")
     same, lost = F.coalesce(same, F.lit(False)), F.coalesce(lost, F.lit(False))
-    confirmed = e.withField("checked_at", o["at"]).withField("status", F.lit("supported")).withField("reasons", F.array().cast("array<string>")).withField("check_failed_at", F.lit(None).cast("string"))
-    failed = e.withField("status", F.lit("unverified")).withField("reasons", F.array(F.lit("source_fetch_failed"))).withField("check_failed_at", o["at"])
+    # Field by field in one struct, so that a reader of some fields moves no others.
+    none, told = F.lit(None).cast("string"), F.array().cast("array<string>")
+    changes = {
+        "checked_at": F.when(same, o["at"]), "status": F.when(same, "supported").when(lost, "unverified"),
+        "reasons": F.when(same, told).when(lost, F.array(F.lit("source_fetch_failed"))), "check_failed_at": F.when(same, none).when(lost, o["at"]),
+    }
+    fields = catalog.schema["source_evidence"].dataType.names
+    evidence = F.when(e.isNotNull(), F.struct(*((changes[c].otherwise(e[c]) if c in changes else e[c]).alias(c) for c in fields)))
     return d.withColumns({
-        "source_evidence": F.when(same, confirmed).when(lost, failed).otherwise(e),
+        "source_evidence": evidence,
         "last_confirmed": F.when(same, o["at"]).otherwise(C("last_confirmed")),
         "status": F.when(lost, "needs_review").otherwise(C("status")),
     }).drop("_o").select(*catalog.columns)

@@ -31,9 +31,9 @@ def _texts(spark, sf_dir):
     return domain(spark, sf_dir, "promo_texts")
 
 
-def _offers(spark, sf_dir):
-    rows = _texts(spark, sf_dir).select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    rows = rows.select("source", (C("doc_id") * 4 + C("k")).alias("pos"), *(F.expr(e).alias(c) for c, e in _OFFER.items()))
+def _offers(spark, sf_dir, *more):
+    rows = _texts(spark, sf_dir).select("doc_id", "source", *more, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    rows = rows.select("source", *rows.columns[2:-1], (C("doc_id") * 4 + C("k")).alias("pos"), *(F.expr(e).alias(c) for c, e in _OFFER.items()))
     return rows.withColumn("redemption_steps", F.when(C("has_steps"), F.array(F.lit("Show it."))).otherwise(F.array(F.lit(" ")))).drop("has_steps")
 
 
@@ -84,11 +84,13 @@ from offers o join texts using (source) left join found f using (pos)"""
 def _outcomes(spark, sf_dir):
     """Evidence of the texts, and fetches that found them again, found others, or failed."""
     texts = _texts(spark, sf_dir)
-    k = C("doc_id") % 4
-    catalog = _grounded(spark, sf_dir).join(texts.select("source", C("trusted_domain").alias("website_domain"), "doc_id"), "source")
+    offers = _offers(spark, sf_dir, C("trusted_domain").alias("website_domain"))
+    told = facts, _ = op.grounds(offers, texts)
+    catalog = op.build_source_evidence(offers, texts, told=told)
     catalog = catalog.select("pos", C("source").alias("brand"), "website_domain", F.lit("active").alias("status"), C("source_evidence.checked_at").alias("last_confirmed"), "source_evidence")
+    k = C("doc_id") % 4
     outcome = F.when(k == 0, "skipped_duplicate_hash").when(k == 1, "failed").when(k == 2, "success").otherwise("skipped_duplicate_hash")
-    outcomes = texts.select(C("source").alias("brand"), outcome.alias("outcome"), F.when(k == 3, "other").otherwise(F.sha2("text", 256)).alias("content_hash"), F.array("source_url").alias("captured_urls"), F.lit("2024-02-01T00:00:00+00:00").alias("at"))
+    outcomes = facts.select(C("source").alias("brand"), outcome.alias("outcome"), F.when(k == 3, "other").otherwise(C("content_hash")).alias("content_hash"), F.array("source_url").alias("captured_urls"), F.lit("2024-02-01T00:00:00+00:00").alias("at"))
     e = C("source_evidence")
     return op.apply_capture_outcome(catalog, outcomes).select("pos", "status", "last_confirmed", e["status"].alias("evidence"), e["checked_at"].alias("checked_at"), e["check_failed_at"].alias("check_failed_at"), F.array_join(e["reasons"], ",").alias("reasons"))
 

@@ -164,3 +164,43 @@ def test_passages_without_an_offers_words_stay_in_python():
     batch = pa.RecordBatch.from_pylist([{"text": "20% on shoes\n\n=== x\n20% on running shoes\n=== x\n20% on hats and running shoes", "source_url": "u", "trusted_domain": "d", "offers": offers}])
     got = [(r["o"]["title"], r["line"]) for b in op._meet(iter([batch])) for r in b.to_pylist()]
     assert got == [*((offers[0]["title"], k) for k in (2, 3, 4, 5)), ("hats", 4), ("hats", 5)]
+
+
+class _Read:
+    """Rows of texts that count how often each is read."""
+
+    def __init__(self, spark, rows, schema):
+        self.seen = spark.sparkContext.accumulator(0)
+        frame, seen = spark.createDataFrame(rows, schema), self.seen
+
+        def read(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        self.frame = frame.mapInArrow(read, frame.schema)
+
+
+def test_outcomes_read_texts_once(spark):
+    """Hashes, reasons and passages come from one reading of the texts, and what is told of a source is there for outcomes too."""
+    texts = _Read(spark, [(n, GOOD, URL, AT, DOMAIN) for n in "abc"], "source string, text string, source_url string, checked_at string, trusted_domain string")
+    kind = ", ".join(f"{c} {'array<string>' if c == 'redemption_steps' else 'boolean' if isinstance(v, bool) else 'string'}" for c, v in OFFER.items())
+    offers = spark.createDataFrame([(k, n, *OFFER.values()) for k, n in enumerate("aabx")], f"pos int, source string, {kind}")
+    told = facts, _ = op.grounds(offers, texts.frame)
+    catalog = op.build_source_evidence(offers, texts.frame, told=told).select("pos", F.col("source").alias("brand"), F.lit(DOMAIN).alias("website_domain"), F.lit("active").alias("status"), F.lit(AT).alias("last_confirmed"), "source_evidence")
+    outcomes = facts.select(F.col("source").alias("brand"), F.lit("failed").alias("outcome"), "content_hash", F.array("source_url").alias("captured_urls"), F.lit("2026-10-20T12:00:00+00:00").alias("at"))
+    got = {r["pos"]: (r["status"], r["source_evidence"]["status"]) for r in op.apply_capture_outcome(catalog, outcomes).collect()}
+    assert got == {0: ("needs_review", "unverified"), 1: ("needs_review", "unverified"), 2: ("needs_review", "unverified"), 3: ("active", "unverified")}
+    assert texts.seen.value == 3 and sorted(r["source"] for r in facts.collect()) == ["a", "b", "c"]
+
+
+def test_passages_without_what_an_offer_needs_stay_in_python():
+    """Codes, years of dates and minimums are looked for before pairs are made."""
+    import pyarrow as pa
+
+    base = {"key": "20%", "value": "20%", "title": "shoes", "anchors": ["shoes"], "needs": [], "minimum": None, "minimum_key": None, "not_up_to": False}
+    offers = [base | {"needs": ["run20"]}, base | {"needs": ["2026"]}, base | {"minimum": "$100", "minimum_key": "$100"}, base | {"not_up_to": True}]
+    text = "20% on shoes\n=== x\nrun20: 20% on shoes\n=== x\n20% on shoes until 2026\n=== x\nup to 20% on shoes from $100"
+    batch = pa.RecordBatch.from_pylist([{"text": text, "source_url": "u", "trusted_domain": "d", "offers": offers}])
+    got = [(offers.index({c: r["o"][c] for c in base}), r["line"]) for b in op._meet(iter([batch])) for r in b.to_pylist()]
+    assert got == [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6), *((3, k) for k in range(5))]
