@@ -45,3 +45,12 @@ def test_interest_decays(spark):
     d = spark.createDataFrame(rows, "user_id int, category string, weight double, at string").withColumn("created_at", F.to_timestamp("at"))
     got = op.category_interest(d, F.expr("timestamp '2024-01-31 00:00:00'")).collect()
     assert {(r.user_id, r.category, r.interest, r.promoted, r.boost) for r in got} == {(1, "Tech", 2.2, True, 11.0), (2, "Food", 9.0, True, 25.0)}
+
+
+def test_interest_counts_whole_days_by_microseconds(spark):
+    """A part of a second after midnight is not yet another day: 8 days less a moment count in full, 31 less a moment still count."""
+    rows = [(1, "Tech", 1.0, "2024-01-23 00:00:00.000001"), (2, "Tech", 1.0, "2024-01-23 00:00:00"), (3, "Tech", 1.0, "2023-12-31 00:00:00.9"), (4, "Tech", 1.0, "2023-12-31 00:00:00"), (5, "Tech", 1.0, "2024-01-31 00:00:00.5")]
+    for kind in ("timestamp", "timestamp_ntz"):
+        d = spark.createDataFrame(rows, "user_id int, category string, weight double, at string").withColumn("created_at", F.col("at").cast(kind))
+        got = op.category_interest(d, F.expr("timestamp '2024-01-31 00:00:00'")).collect()
+        assert {r.user_id: r.interest for r in got} == {1: 1.0, 2: 0.6, 3: 0.6, 5: 1.0}
