@@ -106,3 +106,19 @@ def test_features_meet_users_by_sorts_of_offers(spark):
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(map(tuple, want.collect())) and len(rows) == 200 + 18 + 3
     assert learning._by_sort(offers)[1].groupBy("brand").count().where("count > 4").isEmpty()
+
+
+def test_offers_of_one_sort_are_met_in_lists(spark):
+    """Many offers alike are dealt to tasks as bounded lists, each pair is there once, and labels of an offer still are no evidence for it."""
+    at = F.expr("timestamp '2024-01-31 00:00:00'")
+    n = 3 * learning.LISTED + 1
+    k = F.col("id")
+    offers = spark.range(n).select(F.concat(F.lit("p"), k).alias("promotion_id"), F.lit("A").alias("brand"), F.lit("food").alias("category"), F.lit("sale").alias("promotion_type"), F.lit("points").alias("discount_type"), F.lit(False).alias("requires_membership"), (k % 100.0).alias("global_quality_score"))
+    labels = spark.createDataFrame([(1, "p7", 1), (1, f"p{n - 1}", 0)], "user_id long, promotion_id string, label int").withColumn("at", at)
+    wanted = spark.createDataFrame([(1, "A"), (2, "A")], "user_id long, brand string")
+    got = learning.brand_features(wanted, labels, offers, at)
+    want = learning.preference_features(wanted.join(offers, "brand").select("user_id", "promotion_id"), labels, offers, at)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) == 2 * n
+    tasks = got.where("user_id = 2").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < n
